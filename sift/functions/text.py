@@ -21,7 +21,7 @@ HTML_COMMENT = r"(?s)<!--.*?-->"
 HTML_SCRIPT = r"(?is)<script\b[^>]*>.*?</script\s*>"
 HTML_STYLE = r"(?is)<style\b[^>]*>.*?</style\s*>"
 HTML_TAG = r"<[^>]*>"
-HTML_OPEN_TAIL = r"<[a-zA-Z/!][^>]*$"
+HTML_OPEN_TAIL = r"<[a-zA-Z/!][^>]*\z"
 # Named and numeric entities decoded after tags are gone; '&amp;' goes last so
 # that '&amp;lt;' becomes the text '&lt;' and not '<'.
 HTML_ENTITIES = [
@@ -93,6 +93,41 @@ def remove_urls_mentions(c) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(c), URL, " "), MENTION, " ")
 
 
+# --- fixed patterns (survey predicates) -------------------------------------
+# Containment test of "[a-z ]+[A-Z]{4,}" written without the backtracking run:
+# a match exists iff one [a-z ] char is directly followed by 4 capitals.
+UPPER_RUN = r"[a-z ][A-Z]{4}"
+# explicit ASCII word boundaries: Java's \b is Unicode-aware while \w is not
+ACRONYM = r"(^|[^A-Za-z0-9_])[A-Z]{2,3}([^A-Za-z0-9_]|$)"
+PUNCT_RUN3 = r"[^\w\s^(.)]{3}"
+PUNCT_RUN2 = r"[^\w\s^(.)]{2}"
+SENTENCE_END = r"([.!?])\s+"
+SENT_MARK = "\u0001"
+NUMERIC = r"^[0-9]+$"
+CAPITALISED = r"^[A-Z][a-z]+$"
+# --- end of fixed patterns ---------------------------------------------------
+
+
+def split_sentences(c) -> Column:
+    """A sentence ends at . ! or ? followed by whitespace; pieces trimmed, empty dropped."""
+    marked = F.regexp_replace(_c(c), SENTENCE_END, "$1" + SENT_MARK)
+    return F.filter(F.transform(F.split(marked, SENT_MARK), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def count_words_single_space(c) -> Column:
+    """Pieces of a split on single spaces (empty pieces count)."""
+    return F.size(F.split(_c(c), " ", -1))
+
+
+def count_if(tokens, pred) -> Column:
+    return F.size(F.filter(_c(tokens), pred))
+
+
+def is_punct_token(t) -> Column:
+    """A non-empty token that is a contiguous piece of the punctuation string."""
+    return (t != "") & (F.position(t, F.lit(R.PUNCTUATION)) > 0)
+
+
 def is_all_upper(c) -> Column:
     """At least one cased character and no lowercase one."""
     s = _c(c)
@@ -177,10 +212,20 @@ def lemmatize_rules(tokens) -> Column:
 
 
 def ngrams(tokens, n: int = 3) -> Column:
-    """Space-joined n-grams in order; empty when fewer than n tokens."""
+    """Space-joined n-grams in order; empty when fewer than n tokens.
+
+    Built from ``n`` shifted slices zipped together, so the token array is
+    referenced ``n`` times (Catalyst then computes it once in a child
+    projection) and never from inside a per-element lambda, which would
+    re-evaluate the whole cleaning expression for every position.
+    """
     t = _c(tokens)
-    grams = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1),
-                        lambda i: F.array_join(F.slice(t, i, n), " "))
+    if n == 1:
+        return t
+    shifted = [F.slice(t, k + 1, F.greatest(F.size(t) - k, F.lit(1))) for k in range(n)]
+    zipped = F.arrays_zip(*shifted)
+    grams = F.transform(F.slice(zipped, 1, F.greatest(F.size(t) - n + 1, F.lit(1))),
+                        lambda s: F.concat_ws(" ", *[s[str(k)] for k in range(n)]))
     return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 

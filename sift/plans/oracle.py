@@ -36,3 +36,143 @@ c AS (SELECT source, token, count(*) AS cnt FROM t GROUP BY source, token),
 r AS (SELECT source, token, row_number() OVER (PARTITION BY source ORDER BY cnt DESC, token) AS rk FROM c)
 SELECT source, string_agg(token, ' ' ORDER BY rk) AS label FROM r WHERE rk <= 5 GROUP BY source
 """
+
+
+def sql_map(mapping: dict) -> str:
+    return "MAP {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in sorted(mapping.items())) + "}"
+
+
+def sql_strip_html(col: str) -> str:
+    s = col
+    for pat in (r"(?s)<!--.*?-->", r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>",
+                r"<[^>]*>", r"<[a-zA-Z/!][^>]*\z"):
+        s = f"regexp_replace({s}, {_q(pat)}, ' ', 'g')"
+    for ent, rep in [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+                     ("&#x27;", "'"), ("&apos;", "'"), ("&#34;", '"'), ("&amp;", "&")]:
+        s = f"replace({s}, {_q(ent)}, {_q(rep)})"
+    return f"trim(regexp_replace({s}, '\\s+', ' ', 'g'))"
+
+
+def sql_tokenize(expr: str) -> str:
+    return f"list_filter(string_split_regex(lower({expr}), '\\s+'), lambda t: t <> '')"
+
+
+def sql_split_words(expr: str) -> str:
+    return f"list_filter(string_split_regex({expr}, '\\s+'), lambda t: t <> '')"
+
+
+def sql_expand(toks: str, mapping: dict) -> str:
+    return f"flatten(list_transform({toks}, lambda t: string_split(coalesce({sql_map(mapping)}[t], t), ' ')))"
+
+
+def sql_resplit(toks: str, pat: str) -> str:
+    return (f"list_filter(string_split(regexp_replace(array_to_string({toks}, ' '), {_q(pat)}, ' ', 'g'), ' '), "
+            f"lambda t: t <> '')")
+
+
+def sql_clean_tokens(col: str) -> str:
+    t = sql_tokenize(sql_strip_html(col))
+    t = sql_expand(t, R.CONTRACTIONS)
+    t = sql_expand(t, R.ABBREVIATIONS)
+    t = f"list_filter(list_transform({t}, lambda t: translate(t, {PUNCT}, '')), lambda t: t <> '')"
+    t = f"list_filter({t}, lambda t: NOT list_contains({STOP_LIST}, t))"
+    t = sql_resplit(t, "[^a-zA-Z0-9]")
+    t = sql_resplit(t, "[^a-zA-Z]")
+    return f"list_filter({t}, lambda t: length(t) >= 2)"
+
+
+def sql_upper(x: str) -> str:
+    return f"(upper({x}) = {x} AND lower({x}) <> {x})"
+
+
+UPPER_RUN = _q(r"[a-z ]+[A-Z]{4,}")  # the original form; RE2 runs it in linear time
+ACRONYM = _q(r"(^|[^A-Za-z0-9_])[A-Z]{2,3}([^A-Za-z0-9_]|$)")
+PUNCT3 = _q(r"[^\w\s^(.)]{3,}")
+PUNCT2 = _q(r"[^\w\s^(.)]{2,}")
+
+ORACLE["clean_documents"] = f"""
+WITH c AS (SELECT doc_id, {sql_clean_tokens('text')} AS tokens FROM documents)
+SELECT doc_id, CAST(len(tokens) AS INTEGER) AS n_tokens, array_to_string(tokens, ' ') AS clean FROM c
+"""
+
+ORACLE["html_text"] = f"SELECT page_id, {sql_strip_html('html')} AS text FROM pages"
+
+ORACLE["text_profile"] = f"""
+WITH w AS (SELECT doc_id, text, {sql_split_words('text')} AS w FROM documents)
+SELECT doc_id,
+  CAST(len(string_split(text, ' ')) AS INTEGER) AS n_words,
+  CAST(length(text) AS INTEGER) AS n_chars,
+  CAST(len(list_filter(w, lambda t: list_contains({STOP_LIST}, t))) AS INTEGER) AS n_stop,
+  CAST(len(list_filter(w, lambda t: t <> '' AND instr({PUNCT}, t) > 0)) AS INTEGER) AS n_punct,
+  CAST(len(list_filter(w, lambda t: regexp_matches(t, '^[0-9]+$'))) AS INTEGER) AS n_numeric,
+  CAST(len(list_filter(w, lambda t: {sql_upper('t')})) AS INTEGER) AS n_upper
+FROM w
+"""
+
+ORACLE["caps_and_acronyms"] = f"""
+WITH f AS (SELECT
+  CAST({sql_upper('text')} AS INTEGER) AS all_upper,
+  CAST(regexp_matches(text, {UPPER_RUN}) AS INTEGER) AS upper_run,
+  CAST(regexp_matches(text, {ACRONYM}) AS INTEGER) AS acronym,
+  CAST(regexp_matches(text, {PUNCT2}) AS INTEGER) AS punct2,
+  CAST(regexp_matches(text, {PUNCT3}) AS INTEGER) AS punct3,
+  CAST(regexp_matches(text, {PUNCT3}) AND NOT contains(text, '...') AS INTEGER) AS punct3_no_ellipsis
+  FROM documents)
+SELECT count(*) AS n_docs,
+  CAST(sum(all_upper) AS BIGINT) AS n_all_upper, round(avg(all_upper), 6) AS share_all_upper,
+  CAST(sum(upper_run) AS BIGINT) AS n_upper_run, round(avg(upper_run), 6) AS share_upper_run,
+  CAST(sum(acronym) AS BIGINT) AS n_acronym, CAST(sum(punct2) AS BIGINT) AS n_punct2,
+  CAST(sum(punct3) AS BIGINT) AS n_punct3, CAST(sum(punct3_no_ellipsis) AS BIGINT) AS n_punct3_no_ellipsis
+FROM f
+"""
+
+ORACLE["symmetric_difference"] = f"""
+SELECT doc_id, {sql_upper('text')} AS all_upper, regexp_matches(text, {UPPER_RUN}) AS upper_run
+FROM documents WHERE {sql_upper('text')} <> regexp_matches(text, {UPPER_RUN})
+"""
+
+ORACLE["uppercase_tokens"] = f"""
+WITH t AS (SELECT unnest({sql_split_words('text')}) AS token FROM documents)
+SELECT token, count(*) AS cnt FROM t WHERE {sql_upper('token')}
+GROUP BY token ORDER BY cnt DESC, token LIMIT 35
+"""
+
+_POS = "[" + ", ".join(_q(w) for w in R.POSITIVE_SEEDS) + "]"
+_NEG = "[" + ", ".join(_q(w) for w in R.NEGATIVE_SEEDS) + "]"
+ORACLE["seed_word_hits"] = f"""
+WITH d AS (SELECT doc_id, source, lang, {sql_tokenize(f"translate(text, {PUNCT}, '')")} AS t FROM documents),
+h AS (SELECT doc_id, source, lang,
+  CAST(len(list_filter(t, lambda x: list_contains({_POS}, x))) AS INTEGER) AS pos_hits,
+  CAST(len(list_filter(t, lambda x: list_contains({_NEG}, x))) AS INTEGER) AS neg_hits FROM d)
+SELECT * FROM h WHERE pos_hits > 0 OR neg_hits > 0
+"""
+
+
+def sql_sentences(expr: str) -> str:
+    marked = f"regexp_replace({expr}, '([.!?])\\s+', '\\1' || chr(1), 'g')"
+    return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+ORACLE["sentences"] = f"""
+WITH s AS (SELECT doc_id, lang, {sql_sentences("replace(lower(text), '•', '')")} AS s FROM documents)
+SELECT doc_id, lang, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS sent_no, unnest(s) AS sentence FROM s
+"""
+
+ORACLE["conversation_sentences"] = f"""
+WITH s AS (SELECT conv_id, turn, role, {sql_sentences('lower(text)')} AS s FROM conversations)
+SELECT conv_id, turn, role, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS sent_no, unnest(s) AS sentence FROM s
+"""
+
+ORACLE["ngrams"] = f"""
+WITH d AS (SELECT {sql_keyword_tokens('text')} AS t FROM documents),
+g AS (SELECT unnest(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i+2], ' '))) AS ngram FROM d)
+SELECT ngram, count(*) AS cnt FROM g GROUP BY ngram
+"""
+
+ORACLE["phrase_chunks"] = f"""
+WITH w AS (SELECT doc_id, {sql_split_words(f"translate(text, {PUNCT}, '')")} AS w FROM documents),
+l AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS token FROM w),
+t AS (SELECT doc_id, pos, token, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS isl
+      FROM l WHERE regexp_matches(token, '^[A-Z][a-z]+$'))
+SELECT DISTINCT doc_id, string_agg(token, ' ' ORDER BY pos) AS phrase FROM t GROUP BY doc_id, isl
+"""

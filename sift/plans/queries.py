@@ -38,3 +38,129 @@ def topic_keywords_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = d.select("doc_id", "source", T.keyword_tokens("text").alias("tokens"))
     long = TK.token_table(docs, keep=["source"])
     return TK.keyword_labels(long, ["source"], 5).select("source", "label")
+
+
+# ------------------------------------------------------------ cleaning ---
+
+@query
+def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1-T9 full cleaner (HTML, expansions, punctuation, stop words, T7/T8, T9)."""
+    d = load(spark, sf_dir, "documents")
+    toks = d.select("doc_id", T.clean_tokens("text").alias("tokens"))
+    return toks.select("doc_id", F.size("tokens").alias("n_tokens"),
+                       F.array_join("tokens", " ").alias("clean"))
+
+
+@query
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 on raw pages."""
+    p = load(spark, sf_dir, "pages")
+    return p.select("page_id", T.strip_html("html").alias("text"))
+
+
+# ------------------------------------------------------ text profiling ---
+
+@query
+def text_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T17-T22 per document: words, characters, stop words, punctuation,
+    numeric and uppercase tokens."""
+    from sift.functions import resources as R
+    d = load(spark, sf_dir, "documents").select("doc_id", "text", T.split_words("text").alias("w"))
+    w = F.col("w")
+    return d.select(
+        "doc_id",
+        T.count_words_single_space("text").alias("n_words"),
+        F.length("text").alias("n_chars"),
+        T.count_if(w, lambda t: t.isin(list(R.STOP_WORDS))).alias("n_stop"),
+        T.count_if(w, T.is_punct_token).alias("n_punct"),
+        T.count_if(w, lambda t: t.rlike(T.NUMERIC)).alias("n_numeric"),
+        T.count_if(w, T.is_all_upper).alias("n_upper"),
+    )
+
+
+@query
+def caps_and_acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F7-F10 + A25: corpus counts and shares of the case/punctuation predicates."""
+    d = load(spark, sf_dir, "documents")
+    flags = d.select(
+        T.is_all_upper("text").cast("int").alias("all_upper"),
+        F.col("text").rlike(T.UPPER_RUN).cast("int").alias("upper_run"),
+        F.col("text").rlike(T.ACRONYM).cast("int").alias("acronym"),
+        F.col("text").rlike(T.PUNCT_RUN2).cast("int").alias("punct2"),
+        F.col("text").rlike(T.PUNCT_RUN3).cast("int").alias("punct3"),
+        (F.col("text").rlike(T.PUNCT_RUN3) & ~F.col("text").contains("...")).cast("int").alias("punct3_no_ellipsis"),
+    )
+    return flags.agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        F.sum("all_upper").cast("long").alias("n_all_upper"),
+        F.round(F.avg("all_upper"), 6).alias("share_all_upper"),
+        F.sum("upper_run").cast("long").alias("n_upper_run"),
+        F.round(F.avg("upper_run"), 6).alias("share_upper_run"),
+        F.sum("acronym").cast("long").alias("n_acronym"),
+        F.sum("punct2").cast("long").alias("n_punct2"),
+        F.sum("punct3").cast("long").alias("n_punct3"),
+        F.sum("punct3_no_ellipsis").cast("long").alias("n_punct3_no_ellipsis"),
+    )
+
+
+@query
+def symmetric_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments in exactly one of (all upper) and (upper run of 4+)."""
+    d = load(spark, sf_dir, "documents")
+    a = T.is_all_upper("text")
+    b = F.col("text").rlike(T.UPPER_RUN)
+    return d.filter(a != b).select("doc_id", a.alias("all_upper"), b.alias("upper_run"))
+
+
+@query
+def uppercase_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A13 + L8: the 35 most frequent all-uppercase whitespace tokens."""
+    d = load(spark, sf_dir, "documents")
+    toks = d.select(F.explode(T.split_words("text")).alias("token")).filter(T.is_all_upper("token"))
+    return (toks.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
+                .orderBy(F.desc("cnt"), F.asc("token")).limit(35))
+
+
+@query
+def seed_word_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5 + F11: per (group, question) the comments holding a seed word, with hit counts."""
+    from sift.functions import resources as R
+    d = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", T.tokenize(T.remove_punctuation("text")).alias("t"))
+    pos, neg = F.array(*[F.lit(w) for w in R.POSITIVE_SEEDS]), F.array(*[F.lit(w) for w in R.NEGATIVE_SEEDS])
+    hits = d.select("doc_id", "source", "lang",
+                    F.size(F.filter("t", lambda x: F.array_contains(pos, x))).alias("pos_hits"),
+                    F.size(F.filter("t", lambda x: F.array_contains(neg, x))).alias("neg_hits"))
+    return hits.filter((F.col("pos_hits") > 0) | (F.col("neg_hits") > 0))
+
+
+@query
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T15 + T26 + D4: one row per sentence, lowercased, bullet removed."""
+    d = load(spark, sf_dir, "documents")
+    s = d.select("doc_id", "lang", T.split_sentences(T.remove_chars(F.lower("text"), "•")).alias("s"))
+    return s.select("doc_id", "lang", F.posexplode("s").alias("sent_no", "sentence"))
+
+
+@query
+def conversation_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T15 on the second text source, keyed by (conversation, turn)."""
+    c = load(spark, sf_dir, "conversations")
+    s = c.select("conv_id", "turn", "role", T.split_sentences(F.lower("text")).alias("s"))
+    return s.select("conv_id", "turn", "role", F.posexplode("s").alias("sent_no", "sentence"))
+
+
+@query
+def ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus counts of keyword-token trigrams."""
+    d = load(spark, sf_dir, "documents")
+    g = d.select(F.explode(T.ngrams(T.keyword_tokens("text"), 3)).alias("ngram"))
+    return g.groupBy("ngram").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query
+def phrase_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of adjacent capitalised tokens merged into phrases, distinct per document."""
+    from sift.operators.chunks import continuous_chunks
+    d = load(spark, sf_dir, "documents")
+    long = d.select("doc_id", F.posexplode(T.split_words(T.remove_punctuation("text"))).alias("pos", "token"))
+    return continuous_chunks(long, F.col("token").rlike(T.CAPITALISED))
