@@ -123,13 +123,17 @@ def rank_keywords(scores: DataFrame, cluster_col: str = "cluster", n: int = 10)
                            salt_cols=["token"]).drop("_s")
 
 
-def corpus_tfidf(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Corpus term frequency on a single-space split, idf = ln(N / n_rows_with_term)."""
-    n_rows = docs.count()
-    words = docs.select(F.monotonically_increasing_id().alias("_row"),
-                        F.explode(F.split(text_col, " ", -1)).alias("token"))
-    stats = words.groupBy("token").agg(F.count(F.lit(1)).alias("tf"),
-                                       F.countDistinct("_row").alias("n_rows"))
+def corpus_tfidf(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+                 n_rows: int | None = None) -> DataFrame:
+    """Corpus term frequency on a single-space split, idf = ln(N / rows holding the term).
+
+    This is the documented formula (row based); tf is the corpus count.
+    """
+    if n_rows is None:
+        n_rows = docs.count()
+    words = docs.select(id_col, F.explode(F.split(text_col, " ", -1)).alias("token"))
+    per_row = words.groupBy("token", id_col).agg(F.count(F.lit(1)).alias("m"))
+    stats = per_row.groupBy("token").agg(F.sum("m").alias("tf"), F.count(F.lit(1)).alias("n_rows"))
     return (stats.withColumn("idf", F.log(F.lit(float(n_rows)) / F.col("n_rows")))
                  .withColumn("tfidf", F.col("tf") * F.col("idf")))
 

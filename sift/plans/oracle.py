@@ -176,3 +176,76 @@ t AS (SELECT doc_id, pos, token, pos - row_number() OVER (PARTITION BY doc_id OR
       FROM l WHERE regexp_matches(token, '^[A-Z][a-z]+$'))
 SELECT DISTINCT doc_id, string_agg(token, ' ' ORDER BY pos) AS phrase FROM t GROUP BY doc_id, isl
 """
+
+
+_KW_DOCS = f"SELECT doc_id, CAST(substr(source, 4) AS INTEGER) AS cluster, {sql_keyword_tokens('text')} AS tokens FROM documents"
+_KW_LONG = "SELECT cluster, doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS pos, len(tokens) AS n FROM d"
+
+ORACLE["document_frequency_idf"] = f"""
+WITH d AS ({_KW_DOCS}), l AS ({_KW_LONG}),
+n AS (SELECT count(*) AS n FROM d WHERE len(tokens) > 0),
+t AS (SELECT DISTINCT doc_id, token FROM l)
+SELECT token, count(*) AS df, (SELECT n FROM n) AS n_docs, round(ln((SELECT n FROM n) / count(*)), 6) AS idf
+FROM t GROUP BY token
+"""
+
+ORACLE["frequency_band_filter"] = f"""
+WITH d AS ({_KW_DOCS}), l AS ({_KW_LONG}),
+n AS (SELECT count(*) AS n FROM d WHERE len(tokens) > 0),
+dft AS (SELECT token, count(DISTINCT doc_id) AS df FROM l GROUP BY token),
+v AS (SELECT token FROM dft WHERE df >= 2 AND df <= floor(15 * (SELECT n FROM n) / 100)
+      ORDER BY df DESC, token LIMIT 100000),
+k AS (SELECT l.doc_id, count(v.token) AS n_kept,
+             string_agg(CASE WHEN v.token IS NOT NULL THEN l.token END, ' ' ORDER BY l.pos) AS kept
+      FROM l LEFT JOIN v ON l.token = v.token GROUP BY l.doc_id)
+SELECT doc_id, CAST(n_kept AS INTEGER) AS n_kept, coalesce(kept, '') AS kept FROM k
+"""
+
+ORACLE["topic_keywords_tfidf"] = f"""
+WITH d AS ({_KW_DOCS}), l AS ({_KW_LONG}),
+nd AS (SELECT cluster, count(DISTINCT doc_id) AS n FROM l GROUP BY cluster),
+tf AS (SELECT cluster, doc_id, token, count(*) AS tf FROM l WHERE length(token) >= 2 GROUP BY cluster, doc_id, token),
+st AS (SELECT tf.cluster, token, count(*) AS df, sum(tf) AS total, any_value(nd.n) AS n
+       FROM tf JOIN nd ON tf.cluster = nd.cluster GROUP BY tf.cluster, token),
+fl AS (SELECT * FROM st WHERE df >= n * CAST(0.003 AS DOUBLE) AND df <= n * CAST(0.5 AS DOUBLE)),
+vr AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY total DESC, token) AS rk FROM fl),
+v AS (SELECT cluster, token, ln((n + 1) / (df + 1)) + 1 AS idf FROM vr WHERE rk <= 5000),
+w AS (SELECT tf.cluster, tf.doc_id, tf.token, tf.tf * v.idf AS w FROM tf JOIN v ON tf.cluster = v.cluster AND tf.token = v.token),
+nr AS (SELECT cluster, doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY cluster, doc_id),
+s AS (SELECT w.cluster, w.token, arg_max(w.w / nr.norm, w.doc_id) AS score
+      FROM w JOIN nr ON w.cluster = nr.cluster AND w.doc_id = nr.doc_id GROUP BY w.cluster, w.token),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, token) AS rank FROM s)
+SELECT cluster, token, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10
+"""
+
+ORACLE["corpus_tfidf"] = """
+WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS token FROM documents),
+n AS (SELECT count(*) AS n FROM documents),
+s AS (SELECT token, count(*) AS tf, count(DISTINCT doc_id) AS n_rows FROM w GROUP BY token)
+SELECT token, tf, n_rows, round(ln((SELECT n FROM n) / n_rows), 6) AS idf,
+       round(tf * ln((SELECT n FROM n) / n_rows), 6) AS tfidf FROM s
+"""
+
+ORACLE["token_sequences"] = f"""
+WITH d AS ({_KW_DOCS}), l AS ({_KW_LONG}),
+c AS (SELECT token, count(*) AS cnt FROM l GROUP BY token),
+v AS (SELECT token, row_number() OVER (ORDER BY cnt DESC, token) + 1 AS id FROM c),
+ids AS (SELECT l.doc_id, l.pos, coalesce(v.id, 1) AS id FROM l LEFT JOIN v ON l.token = v.token AND v.id < 20000
+        WHERE l.pos >= l.n - 30),
+s AS (SELECT doc_id, list(id ORDER BY pos) AS seq FROM ids GROUP BY doc_id)
+SELECT d.doc_id, array_to_string(list_concat(coalesce(s.seq, []),
+       list_transform(range(30 - len(coalesce(s.seq, []))), lambda x: 0)), ' ') AS seq
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id
+"""
+
+ORACLE["representative_statistical"] = f"""
+WITH d AS ({_KW_DOCS}), l AS ({_KW_LONG}),
+pd AS (SELECT cluster, doc_id, token, count(*) AS m FROM l GROUP BY cluster, doc_id, token),
+c AS (SELECT cluster, token, sum(m) AS cnt FROM pd GROUP BY cluster, token),
+mx AS (SELECT cluster, max(cnt) AS mx FROM c GROUP BY cluster),
+rel AS (SELECT c.cluster, c.token, c.cnt / mx.mx AS rel FROM c JOIN mx ON c.cluster = mx.cluster),
+w AS (SELECT pd.cluster, pd.doc_id, sum(pd.m * rel.rel) AS weight FROM pd JOIN rel
+      ON pd.cluster = rel.cluster AND pd.token = rel.token GROUP BY pd.cluster, pd.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(weight, 9) DESC, doc_id) AS rank FROM w)
+SELECT cluster, doc_id, round(weight, 6) AS weight, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3
+"""

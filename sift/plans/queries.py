@@ -164,3 +164,68 @@ def phrase_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents")
     long = d.select("doc_id", F.posexplode(T.split_words(T.remove_punctuation("text"))).alias("pos", "token"))
     return continuous_chunks(long, F.col("token").rlike(T.CAPITALISED))
+
+
+# ------------------------------------------------------- vocabulary stats ---
+
+def _keyword_long(spark, sf_dir, with_cluster=False):
+    d = load(spark, sf_dir, "documents")
+    cols = ["doc_id"] + ([cluster_of_source().alias("cluster")] if with_cluster else [])
+    docs = d.select(*cols, T.keyword_tokens("text").alias("tokens"))
+    keep = ["cluster"] if with_cluster else []
+    return docs, TK.token_table(docs, keep=keep)
+
+
+@query
+def document_frequency_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: document frequency and ln(N/df) over the cleaned comments."""
+    docs, long = _keyword_long(spark, sf_dir)
+    n = docs.filter(F.size("tokens") > 0).count()
+    dft = TK.document_frequency(long, n_docs=n)
+    return dft.select("token", "df", "n_docs", F.round("idf", 6).alias("idf"))
+
+
+@query
+def frequency_band_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: keep tokens with 2 <= df <= floor(15% of N); documents may become empty."""
+    docs, long = _keyword_long(spark, sf_dir)
+    docs = docs.filter(F.size("tokens") > 0)
+    n = docs.count()
+    vocab = TK.frequency_band(TK.document_frequency(long, n_docs=n), 2, 15, 100000)
+    kept = TK.regroup_tokens(TK.filter_tokens(long, vocab), "doc_id", "kept")
+    out = docs.select("doc_id").join(kept, "doc_id", "left") \
+              .withColumn("kept", F.coalesce("kept", F.array().cast("array<string>")))
+    return out.select("doc_id", F.size("kept").alias("n_kept"), F.array_join("kept", " ").alias("kept"))
+
+
+@query
+def topic_keywords_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 + A5 + L1: per-cluster tf-idf keywords, top 10 by score."""
+    _, long = _keyword_long(spark, sf_dir, with_cluster=True)
+    ranked = TK.rank_keywords(TK.tfidf_scores(long, "cluster"), "cluster", 10)
+    return ranked.select("cluster", "token", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def corpus_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus tf, row-based idf and tf*idf on the raw single-space split."""
+    d = load(spark, sf_dir, "documents")
+    r = TK.corpus_tfidf(d.select("doc_id", "text"))
+    return r.select("token", "tf", "n_rows", F.round("idf", 6).alias("idf"), F.round("tfidf", 6).alias("tfidf"))
+
+
+@query
+def token_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T24 + W6 + L10: frequency-ranked ids (cap 20000, OOV = 1), last 30, right-padded."""
+    docs, long = _keyword_long(spark, sf_dir)
+    vocab = TK.vocabulary_ids(long, 20000)
+    seq = TK.token_sequences(docs, vocab, "tokens", "doc_id", 30)
+    return seq.select("doc_id", F.array_join(F.col("seq").cast("array<string>"), " ").alias("seq"))
+
+
+@query
+def representative_statistical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W2 + W3: three comments per cluster with the highest relative-frequency weight."""
+    _, long = _keyword_long(spark, sf_dir, with_cluster=True)
+    r = TK.representative_statistical(long, "cluster", "doc_id", 3)
+    return r.select("cluster", "doc_id", F.round("weight", 6).alias("weight"), "rank")
