@@ -249,3 +249,103 @@ w AS (SELECT pd.cluster, pd.doc_id, sum(pd.m * rel.rel) AS weight FROM pd JOIN r
 r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(weight, 9) DESC, doc_id) AS rank FROM w)
 SELECT cluster, doc_id, round(weight, 6) AS weight, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3
 """
+
+
+def sql_vec_string(expr_list: str) -> str:
+    return f"array_to_string(list_transform({expr_list}, lambda x: printf('%.6f', x)), ' ')"
+
+
+_EMB_LONG = "SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings"
+
+ORACLE["cluster_centroids"] = f"""
+WITH e AS ({_EMB_LONG}), a AS (SELECT label, k, avg(x) AS m FROM e GROUP BY label, k)
+SELECT label, string_agg(printf('%.6f', m), ' ' ORDER BY k) AS centroid FROM a GROUP BY label
+"""
+
+
+def sql_cos_dist(a: str, b: str) -> str:
+    return f"(1 - list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))))"
+
+
+ORACLE["representative_embedding"] = f"""
+WITH e AS ({_EMB_LONG}), a AS (SELECT label, k, avg(x) AS m FROM e GROUP BY label, k),
+c AS (SELECT label, list(m ORDER BY k) AS cv FROM a GROUP BY label),
+d AS (SELECT v.vec_id, v.label, {sql_cos_dist('CAST(v.embedding AS DOUBLE[])', 'c.cv')} AS dist
+      FROM embeddings v JOIN c ON v.label = c.label),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(dist, 9), vec_id) AS rank FROM d)
+SELECT label, vec_id, round(dist, 6) AS dist, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3
+"""
+
+ORACLE["minmax_scale"] = f"""
+WITH e AS ({_EMB_LONG}), mm AS (SELECT k, min(x) AS lo, max(x) AS hi FROM e GROUP BY k)
+SELECT vec_id, string_agg(printf('%.6f', CASE WHEN hi = lo THEN 0.0 ELSE (x - lo) / (hi - lo) END), ' ' ORDER BY e.k) AS scaled
+FROM e JOIN mm ON e.k = mm.k GROUP BY vec_id
+"""
+
+_TOY_VEC = ("list_transform(range(8), lambda k: ((ascii(substr(token, CAST((k % length(token)) + 1 AS INTEGER), 1)) * (k + 1)) % 31)"
+            " / CAST(31.0 AS DOUBLE) - 0.5)")
+_VEC_BASE = f"""d AS ({_KW_DOCS}), l AS ({_KW_LONG}),
+tv AS (SELECT token, {_TOY_VEC} AS vec FROM (SELECT DISTINCT token FROM l)),
+m AS (SELECT cluster, doc_id, token, count(*) AS m FROM l GROUP BY cluster, doc_id, token),
+ev AS (SELECT m.cluster, m.doc_id, m.m, unnest(tv.vec) AS x, generate_subscripts(tv.vec, 1) AS k FROM m JOIN tv ON m.token = tv.token),
+dvk AS (SELECT cluster, doc_id, k, sum(m * x) / sum(m) AS x FROM ev GROUP BY cluster, doc_id, k),
+dv AS (SELECT cluster, doc_id, list(x ORDER BY k) AS v FROM dvk GROUP BY cluster, doc_id)"""
+
+ORACLE["mean_document_vectors"] = f"""
+WITH {_VEC_BASE}
+SELECT doc_id, cluster, {sql_vec_string('v')} AS embedding FROM dv
+"""
+
+ORACLE["weighted_document_vectors"] = f"""
+WITH d AS ({_KW_DOCS}), l AS ({_KW_LONG}),
+n AS (SELECT count(*) AS n FROM d WHERE len(tokens) > 0),
+idf AS (SELECT token, ln((SELECT n FROM n) / count(DISTINCT doc_id)) AS idf FROM l GROUP BY token),
+tv AS (SELECT token, {_TOY_VEC} AS vec FROM (SELECT DISTINCT token FROM l)),
+m AS (SELECT doc_id, token, count(*) AS m FROM l GROUP BY doc_id, token),
+j AS (SELECT m.doc_id, m.m, m.m * (0.001 / (0.001 + m.m * idf.idf)) AS w, tv.vec
+      FROM m JOIN idf ON m.token = idf.token JOIN tv ON m.token = tv.token),
+e AS (SELECT doc_id, w, unnest(vec) AS x, generate_subscripts(vec, 1) AS k FROM j),
+s AS (SELECT doc_id, k, sum(w * x) AS sx FROM e GROUP BY doc_id, k),
+nn AS (SELECT doc_id, sum(m) AS n FROM j GROUP BY doc_id)
+SELECT s.doc_id, string_agg(printf('%.6f', sx / n), ' ' ORDER BY k) AS embedding
+FROM s JOIN nn ON s.doc_id = nn.doc_id GROUP BY s.doc_id
+"""
+
+ORACLE["cluster_titles_projection"] = f"""
+WITH {_VEC_BASE},
+ck AS (SELECT cluster, k, avg(x) AS x FROM dvk GROUP BY cluster, k),
+c AS (SELECT cluster, list(x ORDER BY k) AS cv FROM ck GROUP BY cluster),
+dist AS (SELECT c.cluster, tv.token, {sql_cos_dist('tv.vec', 'c.cv')} AS dist FROM c, tv),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(dist, 9), token) AS rk FROM dist)
+SELECT cluster, token AS title, round(dist, 6) AS dist FROM r WHERE rk = 1
+"""
+
+_KW_TOP5 = """kc AS (SELECT cluster, token, count(*) AS cnt FROM l GROUP BY cluster, token),
+kr AS (SELECT cluster, token, row_number() OVER (PARTITION BY cluster ORDER BY cnt DESC, token) AS rk FROM kc),
+kw AS (SELECT cluster, token, rk FROM kr WHERE rk <= 5)"""
+
+ORACLE["cluster_titles_multiplicative"] = f"""
+WITH d AS ({_KW_DOCS}), l AS ({_KW_LONG}),
+tv AS (SELECT token, {_TOY_VEC} AS vec FROM (SELECT DISTINCT token FROM l)),
+{_KW_TOP5},
+kv AS (SELECT kw.cluster, tv.vec FROM kw JOIN tv ON kw.token = tv.token),
+cand AS (SELECT * FROM tv WHERE token NOT IN (SELECT token FROM kw)),
+ls AS (SELECT cand.token, kv.cluster, ln((1 + (1 - {sql_cos_dist('cand.vec', 'kv.vec')})) / 2) AS l FROM cand, kv),
+tot AS (SELECT token, sum(l) AS total FROM ls GROUP BY token),
+pc AS (SELECT token, cluster, sum(l) AS pos FROM ls GROUP BY token, cluster),
+sc AS (SELECT pc.cluster, pc.token, exp(pos) / (exp(total - pos) + 1e-6) AS score FROM pc JOIN tot ON pc.token = tot.token),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(ln(score), 9) DESC, token) AS rank FROM sc)
+SELECT cluster, token, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3
+"""
+
+ORACLE["topic_summary"] = f"""
+WITH {_VEC_BASE},
+{_KW_TOP5},
+kws AS (SELECT cluster, string_agg(token, ' ' ORDER BY rk) AS keywords FROM kw GROUP BY cluster),
+ck AS (SELECT cluster, k, avg(x) AS x FROM dvk GROUP BY cluster, k),
+c AS (SELECT cluster, list(x ORDER BY k) AS cv FROM ck GROUP BY cluster),
+dd AS (SELECT dv.cluster, dv.doc_id, {sql_cos_dist('dv.v', 'c.cv')} AS dist FROM dv JOIN c ON dv.cluster = c.cluster),
+rr AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(dist, 9), doc_id) AS rk FROM dd),
+s AS (SELECT cluster, string_agg(CAST(doc_id AS VARCHAR), ' ' ORDER BY rk) AS sentence_ids FROM rr WHERE rk <= 3 GROUP BY cluster)
+SELECT kws.cluster, kws.keywords, kws.keywords AS label, s.sentence_ids FROM kws LEFT JOIN s ON kws.cluster = s.cluster
+"""

@@ -229,3 +229,97 @@ def representative_statistical(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, long = _keyword_long(spark, sf_dir, with_cluster=True)
     r = TK.representative_statistical(long, "cluster", "doc_id", 3)
     return r.select("cluster", "doc_id", F.round("weight", 6).alias("weight"), "rank")
+
+
+# ---------------------------------------------------------------- vectors ---
+
+def _emb(spark, sf_dir):
+    return load(spark, sf_dir, "embeddings")
+
+
+@query
+def cluster_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9 + A10: mean vector per cluster label (noise would count as a cluster)."""
+    from sift.operators import vectors as V
+    c = V.group_mean(_emb(spark, sf_dir), ["label"], "embedding", "centroid")
+    return c.select("label", V.array_string("centroid").alias("centroid"))
+
+
+@query
+def representative_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three vectors per cluster nearest (cosine) to the centroid."""
+    from sift.operators import vectors as V
+    r = V.representative_by_embedding(_emb(spark, sf_dir), "label", "vec_id", "embedding", 3)
+    return r.select("label", "vec_id", F.round("dist", 6).alias("dist"), "rank")
+
+
+@query
+def minmax_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-dimension min-max scaling to [0, 1], constant dimensions -> 0."""
+    from sift.operators import vectors as V
+    s = V.minmax_scale(_emb(spark, sf_dir), "embedding", "scaled")
+    return s.select("vec_id", V.array_string("scaled").alias("scaled"))
+
+
+def _doc_vectors(spark, sf_dir):
+    """Keyword docs, their long table, stand-in token vectors and mean doc vectors."""
+    from sift.operators import vectors as V
+    docs, long = _keyword_long(spark, sf_dir, with_cluster=True)
+    tv = V.toy_token_vectors(long.select("token"), 8)
+    dv = V.mean_doc_vectors(long, tv, "doc_id", keep=["cluster"])
+    return docs, long, tv, dv
+
+
+@query
+def weighted_document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 + J2 + J3: smooth-inverse-frequency weighted comment vectors."""
+    from sift.operators import vectors as V
+    docs, long = _keyword_long(spark, sf_dir)
+    n = docs.filter(F.size("tokens") > 0).count()
+    idf = TK.document_frequency(long, n_docs=n)
+    tv = V.toy_token_vectors(long.select("token"), 8)
+    w = V.weighted_doc_vectors(long, idf, tv, 1e-3)
+    return w.select("doc_id", V.array_string("embedding").alias("embedding"))
+
+
+@query
+def mean_document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 + J2: plain mean token vector per comment."""
+    from sift.operators import vectors as V
+    _, _, _, dv = _doc_vectors(spark, sf_dir)
+    return dv.select("doc_id", "cluster", V.array_string("embedding").alias("embedding"))
+
+
+@query
+def cluster_titles_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J7 + M14: title = corpus token nearest to the cluster's mean comment vector."""
+    from sift.operators import vectors as V
+    _, _, tv, dv = _doc_vectors(spark, sf_dir)
+    cents = V.group_mean(dv, ["cluster"], "embedding", "centroid")
+    t = V.nearest_token_per_centroid(tv, cents, "cluster", 8)
+    return t.select("cluster", F.col("token").alias("title"), F.round("dist", 6).alias("dist"))
+
+
+@query
+def cluster_titles_multiplicative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M15 + J12 + A26: 3CosMul titles from own vs other clusters' top-5 keywords."""
+    from sift.operators import vectors as V
+    _, long = _keyword_long(spark, sf_dir, with_cluster=True)
+    tv = V.toy_token_vectors(long.select("token"), 8)
+    kw = TK.top_tokens(TK.token_counts(long, ["cluster"]), ["cluster"], 5).select("cluster", "token")
+    t = V.cosmul_titles(tv, kw, "cluster", 8, 3)
+    return t.select("cluster", "token", "rank")
+
+
+@query
+def topic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per cluster keywords, top-5 label and the three most central comments."""
+    from sift.operators import vectors as V
+    from sift.operators.topn import ordered_list
+    _, long, _, dv = _doc_vectors(spark, sf_dir)
+    kw = TK.keyword_labels(long, ["cluster"], 5)
+    rep = V.representative_by_embedding(dv, "cluster", "doc_id", "embedding", 3)
+    sent = ordered_list(rep, ["cluster"], "rank", "doc_id", "sentence_ids")
+    return (kw.join(sent, "cluster", "left")
+              .select("cluster", F.array_join("keywords", " ").alias("keywords"), "label",
+                      F.array_join(F.col("sentence_ids").cast("array<string>"), " ").alias("sentence_ids")))
