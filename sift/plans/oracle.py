@@ -349,3 +349,68 @@ rr AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(dist, 9)
 s AS (SELECT cluster, string_agg(CAST(doc_id AS VARCHAR), ' ' ORDER BY rk) AS sentence_ids FROM rr WHERE rk <= 3 GROUP BY cluster)
 SELECT kws.cluster, kws.keywords, kws.keywords AS label, s.sentence_ids FROM kws LEFT JOIN s ON kws.cluster = s.cluster
 """
+
+
+_PAIRS = """p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+pr AS (SELECT a.vec_id AS q, b.vec_id AS s,
+       sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist,
+       a.v AS qv, b.v AS sv
+       FROM p a JOIN p b ON a.vec_id <> b.vec_id)"""
+
+ORACLE["knn_neighbors"] = f"""
+WITH {_PAIRS},
+r AS (SELECT q, s, dist, row_number() OVER (PARTITION BY q ORDER BY round(dist, 12), s) AS rank FROM pr)
+SELECT q AS vec_id, s AS neighbor_id, round(dist, 6) AS dist, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10
+"""
+
+ORACLE["local_outlier_factor"] = f"""
+WITH {_PAIRS},
+r AS (SELECT q, s, dist, row_number() OVER (PARTITION BY q ORDER BY round(dist, 12), s) AS rk FROM pr),
+nn AS (SELECT q, s, dist FROM r WHERE rk <= 20),
+kd AS (SELECT q, max(dist) AS kdist FROM nn GROUP BY q),
+lrd AS (SELECT nn.q, 1.0 / (sum(greatest(nn.dist, kd.kdist)) / 20 + 1e-10) AS lrd FROM nn JOIN kd ON nn.s = kd.q GROUP BY nn.q),
+ml AS (SELECT nn.q, sum(l.lrd) / 20 AS mean_lrd FROM nn JOIN lrd l ON nn.s = l.q GROUP BY nn.q),
+lof AS (SELECT ml.q, ml.mean_lrd / lrd.lrd AS lof FROM ml JOIN lrd ON ml.q = lrd.q),
+cut AS (SELECT quantile_cont(-lof, 0.15) AS c FROM lof)
+SELECT q AS vec_id, round(lof, 6) AS lof, (-lof >= (SELECT c FROM cut)) AS is_inlier FROM lof
+"""
+
+ORACLE["single_linkage"] = f"""
+WITH RECURSIVE {_PAIRS},
+e AS (SELECT q, s FROM pr WHERE 1 - list_dot_product(qv, sv) / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(sv, sv))) < 0.62),
+reach(id, lbl) AS (SELECT vec_id, vec_id FROM p UNION SELECT e.s, reach.lbl FROM reach JOIN e ON reach.id = e.q)
+SELECT id AS vec_id, min(lbl) AS cluster FROM reach GROUP BY id
+"""
+
+ORACLE["density_clusters"] = f"""
+WITH RECURSIVE {_PAIRS},
+w AS (SELECT q, s FROM pr WHERE dist <= 1.17),
+core AS (SELECT p.vec_id AS id FROM p LEFT JOIN (SELECT q, count(*) AS c FROM w GROUP BY q) x ON p.vec_id = x.q
+         WHERE 1 + coalesce(x.c, 0) >= 3),
+ce AS (SELECT w.q, w.s FROM w WHERE w.q IN (SELECT id FROM core) AND w.s IN (SELECT id FROM core)),
+reach(id, lbl) AS (SELECT id, id FROM core UNION SELECT ce.s, reach.lbl FROM reach JOIN ce ON reach.id = ce.q),
+comp AS (SELECT id, min(lbl) AS component FROM reach GROUP BY id),
+sz AS (SELECT component, count(*) AS size FROM comp GROUP BY component),
+good AS (SELECT comp.id, comp.component FROM comp JOIN sz ON comp.component = sz.component WHERE size >= 5)
+SELECT p.vec_id, CAST(coalesce(good.component, -1) AS BIGINT) AS cluster FROM p LEFT JOIN good ON p.vec_id = good.id
+"""
+
+ORACLE["cosine_silhouette"] = """
+WITH p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+pr AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lj,
+       1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS d
+       FROM p a JOIN p b ON a.vec_id <> b.vec_id),
+m AS (SELECT i, li, lj, avg(d) AS md FROM pr GROUP BY i, li, lj),
+ab AS (SELECT i, max(CASE WHEN li = lj THEN md END) AS a, min(CASE WHEN li <> lj THEN md END) AS b FROM m GROUP BY i),
+sz AS (SELECT label, count(*) AS n FROM p GROUP BY label),
+s AS (SELECT ab.i, CASE WHEN sz.n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END AS s
+      FROM ab JOIN p ON ab.i = p.vec_id JOIN sz ON p.label = sz.label)
+SELECT round(avg(s), 6) AS silhouette FROM s
+"""
+
+ORACLE["cluster_sizes"] = """
+WITH s AS (SELECT label AS cluster, count(*) AS size FROM embeddings GROUP BY label)
+SELECT count(*) AS n_clusters, CAST(coalesce(sum(CASE WHEN cluster = -1 THEN size END), 0) AS BIGINT) AS n_outliers,
+       CAST(sum(size) AS BIGINT) AS n_points, max(size) AS max_size, min(size) AS min_size, CAST(max(cluster) AS BIGINT) AS max_cluster
+FROM s
+"""

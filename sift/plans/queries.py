@@ -323,3 +323,51 @@ def topic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (kw.join(sent, "cluster", "left")
               .select("cluster", F.array_join("keywords", " ").alias("keywords"), "label",
                       F.array_join(F.col("sentence_ids").cast("array<string>"), " ").alias("sentence_ids")))
+
+
+# ------------------------------------------------- neighbours and clusters ---
+
+@query
+def knn_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact 10 nearest neighbours (Euclidean) of every vector."""
+    from sift.operators.neighbors import knn
+    r = knn(_emb(spark, sf_dir), "vec_id", "embedding", 10)
+    return r.select(F.col("q").alias("vec_id"), F.col("s").alias("neighbor_id"),
+                    F.round("dist", 6).alias("dist"), "rank")
+
+
+@query
+def local_outlier_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6 + W9 + F15: LOF (k=20) and the inlier flag at 15% contamination."""
+    from sift.operators.neighbors import local_outlier_factor as lof
+    r = lof(_emb(spark, sf_dir), "vec_id", "embedding", 20, 0.15)
+    return r.select("vec_id", F.round("lof", 6).alias("lof"), "is_inlier")
+
+
+@query
+def single_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5d + J9: single-linkage clusters below cosine distance 0.62."""
+    from sift.operators.cluster import single_linkage as sl
+    return sl(_emb(spark, sf_dir), "vec_id", "embedding", 0.62)
+
+
+@query
+def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density clusters at Euclidean radius 1.17, 3 samples, clusters of 5+."""
+    from sift.operators.cluster import density_clusters as dc
+    return dc(_emb(spark, sf_dir), "vec_id", "embedding", 1.17, 3, 5)
+
+
+@query
+def cosine_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A18 + X7: mean cosine silhouette of the given labels (linear cluster-sum form)."""
+    from sift.operators.cluster import silhouette
+    s = silhouette(_emb(spark, sf_dir), "embedding", "label", "cosine")
+    return spark.createDataFrame([(round(s, 6),)], "silhouette double")
+
+
+@query
+def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10 + A11 + L7: cluster count, noise count and size range of the labels."""
+    from sift.operators.cluster import cluster_stats
+    return cluster_stats(_emb(spark, sf_dir).select(F.col("label").alias("cluster")))
