@@ -414,3 +414,18 @@ SELECT count(*) AS n_clusters, CAST(coalesce(sum(CASE WHEN cluster = -1 THEN siz
        CAST(sum(size) AS BIGINT) AS n_points, max(size) AS max_size, min(size) AS min_size, CAST(max(cluster) AS BIGINT) AS max_cluster
 FROM s
 """
+
+
+_RUNS = """runs AS (SELECT label AS grid_id, vec_id AS node, CASE WHEN label < 5 THEN 'kmeans' ELSE 'hdbscan' END AS mode,
+        CASE WHEN CAST(embedding[1] AS DOUBLE) >= 0 THEN CAST(embedding[1] AS DOUBLE) END AS silhouette FROM embeddings)"""
+
+ORACLE["best_config"] = f"""
+WITH {_RUNS},
+r AS (SELECT *, row_number() OVER (PARTITION BY mode, grid_id ORDER BY silhouette DESC, node) AS rk
+      FROM runs WHERE silhouette IS NOT NULL)
+SELECT mode, grid_id, node AS best_node, round(silhouette, 6) AS best_score FROM r WHERE rk = 1
+"""
+
+ORACLE["next_grid_id"] = f"""
+WITH {_RUNS} SELECT CAST(coalesce(max(grid_id) + 1, 0) AS BIGINT) AS next_grid_id FROM runs
+"""

@@ -371,3 +371,127 @@ def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10 + A11 + L7: cluster count, noise count and size range of the labels."""
     from sift.operators.cluster import cluster_stats
     return cluster_stats(_emb(spark, sf_dir).select(F.col("label").alias("cluster")))
+
+
+# -------------------------------------------------------------- ML models ---
+
+@query
+def kmeans_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-means (k=10, 100 iterations, seed 42) on the comment vectors."""
+    from sift.operators.cluster import kmeans
+    return kmeans(_emb(spark, sf_dir), "vec_id", "embedding", 10, 100, 42)
+
+
+@query
+def bisecting_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5e: fixed-k hierarchical (bisecting k-means) clusters."""
+    from sift.operators.cluster import kmeans
+    return kmeans(_emb(spark, sf_dir), "vec_id", "embedding", 10, 20, 42, bisecting=True)
+
+
+@query
+def best_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L9 + A19: silhouette (squared Euclidean) for k = 5..20 with k-means; best flagged.
+
+    The feature column is built and cached once; each k is one Spark ML fit
+    (the loop is over configurations, not data).
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+    feats = _emb(spark, sf_dir).select(
+        array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).persist()
+    ev = ClusteringEvaluator(distanceMeasure="squaredEuclidean")
+    rows = []
+    for k in range(5, 21):
+        model = KMeans(k=k, maxIter=20, seed=42).fit(feats)
+        rows.append((k, float(ev.evaluate(model.transform(feats)))))
+    feats.unpersist()
+    best = max(rows, key=lambda r: (r[1], -r[0]))[0]
+    return spark.createDataFrame([(k, round(s, 6), k == best) for k, s in rows],
+                                 "k int, silhouette double, is_best boolean")
+
+
+@query
+def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3 + A17 + W7: centred PCA to min(150, d) components; cumulative explained variance."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import Window
+    e = _emb(spark, sf_dir).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("x"))
+    d = len(e.first()["x"])
+    centred = StandardScaler(withMean=True, withStd=False, inputCol="x", outputCol="c").fit(e).transform(e)
+    model = PCA(k=min(150, d), inputCol="c", outputCol="p").fit(centred)
+    ev = [(i + 1, float(v)) for i, v in enumerate(model.explainedVariance.toArray())]
+    df = spark.createDataFrame(ev, "component int, ratio double")
+    w = Window.orderBy("component").rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("cumulative", F.sum("ratio").over(w))
+
+
+@query
+def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4 (re-aimed): 2-D layout = PCA(2) of the centred unit vectors -> PC1, PC2."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from sift.operators.neighbors import unit
+    e = _emb(spark, sf_dir).select("vec_id", array_to_vector(unit(F.col("embedding").cast("array<double>"))).alias("x"))
+    c = StandardScaler(withMean=True, withStd=False, inputCol="x", outputCol="c").fit(e).transform(e)
+    p = PCA(k=2, inputCol="c", outputCol="p").fit(c).transform(c)
+    a = vector_to_array("p")
+    return p.select("vec_id", a[0].alias("PC1"), a[1].alias("PC2"))
+
+
+def _grid_steps():
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from sift.operators.cluster import kmeans
+    from sift.operators.neighbors import unit
+
+    def normalize(df, on):
+        return df.withColumn("embedding", unit(F.col("embedding").cast("array<double>"))) if on == "True" or on is True else df
+
+    def cluster(df, k):
+        return df.join(kmeans(df, "vec_id", "embedding", int(k), 20, 42), "vec_id")
+    return {"normalization": normalize, "cluster": cluster}
+
+
+@query
+def grid_search_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9 + M10 + K5: grid (normalise on/off x k in 8,10,12) scored by cosine silhouette
+    on the unreduced vectors; one run-table row per node."""
+    from sift.operators import runs as RN
+    from sift.operators.cluster import cluster_stats, silhouette
+    emb = _emb(spark, sf_dir).select("vec_id", "embedding")
+    grid = RN.build_grid({"normalization": {"on": [False, True]}, "cluster": {"k": [8, 10, 12]}})
+
+    def evaluate(df):
+        sil = silhouette(df, "embedding", "cluster", "cosine")
+        st = cluster_stats(df).first()
+        return round(sil, 6), int(st["n_clusters"]), int(st["n_outliers"])
+    runs = RN.run_grid(spark, emb, "vec_id", "embedding", grid, _grid_steps(), evaluate, 0, "kmeans")
+    return runs.select("grid_id", "node", "mode", F.to_json("parameters").alias("parameters"),
+                       "silhouette", "n_clusters", "n_outliers")
+
+
+def _runs_from_embeddings(spark, sf_dir):
+    """A run table derived from the vector table: node = vector, grid = label,
+    mode by label half, score = first coordinate (null when it is negative)."""
+    e = _emb(spark, sf_dir)
+    score = F.col("embedding")[0].cast("double")
+    return e.select(F.col("label").alias("grid_id"), F.col("vec_id").alias("node"),
+                    F.when(F.col("label") < 5, "kmeans").otherwise("hdbscan").alias("mode"),
+                    F.when(score >= 0, score).alias("silhouette"))
+
+
+@query
+def best_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A24 + L6: best node per (mode, grid id), nulls skipped, first inserted wins ties."""
+    from sift.operators.runs import best_config as bc
+    r = bc(_runs_from_embeddings(spark, sf_dir))
+    return r.select("mode", "grid_id", "best_node", F.round("best_score", 6).alias("best_score"))
+
+
+@query
+def next_grid_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next grid id of a run table."""
+    from sift.operators.runs import next_grid_id as ng
+    return ng(_runs_from_embeddings(spark, sf_dir))
