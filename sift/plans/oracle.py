@@ -70,12 +70,13 @@ def sql_resplit(toks: str, pat: str) -> str:
             f"lambda t: t <> '')")
 
 
-def sql_clean_tokens(col: str) -> str:
+def sql_clean_tokens(col: str, stopwords: bool = True) -> str:
     t = sql_tokenize(sql_strip_html(col))
     t = sql_expand(t, R.CONTRACTIONS)
     t = sql_expand(t, R.ABBREVIATIONS)
     t = f"list_filter(list_transform({t}, lambda t: translate(t, {PUNCT}, '')), lambda t: t <> '')"
-    t = f"list_filter({t}, lambda t: NOT list_contains({STOP_LIST}, t))"
+    if stopwords:
+        t = f"list_filter({t}, lambda t: NOT list_contains({STOP_LIST}, t))"
     t = sql_resplit(t, "[^a-zA-Z0-9]")
     t = sql_resplit(t, "[^a-zA-Z]")
     return f"list_filter({t}, lambda t: length(t) >= 2)"
@@ -429,3 +430,28 @@ SELECT mode, grid_id, node AS best_node, round(silhouette, 6) AS best_score FROM
 ORACLE["next_grid_id"] = f"""
 WITH {_RUNS} SELECT CAST(coalesce(max(grid_id) + 1, 0) AS BIGINT) AS next_grid_id FROM runs
 """
+
+
+_LEX = "(VALUES " + ", ".join(f"({_q(w)}, CAST({float(sc)!r} AS DOUBLE), {i})" for i, (w, sc) in enumerate(R.LEXICON)) + ") AS x(word, score, ord)"
+_LEX_FEATS = f"""d AS (SELECT doc_id, {sql_clean_tokens('text', stopwords=False)} AS tokens FROM documents),
+lex AS (SELECT word, arg_min(score, ord) AS score FROM {_LEX} GROUP BY word),
+l AS (SELECT doc_id, unnest(tokens) AS word FROM d),
+h AS (SELECT l.doc_id, sum(CASE WHEN score < 0 THEN score ELSE 0.0 END) AS neg_sum,
+             sum(CASE WHEN score > 0 THEN score ELSE 0.0 END) AS pos_sum,
+             count(CASE WHEN score < 0 THEN 1 END) AS n_neg, count(CASE WHEN score > 0 THEN 1 END) AS n_pos
+      FROM l JOIN lex ON l.word = lex.word GROUP BY l.doc_id),
+f AS (SELECT d.doc_id, coalesce(neg_sum, 0.0) AS neg_sum, coalesce(pos_sum, 0.0) AS pos_sum,
+             CASE WHEN len(tokens) > 0 THEN coalesce(n_neg, 0) / len(tokens) ELSE 0.0 END AS neg_share,
+             CASE WHEN len(tokens) > 0 THEN coalesce(n_pos, 0) / len(tokens) ELSE 0.0 END AS pos_share
+      FROM d LEFT JOIN h ON d.doc_id = h.doc_id)"""
+
+ORACLE["lexicon_features"] = f"""
+WITH {_LEX_FEATS}
+SELECT doc_id, round(neg_sum, 6) AS neg_sum, round(pos_sum, 6) AS pos_sum,
+       round(neg_share, 6) AS neg_share, round(pos_share, 6) AS pos_share FROM f
+"""
+
+ORACLE["lexicon_sentiment"] = f"""
+WITH {_LEX_FEATS}
+SELECT doc_id, CAST(sign(pos_sum + neg_sum) AS INTEGER) AS sentiment FROM f
+"""

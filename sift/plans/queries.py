@@ -495,3 +495,67 @@ def next_grid_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Next grid id of a run table."""
     from sift.operators.runs import next_grid_id as ng
     return ng(_runs_from_embeddings(spark, sf_dir))
+
+
+# -------------------------------------------------------------- sentiment ---
+
+def _sentiment_docs(spark, sf_dir):
+    """Comments cleaned for sentiment: HTML, expansions, punctuation, T7/T8, T9 (stop words kept)."""
+    from sift.operators import sentiment as S
+    d = load(spark, sf_dir, "documents")
+    docs = d.select("doc_id", T.clean_tokens("text", T.CleanOptions(stopwords=False)).alias("tokens"))
+    return docs, S.lexicon_features(docs, S.lexicon_frame(spark))
+
+
+@query
+def lexicon_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A15 + J4 + W8: lexicon sums and shares per comment."""
+    _, f = _sentiment_docs(spark, sf_dir)
+    return f.select("doc_id", *[F.round(c, 6).alias(c) for c in ["neg_sum", "pos_sum", "neg_share", "pos_share"]])
+
+
+@query
+def lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule-based three-class sentiment from the lexicon sums."""
+    from sift.operators import sentiment as S
+    _, f = _sentiment_docs(spark, sf_dir)
+    return S.lexicon_sentiment(f)
+
+
+def _labelled(spark, sf_dir):
+    from sift.operators import sentiment as S
+    docs, feats = _sentiment_docs(spark, sf_dir)
+    lab = load(spark, sf_dir, "labels").select("doc_id", (F.col("quality") - F.col("toxic")).alias("y"))
+    data = docs.join(feats, "doc_id").join(lab, "doc_id", "left") \
+               .withColumn("label", (F.col("y") + 1).cast("double")) \
+               .withColumn("split", S.split_column("doc_id"))
+    # materialise once: feature extraction and the iterative fit reuse it
+    from sift.session import cut_lineage
+    return cut_lineage(data)
+
+
+@query
+def train_predict_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M11 + M12 + L5: train on the labelled 90 % split, predict every comment."""
+    from sift.operators import sentiment as S
+    data = _labelled(spark, sf_dir)
+    model = S.train(data.filter((F.col("split") == "train") & F.col("label").isNotNull()))
+    return S.predict(model, data).join(data.select("doc_id", "split", "y"), "doc_id")
+
+
+@query
+def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A21 + A22: actual vs predicted class counts and accuracy on the 10 % hold-out."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from sift.operators import sentiment as S
+    data = _labelled(spark, sf_dir).filter(F.col("label").isNotNull())
+    model = S.train(data.filter(F.col("split") == "train"))
+    test = model.transform(data.filter(F.col("split") == "test"))
+    acc = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(test)
+    actual = test.groupBy((F.col("label") - 1).cast("int").alias("sentiment")).agg(F.count(F.lit(1)).alias("n_actual"))
+    pred = test.groupBy((F.col("prediction") - 1).cast("int").alias("sentiment")).agg(F.count(F.lit(1)).alias("n_predicted"))
+    classes = spark.createDataFrame([(-1,), (0,), (1,)], "sentiment int")
+    return (classes.join(actual, "sentiment", "left").join(pred, "sentiment", "left")
+                   .select("sentiment", F.coalesce("n_actual", F.lit(0)).alias("n_actual"),
+                           F.coalesce("n_predicted", F.lit(0)).alias("n_predicted"),
+                           F.lit(round(acc, 6)).alias("accuracy")))
