@@ -455,3 +455,62 @@ ORACLE["lexicon_sentiment"] = f"""
 WITH {_LEX_FEATS}
 SELECT doc_id, CAST(sign(pos_sum + neg_sum) AS INTEGER) AS sentiment FROM f
 """
+
+
+_NW = _q(r"[^\p{L}\p{N}_-]")
+
+
+def sql_clean_token(x: str) -> str:
+    t = f"lower({x})"
+    return (f"CASE WHEN length({t}) >= 2 THEN regexp_replace(substr({t}, 1, length({t}) - 2), {_NW}, '', 'g') || "
+            f"CASE WHEN substr({t}, length({t}) - 1, 1) = '''' THEN '''' ELSE regexp_replace(substr({t}, length({t}) - 1, 1), {_NW}, '', 'g') END || "
+            f"regexp_replace(substr({t}, length({t}), 1), {_NW}, '', 'g') ELSE regexp_replace({t}, {_NW}, '', 'g') END")
+
+
+def _sql_positions(table: str, idc: str) -> str:
+    return f"""(SELECT {idc} AS doc_id, pos, token, clean,
+       CASE WHEN pos > 0 THEN c[pos] END AS prev, c[pos + 2] AS next FROM (
+         SELECT {idc}, w, c, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS token, unnest(c) AS clean FROM (
+           SELECT {idc}, string_split(text, ' ') AS w,
+                  list_transform(string_split(text, ' '), lambda x: {sql_clean_token('x')}) AS c FROM {table})))"""
+
+
+_SPELL_BASE = f"""pos AS {_sql_positions('documents', 'doc_id')},
+freq AS (SELECT clean, count(*) AS freq FROM pos WHERE clean <> '' GROUP BY clean),
+dict AS (SELECT DISTINCT clean AS word FROM {_sql_positions('benchmark', 'item_id')} WHERE regexp_matches(clean, '^[a-z]+\\z')),
+err AS (SELECT p.* FROM pos p LEFT JOIN freq f ON p.clean = f.clean
+        WHERE p.pos > 0 AND NOT list_contains({STOP_LIST}, p.token) AND NOT list_contains({STOP_LIST}, p.clean)
+          AND length(p.token) > 3 AND NOT regexp_matches(p.token, '^[A-Z]{{0,4}}\\W?s?\\z')
+          AND regexp_matches(p.clean, '^[a-z]+\\z') AND coalesce(f.freq, 0) <= 10
+          AND p.clean NOT IN (SELECT word FROM dict)),
+words AS (SELECT word FROM dict UNION SELECT clean FROM freq WHERE freq > 10 AND regexp_matches(clean, '^[a-z]+\\z')),
+cand AS (SELECT q.query, w.word, levenshtein(q.query, w.word) AS distance
+         FROM (SELECT DISTINCT clean AS query FROM err) q, words w
+         WHERE abs(length(q.query) - length(w.word)) <= 2 AND levenshtein(q.query, w.word) <= 2)"""
+
+_SPELL_CHOICE = f"""bg AS (SELECT prev AS a, clean AS b, count(*) AS bc FROM pos WHERE prev IS NOT NULL AND prev <> '' AND clean <> '' GROUP BY prev, clean),
+c AS (SELECT e.doc_id, e.pos, e.token, e.clean, cand.word, cand.distance,
+             coalesce(b1.bc, 0) + coalesce(b2.bc, 0) AS context,
+             CAST(substr(cand.word, 1, 1) = substr(e.clean, 1, 1) AS INTEGER) AS same_first, coalesce(f.freq, 0) AS wfreq
+      FROM err e JOIN cand ON e.clean = cand.query
+      LEFT JOIN bg b1 ON b1.a = e.prev AND b1.b = cand.word
+      LEFT JOIN bg b2 ON b2.a = cand.word AND b2.b = e.next
+      LEFT JOIN freq f ON f.clean = cand.word),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY same_first DESC, distance, context DESC, wfreq DESC, word) AS rk FROM c),
+best AS (SELECT doc_id, pos, token, CASE WHEN {sql_upper('token')} THEN upper(word) ELSE word END AS correction,
+                CAST(distance AS INTEGER) AS distance, context FROM r WHERE rk = 1)"""
+
+ORACLE["spelling_errors"] = f"WITH {_SPELL_BASE} SELECT doc_id, CAST(pos AS INTEGER) AS pos, token, clean FROM err"
+
+ORACLE["spelling_candidates"] = f"WITH {_SPELL_BASE} SELECT query, word, CAST(distance AS INTEGER) AS distance FROM cand"
+
+ORACLE["spelling_corrections"] = f"""WITH {_SPELL_BASE}, {_SPELL_CHOICE}
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, token, correction, distance, context FROM best"""
+
+ORACLE["spelling_report"] = f"""WITH {_SPELL_BASE}, {_SPELL_CHOICE},
+o AS (SELECT p.doc_id, p.pos, p.token, coalesce(b.correction, p.token) AS out FROM pos p
+      LEFT JOIN best b ON p.doc_id = b.doc_id AND p.pos = b.pos),
+g AS (SELECT doc_id, string_agg(CASE WHEN token <> '' THEN token END, ' ' ORDER BY pos) AS original,
+             string_agg(CASE WHEN out <> '' THEN out END, ' ' ORDER BY pos) AS corrected FROM o GROUP BY doc_id)
+SELECT doc_id, original, corrected FROM g WHERE original <> corrected
+"""

@@ -559,3 +559,50 @@ def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                    .select("sentiment", F.coalesce("n_actual", F.lit(0)).alias("n_actual"),
                            F.coalesce("n_predicted", F.lit(0)).alias("n_predicted"),
                            F.lit(round(acc, 6)).alias("accuracy")))
+
+
+# --------------------------------------------------------------- spelling ---
+
+def _spelling_base(spark, sf_dir):
+    from sift.operators import spelling as SP
+    pos = SP.positions(load(spark, sf_dir, "documents"))
+    freq = SP.corpus_frequency(pos)
+    bench = SP.positions(load(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"))
+    dictionary = bench.select(F.col("clean").alias("word")).filter(F.col("word").rlike(SP.ASCII_WORD)).distinct()
+    errors = SP.detect_errors(pos, freq, dictionary, 10)
+    frequent = freq.filter((F.col("freq") > 10) & F.col("clean").rlike(SP.ASCII_WORD)).select(F.col("clean").alias("word"))
+    words = dictionary.unionByName(frequent).distinct()
+    return SP, pos, freq, errors, words
+
+
+@query
+def spelling_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 + C2 + T13 + A14: detected spelling errors by position."""
+    _, _, _, errors, _ = _spelling_base(spark, sf_dir)
+    return errors.select("doc_id", "pos", "token", "clean")
+
+
+@query
+def spelling_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J11 + C3 + T23: dictionary/frequent words within edit distance 2 of each error word."""
+    SP, _, _, errors, words = _spelling_base(spark, sf_dir)
+    q = errors.select(F.col("clean").alias("query")).distinct()
+    return SP.candidate_pairs(q, words, 2).select("query", "word", "distance")
+
+
+@query
+def spelling_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4 + C5 + C6: chosen correction per error position (context = corpus bigrams)."""
+    SP, pos, freq, errors, words = _spelling_base(spark, sf_dir)
+    q = errors.select(F.col("clean").alias("query")).distinct()
+    cands = SP.candidate_pairs(q, words, 2)
+    return SP.choose_corrections(errors, cands, SP.bigram_counts(pos), freq)
+
+
+@query
+def spelling_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8: (original, corrected) text of every comment the corrector changed."""
+    SP, pos, freq, errors, words = _spelling_base(spark, sf_dir)
+    q = errors.select(F.col("clean").alias("query")).distinct()
+    corr = SP.choose_corrections(errors, SP.candidate_pairs(q, words, 2), SP.bigram_counts(pos), freq)
+    return SP.rewrite(pos, corr)
