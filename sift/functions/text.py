@@ -105,6 +105,7 @@ SENTENCE_END = r"([.!?])\s+"
 SENT_MARK = "\u0001"
 NUMERIC = r"^[0-9]+$"
 CAPITALISED = r"^[A-Z][a-z]+$"
+NOUN_SUFFIX = r"(tion|ment|ness|ity|ance|ence|ship|ism)$"
 # --- end of fixed patterns ---------------------------------------------------
 
 
@@ -159,7 +160,7 @@ def map_literal(mapping: dict) -> Column:
     return F.create_map(*items)
 
 
-def expand_tokens(tokens, mapping: dict) -> Column:
+def expand_tokens(tokens, mapping: dict, case_insensitive: bool = False) -> Column:
     """Replace whole tokens by their expansion and re-split.
 
     Intended semantics: only a token equal to a key is rewritten; words that
@@ -168,8 +169,9 @@ def expand_tokens(tokens, mapping: dict) -> Column:
     (a join on the long token table) instead of a map literal.
     """
     m = map_literal(mapping)
+    key = (lambda t: F.lower(t)) if case_insensitive else (lambda t: t)
     return F.flatten(F.transform(_c(tokens),
-                                 lambda t: F.split(F.coalesce(m[t], t), " ")))
+                                 lambda t: F.split(F.coalesce(m[key(t)], t), " ")))
 
 
 def strip_punct_tokens(tokens) -> Column:

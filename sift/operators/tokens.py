@@ -182,3 +182,49 @@ def representative_statistical(long: DataFrame, cluster_col: str = "cluster", id
     weights = weights.withColumn("_w", F.round("weight", 9))
     return top_n_per_group(weights, [cluster_col], [F.desc("_w"), F.asc(id_col)], n,
                            salt_cols=[id_col]).drop("_w")
+
+
+def lemma_table(vocab: DataFrame, lemma_expr) -> DataFrame:
+    """T10 vocabulary job: distinct tokens -> ``(token, lemma)`` (rules or a user table)."""
+    return vocab.select("token").distinct().withColumn("lemma", lemma_expr(F.col("token")))
+
+
+def lemmatize_with_table(long: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """Replace each token of the long table by its lemma (tokens without one stay)."""
+    j = long.join(lemmas.select("token", "lemma"), "token", "left")
+    return j.withColumn("token", F.coalesce("lemma", "token")).drop("lemma")
+
+
+def expand_with_table(long: DataFrame, expansions: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """T5/T6 for large dictionaries ``(key, expansion)``: join on the token, split the
+    expansion into words and renumber positions (``pos * 1000 + word index`` keeps order)."""
+    j = long.join(expansions.withColumnRenamed("key", "token"), "token", "left")
+    words = F.split(F.coalesce("expansion", "token"), " ")
+    e = j.select(id_col, "pos", F.posexplode(words).alias("_i", "_w"))
+    return e.select(id_col, (F.col("pos") * 1000 + F.col("_i")).alias("pos"), F.col("_w").alias("token"))
+
+
+def first_n_documents(df: DataFrame, n: int | None, id_col: str = "doc_id") -> DataFrame:
+    """L3: exactly the first ``n`` documents by id (None keeps all)."""
+    return df if n is None else df.orderBy(id_col).limit(n)
+
+
+def shuffled(df: DataFrame, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
+    """L4: a seeded, reproducible shuffle (order by a hash of id and seed)."""
+    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)))
+
+
+def noun_keywords(docs: DataFrame, is_noun, cluster_col: str = "cluster", id_col: str = "doc_id",
+                  tokens_col: str = "tokens", n: int = 10) -> DataFrame:
+    """E6 + J10 + M17: per cluster the nouns shared by the most document pairs.
+
+    The original counts, for every ordered pair of documents of a cluster
+    (self pairs included), the nouns in both sets; a noun held by ``df``
+    documents is counted ``df * df`` times.  So the score is ``df^2`` and no
+    pair join is needed.  Top ``n`` by score, ties by token.
+    """
+    sets = docs.select(cluster_col, id_col, F.explode(F.array_distinct(tokens_col)).alias("token")) \
+               .filter(is_noun(F.col("token")))
+    dfc = sets.groupBy(cluster_col, "token").agg(F.count(F.lit(1)).alias("df"))
+    dfc = dfc.withColumn("pairs", F.col("df") * F.col("df"))
+    return top_n_per_group(dfc, [cluster_col], [F.desc("pairs"), F.asc("token")], n, salt_cols=["token"])

@@ -514,3 +514,54 @@ g AS (SELECT doc_id, string_agg(CASE WHEN token <> '' THEN token END, ' ' ORDER
              string_agg(CASE WHEN out <> '' THEN out END, ' ' ORDER BY pos) AS corrected FROM o GROUP BY doc_id)
 SELECT doc_id, original, corrected FROM g WHERE original <> corrected
 """
+
+
+ORACLE["labelled_corpus"] = f"""
+WITH j AS (SELECT d.doc_id, CAST(l.quality - l.toxic AS VARCHAR) AS label, d.text FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+           WHERE l.quality IS NOT NULL AND l.toxic IS NOT NULL),
+t AS (SELECT doc_id, label, {sql_split_words(sql_strip_html('text'))} AS w FROM j),
+e AS (SELECT doc_id, label, flatten(list_transform(w, lambda t: string_split(coalesce({sql_map(R.CONTRACTIONS)}[lower(t)], t), ' '))) AS w FROM t),
+e2 AS (SELECT doc_id, label, flatten(list_transform(w, lambda t: string_split(coalesce({sql_map(R.ABBREVIATIONS)}[lower(t)], t), ' '))) AS w FROM e)
+SELECT doc_id, label, array_to_string(list_filter(w, lambda t: length(t) >= 2), ' ') AS text FROM e2
+"""
+
+ORACLE["rows_per_question"] = "SELECT lang AS question, count(*) AS n_comments FROM documents GROUP BY lang"
+
+ORACLE["first_comments"] = f"""
+WITH d AS (SELECT doc_id, {CLUSTER} AS cluster FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY doc_id) AS rank FROM d WHERE cluster <> -1)
+SELECT cluster, doc_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3
+"""
+
+
+def sql_lemma(t: str) -> str:
+    cases = []
+    for suf, rep in R.PLURAL_RULES:
+        cond = f"suffix({t}, {_q(suf)}) AND length({t}) > 3"
+        if suf == "s":
+            cond += " AND NOT (" + " OR ".join(f"suffix({t}, {_q(k)})" for k in R.PLURAL_KEEP) + ")"
+        cases.append(f"WHEN {cond} THEN substr({t}, 1, length({t}) - {len(suf)}) || {_q(rep)}")
+    return "CASE " + " ".join(cases) + f" ELSE {t} END"
+
+
+ORACLE["lemmatized_tokens"] = f"""
+WITH d AS ({_KW_DOCS}), l AS ({_KW_LONG})
+SELECT doc_id, string_agg({sql_lemma('token')}, ' ' ORDER BY pos) AS lemmas FROM l GROUP BY doc_id
+"""
+
+ORACLE["noun_keywords"] = f"""
+WITH d AS ({_KW_DOCS}),
+s AS (SELECT DISTINCT cluster, doc_id, unnest(tokens) AS token FROM d),
+c AS (SELECT cluster, token, count(*) AS df FROM s WHERE regexp_matches(token, '(tion|ment|ness|ity|ance|ence|ship|ism)$') GROUP BY cluster, token),
+r AS (SELECT cluster, token, df * df AS pairs, row_number() OVER (PARTITION BY cluster ORDER BY df * df DESC, token) AS rank FROM c)
+SELECT cluster, token, pairs, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10
+"""
+
+ORACLE["keyword_pivot"] = f"""
+WITH d AS (SELECT doc_id, lang AS question, {CLUSTER} AS cluster, {sql_keyword_tokens('text')} AS tokens FROM documents),
+t AS (SELECT question, cluster, unnest(tokens) AS token FROM d),
+c AS (SELECT question, cluster, token, count(*) AS cnt FROM t GROUP BY question, cluster, token),
+r AS (SELECT *, row_number() OVER (PARTITION BY question, cluster ORDER BY cnt DESC, token) AS rk FROM c),
+lab AS (SELECT question, cluster, string_agg(token, ' ' ORDER BY rk) AS label FROM r WHERE rk <= 3 GROUP BY question, cluster)
+PIVOT lab ON cluster USING first(label) GROUP BY question
+"""

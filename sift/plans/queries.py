@@ -606,3 +606,63 @@ def spelling_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = errors.select(F.col("clean").alias("query")).distinct()
     corr = SP.choose_corrections(errors, SP.candidate_pairs(q, words, 2), SP.bigram_counts(pos), freq)
     return SP.rewrite(pos, corr)
+
+
+# ------------------------------------------------------ more text operators ---
+
+@query
+def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T31 + F14 + L3: labelled comments (label = quality - toxic, nulls dropped)
+    cleaned with HTML stripping, whole-token expansions (case-insensitive) and
+    single-character removal; every row is cleaned (no early return)."""
+    from sift.functions import resources as R
+    d = load(spark, sf_dir, "documents")
+    lab = load(spark, sf_dir, "labels").select("doc_id", (F.col("quality") - F.col("toxic")).cast("string").alias("label"))
+    j = TK.first_n_documents(d.join(lab, "doc_id").filter(F.col("label").isNotNull()), None)
+    toks = T.split_words(T.strip_html("text"))
+    toks = T.expand_tokens(T.expand_tokens(toks, R.CONTRACTIONS, True), R.ABBREVIATIONS, True)
+    return j.select("doc_id", "label", F.array_join(T.drop_short_tokens(toks, 2), " ").alias("text"))
+
+
+@query
+def rows_per_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments per question (language stands in for the question)."""
+    return load(spark, sf_dir, "documents").groupBy(F.col("lang").alias("question")) \
+                                           .agg(F.count(F.lit(1)).alias("n_comments"))
+
+
+@query
+def first_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W5 + F12: first three comments per cluster by id (noise cluster -1 dropped)."""
+    from sift.operators.topn import top_n_per_group
+    d = load(spark, sf_dir, "documents").select("doc_id", cluster_of_source().alias("cluster"))
+    d = d.filter(F.col("cluster") != -1)
+    return top_n_per_group(d, ["cluster"], [F.asc("doc_id")], 3).select("cluster", "doc_id", "rank")
+
+
+@query
+def lemmatized_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plural rules applied once per distinct token, joined back, regrouped per comment."""
+    docs, long = _keyword_long(spark, sf_dir)
+    lem = TK.lemma_table(long, lambda t: T.lemmatize_rules(F.array(t))[0])
+    out = TK.regroup_tokens(TK.lemmatize_with_table(long, lem), "doc_id", "lemmas")
+    return out.select("doc_id", F.array_join("lemmas", " ").alias("lemmas"))
+
+
+@query
+def noun_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M17 + E6 + J10: per cluster the ten nouns (by suffix rule) shared by most comment pairs."""
+    docs, _ = _keyword_long(spark, sf_dir, with_cluster=True)
+    r = TK.noun_keywords(docs, lambda t: t.rlike(T.NOUN_SUFFIX), "cluster", "doc_id", "tokens", 10)
+    return r.select("cluster", "token", "pairs", "rank")
+
+
+@query
+def keyword_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-3 keyword label per (question, cluster), clusters pivoted into columns."""
+    d = load(spark, sf_dir, "documents")
+    docs = d.select("doc_id", F.col("lang").alias("question"), cluster_of_source().alias("cluster"),
+                    T.keyword_tokens("text").alias("tokens"))
+    long = TK.token_table(docs, keep=["question", "cluster"])
+    lab = TK.keyword_labels(long, ["question", "cluster"], 3)
+    return lab.groupBy("question").pivot("cluster").agg(F.first("label"))
