@@ -44,24 +44,37 @@ def unit(a) -> Column:
     return F.transform(a, lambda x: x / n)
 
 
-def dedupe_vectors(points: DataFrame, id_col: str, vec_col: str, normalize: bool = False):
-    """Collapse exact copies: returns ``(reps, mapping)``.
+def dedupe_vectors(points: DataFrame, id_col: str, vec_col: str, normalize: bool = False,
+                   group_col: str | None = None):
+    """Collapse exact copies (within a group): returns ``(reps, mapping)``.
 
-    ``reps``: ``(id, v array<double>, mult)`` with ``id`` = smallest member id;
+    ``reps``: ``(g, id, v array<double>, mult)`` with ``id`` = smallest member id;
     ``mapping``: ``(orig_id, id)``.  Grouping by the vector is a hash
     aggregate with map-side combine, so a hot copy group never reaches one
     task whole; the mapping join is a fact-to-dimension join on the vector,
     which AQE splits when one vector is hot.
     """
     v = F.col(vec_col).cast("array<double>")
-    pts = points.select(F.col(id_col).alias("orig_id"), (unit(v) if normalize else v).alias("v"))
-    reps = pts.groupBy("v").agg(F.min("orig_id").alias("id"), F.count(F.lit(1)).alias("mult"))
-    mapping = pts.join(reps.select("v", "id"), "v").select("orig_id", "id")
-    return reps.select("id", "v", "mult"), mapping
+    g = F.col(group_col) if group_col else F.lit(0)
+    pts = points.select(g.alias("g"), F.col(id_col).alias("orig_id"), (unit(v) if normalize else v).alias("v"))
+    reps = pts.groupBy("g", "v").agg(F.min("orig_id").alias("id"), F.count(F.lit(1)).alias("mult"))
+    mapping = pts.join(reps.select("g", "v", "id"), ["g", "v"]).select("orig_id", "id")
+    return reps.select("g", "id", "v", "mult"), mapping
+
+
+def _group_map(values: dict, p: int, default: float) -> Column:
+    """Inline ``group -> array of p doubles`` (bounded: groups x pivots values)."""
+    items = []
+    for gk in sorted(values, key=lambda x: (x is None, str(x))):
+        arr = values[gk]
+        items += [F.lit(gk), F.array(*[F.lit(float(x)) for x in arr])]
+    if not items:
+        return F.create_map(F.lit(0), F.array(*[F.lit(default)] * p))
+    return F.create_map(*items)
 
 
 class PivotCells:
-    """Assignment of points ``(id, v, mult)`` to pivot cells and per-cell statistics."""
+    """Assignment of points ``(g, id, v, mult)`` to pivot cells and per-(group, cell) statistics."""
 
     def __init__(self, reps: DataFrame, k_hint: int = 20, n_pivots: int | None = None, seed: int = 42):
         n = reps.count()
@@ -74,55 +87,53 @@ class PivotCells:
         a = reps.withColumn("pd", F.transform(piv, lambda q: euclid(F.col("v"), q)))
         a = a.withColumn("r", F.array_min("pd")).withColumn("cell", F.array_position("pd", F.col("r")) - 1)
         self.points = cut_lineage(a)
-        stats = self.points.groupBy("cell").agg(F.max("r").alias("U"), F.sum("mult").alias("cnt")).collect()
-        self.U = [-BIG] * self.p  # marks an empty cell: never a candidate
+        stats = self.points.groupBy("g", "cell").agg(F.max("r").alias("U")).collect()
+        if len(stats) * self.p > MAX_INLINE_VALUES:
+            raise ValueError("too many (group, pivot) cells to inline")
+        u = {}
         for s in stats:
-            self.U[int(s["cell"])] = float(s["U"])
+            u.setdefault(s["g"], [-BIG] * self.p)[int(s["cell"])] = float(s["U"])  # -BIG: empty cell
+        self.U = u
         self._kth = {}
 
-    def _u_lit(self) -> Column:
-        return F.array(*[F.lit(u) for u in self.U])
-
     def range_candidates(self, eps_col: Column) -> Column:
-        """Cell ids j with ``d(q, p_j) - U_j <= eps`` (U = -inf for empty cells: never)."""
-        u = self._u_lit()
+        """Cell ids j of the point's group with ``d(q, p_j) - U_j <= eps``; empty cells never."""
+        u = _group_map(self.U, self.p, -BIG)[F.col("g")]
         return F.filter(F.sequence(F.lit(0), F.lit(self.p - 1)),
                         lambda j: (u[j] > F.lit(-BIG)) & (F.col("pd")[j] - u[j] <= eps_col + F.lit(SLACK)))
 
     def knn_bound(self, k: int) -> Column:
-        """theta_q = min_j d(q,p_j) + R_j over cells with k+1 points within R_j of the pivot."""
+        """theta_q = min_j d(q,p_j) + R_j over cells of q's group holding k+1 points within R_j."""
         if k not in self._kth:
-            top = top_n_per_group(self.points.select("cell", "id", "r"), ["cell"], [F.asc("r"), F.asc("id")], k + 1)
-            rk = top.groupBy("cell").agg(F.max("r").alias("R"), F.count(F.lit(1)).alias("c")) \
+            top = top_n_per_group(self.points.select("g", "cell", "id", "r"), ["g", "cell"],
+                                  [F.asc("r"), F.asc("id")], k + 1)
+            rk = top.groupBy("g", "cell").agg(F.max("r").alias("R"), F.count(F.lit(1)).alias("c")) \
                     .filter(F.col("c") == k + 1).collect()
-            arr = [BIG] * self.p
+            arr = {gk: [BIG] * self.p for gk in self.U}
             for s in rk:
-                arr[int(s["cell"])] = float(s["R"])
+                arr[s["g"]][int(s["cell"])] = float(s["R"])
             self._kth[k] = arr
-        rarr = F.array(*[F.lit(x) for x in self._kth[k]])
+        rarr = _group_map(self._kth[k], self.p, BIG)[F.col("g")]
         return F.array_min(F.zip_with(F.col("pd"), rarr, lambda d, r: d + r))
 
     def pairs_within(self, radius: Column) -> DataFrame:
-        """All ``(q, s, dist, q_mult, s_mult)`` with ``q != s`` and ``dist <= radius(q)``."""
-        req = self._requests(radius)
-        mem = self.points.select(F.col("id").alias("s"), F.col("v").alias("sv"), F.col("mult").alias("s_mult"), "cell")
-        pairs = req.join(mem, "cell").filter(F.col("q") != F.col("s"))
-        pairs = pairs.withColumn("dist", euclid("qv", "sv")).filter(F.col("dist") <= F.col("_rad") + F.lit(SLACK))
-        return pairs.select("q", "s", "dist", "q_mult", "s_mult", "qv", "sv")
-
-    def _requests(self, radius: Column) -> DataFrame:
+        """All ``(g, q, s, dist, q_mult, s_mult)`` with ``q != s`` in one group and ``dist <= radius(q)``."""
         base = self.points.withColumn("_rad", radius)
-        return base.select(F.col("id").alias("q"), F.col("v").alias("qv"), F.col("mult").alias("q_mult"), "_rad",
-                           F.explode(self.range_candidates(F.col("_rad"))).alias("cell"))
+        req = base.select("g", F.col("id").alias("q"), F.col("v").alias("qv"), F.col("mult").alias("q_mult"), "_rad",
+                          F.explode(self.range_candidates(F.col("_rad"))).alias("cell"))
+        mem = self.points.select("g", F.col("id").alias("s"), F.col("v").alias("sv"), F.col("mult").alias("s_mult"),
+                                 "cell")
+        pairs = req.join(mem, ["g", "cell"]).filter(F.col("q") != F.col("s"))
+        pairs = pairs.withColumn("dist", euclid("qv", "sv")).filter(F.col("dist") <= F.col("_rad") + F.lit(SLACK))
+        return pairs.select("g", "q", "s", "dist", "q_mult", "s_mult", "qv", "sv")
 
 
 def knn(points: DataFrame, id_col: str, vec_col: str, k: int, normalize: bool = False,
         n_pivots: int | None = None, seed: int = 42) -> DataFrame:
     """Exact k nearest neighbours (Euclidean; cosine order with ``normalize``).
 
-    Returns ``(q, s, dist, rank)`` over original ids; ties by neighbour id.
-    Distinct vectors only: copies of a point are reported through
-    :func:`local_outlier_factor`'s multiplicities, not as separate rows.
+    Returns ``(q, s, dist, rank)``; ties by neighbour id.  Exact copies are
+    one row (see :func:`local_outlier_factor` for copy-aware neighbourhoods).
     """
     reps, _ = dedupe_vectors(points, id_col, vec_col, normalize)
     cells = PivotCells(reps, k, n_pivots, seed)
@@ -134,15 +145,17 @@ def knn(points: DataFrame, id_col: str, vec_col: str, k: int, normalize: bool =
 
 def local_outlier_factor(points: DataFrame, id_col: str, vec_col: str, k: int = 20,
                          contamination: float = 0.15, normalize: bool = False,
-                         n_pivots: int | None = None, seed: int = 42) -> DataFrame:
-    """M6 + W9: LOF with exactly ``k`` neighbours per point (self excluded, copies
-    included), ``lrd = 1 / (mean reach-dist + 1e-10)``, ``lof = mean lrd(nb) / lrd``;
-    a point is an outlier when ``-lof`` is below the linearly interpolated
-    ``contamination`` percentile.  Returns ``(id, lof, is_inlier)`` for every input row.
+                         n_pivots: int | None = None, seed: int = 42, group_col: str | None = None) -> DataFrame:
+    """M6 + W9 (+ M7 with ``group_col``): LOF with exactly ``k`` neighbours per
+    point (self excluded, copies included), ``lrd = 1 / (mean reach-dist + 1e-10)``,
+    ``lof = mean lrd(nb) / lrd``; a point is an outlier when ``-lof`` is below the
+    linearly interpolated ``contamination`` percentile (of its group).
+    Returns ``(id, lof, is_inlier)`` for every input row.
     """
-    reps, mapping = dedupe_vectors(points, id_col, vec_col, normalize)
-    n = points.count()
-    k = max(1, min(k, n - 1))
+    reps, mapping = dedupe_vectors(points, id_col, vec_col, normalize, group_col)
+    sizes = reps.groupBy("g").agg(F.sum("mult").alias("n")).collect()
+    n_min = min((int(r["n"]) for r in sizes), default=0)
+    k = max(1, min(k, n_min - 1))
     cells = PivotCells(reps, k, n_pivots, seed)
     pairs = cells.pairs_within(cells.knn_bound(k)).select("q", "s", "dist", "s_mult")
     # candidate neighbours: best k distinct others, plus the copies of q itself at distance 0
@@ -164,11 +177,20 @@ def local_outlier_factor(points: DataFrame, id_col: str, vec_col: str, k: int =
     ratio = nb.join(lrd.withColumnRenamed("q", "s").withColumnRenamed("lrd", "lrd_s"), "s") \
               .groupBy("q").agg((F.sum(F.col("w") * F.col("lrd_s")) / k).alias("mean_lrd"))
     lof = ratio.join(lrd, "q").select(F.col("q").alias("id"), (F.col("mean_lrd") / F.col("lrd")).alias("lof"))
-    lof = lof.join(reps.select("id", "mult"), "id")
-    cut = lof.agg(F.percentile(-F.col("lof"), contamination, F.col("mult")).alias("c")).first()["c"]
-    res = lof.withColumn("is_inlier", -F.col("lof") >= F.lit(cut))
-    return mapping.join(res, "id").select(F.col("orig_id").alias(id_col), "lof", "is_inlier")
+    lof = lof.join(reps.select("g", "id", "mult"), "id")
+    cuts = lof.groupBy("g").agg(F.percentile(-F.col("lof"), contamination, F.col("mult")).alias("c"))
+    res = lof.join(cuts, "g").withColumn("is_inlier", -F.col("lof") >= F.col("c"))
+    out = mapping.join(res, "id").select(F.col("orig_id").alias(id_col), "lof", "is_inlier")
+    return out
 
 
 def range_edges(cells: PivotCells, eps: float) -> DataFrame:
     return cells.pairs_within(F.lit(float(eps)))
+
+
+def local_outlier_factor_by_group(points: DataFrame, group_col: str, id_col: str, vec_col: str, k: int = 20,
+                                  contamination: float = 0.15, normalize: bool = False) -> DataFrame:
+    """M7: LOF inside every group (e.g. per question) as one job: the group key is
+    part of the copy key, the cell key and the percentile cut."""
+    lof = local_outlier_factor(points, id_col, vec_col, k, contamination, normalize, group_col=group_col)
+    return lof.join(points.select(id_col, group_col), id_col)

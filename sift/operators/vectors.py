@@ -58,7 +58,9 @@ def round_array(a, places: int = 6) -> Column:
 def array_string(a, places: int = 6) -> Column:
     """Render a vector as 'v1 v2 ...' with fixed decimals (for SQL comparison)."""
     fmt = f"%.{places}f"
-    return F.array_join(F.transform(_c(a), lambda x: F.format_string(fmt, x.cast("double"))), " ")
+    # round first and add +0.0 so that a tiny negative value and -0.0 print as 0.000000
+    return F.array_join(F.transform(_c(a), lambda x: F.format_string(fmt, F.round(x.cast("double"), places) + 0.0)),
+                        " ")
 
 
 # -------------------------------------------------------- group statistics ---
@@ -220,3 +222,42 @@ def cosmul_titles(token_vecs: DataFrame, keywords: DataFrame, cluster_col: str,
     e = e.withColumn("_s", F.round(F.log("score"), 9))
     return top_n_per_group(e.select(cluster_col, "token", "score", "_s"), [cluster_col],
                            [F.desc("_s"), F.asc("token")], topn, salt_cols=["token"]).drop("_s")
+
+
+def vocabulary_mean(token_vecs: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Mean vector over the words of ``vocab`` that have a vector (one row)."""
+    v = token_vecs.join(vocab.select("token").distinct(), "token", "left_semi")
+    return v.agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("vec").cast("array<double>")))).alias("mean"),
+                 F.count(F.lit(1)).alias("n_words"))
+
+
+def sentence_vectors(long: DataFrame, word_list: DataFrame, token_vecs: DataFrame,
+                     key_cols: list[str], min_tokens: int = 2) -> DataFrame:
+    """J6 + A8 + F13: mean vector of the listed words of a sentence; sentences with
+    fewer than ``min_tokens`` valid words get no vector and are dropped."""
+    valid = long.join(word_list.select("token").distinct(), "token", "left_semi").join(token_vecs, "token")
+    g = valid.groupBy(*key_cols).agg(
+        F.count(F.lit(1)).alias("n_valid"),
+        vector_to_array(Summarizer.mean(array_to_vector(F.col("vec").cast("array<double>")))).alias("embedding"))
+    return g.filter(F.col("n_valid") >= min_tokens)
+
+
+def train_word2vec(docs: DataFrame, tokens_col: str = "tokens", vector_size: int = 16, min_count: int = 5,
+                   max_iter: int = 1, seed: int = 42, partitions: int = 8) -> DataFrame:
+    """M1: token vectors learned on the corpus with Spark ML Word2Vec -> ``(token, vec)``."""
+    from pyspark.ml.feature import Word2Vec
+    w2v = Word2Vec(vectorSize=vector_size, minCount=min_count, maxIter=max_iter, seed=seed,
+                   numPartitions=partitions, inputCol=tokens_col, outputCol="_w2v")
+    model = w2v.fit(docs.select(tokens_col))
+    return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vec"))
+
+
+def batch_scorer(make_predict_fn, vector_size: int, batch_size: int = 256):
+    """M2 + D3: Arrow-batched model scoring surface (``predict_batch_udf``).
+
+    ``make_predict_fn()`` runs once per Python worker and returns a function
+    from a NumPy batch of inputs to a ``(batch, vector_size)`` array.
+    """
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, FloatType
+    return predict_batch_udf(make_predict_fn, return_type=ArrayType(FloatType()), batch_size=batch_size)

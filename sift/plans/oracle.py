@@ -253,14 +253,14 @@ SELECT cluster, doc_id, round(weight, 6) AS weight, CAST(rank AS INTEGER) AS ran
 
 
 def sql_vec_string(expr_list: str) -> str:
-    return f"array_to_string(list_transform({expr_list}, lambda x: printf('%.6f', x)), ' ')"
+    return f"array_to_string(list_transform({expr_list}, lambda x: printf('%.6f', round(x, 6) + 0.0)), ' ')"
 
 
 _EMB_LONG = "SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings"
 
 ORACLE["cluster_centroids"] = f"""
 WITH e AS ({_EMB_LONG}), a AS (SELECT label, k, avg(x) AS m FROM e GROUP BY label, k)
-SELECT label, string_agg(printf('%.6f', m), ' ' ORDER BY k) AS centroid FROM a GROUP BY label
+SELECT label, string_agg(printf('%.6f', round(m, 6) + 0.0), ' ' ORDER BY k) AS centroid FROM a GROUP BY label
 """
 
 
@@ -279,7 +279,7 @@ SELECT label, vec_id, round(dist, 6) AS dist, CAST(rank AS INTEGER) AS rank FROM
 
 ORACLE["minmax_scale"] = f"""
 WITH e AS ({_EMB_LONG}), mm AS (SELECT k, min(x) AS lo, max(x) AS hi FROM e GROUP BY k)
-SELECT vec_id, string_agg(printf('%.6f', CASE WHEN hi = lo THEN 0.0 ELSE (x - lo) / (hi - lo) END), ' ' ORDER BY e.k) AS scaled
+SELECT vec_id, string_agg(printf('%.6f', round(CASE WHEN hi = lo THEN 0.0 ELSE (x - lo) / (hi - lo) END, 6) + 0.0), ' ' ORDER BY e.k) AS scaled
 FROM e JOIN mm ON e.k = mm.k GROUP BY vec_id
 """
 
@@ -308,7 +308,7 @@ j AS (SELECT m.doc_id, m.m, m.m * (0.001 / (0.001 + m.m * idf.idf)) AS w, tv.vec
 e AS (SELECT doc_id, w, unnest(vec) AS x, generate_subscripts(vec, 1) AS k FROM j),
 s AS (SELECT doc_id, k, sum(w * x) AS sx FROM e GROUP BY doc_id, k),
 nn AS (SELECT doc_id, sum(m) AS n FROM j GROUP BY doc_id)
-SELECT s.doc_id, string_agg(printf('%.6f', sx / n), ' ' ORDER BY k) AS embedding
+SELECT s.doc_id, string_agg(printf('%.6f', round(sx / n, 6) + 0.0), ' ' ORDER BY k) AS embedding
 FROM s JOIN nn ON s.doc_id = nn.doc_id GROUP BY s.doc_id
 """
 
@@ -565,3 +565,43 @@ r AS (SELECT *, row_number() OVER (PARTITION BY question, cluster ORDER BY cnt D
 lab AS (SELECT question, cluster, string_agg(token, ' ' ORDER BY rk) AS label FROM r WHERE rk <= 3 GROUP BY question, cluster)
 PIVOT lab ON cluster USING first(label) GROUP BY question
 """
+
+
+_WL = "wl AS (SELECT DISTINCT token FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS token FROM benchmark) WHERE token <> '')"
+
+ORACLE["sentence_vectors"] = f"""
+WITH s AS (SELECT doc_id, {sql_sentences("replace(lower(text), '•', '')")} AS s FROM documents),
+ss AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS sent_no, unnest(s) AS sentence FROM s),
+l AS (SELECT doc_id, sent_no, unnest(string_split_regex(sentence, '[^a-z]+')) AS token FROM ss),
+{_WL},
+tv AS (SELECT token, {_TOY_VEC} AS vec FROM wl),
+v AS (SELECT l.doc_id, l.sent_no, tv.vec FROM l JOIN tv ON l.token = tv.token),
+e AS (SELECT doc_id, sent_no, unnest(vec) AS x, generate_subscripts(vec, 1) AS k FROM v),
+m AS (SELECT doc_id, sent_no, k, avg(x) AS x, count(*) AS n FROM e GROUP BY doc_id, sent_no, k)
+SELECT doc_id, CAST(sent_no AS INTEGER) AS sent_no, max(n) AS n_valid, string_agg(printf('%.6f', round(x, 6) + 0.0), ' ' ORDER BY k) AS embedding
+FROM m GROUP BY doc_id, sent_no HAVING max(n) >= 2
+"""
+
+ORACLE["vocabulary_mean_vector"] = f"""
+WITH d AS ({_KW_DOCS}), l AS ({_KW_LONG}), {_WL},
+tv AS (SELECT token, {_TOY_VEC} AS vec FROM (SELECT DISTINCT token FROM l) WHERE token IN (SELECT token FROM wl)),
+e AS (SELECT unnest(vec) AS x, generate_subscripts(vec, 1) AS k FROM tv),
+m AS (SELECT k, avg(x) AS x FROM e GROUP BY k)
+SELECT (SELECT count(*) FROM tv) AS n_words, string_agg(printf('%.6f', round(x, 6) + 0.0), ' ' ORDER BY k) AS mean FROM m
+"""
+
+ORACLE["lof_per_question"] = f"""
+WITH {_VEC_BASE},
+p AS (SELECT dv.doc_id, doc.lang AS question, dv.v FROM dv JOIN documents doc ON dv.doc_id = doc.doc_id),
+pr AS (SELECT a.question, a.doc_id AS q, b.doc_id AS s,
+       sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist
+       FROM p a JOIN p b ON a.question = b.question AND a.doc_id <> b.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(dist, 12), s) AS rk FROM pr),
+nn AS (SELECT question, q, s, dist FROM r WHERE rk <= 20),
+kd AS (SELECT q, max(dist) AS kdist FROM nn GROUP BY q),
+lrd AS (SELECT nn.q, 1.0 / (sum(greatest(nn.dist, kd.kdist)) / 20 + 1e-10) AS lrd FROM nn JOIN kd ON nn.s = kd.q GROUP BY nn.q),
+ml AS (SELECT nn.question, nn.q, sum(l.lrd) / 20 AS mean_lrd FROM nn JOIN lrd l ON nn.s = l.q GROUP BY nn.question, nn.q),
+lof AS (SELECT ml.question, ml.q, ml.mean_lrd / lrd.lrd AS lof FROM ml JOIN lrd ON ml.q = lrd.q),
+cut AS (SELECT question, quantile_cont(-lof, 0.15) AS c FROM lof GROUP BY question)
+SELECT lof.question, q AS doc_id, round(lof, 6) AS lof, (-lof >= cut.c) AS is_inlier FROM lof JOIN cut ON lof.question = cut.question
+"""

@@ -666,3 +666,62 @@ def keyword_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = TK.token_table(docs, keep=["question", "cluster"])
     lab = TK.keyword_labels(long, ["question", "cluster"], 3)
     return lab.groupBy("question").pivot("cluster").agg(F.first("label"))
+
+
+@query
+def sentence_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T15 + J6 + A8 + F13: per sentence the mean vector of its words found in the
+    word list (benchmark vocabulary); sentences with fewer than 2 such words dropped."""
+    from sift.operators import vectors as V
+    d = load(spark, sf_dir, "documents")
+    s = d.select("doc_id", F.posexplode(T.split_sentences(T.remove_chars(F.lower("text"), "•"))).alias("sent_no", "sentence"))
+    long = s.select("doc_id", "sent_no", F.explode(F.split("sentence", "[^a-z]+")).alias("token")).filter(F.col("token") != "")
+    b = load(spark, sf_dir, "benchmark")
+    wl = b.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("token")).filter(F.col("token") != "").distinct()
+    tv = V.toy_token_vectors(wl, 8)
+    sv = V.sentence_vectors(long, wl, tv, ["doc_id", "sent_no"], 2)
+    return sv.select("doc_id", "sent_no", "n_valid", V.array_string("embedding").alias("embedding"))
+
+
+@query
+def vocabulary_mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean stand-in vector over the corpus words that are in the benchmark word list."""
+    from sift.operators import vectors as V
+    _, long = _keyword_long(spark, sf_dir)
+    tv = V.toy_token_vectors(long.select("token"), 8)
+    b = load(spark, sf_dir, "benchmark")
+    wl = b.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("token")).filter(F.col("token") != "")
+    m = V.vocabulary_mean(tv, wl)
+    return m.select("n_words", V.array_string("mean").alias("mean"))
+
+
+@query
+def lof_per_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: LOF (k=20, 15 %) of the mean comment vectors inside each question (language)."""
+    from sift.operators.neighbors import local_outlier_factor_by_group
+    _, _, _, dv = _doc_vectors(spark, sf_dir)
+    lang = load(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("question"))
+    pts = dv.join(lang, "doc_id").select("doc_id", "question", "embedding")
+    r = local_outlier_factor_by_group(pts, "question", "doc_id", "embedding", 20, 0.15)
+    return r.select("question", "doc_id", F.round("lof", 6).alias("lof"), "is_inlier")
+
+
+@query
+def simple_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-by-word correction of every sentence (frequency-ranked, edit distance <= 2)."""
+    from sift.operators import spelling as SP
+    SPm, pos, freq, errors, known = _spelling_base(spark, sf_dir)
+    d = load(spark, sf_dir, "documents")
+    s = d.select("doc_id", F.posexplode(T.split_sentences("text")).alias("sent_no", "sentence"))
+    w = s.select("doc_id", "sent_no", F.posexplode(F.split(F.lower("sentence"), "[^a-z]+")).alias("pos", "word")) \
+         .filter(F.col("word") != "")
+    c = SP.simple_corrections(w, known, freq, 2)
+    return c.select("doc_id", "sent_no", F.array_join("corrected", " ").alias("corrected"))
+
+
+@query
+def word2vec_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: 16-d token vectors trained on the cleaned comments (Spark ML Word2Vec)."""
+    from sift.operators import vectors as V
+    docs, _ = _keyword_long(spark, sf_dir)
+    return V.train_word2vec(docs, "tokens", 16, 5, 1, 42)
