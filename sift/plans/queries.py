@@ -725,3 +725,13 @@ def word2vec_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sift.operators import vectors as V
     docs, _ = _keyword_long(spark, sf_dir)
     return V.train_word2vec(docs, "tokens", 16, 5, 1, 42)
+
+
+@query
+def stemmed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Porter stems computed once per distinct token, joined back, regrouped per comment."""
+    from sift.functions.stem import stem_column
+    _, long = _keyword_long(spark, sf_dir)
+    stems = stem_column(long.select("token").distinct(), "token", "lemma")
+    out = TK.regroup_tokens(TK.lemmatize_with_table(long, stems), "doc_id", "stems")
+    return out.select("doc_id", F.array_join("stems", " ").alias("stems"))
