@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sift.operators.topn import top_n_per_group
-from sift.session import cut_lineage
+from sift.session import cut_lineage, spread
 
 MAX_PIVOTS = 4096
 MAX_INLINE_VALUES = 2_000_000
@@ -123,7 +123,8 @@ class PivotCells:
                           F.explode(self.range_candidates(F.col("_rad"))).alias("cell"))
         mem = self.points.select("g", F.col("id").alias("s"), F.col("v").alias("sv"), F.col("mult").alias("s_mult"),
                                  "cell")
-        pairs = req.join(mem, ["g", "cell"]).filter(F.col("q") != F.col("s"))
+        # distance work is far larger than the inputs: keep it spread over the cluster
+        pairs = spread(req, "q").join(mem, ["g", "cell"]).filter(F.col("q") != F.col("s"))
         pairs = pairs.withColumn("dist", euclid("qv", "sv")).filter(F.col("dist") <= F.col("_rad") + F.lit(SLACK))
         return pairs.select("g", "q", "s", "dist", "q_mult", "s_mult", "qv", "sv")
 

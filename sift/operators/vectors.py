@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sift.operators.topn import top_n_per_group
+from sift.session import spread
 
 # Upper bound for a table that is inlined into an expression (rows x dims).
 MAX_INLINE_VALUES = 2_000_000
@@ -181,7 +182,7 @@ def nearest_token_per_centroid(token_vecs: DataFrame, centroids: DataFrame, clus
         part = rows[i:i + chunk]
         lits = F.array(*[F.struct(F.lit(r[0]).alias("c"),
                                   F.array(*[F.lit(float(x)) for x in r[1]]).alias("v")) for r in part])
-        parts.append(token_vecs.select(
+        parts.append(spread(token_vecs, "token").select(
             "token", F.explode(F.transform(lits, lambda s: F.struct(
                 s["c"].alias(cluster_col), cosine_distance(F.col("vec"), s["v"]).alias("dist")))).alias("x"))
             .select("token", "x.*"))
@@ -212,7 +213,7 @@ def cosmul_titles(token_vecs: DataFrame, keywords: DataFrame, cluster_col: str,
                    for r in rows])
     logs = F.transform(kv, lambda s: F.struct(
         s["c"].alias("c"), F.log((F.lit(1.0) + (F.lit(1.0) - cosine_distance(F.col("vec"), s["v"]))) / 2).alias("l")))
-    t = token_vecs.filter(~F.col("token").isin(excluded)).select("token", logs.alias("logs"))
+    t = spread(token_vecs.filter(~F.col("token").isin(excluded)), "token").select("token", logs.alias("logs"))
     t = t.withColumn("_total", F.aggregate("logs", F.lit(0.0), lambda acc, s: acc + s["l"]))
     per_c = F.transform(F.array(*[F.lit(c) for c in clusters]), lambda c: F.struct(
         c.alias(cluster_col),

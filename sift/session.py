@@ -59,3 +59,19 @@ def cut_lineage(df):
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Task count for compute-heavy stages: the larger of shuffle partitions and cores."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(shuffle, spark.sparkContext.defaultParallelism)
+
+
+def spread(df, *cols):
+    """Explicit hash repartition before a step whose output or CPU cost is much
+    larger than its input (exploding joins, per-row vector math).
+
+    AQE coalesces shuffles by input bytes, which would run such a step in one
+    task when its input is small; an explicit partition count is kept.
+    """
+    return df.repartition(parallelism(df.sparkSession), *cols)
