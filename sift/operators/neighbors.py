@@ -179,8 +179,11 @@ def local_outlier_factor(points: DataFrame, id_col: str, vec_col: str, k: int =
               .groupBy("q").agg((F.sum(F.col("w") * F.col("lrd_s")) / k).alias("mean_lrd"))
     lof = ratio.join(lrd, "q").select(F.col("q").alias("id"), (F.col("mean_lrd") / F.col("lrd")).alias("lof"))
     lof = lof.join(reps.select("g", "id", "mult"), "id")
-    cuts = lof.groupBy("g").agg(F.percentile(-F.col("lof"), contamination, F.col("mult")).alias("c"))
-    res = lof.join(cuts, "g").withColumn("is_inlier", -F.col("lof") >= F.col("c"))
+    lof = cut_lineage(lof.withColumn("neg", -F.col("lof")))
+    # exact, distributed quantile (no group is buffered in one task)
+    from sift.operators.stats import group_quantile
+    cuts = group_quantile(lof, "g", "neg", contamination, "mult").withColumnRenamed("q", "c")
+    res = lof.join(cuts, "g").withColumn("is_inlier", F.col("neg") >= F.col("c")).drop("neg")
     out = mapping.join(res, "id").select(F.col("orig_id").alias(id_col), "lof", "is_inlier")
     return out
 

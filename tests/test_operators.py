@@ -99,3 +99,19 @@ def test_batch_scorer(spark):
     df = spark.range(10).select(F.col("id").cast("float").alias("x"))
     got = [list(r.v) for r in df.select(score("x").alias("v")).orderBy(F.col("v")[0]).collect()]
     assert got[3] == [3.0, 6.0]
+
+
+def test_group_quantile_matches_numpy(spark):
+    from sift.operators.stats import group_quantile
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in ("a", "b", "c"):
+        n = {"a": 500, "b": 37, "c": 1}[g]
+        for v in rng.normal(size=n).round(3):   # rounding creates ties
+            rows.append((g, float(v), int(rng.integers(1, 4))))
+    df = spark.createDataFrame(rows, "g string, v double, w long")
+    for p in (0.0, 0.15, 0.5, 0.999, 1.0):
+        got = {r.g: r.q for r in group_quantile(df, "g", "v", p, "w").collect()}
+        for g in ("a", "b", "c"):
+            expanded = np.repeat([r[1] for r in rows if r[0] == g], [r[2] for r in rows if r[0] == g])
+            assert abs(got[g] - np.percentile(expanded, 100 * p)) < 1e-12, (g, p)
