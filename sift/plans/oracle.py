@@ -483,7 +483,7 @@ err AS (SELECT p.* FROM pos p LEFT JOIN freq f ON p.clean = f.clean
           AND length(p.token) > 3 AND NOT regexp_matches(p.token, '^[A-Z]{{0,4}}\\W?s?\\z')
           AND regexp_matches(p.clean, '^[a-z]+\\z') AND coalesce(f.freq, 0) <= 10
           AND p.clean NOT IN (SELECT word FROM dict)),
-words AS (SELECT word FROM dict UNION SELECT clean FROM freq WHERE freq > 10 AND regexp_matches(clean, '^[a-z]+\\z')),
+words AS (SELECT word FROM dict WHERE word IN (SELECT clean FROM freq WHERE freq > 10)),
 cand AS (SELECT q.query, w.word, levenshtein(q.query, w.word) AS distance
          FROM (SELECT DISTINCT clean AS query FROM err) q, words w
          WHERE abs(length(q.query) - length(w.word)) <= 2 AND levenshtein(q.query, w.word) <= 2)"""

@@ -570,8 +570,8 @@ def _spelling_base(spark, sf_dir):
     bench = SP.positions(load(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"))
     dictionary = bench.select(F.col("clean").alias("word")).filter(F.col("word").rlike(SP.ASCII_WORD)).distinct()
     errors = SP.detect_errors(pos, freq, dictionary, 10)
-    frequent = freq.filter((F.col("freq") > 10) & F.col("clean").rlike(SP.ASCII_WORD)).select(F.col("clean").alias("word"))
-    words = dictionary.unionByName(frequent).distinct()
+    # candidates: frequent corpus words that are also in the dictionary (bounded by the dictionary)
+    words = dictionary.join(freq.filter(F.col("freq") > 10).select(F.col("clean").alias("word")), "word", "left_semi")
     return SP, pos, freq, errors, words
 
 
@@ -710,12 +710,15 @@ def lof_per_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simple_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-by-word correction of every sentence (frequency-ranked, edit distance <= 2)."""
     from sift.operators import spelling as SP
-    SPm, pos, freq, errors, known = _spelling_base(spark, sf_dir)
+    SPm, pos, freq, errors, cands = _spelling_base(spark, sf_dir)
+    bench = SP.positions(load(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"))
+    dictionary = bench.select(F.col("clean").alias("word")).filter(F.col("word").rlike(SP.ASCII_WORD)).distinct()
+    keep = dictionary.unionByName(freq.filter(F.col("freq") > 10).select(F.col("clean").alias("word"))).distinct()
     d = load(spark, sf_dir, "documents")
     s = d.select("doc_id", F.posexplode(T.split_sentences("text")).alias("sent_no", "sentence"))
     w = s.select("doc_id", "sent_no", F.posexplode(F.split(F.lower("sentence"), "[^a-z]+")).alias("pos", "word")) \
          .filter(F.col("word") != "")
-    c = SP.simple_corrections(w, known, freq, 2)
+    c = SP.simple_corrections(w, keep, cands, freq, 2)
     return c.select("doc_id", "sent_no", F.array_join("corrected", " ").alias("corrected"))
 
 

@@ -37,7 +37,8 @@ def test_simple_corrector_brute_force(spark):
     freq = {"house": 9, "mouse": 3, "horse": 9, "more": 20, "shore": 1, "hose": 2}
     sent = ["hous", "morse", "xyzzy", "house", "hse"]
     words = spark.createDataFrame([(1, 0, i, w) for i, w in enumerate(sent)], "doc_id long, sent_no int, pos int, word string")
-    out = SP.simple_corrections(words, spark.createDataFrame([(w,) for w in known], "word string"),
+    kdf = spark.createDataFrame([(w,) for w in known], "word string")
+    out = SP.simple_corrections(words, kdf, kdf,
                                 spark.createDataFrame(list(freq.items()), "clean string, freq long"), 2).first()
 
     def best(w):
