@@ -40,6 +40,18 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def explode_nonempty(df, keep: list, arr, value: str, pos: str | None = None):
+    """Rows of ``arr`` elements (with their 0-based position when ``pos`` is set).
+
+    Same rows as ``explode``; written as an outer explode plus a filter on the
+    generated column so that the optimizer does not infer ``size(arr) > 0``
+    and push a second copy of the (expensive) array expression below the
+    projection, where it would be evaluated twice.  Null elements are dropped.
+    """
+    gen = (F.posexplode_outer(_c(arr)).alias(pos, value) if pos else F.explode_outer(_c(arr)).alias(value))
+    return df.select(*keep, gen).filter(F.col(value).isNotNull())
+
+
 # ---------------------------------------------------------------- strings ---
 
 def strip_html(c) -> Column:

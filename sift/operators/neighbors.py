@@ -119,8 +119,10 @@ class PivotCells:
     def pairs_within(self, radius: Column) -> DataFrame:
         """All ``(g, q, s, dist, q_mult, s_mult)`` with ``q != s`` in one group and ``dist <= radius(q)``."""
         base = self.points.withColumn("_rad", radius)
-        req = base.select("g", F.col("id").alias("q"), F.col("v").alias("qv"), F.col("mult").alias("q_mult"), "_rad",
-                          F.explode(self.range_candidates(F.col("_rad"))).alias("cell"))
+        from sift.functions.text import explode_nonempty
+        req = explode_nonempty(base.select("g", F.col("id").alias("q"), F.col("v").alias("qv"),
+                                           F.col("mult").alias("q_mult"), "_rad", "pd"),
+                               ["g", "q", "qv", "q_mult", "_rad"], self.range_candidates(F.col("_rad")), "cell")
         mem = self.points.select("g", F.col("id").alias("s"), F.col("v").alias("sv"), F.col("mult").alias("s_mult"),
                                  "cell")
         # distance work is far larger than the inputs: keep it spread over the cluster

@@ -31,7 +31,8 @@ def lexicon_features(docs: DataFrame, lexicon: DataFrame, tokens_col: str = "tok
     """A15 + J4: per document sum of negative scores, sum of positive scores and the
     shares of negative / positive tokens (0 for an empty document)."""
     lex = first_per_word(lexicon)
-    long = docs.select(id_col, F.explode(tokens_col).alias("word"))
+    from sift.functions.text import explode_nonempty
+    long = explode_nonempty(docs, [id_col], tokens_col, "word")
     hits = (long.join(lex, "word")
                 .groupBy(id_col).agg(
                     F.sum(F.when(F.col("score") < 0, F.col("score")).otherwise(0.0)).alias("neg_sum"),

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sift.functions.text import explode_nonempty
 from sift.operators.topn import ordered_list, top_n_per_group
 
 
@@ -18,7 +19,7 @@ def token_table(df: DataFrame, tokens_col: str = "tokens", id_col: str = "doc_id
                 keep: list[str] | None = None) -> DataFrame:
     """Explode a token array into ``(keep..., id, pos, token)``; pos is 0-based."""
     keep = keep or []
-    return df.select(*keep, id_col, F.posexplode(tokens_col).alias("pos", "token"))
+    return explode_nonempty(df, [*keep, id_col], tokens_col, "token", "pos")
 
 
 def regroup_tokens(long: DataFrame, id_col: str = "doc_id", out_col: str = "tokens",
@@ -131,7 +132,7 @@ def corpus_tfidf(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     """
     if n_rows is None:
         n_rows = docs.count()
-    words = docs.select(id_col, F.explode(F.split(text_col, " ", -1)).alias("token"))
+    words = explode_nonempty(docs, [id_col], F.split(text_col, " ", -1), "token")
     per_row = words.groupBy("token", id_col).agg(F.count(F.lit(1)).alias("m"))
     stats = per_row.groupBy("token").agg(F.sum("m").alias("tf"), F.count(F.lit(1)).alias("n_rows"))
     return (stats.withColumn("idf", F.log(F.lit(float(n_rows)) / F.col("n_rows")))
@@ -155,7 +156,8 @@ def vocabulary_ids(long: DataFrame, num_words: int = 20000) -> DataFrame:
 def token_sequences(df: DataFrame, vocab: DataFrame, tokens_col: str = "tokens",
                     id_col: str = "doc_id", maxlen: int = 30) -> DataFrame:
     """Token ids, keep the last ``maxlen`` tokens, pad right with 0."""
-    long = df.select(id_col, F.size(tokens_col).alias("_n"), F.posexplode(tokens_col).alias("pos", "token")) \
+    long = explode_nonempty(df.select(id_col, F.size(tokens_col).alias("_n"), F.col(tokens_col).alias("_t")),
+                            [id_col, "_n"], "_t", "token", "pos") \
              .filter(F.col("pos") >= F.col("_n") - maxlen)
     ids = long.join(F.broadcast(vocab.select("token", "id")), "token", "left") \
               .select(id_col, "pos", F.coalesce("id", F.lit(1)).alias("token"))
@@ -223,7 +225,7 @@ def noun_keywords(docs: DataFrame, is_noun, cluster_col: str = "cluster", id_col
     documents is counted ``df * df`` times.  So the score is ``df^2`` and no
     pair join is needed.  Top ``n`` by score, ties by token.
     """
-    sets = docs.select(cluster_col, id_col, F.explode(F.array_distinct(tokens_col)).alias("token")) \
+    sets = explode_nonempty(docs, [cluster_col, id_col], F.array_distinct(tokens_col), "token") \
                .filter(is_noun(F.col("token")))
     dfc = sets.groupBy(cluster_col, "token").agg(F.count(F.lit(1)).alias("df"))
     dfc = dfc.withColumn("pairs", F.col("df") * F.col("df"))

@@ -116,7 +116,7 @@ def symmetric_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def uppercase_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A13 + L8: the 35 most frequent all-uppercase whitespace tokens."""
     d = load(spark, sf_dir, "documents")
-    toks = d.select(F.explode(T.split_words("text")).alias("token")).filter(T.is_all_upper("token"))
+    toks = T.explode_nonempty(d, [], T.split_words("text"), "token").filter(T.is_all_upper("token"))
     return (toks.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
                 .orderBy(F.desc("cnt"), F.asc("token")).limit(35))
 
@@ -138,7 +138,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T15 + T26 + D4: one row per sentence, lowercased, bullet removed."""
     d = load(spark, sf_dir, "documents")
     s = d.select("doc_id", "lang", T.split_sentences(T.remove_chars(F.lower("text"), "•")).alias("s"))
-    return s.select("doc_id", "lang", F.posexplode("s").alias("sent_no", "sentence"))
+    return T.explode_nonempty(s, ["doc_id", "lang"], "s", "sentence", "sent_no")
 
 
 @query
@@ -146,14 +146,14 @@ def conversation_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T15 on the second text source, keyed by (conversation, turn)."""
     c = load(spark, sf_dir, "conversations")
     s = c.select("conv_id", "turn", "role", T.split_sentences(F.lower("text")).alias("s"))
-    return s.select("conv_id", "turn", "role", F.posexplode("s").alias("sent_no", "sentence"))
+    return T.explode_nonempty(s, ["conv_id", "turn", "role"], "s", "sentence", "sent_no")
 
 
 @query
 def ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus counts of keyword-token trigrams."""
     d = load(spark, sf_dir, "documents")
-    g = d.select(F.explode(T.ngrams(T.keyword_tokens("text"), 3)).alias("ngram"))
+    g = T.explode_nonempty(d, [], T.ngrams(T.keyword_tokens("text"), 3), "ngram")
     return g.groupBy("ngram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -162,7 +162,7 @@ def phrase_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of adjacent capitalised tokens merged into phrases, distinct per document."""
     from sift.operators.chunks import continuous_chunks
     d = load(spark, sf_dir, "documents")
-    long = d.select("doc_id", F.posexplode(T.split_words(T.remove_punctuation("text"))).alias("pos", "token"))
+    long = T.explode_nonempty(d, ["doc_id"], T.split_words(T.remove_punctuation("text")), "token", "pos")
     return continuous_chunks(long, F.col("token").rlike(T.CAPITALISED))
 
 
@@ -674,10 +674,10 @@ def sentence_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     word list (benchmark vocabulary); sentences with fewer than 2 such words dropped."""
     from sift.operators import vectors as V
     d = load(spark, sf_dir, "documents")
-    s = d.select("doc_id", F.posexplode(T.split_sentences(T.remove_chars(F.lower("text"), "•"))).alias("sent_no", "sentence"))
-    long = s.select("doc_id", "sent_no", F.explode(F.split("sentence", "[^a-z]+")).alias("token")).filter(F.col("token") != "")
+    s = T.explode_nonempty(d, ["doc_id"], T.split_sentences(T.remove_chars(F.lower("text"), "•")), "sentence", "sent_no")
+    long = T.explode_nonempty(s, ["doc_id", "sent_no"], F.split("sentence", "[^a-z]+"), "token").filter(F.col("token") != "")
     b = load(spark, sf_dir, "benchmark")
-    wl = b.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("token")).filter(F.col("token") != "").distinct()
+    wl = T.explode_nonempty(b, [], F.split(F.lower("text"), "[^a-z]+"), "token").filter(F.col("token") != "").distinct()
     tv = V.toy_token_vectors(wl, 8)
     sv = V.sentence_vectors(long, wl, tv, ["doc_id", "sent_no"], 2)
     return sv.select("doc_id", "sent_no", "n_valid", V.array_string("embedding").alias("embedding"))
@@ -690,7 +690,7 @@ def vocabulary_mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, long = _keyword_long(spark, sf_dir)
     tv = V.toy_token_vectors(long.select("token"), 8)
     b = load(spark, sf_dir, "benchmark")
-    wl = b.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("token")).filter(F.col("token") != "")
+    wl = T.explode_nonempty(b, [], F.split(F.lower("text"), "[^a-z]+"), "token").filter(F.col("token") != "")
     m = V.vocabulary_mean(tv, wl)
     return m.select("n_words", V.array_string("mean").alias("mean"))
 
@@ -715,8 +715,8 @@ def simple_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     dictionary = bench.select(F.col("clean").alias("word")).filter(F.col("word").rlike(SP.ASCII_WORD)).distinct()
     keep = dictionary.unionByName(freq.filter(F.col("freq") > 10).select(F.col("clean").alias("word"))).distinct()
     d = load(spark, sf_dir, "documents")
-    s = d.select("doc_id", F.posexplode(T.split_sentences("text")).alias("sent_no", "sentence"))
-    w = s.select("doc_id", "sent_no", F.posexplode(F.split(F.lower("sentence"), "[^a-z]+")).alias("pos", "word")) \
+    s = T.explode_nonempty(d, ["doc_id"], T.split_sentences("text"), "sentence", "sent_no")
+    w = T.explode_nonempty(s, ["doc_id", "sent_no"], F.split(F.lower("sentence"), "[^a-z]+"), "word", "pos") \
          .filter(F.col("word") != "")
     c = SP.simple_corrections(w, keep, cands, freq, 2)
     return c.select("doc_id", "sent_no", F.array_join("corrected", " ").alias("corrected"))

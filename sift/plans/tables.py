@@ -9,7 +9,9 @@ TABLES = ["documents", "pages", "labels", "embeddings", "conversations", "benchm
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Parquet scan of a driver table, spread over the cores when the file has too few splits."""
+    from sift.session import ensure_parallel
+    return ensure_parallel(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def cluster_of_source(c="source"):

@@ -75,3 +75,15 @@ def spread(df, *cols):
     task when its input is small; an explicit partition count is kept.
     """
     return df.repartition(parallelism(df.sparkSession), *cols)
+
+
+def ensure_parallel(df):
+    """Give a small scan at least one partition per core.
+
+    A file with one row group is read by one task however it is split; when a
+    scan yields fewer partitions than the session's parallelism, rows are
+    spread round-robin first.  On a cluster a large scan already has many
+    more splits than cores and is returned unchanged (no extra shuffle).
+    """
+    n = parallelism(df.sparkSession)
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

@@ -30,7 +30,7 @@ def comment_stream(spark: SparkSession, directory: str, schema: str = COMMENT_SC
 
 def keyword_counts(stream: DataFrame, group_col: str = "source", text_col: str = "text") -> DataFrame:
     """A1 on a stream: running ``cnt`` per ``(group, token)``."""
-    toks = stream.select(group_col, F.explode(T.keyword_tokens(text_col)).alias("token"))
+    toks = T.explode_nonempty(stream, [group_col], T.keyword_tokens(text_col), "token")
     return toks.groupBy(group_col, "token").agg(F.count(F.lit(1)).alias("cnt"))
 
 
