@@ -56,8 +56,10 @@ def dedupe_vectors(points: DataFrame, id_col: str, vec_col: str, normalize: bool
     """
     v = F.col(vec_col).cast("array<double>")
     g = F.col(group_col) if group_col else F.lit(0)
-    pts = points.select(g.alias("g"), F.col(id_col).alias("orig_id"), (unit(v) if normalize else v).alias("v"))
-    reps = pts.groupBy("g", "v").agg(F.min("orig_id").alias("id"), F.count(F.lit(1)).alias("mult"))
+    # the input is read by several jobs (sizes, pivots, cells, mapping): materialise it once
+    pts = cut_lineage(points.select(g.alias("g"), F.col(id_col).alias("orig_id"),
+                                    (unit(v) if normalize else v).alias("v")))
+    reps = cut_lineage(pts.groupBy("g", "v").agg(F.min("orig_id").alias("id"), F.count(F.lit(1)).alias("mult")))
     mapping = pts.join(reps.select("g", "v", "id"), ["g", "v"]).select("orig_id", "id")
     return reps.select("g", "id", "v", "mult"), mapping
 
@@ -77,8 +79,8 @@ class PivotCells:
     """Assignment of points ``(g, id, v, mult)`` to pivot cells and per-(group, cell) statistics."""
 
     def __init__(self, reps: DataFrame, k_hint: int = 20, n_pivots: int | None = None, seed: int = 42):
-        n = reps.count()
-        dims = len(reps.select("v").first()[0]) if n else 0
+        st = reps.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+        n, dims = int(st["n"]), int(st["d"] or 0)
         p = n_pivots or max(1, min(MAX_PIVOTS, n // (4 * (k_hint + 1))))
         p = max(1, min(p, n, max(1, MAX_INLINE_VALUES // max(dims, 1))))
         rows = (reps.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(p).select("v").collect())
@@ -116,9 +118,32 @@ class PivotCells:
         rarr = _group_map(self._kth[k], self.p, BIG)[F.col("g")]
         return F.array_min(F.zip_with(F.col("pd"), rarr, lambda d, r: d + r))
 
-    def pairs_within(self, radius: Column) -> DataFrame:
+    def refined_knn_points(self, k: int, near_cells: int = 2) -> DataFrame:
+        """Points with ``_theta``: an upper bound on the distance to the k-th
+        nearest other distinct point, tightened by an exact search in the
+        ``near_cells`` nearest pivot cells (the bound is the k-th distance found
+        there when at least k points are found, else the pivot bound)."""
+        from sift.functions.text import explode_nonempty
+        base = self.knn_bound(k)
+        m = min(near_cells, self.p)
+        near = F.slice(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(self.p - 1)),
+                                                lambda j: F.struct(F.col("pd")[j].alias("d"), j.alias("j")))), 1, m)
+        req = explode_nonempty(self.points.select("g", F.col("id").alias("q"), F.col("v").alias("qv"),
+                                                  near.alias("_near")),
+                               ["g", "q", "qv"], F.transform("_near", lambda x: x["j"]), "cell")
+        mem = self.points.select("g", F.col("id").alias("s"), F.col("v").alias("sv"), "cell")
+        pairs = spread(req, "q").join(mem, ["g", "cell"]).filter(F.col("q") != F.col("s")) \
+            .withColumn("dist", euclid("qv", "sv"))
+        kth = top_n_per_group(pairs.select("q", "s", "dist", F.round("dist", 12).alias("_d")), ["q"],
+                              [F.asc("_d"), F.asc("s")], k, salt_cols=["s"]) \
+            .groupBy("q").agg(F.max("dist").alias("_t"), F.count(F.lit(1)).alias("_c")).filter(F.col("_c") == k)
+        out = self.points.join(kth.select(F.col("q").alias("id"), "_t"), "id", "left") \
+                         .withColumn("_theta", F.least(base, F.coalesce("_t", F.lit(BIG)))).drop("_t")
+        return cut_lineage(out)
+
+    def pairs_within(self, radius: Column, points: DataFrame | None = None) -> DataFrame:
         """All ``(g, q, s, dist, q_mult, s_mult)`` with ``q != s`` in one group and ``dist <= radius(q)``."""
-        base = self.points.withColumn("_rad", radius)
+        base = (points if points is not None else self.points).withColumn("_rad", radius)
         from sift.functions.text import explode_nonempty
         req = explode_nonempty(base.select("g", F.col("id").alias("q"), F.col("v").alias("qv"),
                                            F.col("mult").alias("q_mult"), "_rad", "pd"),
@@ -140,7 +165,7 @@ def knn(points: DataFrame, id_col: str, vec_col: str, k: int, normalize: bool =
     """
     reps, _ = dedupe_vectors(points, id_col, vec_col, normalize)
     cells = PivotCells(reps, k, n_pivots, seed)
-    pairs = cells.pairs_within(cells.knn_bound(k))
+    pairs = cells.pairs_within(F.col("_theta"), cells.refined_knn_points(k))
     ranked = pairs.withColumn("_d", F.round("dist", 12))
     return top_n_per_group(ranked.select("q", "s", "dist", "_d"), ["q"], [F.asc("_d"), F.asc("s")], k,
                            salt_cols=["s"]).drop("_d")
@@ -160,7 +185,7 @@ def local_outlier_factor(points: DataFrame, id_col: str, vec_col: str, k: int =
     n_min = min((int(r["n"]) for r in sizes), default=0)
     k = max(1, min(k, n_min - 1))
     cells = PivotCells(reps, k, n_pivots, seed)
-    pairs = cells.pairs_within(cells.knn_bound(k)).select("q", "s", "dist", "s_mult")
+    pairs = cells.pairs_within(F.col("_theta"), cells.refined_knn_points(k)).select("q", "s", "dist", "s_mult")
     # candidate neighbours: best k distinct others, plus the copies of q itself at distance 0
     best = top_n_per_group(pairs.withColumn("_d", F.round("dist", 12)), ["q"], [F.asc("_d"), F.asc("s")], k,
                            salt_cols=["s"]).select("q", "s", "dist", F.col("s_mult").alias("avail"), "_d")

@@ -10,6 +10,8 @@ executors as literals.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -160,11 +162,45 @@ def representative_by_embedding(df: DataFrame, cluster_col: str, id_col: str, ve
 
 
 def _inline_rows(small: DataFrame, cols: list[str], dims: int):
-    """Collect a small table after checking its size bound (rows x dims)."""
-    cnt = small.count()
-    if cnt * max(dims, 1) > MAX_INLINE_VALUES:
-        raise ValueError(f"table of {cnt} rows x {dims} dims exceeds the inline bound")
-    return small.select(*cols).collect()
+    """Collect a small table under a size bound (rows x dims), in one bounded job."""
+    bound = max(1, MAX_INLINE_VALUES // max(dims, 1))
+    rows = small.select(*cols).limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"table of more than {bound} rows x {dims} dims exceeds the inline bound")
+    return rows
+
+
+def matrix_products(rows: list[list[float]], post: str | None = None):
+    """Pandas UDF ``array<double> -> array<double>``: the row vector times a small,
+    size-checked matrix (one NumPy product per Arrow batch).
+
+    ``post='log_half_one_plus'`` maps each product p to ``ln((1 + p) / 2)``.
+    The matrix travels with the UDF (like a broadcast of a bounded table).
+    """
+    m = np.asarray(rows, dtype=np.float64).T
+
+    @F.pandas_udf("array<double>")
+    def products(vs: pd.Series) -> pd.Series:
+        if len(vs) == 0:
+            return pd.Series([], dtype=object)
+        x = np.stack([np.asarray(v, dtype=np.float64) for v in vs])
+        d = x @ m
+        if post == "log_half_one_plus":
+            d = np.log((1.0 + d) / 2.0)
+        return pd.Series(list(d))
+    return products
+
+
+def _unit_list(v) -> list[float]:
+    n = sum(float(x) * float(x) for x in v) ** 0.5
+    return [float(x) / n for x in v]
+
+
+def _unit_frame(df: DataFrame, vec_col: str, out_col: str) -> DataFrame:
+    """Unit vectors in two projections, so the norm is computed once per row
+    (a norm referenced inside the per-element lambda would be recomputed per element)."""
+    return df.withColumn("_n", norm(vec_col)) \
+             .withColumn(out_col, F.transform(vec_col, lambda x: x.cast("double") / F.col("_n"))).drop("_n")
 
 
 def nearest_token_per_centroid(token_vecs: DataFrame, centroids: DataFrame, cluster_col: str,
@@ -172,20 +208,21 @@ def nearest_token_per_centroid(token_vecs: DataFrame, centroids: DataFrame, clus
     """J7 + M14: for each cluster centroid, the corpus token with the smallest cosine distance.
 
     Centroids are few (one per cluster) and checked against a size bound; they
-    are inlined in chunks of ``chunk`` as literals, every token row computes
-    its distance to each inlined centroid (one pass over the vocabulary per
-    chunk, no join), and a top-1 per cluster picks the title (ties by token).
+    are normalised on the driver and inlined in chunks of ``chunk``; each
+    token row is normalised once and computes one dot product per centroid
+    (one pass over the vocabulary per chunk, no join), and a top-1 per cluster
+    picks the title (ties by token).
     """
     rows = _inline_rows(centroids, [cluster_col, "centroid"], dims)
+    tv = _unit_frame(spread(token_vecs), "vec", "_u").select("token", "_u")
     parts = []
     for i in range(0, len(rows), chunk):
         part = rows[i:i + chunk]
-        lits = F.array(*[F.struct(F.lit(r[0]).alias("c"),
-                                  F.array(*[F.lit(float(x)) for x in r[1]]).alias("v")) for r in part])
-        parts.append(spread(token_vecs, "token").select(
-            "token", F.explode(F.transform(lits, lambda s: F.struct(
-                s["c"].alias(cluster_col), cosine_distance(F.col("vec"), s["v"]).alias("dist")))).alias("x"))
-            .select("token", "x.*"))
+        sims = matrix_products([_unit_list(r[1]) for r in part])
+        ids = F.array(*[F.lit(r[0]) for r in part])
+        parts.append(tv.select("token", sims(F.col("_u")).alias("_s"))
+                       .select("token", F.explode(F.arrays_zip(ids.alias("c"), F.col("_s").alias("s"))).alias("x"))
+                       .select("token", F.col("x.c").alias(cluster_col), (F.lit(1.0) - F.col("x.s")).alias("dist")))
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)
@@ -202,22 +239,26 @@ def cosmul_titles(token_vecs: DataFrame, keywords: DataFrame, cluster_col: str,
     other cluster): ``score(w) = prod_P (1+cos)/2 / (prod_N (1+cos)/2 + eps)``,
     all keyword words excluded from the answers, top ``topn`` per cluster.
     Products are sums of logs.  The keyword table (clusters x keywords x
-    dims) is bounded and inlined; with ``L = sum over all keywords`` of the
-    log-similarities, the negative part of cluster c is ``L - P_c``.
+    dims) is bounded, normalised on the driver and inlined; with ``L = sum over
+    all keywords`` of the log-similarities, the negative part of cluster c is
+    ``L - P_c``.
     """
     kw = keywords.join(token_vecs, "token")
-    rows = _inline_rows(kw, [cluster_col, "token", "vec"], dims)
-    clusters = sorted({r[0] for r in rows})
+    rows = sorted(_inline_rows(kw, [cluster_col, "token", "vec"], dims), key=lambda r: (r[0], r[1]))
     excluded = sorted({r[1] for r in rows})
-    kv = F.array(*[F.struct(F.lit(r[0]).alias("c"), F.array(*[F.lit(float(x)) for x in r[2]]).alias("v"))
-                   for r in rows])
-    logs = F.transform(kv, lambda s: F.struct(
-        s["c"].alias("c"), F.log((F.lit(1.0) + (F.lit(1.0) - cosine_distance(F.col("vec"), s["v"]))) / 2).alias("l")))
-    t = spread(token_vecs.filter(~F.col("token").isin(excluded)), "token").select("token", logs.alias("logs"))
-    t = t.withColumn("_total", F.aggregate("logs", F.lit(0.0), lambda acc, s: acc + s["l"]))
-    per_c = F.transform(F.array(*[F.lit(c) for c in clusters]), lambda c: F.struct(
-        c.alias(cluster_col),
-        F.aggregate(F.filter("logs", lambda s: s["c"] == c), F.lit(0.0), lambda acc, s: acc + s["l"]).alias("pos")))
+    # keyword vectors ordered by cluster: each cluster is a contiguous slice of the array
+    slices, start = [], 1
+    for c in sorted({r[0] for r in rows}):
+        n_c = sum(1 for r in rows if r[0] == c)
+        slices.append((c, start, n_c))
+        start += n_c
+    logsims = matrix_products([_unit_list(r[2]) for r in rows], "log_half_one_plus")
+    t = _unit_frame(spread(token_vecs.filter(~F.col("token").isin(excluded))), "vec", "_u")
+    t = t.select("token", logsims(F.col("_u")).alias("logs"))
+    t = t.withColumn("_total", F.aggregate("logs", F.lit(0.0), lambda acc, x: acc + x))
+    per_c = F.array(*[F.struct(F.lit(c).alias(cluster_col),
+                               F.aggregate(F.slice("logs", st, n_c), F.lit(0.0), lambda acc, x: acc + x).alias("pos"))
+                      for c, st, n_c in slices])
     e = t.select("token", "_total", F.explode(per_c).alias("x")).select("token", "_total", "x.*")
     e = e.withColumn("score", F.exp("pos") / (F.exp(F.col("_total") - F.col("pos")) + F.lit(eps)))
     e = e.withColumn("_s", F.round(F.log("score"), 9))

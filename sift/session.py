@@ -68,11 +68,14 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def spread(df, *cols):
-    """Explicit hash repartition before a step whose output or CPU cost is much
+    """Explicit repartition before a step whose output or CPU cost is much
     larger than its input (exploding joins, per-row vector math).
 
     AQE coalesces shuffles by input bytes, which would run such a step in one
-    task when its input is small; an explicit partition count is kept.
+    task when its input is small; an explicit partition count is kept.  With
+    key columns the rows are hash partitioned (co-partitioning a join); without
+    keys they are dealt round-robin — use that after an aggregation on the same
+    key, where a hash repartition would be dropped as redundant.
     """
     return df.repartition(parallelism(df.sparkSession), *cols)
 
