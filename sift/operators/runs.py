@@ -39,7 +39,7 @@ def grid_frame(spark: SparkSession, grid: list[dict], grid_id: int) -> DataFrame
 
 def run_grid(spark: SparkSession, points: DataFrame, id_col: str, vec_col: str, grid: list[dict],
              steps: dict[str, Callable], evaluate: Callable, grid_id: int, mode: str,
-             embeddings: str = "given") -> DataFrame:
+             embeddings: str = "given", parallel: int = 4) -> DataFrame:
     """Evaluate every node; nodes sharing a step prefix reuse one cached frame.
 
     ``steps[name](df, **params) -> df`` transform ``(id, vec)``; the last step
@@ -47,21 +47,29 @@ def run_grid(spark: SparkSession, points: DataFrame, id_col: str, vec_col: str,
     The loop is over grid nodes (configuration), never over data rows.
     """
     cache: dict = {}
-    out = []
     names = list(grid[0]) if grid else []
+    # shared prefixes (e.g. the normalised frame) are built once, before the nodes run
+    leaves = []
     for node_id, node in enumerate(grid):
         df = points
         key = ()
-        for s in names:
+        for s in names[:-1]:
             key = key + ((s, tuple(sorted(node[s].items()))),)
             if key not in cache:
-                cache[key] = steps[s](df, **node[s])
-                if s != names[-1]:
-                    cache[key] = cache[key].persist()
+                cache[key] = steps[s](df, **node[s]).persist()
             df = cache[key]
-        sil, ncl, nout = evaluate(df)
-        out.append((grid_id, node_id, mode, embeddings,
-                    {s: {k: str(v) for k, v in node[s].items()} for s in names}, sil, ncl, nout))
+        leaves.append((node_id, node, df))
+
+    def run(item):
+        node_id, node, df = item
+        last = names[-1]
+        sil, ncl, nout = evaluate(steps[last](df, **node[last]))
+        return (grid_id, node_id, mode, embeddings,
+                {s: {k: str(v) for k, v in node[s].items()} for s in names}, sil, ncl, nout)
+    # nodes are independent: evaluate them as concurrent Spark jobs
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        out = sorted(pool.map(run, leaves), key=lambda r: r[1])
     for v in cache.values():
         v.unpersist()
     return spark.createDataFrame(out, RUN_SCHEMA).withColumn("timestamp", F.current_timestamp())

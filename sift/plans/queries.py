@@ -402,10 +402,14 @@ def best_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = _emb(spark, sf_dir).select(
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).persist()
     ev = ClusteringEvaluator(distanceMeasure="squaredEuclidean")
-    rows = []
-    for k in range(5, 21):
+
+    def fit(k):
         model = KMeans(k=k, maxIter=20, seed=42).fit(feats)
-        rows.append((k, float(ev.evaluate(model.transform(feats)))))
+        return k, float(ev.evaluate(model.transform(feats)))
+    # independent fits run as concurrent Spark jobs (as CrossValidator's parallelism does)
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        rows = sorted(pool.map(fit, range(5, 21)))
     feats.unpersist()
     best = max(rows, key=lambda r: (r[1], -r[0]))[0]
     return spark.createDataFrame([(k, round(s, 6), k == best) for k, s in rows],
