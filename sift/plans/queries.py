@@ -569,7 +569,10 @@ def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _spelling_base(spark, sf_dir):
     from sift.operators import spelling as SP
-    pos = SP.positions(load(spark, sf_dir, "documents"))
+    from sift.session import cut_lineage
+    # positions feed four consumers (frequency, errors, bigrams, rewrite): materialise
+    # them once (reliable checkpoint) instead of re-running the per-token cleaning
+    pos = cut_lineage(SP.positions(load(spark, sf_dir, "documents")))
     freq = SP.corpus_frequency(pos)
     bench = SP.positions(load(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"))
     dictionary = bench.select(F.col("clean").alias("word")).filter(F.col("word").rlike(SP.ASCII_WORD)).distinct()
