@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sift.operators.graph import connected_components
 from sift.operators.neighbors import PivotCells, dedupe_vectors
 from sift.operators.vectors import cosine_distance
+from sift.session import cut_lineage
 
 
 def single_linkage(points: DataFrame, id_col: str, vec_col: str, threshold: float = 0.55,
@@ -51,7 +52,8 @@ def density_clusters(points: DataFrame, id_col: str, vec_col: str, eps: float, m
     """
     reps, mapping = dedupe_vectors(points, id_col, vec_col, normalize)
     cells = PivotCells(reps, max(min_samples, 1), n_pivots)
-    pairs = cells.pairs_within(F.lit(float(eps))).select("q", "s", "s_mult")
+    # the pair table feeds the core counts and the core-core edges: materialise it once
+    pairs = cut_lineage(cells.pairs_within(F.lit(float(eps))).select("q", "s", "s_mult"))
     cnt = pairs.groupBy("q").agg(F.sum("s_mult").alias("nb"))
     core = (reps.join(cnt.withColumnRenamed("q", "id"), "id", "left")
                 .withColumn("n_within", F.col("mult") + F.coalesce("nb", F.lit(0)))
