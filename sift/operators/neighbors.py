@@ -18,7 +18,6 @@ inlined; every pair that survives pruning is checked with the exact distance.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
