@@ -5,11 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sift.llm import ring, topk, urlbloom, winnow
+from sift.llm import mixing, quality, ring, topk, urlbloom, winnow
 from sift.llm.common import table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
              ("net", "/es/", "block"), ("net", "/fr/", "block")]
+#: share of the tokens by domain; the domain of a labelled document is its language
+MIX_TARGETS = {"en": 0.60, "de": 0.15, "fr": 0.15, "es": 0.10}
+
+
+def domain_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled table of the mixing operator: the documents that ``labels`` covers, by language.
+
+    The labelled ids are bounded before their texts are fetched.
+    """
+    ids = (table(spark, sf_dir, "labels").select("doc_id").filter("doc_id is not null").distinct()
+           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(mixing.MAX_LABELLED))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("domain"))
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi")
+
+
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,12 +43,17 @@ def op7_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), domain_table(spark, sf_dir), MIX_TARGETS).drop("text_hash")
+
+
 def op10_blocked_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urlbloom.judge(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op2_winnowing, op5_uniform_threshold, op7_bounded_ring, op10_blocked_bloom)}
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_winnowing, op5_uniform_threshold, op7_bounded_ring, op9_soft_mixing,
+                                  op10_blocked_bloom)}
 
 LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
