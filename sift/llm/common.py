@@ -9,8 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from sift.session import checkpoint_dir, cut_lineage  # noqa: F401
 
 
+BATCH_BYTES = 32 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES`` of rows, unless the session sets a bound itself:
+    10,000 long texts would otherwise be one batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(2**31 - 1))) >= 2**31 - 1:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan of an input table; a table of fewer splits than cores is dealt out to all cores."""
+    bounded_batches(spark)
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return dealt(df)
 

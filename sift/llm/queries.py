@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sift.llm import mixing, quality, ring, topk, urlbloom, winnow
+from sift.llm import mixing, quality, ring, topk, trie_join, urlbloom, winnow
 from sift.llm.common import table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -33,6 +33,10 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.report(winnow.contamination_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op4_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_uniform_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -52,8 +56,8 @@ def op10_blocked_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlbloom.judge(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_winnowing, op5_uniform_threshold, op7_bounded_ring, op9_soft_mixing,
-                                  op10_blocked_bloom)}
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_winnowing, op4_trie_join, op5_uniform_threshold,
+                                  op7_bounded_ring, op9_soft_mixing, op10_blocked_bloom)}
 
 LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -74,6 +78,23 @@ ids AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS s
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)""",
+    "op4_trie_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + least(5, len(words)) - 1], ' ') AS w
+      FROM d, unnest(range(1, len(words) - least(5, len(words)) + 2)) AS t(i) WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+often AS (SELECT w, count(*) AS df FROM s GROUP BY w),
+ranked AS (SELECT doc_id, w, n, row_number() OVER (PARTITION BY doc_id ORDER BY df, w) AS r FROM s JOIN often USING (w) JOIN n USING (doc_id)),
+rare AS (SELECT doc_id, w, n FROM ranked WHERE r <= n - CAST(ceil(0.75 * n) AS BIGINT) + 1),
+may AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb FROM rare x JOIN rare y USING (w)
+        WHERE x.doc_id < y.doc_id AND 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)),
+common AS (SELECT a, b, na, nb, count(*) AS i FROM may JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND y.w = x.w GROUP BY a, b, na, nb),
+e AS (SELECT a, b FROM common WHERE 100 * i >= 75 * (na + nb - i)),
+e2 AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
+reach(x, y) AS (SELECT x, x FROM e2 UNION SELECT reach.x, e2.y FROM reach JOIN e2 ON reach.y = e2.x),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
     "op5_uniform_threshold": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
