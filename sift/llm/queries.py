@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sift.llm import mixing, quality, ring, topk, trie_join, urlbloom, winnow
+from sift.llm import kneser_ney, mixing, quality, ring, topk, trie_join, urlbloom, winnow
 from sift.llm.common import table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -41,6 +41,10 @@ def op5_uniform_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score(table(spark, sf_dir, "documents"))
+
+
 def op7_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard(table(spark, sf_dir, "documents"), shards=8).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -56,7 +60,7 @@ def op10_blocked_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlbloom.judge(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_winnowing, op4_trie_join, op5_uniform_threshold,
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_winnowing, op4_trie_join, op5_uniform_threshold, op6_kneser_ney,
                                   op7_bounded_ring, op9_soft_mixing, op10_blocked_bloom)}
 
 LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
