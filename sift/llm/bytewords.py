@@ -53,8 +53,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end); spans ascend and do not overlap."""
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True,
+                table: np.ndarray = BYTE) -> np.ndarray:
+    """64-bit hashes of the spans [start, end) of codes that ``table`` covers; spans ascend and do not overlap."""
     out = np.empty(len(starts), U)
     i = 0
     while i < len(starts):
@@ -66,7 +67,7 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
         if lower:
             part = LOWER[part]
         sums = np.zeros(b - a + 1, U)
-        np.cumsum(BYTE[part] * up[: b - a], out=sums[1:])
+        np.cumsum(table[part] * up[: b - a], out=sums[1:])
         s, e = starts[i:j] - a, ends[i:j] - a
         out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U))
         i = j

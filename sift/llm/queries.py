@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sift.llm import kneser_ney, mixing, quality, ring, topk, trie_join, urlbloom, winnow
+from sift.llm import kneser_ney, mixing, quality, rangecoder, ring, topk, trie_join, urlbloom, winnow
 from sift.llm.common import table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -33,6 +34,10 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.report(winnow.contamination_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rangecoder.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_blocked_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlbloom.judge(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_winnowing, op4_trie_join, op5_uniform_threshold, op6_kneser_ney,
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_winnowing, op3_range_coder, op4_trie_join, op5_uniform_threshold, op6_kneser_ney,
                                   op7_bounded_ring, op9_soft_mixing, op10_blocked_bloom)}
 
 LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
