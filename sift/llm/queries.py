@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sift.llm import kneser_ney, mixing, quality, rangecoder, ring, topk, trie_join, urlbloom, winnow
+from sift.llm import kneser_ney, mixing, quality, rangecoder, ring, runindex, topk, trie_join, urlbloom, winnow
 from sift.llm.common import table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -56,6 +56,10 @@ def op7_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), domain_table(spark, sf_dir), MIX_TARGETS).drop("text_hash")
 
@@ -66,7 +70,7 @@ def op10_blocked_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_winnowing, op3_range_coder, op4_trie_join, op5_uniform_threshold, op6_kneser_ney,
-                                  op7_bounded_ring, op9_soft_mixing, op10_blocked_bloom)}
+                                  op7_bounded_ring, op8_run_length_index, op9_soft_mixing, op10_blocked_bloom)}
 
 LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
