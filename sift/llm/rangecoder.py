@@ -30,8 +30,8 @@ from sift.llm.tokens import encode_column
 
 MAGIC = b"SIFTIDS1"
 BLOCK = 2048
-SEGMENT = 1 << 22
-CONTEXTS = 2048
+SEGMENT = 1 << 23
+CONTEXTS = 512
 NONE = 0xFFFF
 BITS0 = 18
 LEAST0 = 1024  # of 2**16: what order 0 keeps at least
@@ -67,21 +67,21 @@ class _Mixer:
         self.s1 = state + ((self.e1 & 7) << 1)
         self.s2 = state + ((self.e2 & 7) << 1) + agree
         most = 65536 - LEAST0
-        q2 = np.minimum(self.r2[self.s2], most)
+        self.v1, self.v2 = self.r1[self.s1], self.r2[self.s2]
+        q2 = np.minimum(self.v2, most)
         q2[p2 == NONE] = 0
-        q1 = (self.r1[self.s1] * (most - q2).astype(np.int64)) >> 16
+        q1 = (self.v1 * (most - q2).astype(np.int64)) >> 16
         q1[agree | (p1 == NONE)] = 0
         return p1, p2, q1.astype(U), q2.astype(U)
 
     def update(self, k: int, ids: np.ndarray, p1, p2):
-        for table, at, e, p, rate, s in ((self.t1, self.i1, self.e1, p1, self.r1, self.s1),
-                                         (self.t2, self.i2, self.e2, p2, self.r2, self.s2)):
+        for table, at, e, p, rate, s, r in ((self.t1, self.i1, self.e1, p1, self.r1, self.s1, self.v1),
+                                            (self.t2, self.i2, self.e2, p2, self.r2, self.s2, self.v2)):
             hit = ids == p
             c = e & 7
-            miss = np.where(c <= 1, ids << 3, (e & ~7) | (c >> 1))
+            miss = np.where(c <= 1, ids << 3, e - c + (c >> 1))
             table[at] = np.where(hit, e + (c < 7), miss)
-            r = rate[s]
-            rate[s] = r + (((hit * 65536) - r) >> 5)
+            rate[s] = r + ((hit.astype(np.int32) * 65536 - r) >> 5)
         self.before[:k] = self.last[:k]
         self.last[:k] = ids
 

@@ -120,12 +120,8 @@ class Memo:
         got = self.encode(texts)
         return np.concatenate([np.zeros(0, np.uint16), *got]), np.array([len(x) for x in got], np.int64)
 
-    def add(self, keys: np.ndarray, texts: list[str]) -> np.ndarray:
-        """Slots of new pieces."""
-        kind = np.empty(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            blank = t[0] == " "
-            kind[i] = 2 if CLASS[ord(t[-1])] == SPACE else 0 if blank else 1
+    def add(self, keys: np.ndarray, texts: list[str], kind: np.ndarray) -> np.ndarray:
+        """Slots of new pieces; kind 0: a blank before other signs, 1: no white space, 2: only that."""
         parts, length = [], np.empty(len(texts), np.int64)
         order = np.argsort(kind, kind="stable")
         for k, run in ((0, lambda x: self._joined(x, "")), (1, lambda x: self._joined(x, "\n")), (2, self._single)):
@@ -150,8 +146,8 @@ class Memo:
         self.n, self.used = n, used
         return slot
 
-    def slots(self, h: np.ndarray, text) -> np.ndarray:
-        """Slots of the pieces with the hashes ``h``; ``text(i)`` is the i-th piece."""
+    def slots(self, h: np.ndarray, text: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Slots of the pieces [start, end) of ``text`` with the hashes ``h``."""
         if self.n > MEMO_WORDS:
             self.reset()
         slot = self.at[(h & U(TABLE - 1)).astype(np.int64)].astype(np.int64) - 1
@@ -161,7 +157,9 @@ class Memo:
             found = np.array([self.rest.get(k, -1) for k in keys.tolist()], np.int64)
             new = np.flatnonzero(found < 0)
             if len(new):
-                found[new] = self.add(keys[new], [text(i) for i in away[first[new]].tolist()])
+                at = away[first[new]]
+                kind = np.where(CLASS[codes[ends[at] - 1]] == SPACE, 2, np.where(codes[starts[at]] == 0x20, 0, 1))
+                found[new] = self.add(keys[new], [text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())], kind)
             slot[away] = found[back]
         return slot
 
@@ -183,7 +181,7 @@ def _simple_ids(m: Memo, text: str, offs: np.ndarray) -> tuple[np.ndarray, np.nd
         return np.zeros(0, np.uint16), np.zeros(len(offs) - 1, np.int64)
     ends = np.append(starts[1:], len(codes))
     h = span_hashes(codes, starts, ends, lower=False, table=CODE)
-    slot = m.slots(h, lambda i: text[starts[i]: ends[i]])
+    slot = m.slots(h, text, codes, starts, ends)
     length = m.length[slot]
     stop = np.cumsum(length)
     ids = m.arena[np.repeat(m.start[slot] - (stop - length), length) + np.arange(int(stop[-1]))]
