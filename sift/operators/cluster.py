@@ -11,37 +11,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sift.operators.graph import connected_components
-from sift.operators.neighbors import PivotCells, dedupe_vectors
-from sift.operators.vectors import cosine_distance
+from sift.operators.neighbors import Grid, dedupe_vectors
 from sift.session import cut_lineage
 
 
-def single_linkage(points: DataFrame, id_col: str, vec_col: str, threshold: float = 0.55,
-                   n_pivots: int | None = None) -> DataFrame:
+def single_linkage(points: DataFrame, id_col: str, vec_col: str, threshold: float = 0.55) -> DataFrame:
     """M5d + J9: single-linkage clusters cut at a cosine distance ``threshold``.
 
     Exactly the connected components of the graph with an edge for every pair
-    with cosine distance below the threshold.  Pairs come from the pivot
-    range join on unit vectors (Euclidean radius ``sqrt(2 t)``), each checked
-    with the exact cosine distance.  Label = smallest id of the component.
+    with cosine distance below the threshold (``|u - v|^2 / 2`` on unit vectors).
+    A block pair hands on a spanning forest of its edges only.  A zero vector is
+    at distance 1 from every other.  Label = smallest id of the component.
     """
     reps, mapping = dedupe_vectors(points, id_col, vec_col, normalize=True)
-    cells = PivotCells(reps, 20, n_pivots)
-    pairs = cells.pairs_within(F.lit(math.sqrt(2.0 * threshold)))
-    orig = points.select(F.col(id_col).alias("orig_id"), F.col(vec_col).cast("array<double>").alias("ov"))
-    # exact test on the original vectors of the representatives
-    rv = mapping.filter(F.col("orig_id") == F.col("id")).join(orig, "orig_id").select("id", "ov")
-    pe = (pairs.filter(F.col("q") < F.col("s")).select("q", "s")
-               .join(rv.withColumnRenamed("id", "q").withColumnRenamed("ov", "qv"), "q")
-               .join(rv.withColumnRenamed("id", "s").withColumnRenamed("ov", "sv"), "s")
-               .filter(cosine_distance("qv", "sv") < threshold)
-               .select(F.col("q").alias("src"), F.col("s").alias("dst")))
-    comp = connected_components(reps.select("id"), pe)
+    grid = Grid(reps)
+    r = math.sqrt(2.0 * threshold)
+    zero = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x)) == 0
+    zeros = reps.filter(zero).select("id")
+    # strictly below the threshold: a radius that ends just under it
+    near = grid.pairs_within(F.lit(r), F.lit(r), forest=True).filter(F.col("dist") * F.col("dist") / 2 < threshold)
+    near = near.join(zeros.withColumnRenamed("id", "q"), "q", "left_anti").join(zeros.withColumnRenamed("id", "s"), "s", "left_anti")
+    edges = near.select(F.col("q").alias("src"), F.col("s").alias("dst"))
+    hub = zeros.first() if threshold > 1.0 else None  # copies are one row
+    if hub is not None:  # a zero vector then links with all others
+        edges = edges.unionByName(reps.select(F.col("id").alias("src"), F.lit(hub["id"]).alias("dst")))
+    comp = connected_components(reps.select("id"), edges)
     return mapping.join(comp, "id").select(F.col("orig_id").alias(id_col), F.col("component").alias("cluster"))
 
 
 def density_clusters(points: DataFrame, id_col: str, vec_col: str, eps: float, min_samples: int,
-                     min_cluster_size: int, normalize: bool = False, n_pivots: int | None = None) -> DataFrame:
+                     min_cluster_size: int, normalize: bool = False) -> DataFrame:
     """Density clusters at a fixed radius (DBSCAN*).
 
     A point is core when at least ``min_samples`` points (itself and its
@@ -51,18 +50,14 @@ def density_clusters(points: DataFrame, id_col: str, vec_col: str, eps: float, m
     points are noise (-1).  Label = smallest id of the cluster.
     """
     reps, mapping = dedupe_vectors(points, id_col, vec_col, normalize)
-    cells = PivotCells(reps, max(min_samples, 1), n_pivots)
-    # the pair table feeds the core counts and the core-core edges: materialise it once
-    pairs = cut_lineage(cells.pairs_within(F.lit(float(eps))).select("q", "s", "s_mult"))
-    cnt = pairs.groupBy("q").agg(F.sum("s_mult").alias("nb"))
-    core = (reps.join(cnt.withColumnRenamed("q", "id"), "id", "left")
-                .withColumn("n_within", F.col("mult") + F.coalesce("nb", F.lit(0)))
-                .filter(F.col("n_within") >= min_samples).select("id", "mult"))
-    cids = core.select("id")
-    ce = (pairs.filter(F.col("q") < F.col("s")).select(F.col("q").alias("src"), F.col("s").alias("dst"))
-               .join(cids.withColumnRenamed("id", "src"), "src", "left_semi")
-               .join(cids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-    comp = connected_components(cids, ce).join(core, "id")
+    grid = Grid(reps)
+    cnt = grid.pairs_within(F.lit(float(eps)), F.lit(float(eps))).groupBy("q").agg(F.sum("s_mult").alias("nb"))
+    core = cut_lineage(reps.join(cnt.withColumnRenamed("q", "id"), "id", "left")
+                       .withColumn("n_within", F.col("mult") + F.coalesce("nb", F.lit(0)))
+                       .filter(F.col("n_within") >= min_samples).select("g", "id", "v", "mult"))
+    # links among core points only, so a block pair's forest is one of core points
+    links = Grid(core).pairs_within(F.lit(float(eps)), F.lit(float(eps)), forest=True)
+    comp = connected_components(core.select("id"), links.select(F.col("q").alias("src"), F.col("s").alias("dst"))).join(core.select("id", "mult"), "id")
     sizes = comp.groupBy("component").agg(F.sum("mult").alias("size"))
     good = comp.join(sizes, "component").filter(F.col("size") >= min_cluster_size).select("id", "component")
     lab = mapping.join(good, "id", "left").select(F.col("orig_id").alias(id_col),

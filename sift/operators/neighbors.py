@@ -1,33 +1,39 @@
-"""Exact neighbour joins without a cross join: pivot cells + triangle-inequality pruning.
-
-Points are assigned to the nearest of ``P`` sampled pivots (a Voronoi cell).
-For a query point ``q`` the distance to any member of cell ``j`` is at least
-``d(q, p_j) - U_j`` (``U_j`` = cell radius), so only cells passing that bound
-are joined — an equi-join on the cell id, never a Cartesian product.
-
-* range join (J9, density): candidate cells with ``d(q,p_j) - U_j <= eps``;
-* k-NN join (J8, LOF): an upper bound ``theta_q`` on the k-th neighbour
-  distance comes from any cell holding ``k+1`` points within ``R_j`` of its
-  pivot: ``theta_q <= d(q,p_j) + R_j``; then the range join with ``theta_q``.
-
-Exact copies are collapsed first to ``(vector, multiplicity)``, so a group of
-copies holding a third of the data is one row, not a quadratic cell.
-``P`` pivots x ``d`` dims are collected under an explicit size bound and
-inlined; every pair that survives pruning is checked with the exact distance.
+"""Exact neighbour joins: grid cells joined as packed blocks, verified by matrix products.
+
+Two orthonormal projections of a vector (the scaled sums of its even and of its
+odd coordinates) never lie farther apart than the vectors themselves, so points
+within ``r`` of each other lie in grid cells at most ``r`` apart.  A point asks
+the cells of its square of half side ``r``; the points of a cell are packed into
+blocks of about ``BLOCK`` rows, and the equi-join on the cell meets blocks, not
+points: (cell size / BLOCK)^2 rows, each verified by one NumPy product, and only
+pairs within the radius leave the task.  A crowded cell is many blocks, so no
+key holds more than a block in one row, and the block pairs are dealt over all
+tasks.  Pairs that pass the product are measured again by differences.
+
+* range join (J9, density): radius eps, cells of side eps;
+* k-NN join (J8, LOF): a bound on the k-th distance comes from a point's own
+  block, on grids that get coarser until every point has one; then a range join
+  with that bound as each point's radius, keeping the k best per block pair.
+
+On data that fills its space evenly in many dimensions no cell prunes; reduce
+first (:mod:`sift.operators.reduce`), as the topic pipeline does.  Exact copies are
+collapsed first to ``(vector, multiplicity)``.
 """
 
 from __future__ import annotations
 
-
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, DoubleType
 
 from sift.operators.topn import top_n_per_group
 from sift.session import cut_lineage, spread
 
-MAX_PIVOTS = 4096
-MAX_INLINE_VALUES = 2_000_000
-SLACK = 1e-9
+BLOCK = 256
+SLACK = 1e-6  # of the products; pairs are measured exactly afterwards
 BIG = 1e300
 
 
@@ -37,10 +43,22 @@ def euclid(a, b) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
 
+def _rows(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return values.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(values.value_lengths().to_numpy(zero_copy_only=False)))
+
+
+@arrow_udf(ArrayType(DoubleType()))
+def _unit(values: pa.Array) -> pa.Array:
+    flat, offs = _rows(values)
+    size = np.diff(offs)
+    n = np.sqrt(np.array([np.dot(flat[a:b], flat[a:b]) for a, b in zip(offs[:-1], offs[1:])]))
+    n[n == 0] = 1.0
+    return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat / np.repeat(n, size)))
+
+
 def unit(a) -> Column:
-    a = F.col(a) if isinstance(a, str) else a
-    n = F.sqrt(F.aggregate(F.transform(a, lambda x: x * x), F.lit(0.0), lambda s, v: s + v))
-    return F.transform(a, lambda x: x / n)
+    """The vector at length 1; a zero vector stays zero (it is at distance 1 from every unit vector)."""
+    return _unit((F.col(a) if isinstance(a, str) else a).cast("array<double>"))
 
 
 def dedupe_vectors(points: DataFrame, id_col: str, vec_col: str, normalize: bool = False,
@@ -48,174 +66,248 @@ def dedupe_vectors(points: DataFrame, id_col: str, vec_col: str, normalize: bool
     """Collapse exact copies (within a group): returns ``(reps, mapping)``.
 
     ``reps``: ``(g, id, v array<double>, mult)`` with ``id`` = smallest member id;
-    ``mapping``: ``(orig_id, id)``.  Grouping by the vector is a hash
-    aggregate with map-side combine, so a hot copy group never reaches one
-    task whole; the mapping join is a fact-to-dimension join on the vector,
-    which AQE splits when one vector is hot.
+    ``mapping``: ``(orig_id, id)``.  Rows with a null vector take no part.
+    Grouping by the vector is a hash aggregate with map-side combine, so a hot
+    copy group never reaches one task whole; the mapping join is a
+    fact-to-dimension join on the vector, which AQE splits when one vector is hot.
     """
     v = F.col(vec_col).cast("array<double>")
     g = F.col(group_col) if group_col else F.lit(0)
-    # the input is read by several jobs (sizes, pivots, cells, mapping): materialise it once
-    pts = cut_lineage(points.select(g.alias("g"), F.col(id_col).alias("orig_id"),
-                                    (unit(v) if normalize else v).alias("v")))
+    # the input is read by several jobs (sizes, cells, mapping): materialise it once
+    pts = points.filter(F.col(vec_col).isNotNull())
+    pts = cut_lineage(pts.select(g.alias("g"), F.col(id_col).alias("orig_id"), (unit(v) if normalize else v).alias("v")))
     reps = cut_lineage(pts.groupBy("g", "v").agg(F.min("orig_id").alias("id"), F.count(F.lit(1)).alias("mult")))
-    mapping = pts.join(reps.select("g", "v", "id"), ["g", "v"]).select("orig_id", "id")
+    mapping = pts.join(reps.select("g", "v", "id"), (pts["g"].eqNullSafe(reps["g"])) & (pts["v"] == reps["v"])) \
+        .select("orig_id", "id")
     return reps.select("g", "id", "v", "mult"), mapping
 
 
-def _group_map(values: dict, p: int, default: float) -> Column:
-    """Inline ``group -> array of p doubles`` (bounded: groups x pivots values)."""
-    items = []
-    for gk in sorted(values, key=lambda x: (x is None, str(x))):
-        arr = values[gk]
-        items += [F.lit(gk), F.array(*[F.lit(float(x)) for x in arr])]
-    if not items:
-        return F.create_map(F.lit(0), F.array(*[F.lit(default)] * p))
-    return F.create_map(*items)
-
-
-class PivotCells:
-    """Assignment of points ``(g, id, v, mult)`` to pivot cells and per-(group, cell) statistics."""
-
-    def __init__(self, reps: DataFrame, k_hint: int = 20, n_pivots: int | None = None, seed: int = 42):
-        st = reps.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-        n, dims = int(st["n"]), int(st["d"] or 0)
-        p = n_pivots or max(1, min(MAX_PIVOTS, n // (4 * (k_hint + 1))))
-        p = max(1, min(p, n, max(1, MAX_INLINE_VALUES // max(dims, 1))))
-        rows = (reps.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(p).select("v").collect())
-        self.n, self.dims, self.p = n, dims, len(rows)
-        piv = F.array(*[F.array(*[F.lit(float(x)) for x in r[0]]) for r in rows])
-        a = reps.withColumn("pd", F.transform(piv, lambda q: euclid(F.col("v"), q)))
-        a = a.withColumn("r", F.array_min("pd")).withColumn("cell", F.array_position("pd", F.col("r")) - 1)
-        self.points = cut_lineage(a)
-        stats = self.points.groupBy("g", "cell").agg(F.max("r").alias("U")).collect()
-        if len(stats) * self.p > MAX_INLINE_VALUES:
-            raise ValueError("too many (group, pivot) cells to inline")
-        u = {}
-        for s in stats:
-            u.setdefault(s["g"], [-BIG] * self.p)[int(s["cell"])] = float(s["U"])  # -BIG: empty cell
-        self.U = u
-        self._kth = {}
-
-    def range_candidates(self, eps_col: Column) -> Column:
-        """Cell ids j of the point's group with ``d(q, p_j) - U_j <= eps``; empty cells never."""
-        u = _group_map(self.U, self.p, -BIG)[F.col("g")]
-        return F.filter(F.sequence(F.lit(0), F.lit(self.p - 1)),
-                        lambda j: (u[j] > F.lit(-BIG)) & (F.col("pd")[j] - u[j] <= eps_col + F.lit(SLACK)))
-
-    def knn_bound(self, k: int) -> Column:
-        """theta_q = min_j d(q,p_j) + R_j over cells of q's group holding k+1 points within R_j."""
-        if k not in self._kth:
-            top = top_n_per_group(self.points.select("g", "cell", "id", "r"), ["g", "cell"],
-                                  [F.asc("r"), F.asc("id")], k + 1)
-            rk = top.groupBy("g", "cell").agg(F.max("r").alias("R"), F.count(F.lit(1)).alias("c")) \
-                    .filter(F.col("c") == k + 1).collect()
-            arr = {gk: [BIG] * self.p for gk in self.U}
-            for s in rk:
-                arr[s["g"]][int(s["cell"])] = float(s["R"])
-            self._kth[k] = arr
-        rarr = _group_map(self._kth[k], self.p, BIG)[F.col("g")]
-        return F.array_min(F.zip_with(F.col("pd"), rarr, lambda d, r: d + r))
-
-    def refined_knn_points(self, k: int, near_cells: int = 2) -> DataFrame:
-        """Points with ``_theta``: an upper bound on the distance to the k-th
-        nearest other distinct point, tightened by an exact search in the
-        ``near_cells`` nearest pivot cells (the bound is the k-th distance found
-        there when at least k points are found, else the pivot bound)."""
-        from sift.functions.text import explode_nonempty
-        base = self.knn_bound(k)
-        m = min(near_cells, self.p)
-        near = F.slice(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(self.p - 1)),
-                                                lambda j: F.struct(F.col("pd")[j].alias("d"), j.alias("j")))), 1, m)
-        req = explode_nonempty(self.points.select("g", F.col("id").alias("q"), F.col("v").alias("qv"),
-                                                  near.alias("_near")),
-                               ["g", "q", "qv"], F.transform("_near", lambda x: x["j"]), "cell")
-        mem = self.points.select("g", F.col("id").alias("s"), F.col("v").alias("sv"), "cell")
-        pairs = spread(req, "q").join(mem, ["g", "cell"]).filter(F.col("q") != F.col("s")) \
-            .withColumn("dist", euclid("qv", "sv"))
-        kth = top_n_per_group(pairs.select("q", "s", "dist", F.round("dist", 12).alias("_d")), ["q"],
-                              [F.asc("_d"), F.asc("s")], k, salt_cols=["s"]) \
-            .groupBy("q").agg(F.max("dist").alias("_t"), F.count(F.lit(1)).alias("_c")).filter(F.col("_c") == k)
-        out = self.points.join(kth.select(F.col("q").alias("id"), "_t"), "id", "left") \
-                         .withColumn("_theta", F.least(base, F.coalesce("_t", F.lit(BIG)))).drop("_t")
-        return cut_lineage(out)
-
-    def pairs_within(self, radius: Column, points: DataFrame | None = None) -> DataFrame:
-        """All ``(g, q, s, dist, q_mult, s_mult)`` with ``q != s`` in one group and ``dist <= radius(q)``."""
-        base = (points if points is not None else self.points).withColumn("_rad", radius)
-        from sift.functions.text import explode_nonempty
-        req = explode_nonempty(base.select("g", F.col("id").alias("q"), F.col("v").alias("qv"),
-                                           F.col("mult").alias("q_mult"), "_rad", "pd"),
-                               ["g", "q", "qv", "q_mult", "_rad"], self.range_candidates(F.col("_rad")), "cell")
-        mem = self.points.select("g", F.col("id").alias("s"), F.col("v").alias("sv"), F.col("mult").alias("s_mult"),
-                                 "cell")
-        # distance work is far larger than the inputs: keep it spread over the cluster
-        pairs = spread(req, "q").join(mem, ["g", "cell"]).filter(F.col("q") != F.col("s"))
-        pairs = pairs.withColumn("dist", euclid("qv", "sv")).filter(F.col("dist") <= F.col("_rad") + F.lit(SLACK))
-        return pairs.select("g", "q", "s", "dist", "q_mult", "s_mult", "qv", "sv")
-
-
-def knn(points: DataFrame, id_col: str, vec_col: str, k: int, normalize: bool = False,
-        n_pivots: int | None = None, seed: int = 42) -> DataFrame:
+def _plane(v: str) -> tuple[Column, Column]:
+    """Two orthonormal projections: scaled sums of the even and of the odd coordinates."""
+    def part(odd):
+        kept = F.filter(F.col(v), lambda x, i: i % 2 == odd)
+        return F.aggregate(kept, F.lit(0.0), lambda s, x: s + x) / F.sqrt(F.greatest(F.size(kept), F.lit(1)))
+    return part(0), part(1)
+
+
+class Grid:
+    """Distinct points ``(g, id, v, mult)`` with their plane coordinates and group sizes."""
+
+    def __init__(self, reps: DataFrame):
+        x, y = _plane("v")
+        pts = reps.select("g", "id", "v", "mult", x.alias("x"), y.alias("y"))
+        size = pts.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("mult").alias("n_all"),
+                                    F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+        self.points = cut_lineage(pts.join(size, pts["g"].eqNullSafe(size["g"])).drop(size["g"]))
+
+    # -------------------------------------------------------------- packing
+    @staticmethod
+    def _packed(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+        """Blocks of about BLOCK rows per key: ``(keys, name array<struct>)``."""
+        sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_b"))
+        salted = rows.join(sizes, keys).withColumn("_s", F.pmod(F.xxhash64("id"), F.col("_b")))
+        return salted.groupBy(*keys, "_s").agg(F.collect_list(value).alias(name)).drop("_s")
+
+    def _cells(self, side: Column) -> DataFrame:
+        return self.points.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
+
+    def pairs_within(self, radius: Column, side: Column, points: DataFrame | None = None, keep: int | None = None,
+                     forest: bool = False) -> DataFrame:
+        """``(q, s, dist, s_mult)`` of every ordered pair in one group with ``q != s`` and ``dist <= radius(q)``.
+
+        ``side``: the cells' side, the same for all rows of a group.  ``keep``: of a
+        block pair only the best ``keep`` per ``q`` leave the task.  ``forest``: only
+        edges that join what the block pair has not joined yet (for components).
+        """
+        g = F.coalesce(F.col("g").cast("string"), F.lit("\0"))
+        asked = (points if points is not None else self.points).withColumn("_r", radius).withColumn("_g", g).withColumn("_side", side)
+        low = lambda c, m: F.floor(F.greatest(F.col(c) - F.col("_r"), F.col(m)) / F.col("_side"))
+        high = lambda c, m: F.floor(F.least(F.col(c) + F.col("_r"), F.col(m)) / F.col("_side"))
+        asked = (asked.withColumn("cx", F.explode(F.sequence(low("x", "x0"), high("x", "x1"))))
+                 .withColumn("cy", F.explode(F.sequence(low("y", "y0"), high("y", "y1")))))
+        members = self.points.withColumn("_g", g).withColumn("_side", side)
+        members = members.withColumn("cx", F.floor(F.col("x") / F.col("_side"))).withColumn("cy", F.floor(F.col("y") / F.col("_side")))
+        keys = ["_g", "cx", "cy"]
+        left = self._packed(asked.select(*keys, "id", "v", F.col("_r").alias("r")), keys, F.struct("id", "v", "r"), "l")
+        right = self._packed(members.select(*keys, "id", "v", "mult"), keys, F.struct("id", "v", "mult"), "m")
+        id_type = self.points.schema["id"].dataType.simpleString()
+        return (spread(left.join(right, keys).select("l", "m"))
+                .mapInArrow(_verified(keep, forest), f"q {id_type}, s {id_type}, dist double, s_mult bigint"))
+
+    def knn_radius(self, k: Column, k_max: int) -> DataFrame:
+        """Points with ``_k`` (their group's k) and ``_r``, a bound on the k-th distance to distinct others."""
+        span = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+        pts = self.points.withColumn("_k", k).withColumn("_g", F.coalesce(F.col("g").cast("string"), F.lit("\0")))
+        side = F.greatest(span / F.greatest(F.lit(1.0), F.sqrt(F.col("n") / (8.0 * (k_max + 1)))), F.lit(1e-9))
+        open_ = pts.filter((F.col("_k") > 0) & (F.col("n") > F.col("_k")))
+        found = None
+        level = 1.0
+        while True:
+            cell = side * level
+            rows = open_.withColumn("cx", F.floor((F.col("x") - F.col("x0")) / cell)).withColumn("cy", F.floor((F.col("y") - F.col("y0")) / cell))
+            packed = self._packed(rows.select("_g", "cx", "cy", "id", "v", "_k"), ["_g", "cx", "cy"], F.struct("id", "v", F.col("_k").alias("k")), "l")
+            id_type = self.points.schema["id"].dataType.simpleString()
+            got = cut_lineage(spread(packed.select("l")).mapInArrow(_own_block, f"id {id_type}, _r double"))
+            found = got if found is None else found.unionByName(got)
+            left = open_.join(got, "id", "left_anti")
+            # a grid whose only cell is one block answers for all of its group; else look wider
+            if left.isEmpty():
+                break
+            if level > 4 ** 12:  # one cell a group, and its blocks still too small: every distance bounds it
+                break
+            open_, level = cut_lineage(left), level * 4
+        return cut_lineage(pts.drop("_g").join(found, "id", "left").withColumn("_r", F.coalesce("_r", F.lit(BIG))))
+
+
+def _matrix(column: pa.Array, field: str) -> np.ndarray:
+    v = column.field(field)
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
+    return np.sqrt(np.maximum(d, 0.0))
+
+
+def _verified(keep: int | None, forest: bool):
+    def run(batches):
+        for batch in batches:
+            for n in range(batch.num_rows):
+                l, m = batch.column("l")[n].values, batch.column("m")[n].values
+                lv, mv = _matrix(l, "v"), _matrix(m, "v")
+                lid, mid, r = l.field("id"), m.field("id"), l.field("r").to_numpy()
+                li, mi = lid.to_numpy(zero_copy_only=False), mid.to_numpy(zero_copy_only=False)
+                i, j = np.nonzero(_distances(lv, mv) <= (r + SLACK * np.maximum(1.0, np.minimum(r, 1e6)))[:, None])
+                other = li[i] != mi[j]
+                i, j = i[other], j[other]
+                dist = np.sqrt(((lv[i] - mv[j]) ** 2).sum(axis=1))
+                ok = dist <= r[i] + 1e-9
+                i, j, dist = i[ok], j[ok], dist[ok]
+                if keep is not None and len(i):
+                    order = np.lexsort((mi[j], np.round(dist, 12), i))
+                    i, j, dist = i[order], j[order], dist[order]
+                    first = np.searchsorted(i, i)
+                    best = np.arange(len(i)) - first < keep
+                    i, j, dist = i[best], j[best], dist[best]
+                if forest and len(i):
+                    i, j, dist = _forest(li, mi, i, j, dist)
+                yield pa.RecordBatch.from_arrays([lid.take(pa.array(i)), mid.take(pa.array(j)), pa.array(dist),
+                                                  m.field("mult").take(pa.array(j))], names=["q", "s", "dist", "s_mult"])
+    return run
+
+
+def _forest(li, mi, i, j, dist):
+    """Edges of a spanning forest of the block pair's edges."""
+    names, at = np.unique(np.concatenate([li[i], mi[j]]), return_inverse=True)
+    root = list(range(len(names)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+    kept = []
+    for n, (a, b) in enumerate(zip(at[: len(i)].tolist(), at[len(i):].tolist())):
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            kept.append(n)
+    return i[kept], j[kept], dist[kept]
+
+
+def _own_block(batches):
+    """The k-th distance inside a point's own block, where the block has k others."""
+    for batch in batches:
+        for n in range(batch.num_rows):
+            l = batch.column("l")[n].values
+            v, k = _matrix(l, "v"), l.field("k").to_numpy()
+            at = np.flatnonzero(k < len(v))
+            if not len(at):
+                continue
+            d = _distances(v[at], v)
+            d[np.arange(len(at)), at] = np.inf
+            d.sort(axis=1)
+            bound = d[np.arange(len(at)), k[at] - 1]
+            yield pa.RecordBatch.from_arrays([l.field("id").take(pa.array(at)), pa.array(bound + SLACK * np.maximum(1.0, bound))], names=["id", "_r"])
+
+
+def _nearest(grid: Grid, k: Column, k_max: int) -> DataFrame:
+    """``(q, s, dist, s_mult, rank)``: the k nearest distinct other points of each point (all, if fewer)."""
+    pts = grid.knn_radius(k, k_max)
+    # cells of the usual radius; wider ones ask more cells
+    usual = pts.filter(F.col("_r") < BIG).groupBy("g").agg(F.percentile_approx("_r", 0.5).alias("_usual"))
+    span = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-9))
+    with_side = pts.join(usual.withColumnRenamed("g", "_h"), F.col("g").eqNullSafe(F.col("_h")), "left").drop("_h") \
+        .withColumn("_cell", F.greatest(F.coalesce("_usual", span), span / 4096))
+    grid.points = cut_lineage(with_side)
+    pairs = grid.pairs_within(F.col("_r"), F.col("_cell"), grid.points.filter(F.col("_k") > 0), keep=k_max)
+    ranked = top_n_per_group(pairs.withColumn("_d", F.round("dist", 12)), ["q"], [F.asc("_d"), F.asc("s")], k_max, salt_cols=["s"])
+    return ranked.drop("_d")
+
+
+def knn(points: DataFrame, id_col: str, vec_col: str, k: int, normalize: bool = False) -> DataFrame:
     """Exact k nearest neighbours (Euclidean; cosine order with ``normalize``).
 
-    Returns ``(q, s, dist, rank)``; ties by neighbour id.  Exact copies are
-    one row (see :func:`local_outlier_factor` for copy-aware neighbourhoods).
+    Returns ``(q, s, dist, rank)`` for every row, ties by neighbour id.  Exact
+    copies are neighbours at distance 0.  A row with fewer than ``k`` others has
+    all of them.  Only the first ``k + 1`` ids of a copy group can be neighbours,
+    so a hot group is never expanded into pairs.
     """
-    reps, _ = dedupe_vectors(points, id_col, vec_col, normalize)
-    cells = PivotCells(reps, k, n_pivots, seed)
-    pairs = cells.pairs_within(F.col("_theta"), cells.refined_knn_points(k))
-    ranked = pairs.withColumn("_d", F.round("dist", 12))
-    return top_n_per_group(ranked.select("q", "s", "dist", "_d"), ["q"], [F.asc("_d"), F.asc("s")], k,
-                           salt_cols=["s"]).drop("_d")
+    reps, mapping = dedupe_vectors(points, id_col, vec_col, normalize)
+    near = _nearest(Grid(reps), F.lit(k), k).select("q", "s", "dist")
+    near = near.unionByName(reps.select(F.col("id").alias("q"), F.col("id").alias("s"), F.lit(0.0).alias("dist")))
+    first = top_n_per_group(mapping, ["id"], [F.asc("orig_id")], k + 1, salt_cols=["orig_id"]) \
+        .select(F.col("id").alias("s"), F.col("orig_id").alias("n"))
+    listed = top_n_per_group(near.join(first, "s").withColumn("_d", F.round("dist", 12)).select("q", "n", "dist", "_d"), ["q"],
+                             [F.asc("_d"), F.asc("n")], k + 1, salt_cols=["n"])
+    mine = mapping.withColumnRenamed("id", "q").join(listed.select("q", "n", "dist", F.col("rank").alias("_r")), "q") \
+        .filter(F.col("n") != F.col("orig_id"))
+    return top_n_per_group(mine.select(F.col("orig_id").alias("q"), F.col("n").alias("s"), "dist", "_r"), ["q"],
+                           [F.asc("_r")], k, salt_cols=["s"]).drop("_r")
 
 
 def local_outlier_factor(points: DataFrame, id_col: str, vec_col: str, k: int = 20,
-                         contamination: float = 0.15, normalize: bool = False,
-                         n_pivots: int | None = None, seed: int = 42, group_col: str | None = None) -> DataFrame:
-    """M6 + W9 (+ M7 with ``group_col``): LOF with exactly ``k`` neighbours per
-    point (self excluded, copies included), ``lrd = 1 / (mean reach-dist + 1e-10)``,
+                         contamination: float = 0.15, normalize: bool = False, group_col: str | None = None) -> DataFrame:
+    """M6 + W9 (+ M7 with ``group_col``): LOF with ``min(k, rows of the group - 1)`` neighbours
+    per point (self excluded, copies included), ``lrd = 1 / (mean reach-dist + 1e-10)``,
     ``lof = mean lrd(nb) / lrd``; a point is an outlier when ``-lof`` is below the
-    linearly interpolated ``contamination`` percentile (of its group).
-    Returns ``(id, lof, is_inlier)`` for every input row.
+    linearly interpolated ``contamination`` percentile of its group.
+    Returns ``(id, lof, is_inlier)`` for every input row with a vector; the only row
+    of a group has a null score and is an inlier.
     """
     reps, mapping = dedupe_vectors(points, id_col, vec_col, normalize, group_col)
-    sizes = reps.groupBy("g").agg(F.sum("mult").alias("n")).collect()
-    n_min = min((int(r["n"]) for r in sizes), default=0)
-    k = max(1, min(k, n_min - 1))
-    cells = PivotCells(reps, k, n_pivots, seed)
-    pairs = cells.pairs_within(F.col("_theta"), cells.refined_knn_points(k)).select("q", "s", "dist", "s_mult")
-    # candidate neighbours: best k distinct others, plus the copies of q itself at distance 0
-    best = top_n_per_group(pairs.withColumn("_d", F.round("dist", 12)), ["q"], [F.asc("_d"), F.asc("s")], k,
-                           salt_cols=["s"]).select("q", "s", "dist", F.col("s_mult").alias("avail"), "_d")
-    selfc = cells.points.filter(F.col("mult") > 1).select(
-        F.col("id").alias("q"), F.col("id").alias("s"), F.lit(0.0).alias("dist"),
-        (F.col("mult") - 1).alias("avail"), F.lit(-1.0).alias("_d"))
-    cand = best.unionByName(selfc)
+    grid = Grid(reps)
+    kg = F.least(F.lit(k), F.col("n_all") - 1).cast("int")
+    # of k_g neighbours with copies at most min(k_g, other distinct points) are distinct
+    near = _nearest(grid, F.least(kg, F.col("n") - 1).cast("int"), k)
+    info = cut_lineage(grid.points.select("g", F.col("id").alias("q"), "mult", kg.alias("k")))
+    best = near.select("q", "s", "dist", F.col("s_mult").alias("avail"), F.round("dist", 12).alias("_d"))
+    selfc = info.filter(F.col("mult") > 1).select("q", F.col("q").alias("s"), F.lit(0.0).alias("dist"),
+                                                  (F.col("mult") - 1).alias("avail"), F.lit(-1.0).alias("_d"))
+    from pyspark.sql import Window
     w = Window.partitionBy("q").orderBy("_d", "s")  # at most k + 1 rows per q
-    cand = cand.withColumn("_before", F.coalesce(F.sum("avail").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                                                 F.lit(0)))
-    nb = cand.withColumn("w", F.least(F.col("avail"), F.lit(k) - F.col("_before"))).filter(F.col("w") > 0)
-    nb = cut_lineage(nb.select("q", "s", "dist", "w"))
+    cand = best.unionByName(selfc).join(info.select("q", "k"), "q")
+    cand = cand.withColumn("_before", F.coalesce(F.sum("avail").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    nb = cand.withColumn("w", F.least(F.col("avail"), F.col("k") - F.col("_before"))).filter(F.col("w") > 0)
+    nb = cut_lineage(nb.select("q", "s", "dist", "w", "k"))
     kd = nb.groupBy("q").agg(F.max("dist").alias("kdist"))
-    reach = nb.join(kd.withColumnRenamed("q", "s"), "s") \
-              .withColumn("rd", F.greatest("dist", "kdist"))
-    lrd = reach.groupBy("q").agg((F.lit(1.0) / (F.sum(F.col("w") * F.col("rd")) / k + F.lit(1e-10))).alias("lrd"))
+    reach = nb.join(kd.withColumnRenamed("q", "s"), "s").withColumn("rd", F.greatest("dist", "kdist"))
+    lrd = reach.groupBy("q").agg((F.lit(1.0) / (F.sum(F.col("w") * F.col("rd")) / F.max("k") + F.lit(1e-10))).alias("lrd"))
     ratio = nb.join(lrd.withColumnRenamed("q", "s").withColumnRenamed("lrd", "lrd_s"), "s") \
-              .groupBy("q").agg((F.sum(F.col("w") * F.col("lrd_s")) / k).alias("mean_lrd"))
-    lof = ratio.join(lrd, "q").select(F.col("q").alias("id"), (F.col("mean_lrd") / F.col("lrd")).alias("lof"))
-    lof = lof.join(reps.select("g", "id", "mult"), "id")
-    lof = cut_lineage(lof.withColumn("neg", -F.col("lof")))
-    # exact, distributed quantile (no group is buffered in one task)
+              .groupBy("q").agg((F.sum(F.col("w") * F.col("lrd_s")) / F.max("k")).alias("mean_lrd"))
+    lof = ratio.join(lrd, "q").select("q", (F.col("mean_lrd") / F.col("lrd")).alias("lof"))
+    lof = cut_lineage(info.join(lof, "q", "left").withColumn("neg", -F.col("lof")))
     from sift.operators.stats import group_quantile
-    cuts = group_quantile(lof, "g", "neg", contamination, "mult").withColumnRenamed("q", "c")
-    res = lof.join(cuts, "g").withColumn("is_inlier", F.col("neg") >= F.col("c")).drop("neg")
-    out = mapping.join(res, "id").select(F.col("orig_id").alias(id_col), "lof", "is_inlier")
-    return out
-
-
-def range_edges(cells: PivotCells, eps: float) -> DataFrame:
-    return cells.pairs_within(F.lit(float(eps)))
+    cuts = group_quantile(lof, "g", "neg", contamination, "mult")
+    if group_col is None:
+        cut = cuts.first()  # one number: no join on a constant
+        flag = F.coalesce(F.col("neg") >= F.lit(cut["q"] if cut else None).cast("double"), F.lit(True))
+        res = lof.select("q", "lof", flag.alias("is_inlier"))
+    else:
+        cuts = cuts.select(F.col("g").alias("_h"), F.col("q").alias("c"))
+        res = lof.join(cuts, F.col("g").eqNullSafe(F.col("_h")), "left") \
+                 .select("q", "lof", F.coalesce(F.col("neg") >= F.col("c"), F.lit(True)).alias("is_inlier"))
+    return mapping.join(res.withColumnRenamed("q", "id"), "id").select(F.col("orig_id").alias(id_col), "lof", "is_inlier")
 
 
 def local_outlier_factor_by_group(points: DataFrame, group_col: str, id_col: str, vec_col: str, k: int = 20,

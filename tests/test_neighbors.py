@@ -98,3 +98,88 @@ def test_connected_components_long_chain(spark):
     verts = spark.range(n).select("id")
     got = {r.id: r.component for r in connected_components(verts, edges).collect()}
     assert all(got[i] == (0 if i < 100 else 100) for i in range(n))
+
+
+def brute_knn(x, ids, k):
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    out = {}
+    for i, a in enumerate(ids):
+        order = sorted((round(float(d[i, j]), 9), b) for j, b in enumerate(ids) if j != i)
+        out[a] = [b for _, b in order[:k]]
+    return out
+
+
+def test_knn_keeps_copies(spark):
+    from sift.operators.neighbors import knn
+    x = fixture()
+    want = brute_knn(x, list(range(len(x))), 7)
+    got = {}
+    for r in knn(frame(spark, x), "id", "v", 7).orderBy("q", "rank").collect():
+        got.setdefault(r.q, []).append(r.s)
+    assert got == want
+
+
+def test_knn_of_few_rows(spark):
+    from sift.operators.neighbors import knn
+    x = np.array([[0.0, 0.0], [1.0, 0.0], [5.0, 0.0]])
+    got = {(r.q, r["rank"]): r.s for r in knn(frame(spark, x), "id", "v", 10).collect()}
+    assert got == {(0, 1): 1, (0, 2): 2, (1, 1): 0, (1, 2): 2, (2, 1): 1, (2, 2): 0}
+    assert knn(frame(spark, x[:1]), "id", "v", 3).count() == 0
+    assert knn(frame(spark, x[:0]), "id", "v", 3).count() == 0
+
+
+def test_small_groups_leave_others_unchanged(spark):
+    rng = np.random.default_rng(8)
+    big = [("a", i, [float(z) for z in rng.normal(size=3)]) for i in range(30)]
+    schema = "g string, id long, v array<double>"
+    alone = {r.id: r.lof for r in local_outlier_factor(spark.createDataFrame(big, schema), "id", "v", 8, 0.2, group_col="g").collect()}
+    more = big + [("b", 100, [1.0, 2.0, 3.0]), ("b", 101, [1.0, 2.0, 4.0]), ("c", 200, [0.0, 0.0, 0.0]), (None, 300, [1.0, 1.0, 1.0]),
+                  (None, 301, [2.0, 1.0, 1.0]), (None, 302, [2.0, 5.0, 1.0])]
+    got = {r.id: r for r in local_outlier_factor(spark.createDataFrame(more, schema), "id", "v", 8, 0.2, group_col="g").collect()}
+    assert len(got) == len(more)
+    assert all(abs(got[i].lof - alone[i]) < 1e-12 for i in range(30))
+    assert got[200].lof is None and got[200].is_inlier
+    assert abs(got[100].lof - 1.0) < 1e-9 and abs(got[101].lof - 1.0) < 1e-9
+    assert all(got[i].lof is not None for i in (300, 301, 302))
+
+
+def test_zero_vector_does_not_stop_single_linkage(spark):
+    x = np.array([[1.0, 0.0], [0.9, 0.1], [0.0, 0.0], [-1.0, 0.0], [0.0, 0.0]])
+    got = {r.id: r.cluster for r in single_linkage(frame(spark, x), "id", "v", 0.5).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 4: 2, 3: 3}
+    got = {r.id: r.cluster for r in single_linkage(frame(spark, x), "id", "v", 1.5).collect()}
+    assert set(got.values()) == {0}
+
+
+def test_components_of_a_long_chain(spark):
+    n = 3000
+    v = spark.range(n + 2)
+    e = spark.range(n - 1).selectExpr("id as src", "id + 1 as dst")
+    got = {r.id: r.component for r in connected_components(v, e).collect()}
+    assert len(got) == n + 2 and all(got[i] == 0 for i in range(n)) and got[n] == n and got[n + 1] == n + 1
+
+
+def test_grid_prunes_on_spread_data(spark):
+    """Verified block pairs grow with the data, not with its square, at fixed density."""
+    from sift.operators.neighbors import Grid, dedupe_vectors
+    def blocks(n):
+        rng = np.random.default_rng(1)
+        x = rng.uniform(0, np.sqrt(n), size=(n, 2))
+        reps, _ = dedupe_vectors(frame(spark, x), "id", "v")
+        grid = Grid(reps)
+        pairs = grid.pairs_within(1.0 + 0 * F.col("x"), F.lit(1.0))
+        return pairs.count()
+    from pyspark.sql import functions as F
+    assert blocks(4000) < 6 * blocks(1000)
+
+
+def test_group_quantile_matches_numpy(spark):
+    from sift.operators.stats import group_quantile
+    rng = np.random.default_rng(2)
+    rows = [(g, float(v), int(w)) for g in ("a", "b") for v, w in zip(rng.integers(0, 9, 50), rng.integers(1, 4, 50))] + [("c", 5.0, 1), ("c", None, 3)]
+    df = spark.createDataFrame(rows, "g string, v double, w int")
+    for p in (0.0, 0.15, 0.5, 1.0):
+        got = {r.g: r.q for r in group_quantile(df, "g", "v", p, "w").collect()}
+        for g in ("a", "b", "c"):
+            want = np.percentile([v for h, v, w in rows if h == g and v is not None for _ in range(w)], 100 * p)
+            assert abs(got[g] - want) < 1e-12
