@@ -44,3 +44,10 @@ def mounted(path: str) -> str:
     if "://" in path:
         raise ValueError(f"memory-mapped files need a checkpoint folder mounted on all machines, not {path}")
     return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read back: a checkpoint in compressed columns."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sift.llm.bytewords import BYTE, U, _powers, mix, text_buffers
-from sift.llm.common import bounded_batches, shared_path
+from sift.llm.common import bounded_batches, written
 
 LENGTH = 100
 K = 32
@@ -436,13 +436,6 @@ def _bytes_of(column: pa.Array):
     return np.frombuffer(data, np.uint8)[offs[0]: offs[-1]], offs - offs[0]
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """A table written to the shared folder and read back."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """``docs(doc_id, text)`` -> spans ``(doc_id, th, a, b)``, th the text's xxhash64: bytes [a, b) of the text
     are covered by ``length``-byte strings that start earlier.  Spans may overlap and repeat.
@@ -458,12 +451,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     ranked = (rows.withColumn("place", F.rank().over(Window.partitionBy("fp", "ctx").orderBy(*place)))
               .withColumn("different", F.sum((F.col("place") == 1).cast("int")).over(Window.partitionBy("fp")))
               .filter("kind = 1 or place > 1 or different > 1"))
-    found = _written(ranked.select("kind", "fp", "doc_id", "th", "a", "b", "place", "different"), "anchors")
+    found = written(ranked.select("kind", "fp", "doc_id", "th", "a", "b", "place", "different"), "anchors")
     spans = found.filter("kind = 1 or place > 1").select("doc_id", "th", "a", "b")
     regions_of = (found.filter("kind = 0 and place = 1").groupBy("doc_id", "th")
                   .agg(F.collect_list(F.struct("fp", "a", "b", (F.col("different") > RANKS).alias("many"))).alias("regions"))
                   .withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th"))
-    cut = _written(texts.join(regions_of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+    cut = written(texts.join(regions_of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
                    .select("doc_id", "th", "text", "regions").mapInArrow(_cut_out(length), REGION), "regions")
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
     streamed = (cut.filter("kind = 0").select("fp", "doc_id", "th", "a", "data").dropDuplicates(["fp", "doc_id", "th", "a"])

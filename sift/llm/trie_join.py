@@ -6,13 +6,17 @@ only classes are joined; class and set are told by 64-bit hashes.
 
 1. Two sets of Jaccard >= t share one of their first n - ceil(t n) + 1 shingles.
    Those shingles are grouped in Spark; a shingle of one class links nothing.
-2. In every group each class is paired with the group's first class (as many
-   pairs as rows, whatever the group's size), and the pairs are verified.
+2. In every group each class is paired with the group's hub, the class with the
+   fewest rarer shingles (of edited copies, the original): as many pairs as rows,
+   whatever the group's size.  The pairs are verified.
 3. Verified links make components.  Pairs of one component need no check: they
-   add nothing to reachability.  The pairs of a group across components, cut by
-   length and position bounds and by a parity sketch (which never rejects a
-   link), are verified too.  So no link that joins two components is lost, and
-   a group of thousands of near copies costs pairs in proportion to its size.
+   add nothing to reachability.  Groups of one hub that hold two components are
+   joined to one, and their pairs across components are tested in blocks of
+   about ``BLOCK_ROWS`` rows a side against length and position bounds and a
+   parity sketch (which never rejects a link); only those that pass leave the
+   task, and are verified too.  So no link that joins two
+   components is lost, and a group of thousands of near copies costs pairs in
+   proportion to its size.
 
 Verification stores the partners of a class in a trie over the reversed global
 order (frequent shingles first, so near copies share long paths), with edges of
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sift.llm.bytewords import NOT_SPACE, U, chunks, gram_hashes, mix, word_hashes
-from sift.llm.common import bounded_batches, cut_lineage
+from sift.llm.common import bounded_batches, cut_lineage, written
 from sift.operators.graph import connected_components
 
 SHINGLE = 5
@@ -40,6 +44,7 @@ FREQUENT = 16
 MAX_FREQUENT = 100_000  # of the shingles that the order puts last; others are ordered by hash
 FLUSH = 1 << 21
 BLOCK_VALUES = 1 << 21
+BLOCK_ROWS = 4096
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int):
@@ -258,6 +263,87 @@ def _may_link(percent: int, na: str, nb: str, pa_: str, pb: str):
     return fits & (reach * (100 + percent) >= (F.col(na) + F.col(nb)) * percent)
 
 
+def _folded(sketches: list[bytes], bits: int) -> np.ndarray:
+    """Sketches of at least that many bits, folded to ``bits`` and packed, a row each."""
+    out = np.empty((len(sketches), max(bits // 8, 1)), np.uint8)
+    for i, x in enumerate(sketches):
+        x = np.frombuffer(x, np.uint8)
+        out[i] = x if len(x) * 8 == bits else np.packbits(_fold(np.unpackbits(x), bits))
+    return out
+
+
+def _pairs_of_group(left, right, same: bool, percent: int):
+    """Class pairs of two blocks of a group that are in two components and may link."""
+    (sa, na, pa_, ca, ka), (sb, nb, pb, cb, kb) = left, right
+    big, small = np.maximum(na[:, None], nb[None, :]), np.minimum(na[:, None], nb[None, :])
+    ok = (ca[:, None] != cb[None, :]) & (small * 100 >= big * percent)
+    reach = np.minimum((na - pa_)[:, None], (nb - pb)[None, :])
+    ok &= reach * (100 + percent) >= (big + small) * percent
+    if same:
+        ok &= np.tri(len(sa), k=-1, dtype=bool).T
+    i, j = np.nonzero(ok)
+    if not len(i):
+        return i, j
+    size_a, size_b = np.array([len(x) * 8 for x in ka]), np.array([len(x) * 8 for x in kb])
+    most = (na[i] + nb[j]) * (100 - percent) // (100 + percent)  # of differing shingles
+    bits = np.minimum(size_a[i], size_b[j])
+    keep = np.zeros(len(i), bool)
+    for m in np.unique(bits).tolist():
+        at = np.flatnonzero(bits == m)
+        rows_a, ia = np.unique(i[at], return_inverse=True)
+        rows_b, ib = np.unique(j[at], return_inverse=True)
+        x, y = _folded([ka[r] for r in rows_a], m), _folded([kb[r] for r in rows_b], m)
+        step = max(1, (1 << 24) // x.shape[1])
+        for s in range(0, len(at), step):
+            part = slice(s, s + step)
+            keep[at[part]] = np.bitwise_count(x[ia[part]] ^ y[ib[part]]).sum(axis=1) <= most[at[part]]
+    return i[keep], j[keep]
+
+
+def _across(percent: int):
+    """Rows sorted by (token, bi, bj) -> distinct pairs that may link; a group has at most two blocks of rows."""
+    def pairs(held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        col = {x: table[x].to_numpy() for x in ("sig", "n", "pos", "component", "block", "bi", "bj")}
+        sketches = table["sketch"].to_pylist()
+
+        def side(at):
+            return col["sig"][at], col["n"][at], col["pos"][at], col["component"][at], [sketches[r] for r in at.tolist()]
+        same = col["bi"][0] == col["bj"][0]
+        left = np.flatnonzero(col["block"] == col["bi"][0])
+        right = left if same else np.flatnonzero(col["block"] == col["bj"][0])
+        i, j = _pairs_of_group(side(left), side(right), same, percent)
+        return col["sig"][left[i]], col["sig"][right[j]]
+
+    def run(batches):
+        held, key, found = [], None, set()
+        for batch in batches:
+            keys = np.stack([batch.column(x).to_numpy() for x in ("token", "bi", "bj")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if s == e:
+                    continue
+                now = tuple(keys[s].tolist())
+                if held and now != key:
+                    found.update(zip(*(x.tolist() for x in pairs(held))))
+                    held = []
+                key = now
+                held.append(batch.slice(s, e - s))
+            if len(found) > FLUSH // 8:
+                yield _pair_batch(found)
+                found = set()
+        if held:
+            found.update(zip(*(x.tolist() for x in pairs(held))))
+        if found:
+            yield _pair_batch(found)
+    return run
+
+
+def _pair_batch(found: set) -> pa.RecordBatch:
+    a, b = (np.array(x, np.int64) for x in zip(*found))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
 class TrieJoin:
     """One run of the join over ``docs(doc_id, text)``; ``classes`` and ``links`` are DataFrames."""
 
@@ -312,9 +398,9 @@ class TrieJoin:
     def _links(self) -> DataFrame:
         rows = self.docs.mapInArrow(_prefixes(self.size, self.percent, self.order), "token bigint, sig bigint, n bigint, pos bigint")
         w = Window.partitionBy("token")
-        hub = F.min(F.struct("sig", "n", "pos")).over(w)
-        shared = cut_lineage(rows.withColumn("hub", hub).withColumn("last", F.max("sig").over(w))
-                             .filter("hub.sig <> last").drop("last").distinct())
+        hub = F.min(F.struct("pos", "sig", "n")).over(w)
+        shared = written(rows.withColumn("hub", hub).withColumn("low", F.min("sig").over(w)).withColumn("high", F.max("sig").over(w))
+                         .filter("low <> high").drop("low", "high").distinct(), "shared")
         stars = (shared.select(F.col("hub.sig").alias("a"), F.col("hub.n").alias("na"), F.col("hub.pos").alias("pa"),
                                F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
                  .filter("a <> b").filter(_may_link(self.percent, "na", "nb", "pa", "pb")))
@@ -323,17 +409,24 @@ class TrieJoin:
         self.labels = connected_components(links.select(F.col("a").alias("id")).union(links.select("b")).distinct(),
                                            links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
         # the pairs of a shingle's classes that are not in one component yet
-        marked = (shared.drop("hub").join(self.labels.withColumnRenamed("id", "sig"), "sig", "left")
+        marked = (shared.join(self.labels.withColumnRenamed("id", "sig"), "sig", "left")
                   .withColumn("component", F.coalesce("component", "sig")))
-        apart = marked.withColumn("low", F.min("component").over(w)).withColumn("high", F.max("component").over(w)).filter("low <> high")
-        apart = cut_lineage(apart.select("token", "sig", "n", "pos", "component"))
-        left = apart.select("token", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
-        right = apart.select("token", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
-        across = (left.join(right, (left["token"] == right["token"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-                            & _may_link(self.percent, "na", "nb", "pa", "pb"))
-                  .select("a", "b", "na", "nb").distinct()
-                  .join(first.select("a", "b"), ["a", "b"], "left_anti"))
-        more = self._verified(self._sketched(across))
+        apart = (marked.withColumn("low", F.min("component").over(w)).withColumn("high", F.max("component").over(w))
+                 .filter("low <> high")
+                 # shingles of one hub are one group: a class comes in once, with its widest reach
+                 .groupBy(F.col("hub.sig").alias("token"), "sig")
+                 .agg(F.max("n").alias("n"), F.min("pos").alias("pos"), F.max("component").alias("component")))
+        apart = written(apart, "apart")
+        sizes = apart.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+        blocks = (apart.join(sizes, "token").join(self.sketches, "sig")
+                  .withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+                  .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+                  .select("token", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block",
+                          "sig", "n", "pos", "component", "sketch"))
+        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
+        across = (blocks.repartition(n, "token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
+                  .mapInArrow(_across(self.percent), "a bigint, b bigint").distinct())
+        more = self._verified(across)
         self.labels = _joined(self.labels, more)
         return links.unionByName(more)
 

@@ -68,6 +68,13 @@ def test_components(spark, seed, percent, size):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, percent, size)
 
 
+def test_blocks_of_a_hot_shingle(spark, monkeypatch):
+    monkeypatch.setattr(trie_join, "BLOCK_ROWS", 3)
+    rows = corpus(21)
+    got = trie_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 60).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 60)
+
+
 def test_frequent_order_does_not_change_the_result(spark, monkeypatch):
     rows = corpus(11)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
