@@ -75,6 +75,15 @@ LEXICON = [
 POSITIVE_SEEDS = ["good", "great", "helpful", "flexible", "friendly", "support"]
 NEGATIVE_SEEDS = ["bad", "slow", "lack", "poor", "unclear", "workload"]
 
+# Words of the driver's synthetic corpus with scores of both signs, one of them twice
+# (the first row counts), and seed words that occur in it.
+CORPUS_LEXICON = [
+    ("with", 0.1), ("are", 0.05), ("idiot", -0.8), ("moron", -0.9), ("stupid", -0.7), ("worthless", -0.7),
+    ("pathetic", -0.6), ("scum", -0.9), ("clown", -0.3), ("clown", -0.9), ("that", 0.0),
+]
+CORPUS_POSITIVE_SEEDS = ["for", "good"]
+CORPUS_NEGATIVE_SEEDS = ["idiot", "moron", "stupid", "bad"]
+
 # English plural-to-singular suffix rules for the rule lemmatiser, applied in
 # this order to tokens longer than 3 characters: (suffix, replacement).
 PLURAL_RULES = [

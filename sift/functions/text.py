@@ -24,10 +24,6 @@ HTML_TAG = r"<[^>]*>"
 HTML_OPEN_TAIL = r"<[a-zA-Z/!][^>]*\z"
 # Named and numeric entities decoded after tags are gone; '&amp;' goes last so
 # that '&amp;lt;' becomes the text '&lt;' and not '<'.
-HTML_ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-    ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&#34;", '"'), ("&amp;", "&"),
-]
 WHITESPACE = r"\s+"
 NON_ALNUM = r"[^a-zA-Z0-9]"
 NON_ALPHA = r"[^a-zA-Z]"
@@ -65,11 +61,31 @@ def strip_html(c) -> Column:
         s = F.regexp_replace(s, pat, " ")
     s = F.regexp_replace(s, HTML_TAG, " ")
     s = F.regexp_replace(s, HTML_OPEN_TAIL, " ")
-    for ent, rep in HTML_ENTITIES:
-        s = F.replace(s, F.lit(ent), F.lit(rep))
+    s = F.when(s.contains("&"), decode_entities(s)).otherwise(s)
     return F.trim(F.regexp_replace(s, WHITESPACE, " "))
 
 
+def decode_entities(c) -> Column:
+    """Named (HTML 4 and ``apos``), decimal and hexadecimal character references, in one pass;
+    a no-break space becomes a space, an unknown reference stays as it is."""
+    from html.entities import name2codepoint
+    names = {**{k: chr(v) for k, v in name2codepoint.items()}, "apos": "'", "nbsp": " "}
+    known = F.create_map(*[F.lit(x) for k in sorted(names) for x in (k, names[k])])
+    parts = F.split(_c(c), r"&(?=#[0-9]{1,7};|#[xX][0-9a-fA-F]{1,6};|[A-Za-z][A-Za-z0-9]{1,31};)")
+
+    def decoded(part):
+        name = F.substring_index(part, ";", 1)
+        digits = F.when(name.rlike(r"^#[0-9]+\z"), F.conv(F.substring(name, 2, 10), 10, 16)) \
+                  .when(name.rlike(r"^#[xX][0-9a-fA-F]+\z"), F.substring(name, 3, 10))
+        code = F.conv(digits, 16, 10).cast("bigint")
+        ok = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(code == 160, F.lit(" ")).when(ok, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"))
+        value = F.coalesce(F.when(name.startswith("#"), char).otherwise(F.element_at(known, name)), F.concat(F.lit("&"), name, F.lit(";")))
+        return F.concat(value, F.substring(part, F.length(name) + 2, F.length(part)))
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decoded)
+    return F.concat(parts[0], F.array_join(rest, ""))
+
+
 def remove_punctuation(c) -> Column:
     """Delete the 32 ASCII punctuation characters (no space inserted)."""
     return F.translate(_c(c), R.PUNCTUATION, "")

@@ -84,6 +84,37 @@ def silhouette(points: DataFrame, vec_col: str, cluster_col: str, metric: str =
     return float(ev.evaluate(df))
 
 
+def silhouette_samples(points: DataFrame, id_col: str, vec_col: str, cluster_col: str) -> DataFrame:
+    """Silhouette (squared Euclidean) of every point in linear form: ``(id, cluster, silhouette)``.
+
+    The mean squared distance of x to the points of a cluster is
+    ``|x|^2 - 2 x.m + q`` with m their mean and q the mean of their squared norms, so
+    one row per cluster (broadcast after a check of its size) replaces all pairs.
+    The only point of a cluster, and every point of a single cluster, has 0.
+    """
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+    from sift.operators.vectors import dot
+    pts = points.select(F.col(id_col), F.col(cluster_col).alias("cluster"), F.col(vec_col).cast("array<double>").alias("v"))
+    pts = pts.withColumn("sq", dot("v", "v"))
+    cents = cut_lineage(pts.groupBy("cluster").agg(
+        vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("m"), F.avg("sq").alias("q"), F.count(F.lit(1)).alias("n")))
+    n_clusters = cents.count()
+    side = cents.select(F.col("cluster").alias("c"), "m", "q", "n")
+    if n_clusters <= 10_000:
+        side = F.broadcast(side)
+    far = F.col("sq") - 2 * dot("v", "m") + F.col("q")
+    # the nearest other cluster: one row per point and cluster inside the task, one per point leaves it
+    both = pts.join(side, F.lit(True), "cross") if n_clusters <= 10_000 else pts.crossJoin(side)
+    s = both.groupBy(id_col, "cluster").agg(
+        F.max(F.when(F.col("c") == F.col("cluster"), F.struct(far.alias("d"), F.col("n").alias("n")))).alias("own"),
+        F.min(F.when(F.col("c") != F.col("cluster"), far)).alias("b"))
+    a = F.col("own.d") * F.col("own.n") / (F.col("own.n") - 1)
+    s = s.withColumn("a", F.when(F.col("own.n") > 1, a))
+    return s.select(id_col, "cluster", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0)
+                    .otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
+
+
 def cluster_stats(labels: DataFrame, cluster_col: str = "cluster") -> DataFrame:
     """A11 + A10 + L7: cluster count (noise counts as one), noise size, sizes."""
     sizes = labels.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("size"))

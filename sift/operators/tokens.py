@@ -34,9 +34,27 @@ def regroup_tokens(long: DataFrame, id_col: str = "doc_id", out_col: str = "toke
                 .select(*keep, id_col, F.transform("_l", lambda x: x["token"]).alias(out_col)))
 
 
+def document_terms(long: DataFrame, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """``(keep..., id, token, m)``: occurrences per document and token, written once (checkpoint).
+
+    Every vocabulary statistic is an aggregate of this narrow table, so the texts are
+    scanned and cleaned once per job."""
+    from sift.session import cut_lineage
+    return cut_lineage(long.groupBy(*(keep or []), id_col, "token").agg(F.count(F.lit(1)).alias("m")))
+
+
+def idf_from_terms(terms: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """A2 from :func:`document_terms`: ``(token, df, n_docs, idf)``."""
+    n = terms.select(id_col).distinct().count()
+    return (terms.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("n_docs", F.lit(n).cast("long"))
+            .withColumn("idf", F.log(F.col("n_docs") / F.col("df"))))
+
+
 def token_counts(long: DataFrame, group_cols: list[str]) -> DataFrame:
-    """A1: token frequency per group (partial aggregation before the shuffle)."""
-    return long.groupBy(*group_cols, "token").agg(F.count(F.lit(1)).alias("cnt"))
+    """A1: token frequency per group (partial aggregation before the shuffle); of a token
+    table, or of :func:`document_terms`."""
+    cnt = F.sum("m") if "m" in long.columns else F.count(F.lit(1))
+    return long.groupBy(*group_cols, "token").agg(cnt.alias("cnt"))
 
 
 def top_tokens(counts: DataFrame, group_cols: list[str], n: int = 5) -> DataFrame:
@@ -74,15 +92,17 @@ def document_frequency(long: DataFrame, id_col: str = "doc_id", group_cols: list
 
 
 def frequency_band(dft: DataFrame, no_below: int = 2, no_above_pct: int = 15,
-                   keep_n: int = 100000) -> DataFrame:
+                   keep_n: int | None = None) -> DataFrame:
     """A3: vocabulary with ``no_below <= df <= floor(no_above_pct% of N)``.
 
-    At most ``keep_n`` tokens stay (highest df first, then token) — a global
-    top-n that Spark plans as a per-partition take-ordered with a bounded merge.
+    With ``keep_n`` at most so many tokens stay (highest df first, then token) — a
+    global top-n that Spark plans as a per-partition take-ordered with a bounded merge.
     """
     band = dft.filter((F.col("df") >= no_below) &
                       (F.col("df") <= F.floor(F.col("n_docs") * no_above_pct / 100)))
-    return band.orderBy(F.desc("df"), F.asc("token")).limit(keep_n).select("token", "df")
+    if keep_n is not None:
+        band = band.orderBy(F.desc("df"), F.asc("token")).limit(keep_n)
+    return band.select("token", "df")
 
 
 def filter_tokens(long: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -91,24 +111,24 @@ def filter_tokens(long: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def tfidf_scores(long: DataFrame, cluster_col: str = "cluster", id_col: str = "doc_id",
-                 min_df: float = 0.003, max_df: float = 0.5, max_features: int = 5000) -> DataFrame:
+                 min_df: float = 0.003, max_df: float = 0.5, max_features: int | None = None) -> DataFrame:
     """A4 + A5: per-cluster tf-idf keyword scores.
 
     Per cluster with ``n`` documents: keep tokens of length >= 2 with
-    ``min_df*n <= df <= max_df*n``, keep the ``max_features`` tokens with the
+    ``min_df*n <= df <= max_df*n``, with ``max_features`` keep so many tokens of the
     highest total count, ``idf = ln((1+n)/(1+df)) + 1``, L2-normalise each
     document's tf*idf vector, and score a term by its value in the last
     document (highest ``doc_id``) that holds it.
     """
-    toks = long.filter(F.length("token") >= 2)
-    tf = toks.groupBy(cluster_col, id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
-    ndocs = long.groupBy(cluster_col).agg(F.countDistinct(id_col).alias("n"))
+    terms = document_terms(long, id_col, [cluster_col])
+    tf = terms.filter(F.length("token") >= 2).withColumnRenamed("m", "tf")
+    ndocs = terms.groupBy(cluster_col).agg(F.countDistinct(id_col).alias("n"))
     stats = (tf.groupBy(cluster_col, "token")
                .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")))
     stats = stats.join(ndocs, cluster_col).filter(
         (F.col("df") >= F.col("n") * min_df) & (F.col("df") <= F.col("n") * max_df))
-    vocab = top_n_per_group(stats, [cluster_col], [F.desc("total"), F.asc("token")], max_features,
-                            salt_cols=["token"])
+    vocab = stats if max_features is None else top_n_per_group(
+        stats, [cluster_col], [F.desc("total"), F.asc("token")], max_features, salt_cols=["token"])
     vocab = vocab.withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1) \
                  .select(cluster_col, "token", "idf")
     w = tf.join(vocab, [cluster_col, "token"]).withColumn("w", F.col("tf") * F.col("idf"))
@@ -139,18 +159,27 @@ def corpus_tfidf(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
                  .withColumn("tfidf", F.col("tf") * F.col("idf")))
 
 
-def vocabulary_ids(long: DataFrame, num_words: int = 20000) -> DataFrame:
+def vocabulary_ids(long: DataFrame, num_words: int | None = None) -> DataFrame:
     """W6 + L10: ids by frequency (count desc, token asc); id 1 is out-of-vocabulary.
 
-    Word of rank r gets id r + 1; only ids below ``num_words`` are kept, so the
-    table holds at most ``num_words - 2`` rows (a proven bound: it may be
-    broadcast).
+    Word of rank r gets id r + 1; with ``num_words`` only ids below it are kept, so
+    the table then holds at most ``num_words - 2`` rows.  Without it the ranks come
+    from a range partition by (count, token): a rank inside the partition after the
+    words of the partitions before, so no task sorts the whole vocabulary.
     """
-    counts = long.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
-    top = counts.orderBy(F.desc("cnt"), F.asc("token")).limit(max(num_words - 2, 0))
     from pyspark.sql import Window
-    return top.withColumn("id", (F.row_number().over(Window.orderBy(F.desc("cnt"), F.asc("token"))) + 1)
-                          .cast("int"))
+    counts = long.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
+    if num_words is not None:
+        top = counts.orderBy(F.desc("cnt"), F.asc("token")).limit(max(num_words - 2, 0))
+        return top.withColumn("id", (F.row_number().over(Window.orderBy(F.desc("cnt"), F.asc("token"))) + 1).cast("int"))
+    from sift.session import cut_lineage, parallelism
+    parts = cut_lineage(counts.repartitionByRange(parallelism(long.sparkSession), F.desc("cnt"), F.asc("token"))
+                        .withColumn("_p", F.spark_partition_id()))
+    sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # one row a partition
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(F.desc("cnt"), F.asc("token")))
+    return (parts.withColumn("_r", inside).join(F.broadcast(before), "_p")
+            .select("token", "cnt", (F.col("_b") + F.col("_r") + 1).cast("int").alias("id")))
 
 
 def token_sequences(df: DataFrame, vocab: DataFrame, tokens_col: str = "tokens",
@@ -159,7 +188,7 @@ def token_sequences(df: DataFrame, vocab: DataFrame, tokens_col: str = "tokens",
     long = explode_nonempty(df.select(id_col, F.size(tokens_col).alias("_n"), F.col(tokens_col).alias("_t")),
                             [id_col, "_n"], "_t", "token", "pos") \
              .filter(F.col("pos") >= F.col("_n") - maxlen)
-    ids = long.join(F.broadcast(vocab.select("token", "id")), "token", "left") \
+    ids = long.join(vocab.select("token", "id"), "token", "left") \
               .select(id_col, "pos", F.coalesce("id", F.lit(1)).alias("token"))
     seq = regroup_tokens(ids, id_col, "seq")
     seq = df.select(id_col).join(seq, id_col, "left") \
@@ -175,7 +204,7 @@ def representative_statistical(long: DataFrame, cluster_col: str = "cluster", id
     ``cnt(cluster, token) / max cnt in the cluster``.  Token rows are
     pre-aggregated to ``(cluster, doc, token, m)`` before the join.
     """
-    per_doc = long.groupBy(cluster_col, id_col, "token").agg(F.count(F.lit(1)).alias("m"))
+    per_doc = document_terms(long, id_col, [cluster_col])
     counts = per_doc.groupBy(cluster_col, "token").agg(F.sum("m").alias("cnt"))
     mx = counts.groupBy(cluster_col).agg(F.max("cnt").alias("mx"))
     rel = counts.join(mx, cluster_col).select(cluster_col, "token", (F.col("cnt") / F.col("mx")).alias("rel"))
@@ -230,3 +259,25 @@ def noun_keywords(docs: DataFrame, is_noun, cluster_col: str = "cluster", id_col
     dfc = sets.groupBy(cluster_col, "token").agg(F.count(F.lit(1)).alias("df"))
     dfc = dfc.withColumn("pairs", F.col("df") * F.col("df"))
     return top_n_per_group(dfc, [cluster_col], [F.desc("pairs"), F.asc("token")], n, salt_cols=["token"])
+
+
+def normalise_by_tag(long: DataFrame, table: DataFrame, lemma_tags: list[str], drop_tags: list[str]) -> DataFrame:
+    """Tokens whose tag is in ``lemma_tags`` become their lemma, those in ``drop_tags`` go.
+
+    ``table(token, pos_tag, lemma)`` is a lexicon with one row per token; a token
+    without a row stays as it is."""
+    j = long.join(table.select("token", "pos_tag", "lemma"), "token", "left")
+    kept = j.filter(F.col("pos_tag").isNull() | ~F.col("pos_tag").isin(drop_tags))
+    token = F.when(F.col("pos_tag").isin(lemma_tags), F.coalesce("lemma", "token")).otherwise(F.col("token"))
+    return kept.withColumn("token", token).drop("pos_tag", "lemma")
+
+
+def annotations(long: DataFrame, table: DataFrame, limit: int | None = None, id_col: str = "doc_id") -> DataFrame:
+    """Per document the list of ``(token, pos_tag, lemma)`` in token order, the first ``limit`` of them.
+
+    Positions past the limit leave before the join; a token without a row has null tag and lemma."""
+    rows = long if limit is None else long.filter(F.col("pos") < limit)
+    j = rows.join(table.select("token", "pos_tag", "lemma"), "token", "left")
+    return (j.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "token", "pos_tag", "lemma"))).alias("_l"))
+            .select(id_col, F.transform("_l", lambda x: F.struct(x["token"].alias("token"), x["pos_tag"].alias("pos_tag"),
+                                                                 x["lemma"].alias("lemma"))).alias("annotations")))

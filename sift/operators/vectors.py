@@ -11,7 +11,7 @@ executors as literals.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -41,8 +41,9 @@ def norm(a) -> Column:
 
 
 def cosine_distance(a, b) -> Column:
-    """1 - a.b / (|a| |b|)."""
-    return F.lit(1.0) - dot(a, b) / (norm(a) * norm(b))
+    """1 - a.b / (|a| |b|); 1 where one of them is a zero vector."""
+    n = norm(a) * norm(b)
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.try_divide(dot(a, b), n))
 
 
 def scale(a, s) -> Column:
@@ -124,8 +125,9 @@ def mean_doc_vectors(long: DataFrame, token_vecs: DataFrame, id_col: str = "doc_
     """A8 + J2: plain mean of the token vectors of a document (repeats counted,
     tokens without a vector skipped).  Pre-aggregated to (doc, token, m)."""
     keep = keep or []
-    m = long.groupBy(*keep, id_col, "token").agg(F.count(F.lit(1)).cast("double").alias("m"))
-    j = m.join(token_vecs, "token")
+    if "m" not in long.columns:
+        long = long.groupBy(*keep, id_col, "token").agg(F.count(F.lit(1)).alias("m"))
+    j = long.withColumn("m", F.col("m").cast("double")).join(token_vecs, "token")
     return group_mean(j, keep + [id_col], "vec", "embedding", weight_col="m")
 
 
@@ -137,7 +139,7 @@ def weighted_doc_vectors(long: DataFrame, idf: DataFrame, token_vecs: DataFrame,
     vector.  Occurrences of one token add the same term, so rows are
     pre-aggregated to ``(doc, token, m)`` and weighted by ``m * a/(a+m*idf)``.
     """
-    m = long.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("m"))
+    m = long if "m" in long.columns else long.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("m"))
     j = m.join(idf.select("token", "idf"), "token").join(token_vecs, "token")
     j = j.withColumn("w", F.col("m") * (F.lit(a) / (F.lit(a) + F.col("m") * F.col("idf"))))
     sums = group_sum(j, [id_col], "vec", "w")
@@ -170,100 +172,86 @@ def _inline_rows(small: DataFrame, cols: list[str], dims: int):
     return rows
 
 
-def matrix_products(rows: list[list[float]], post: str | None = None):
-    """Pandas UDF ``array<double> -> array<double>``: the row vector times a small,
-    size-checked matrix (one NumPy product per Arrow batch).
-
-    ``post='log_half_one_plus'`` maps each product p to ``ln((1 + p) / 2)``.
-    The matrix travels with the UDF (like a broadcast of a bounded table).
-    """
-    m = np.asarray(rows, dtype=np.float64).T
-
-    @F.pandas_udf("array<double>")
-    def products(vs: pd.Series) -> pd.Series:
-        if len(vs) == 0:
-            return pd.Series([], dtype=object)
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in vs])
-        d = x @ m
-        if post == "log_half_one_plus":
-            d = np.log((1.0 + d) / 2.0)
-        return pd.Series(list(d))
-    return products
-
-
 def _unit_list(v) -> list[float]:
-    n = sum(float(x) * float(x) for x in v) ** 0.5
+    n = sum(float(x) * float(x) for x in v) ** 0.5 or 1.0
     return [float(x) / n for x in v]
 
 
-def _unit_frame(df: DataFrame, vec_col: str, out_col: str) -> DataFrame:
-    """Unit vectors in two projections, so the norm is computed once per row
-    (a norm referenced inside the per-element lambda would be recomputed per element)."""
-    return df.withColumn("_n", norm(vec_col)) \
-             .withColumn(out_col, F.transform(vec_col, lambda x: x.cast("double") / F.col("_n"))).drop("_n")
-
+def best_per_column(token_vecs: DataFrame, score, columns: list, col_name: str, col_type: str, n: int) -> DataFrame:
+    """``(col, token, score)``: of every Arrow batch of ``token_vecs(token, vec)`` the ``n`` best
+    tokens (highest score, ties by token) for each column of ``score(unit vectors) -> matrix``.
 
-def nearest_token_per_centroid(token_vecs: DataFrame, centroids: DataFrame, cluster_col: str,
-                               dims: int, chunk: int = 512) -> DataFrame:
-    """J7 + M14: for each cluster centroid, the corpus token with the smallest cosine distance.
-
-    Centroids are few (one per cluster) and checked against a size bound; they
-    are normalised on the driver and inlined in chunks of ``chunk``; each
-    token row is normalised once and computes one dot product per centroid
-    (one pass over the vocabulary per chunk, no join), and a top-1 per cluster
-    picks the title (ties by token).
+    Only columns x n rows leave a batch, not vocabulary x columns.
+    """
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = np.stack([np.asarray(x, np.float64) for x in batch.column("vec").to_pylist()])
+            length = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            length[length == 0] = 1.0
+            tokens = np.array(batch.column("token").to_pylist(), dtype=object)
+            order = np.argsort(tokens, kind="stable")
+            got = score(v / length)
+            cols, toks, vals = [], [], []
+            for c, name in enumerate(columns):
+                top = order[np.argsort(-np.round(got[order, c], 9), kind="stable")[:n]]
+                cols += [name] * len(top)
+                toks += tokens[top].tolist()
+                vals += got[top, c].tolist()
+            kind = pa.int32() if col_type == "int" else None
+            yield pa.RecordBatch.from_arrays([pa.array(cols, kind), pa.array(toks, pa.string()), pa.array(vals, pa.float64())],
+                                             names=[col_name, "token", "score"])
+    return spread(token_vecs.select("token", "vec")).mapInArrow(run, f"{col_name} {col_type}, token string, score double")
+
+
+def nearest_token_per_centroid(token_vecs: DataFrame, centroids: DataFrame, cluster_col: str, dims: int) -> DataFrame:
+    """J7 + M14: for each cluster centroid, the corpus token with the smallest cosine distance (ties by token).
+
+    The centroid table (one row per cluster, checked against a size bound) goes to
+    the tasks; every Arrow batch of tokens is one matrix product and hands on its
+    best token per cluster.
     """
     rows = _inline_rows(centroids, [cluster_col, "centroid"], dims)
-    tv = _unit_frame(spread(token_vecs), "vec", "_u").select("token", "_u")
-    parts = []
-    for i in range(0, len(rows), chunk):
-        part = rows[i:i + chunk]
-        sims = matrix_products([_unit_list(r[1]) for r in part])
-        ids = F.array(*[F.lit(r[0]) for r in part])
-        parts.append(tv.select("token", sims(F.col("_u")).alias("_s"))
-                       .select("token", F.explode(F.arrays_zip(ids.alias("c"), F.col("_s").alias("s"))).alias("x"))
-                       .select("token", F.col("x.c").alias(cluster_col), (F.lit(1.0) - F.col("x.s")).alias("dist")))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    allp = allp.withColumn("_d", F.round("dist", 9))
-    return top_n_per_group(allp, [cluster_col], [F.asc("_d"), F.asc("token")], 1,
-                           salt_cols=["token"]).drop("_d", "rank")
+    m = np.array([_unit_list(r[1]) for r in rows]).reshape(len(rows), -1).T
+    kind = centroids.schema[cluster_col].dataType.simpleString()
+    best = best_per_column(token_vecs, lambda u: u @ m, [r[0] for r in rows], cluster_col, kind, 1)
+    best = best.withColumn("dist", F.lit(1.0) - F.col("score")).withColumn("_d", F.round("dist", 9))
+    return top_n_per_group(best, [cluster_col], [F.asc("_d"), F.asc("token")], 1,
+                           salt_cols=["token"]).drop("_d", "rank", "score")
 
 
 def cosmul_titles(token_vecs: DataFrame, keywords: DataFrame, cluster_col: str, dims: int,
-                  topn: int = 3, eps: float = 1e-6) -> DataFrame:
+                  topn: int = 3, eps: float = 1e-6, negatives: bool = True) -> DataFrame:
     """M15 + J12 + A26: multiplicative-similarity titles.
 
-    For cluster c with keyword set P (its keywords) and N (keywords of every
-    other cluster): ``score(w) = prod_P (1+cos)/2 / (prod_N (1+cos)/2 + eps)``,
-    all keyword words excluded from the answers, top ``topn`` per cluster.
-    Products are sums of logs.  The keyword table (clusters x keywords x
-    dims) is bounded, normalised on the driver and inlined; with ``L = sum over
-    all keywords`` of the log-similarities, the negative part of cluster c is
-    ``L - P_c``.
+    For cluster c with keyword set P (its keywords) and N (the distinct keywords
+    of all other clusters; a word that c shares with another is in both):
+    ``score(w) = prod_P (1+cos)/2 / (prod_N (1+cos)/2 + eps)``; without
+    ``negatives`` the product over P alone.  All keyword words are excluded from the
+    answers; top ``topn`` per cluster.  Products are sums of logs; the keyword
+    table (distinct words x dims, checked against a size bound) goes to the tasks.
     """
-    kw = keywords.join(token_vecs, "token")
-    rows = sorted(_inline_rows(kw, [cluster_col, "token", "vec"], dims), key=lambda r: (r[0], r[1]))
-    excluded = sorted({r[1] for r in rows})
-    # keyword vectors ordered by cluster: each cluster is a contiguous slice of the array
-    slices, start = [], 1
-    for c in sorted({r[0] for r in rows}):
-        n_c = sum(1 for r in rows if r[0] == c)
-        slices.append((c, start, n_c))
-        start += n_c
-    logsims = matrix_products([_unit_list(r[2]) for r in rows], "log_half_one_plus")
-    t = _unit_frame(spread(token_vecs.filter(~F.col("token").isin(excluded))), "vec", "_u")
-    t = t.select("token", logsims(F.col("_u")).alias("logs"))
-    t = t.withColumn("_total", F.aggregate("logs", F.lit(0.0), lambda acc, x: acc + x))
-    per_c = F.array(*[F.struct(F.lit(c).alias(cluster_col),
-                               F.aggregate(F.slice("logs", st, n_c), F.lit(0.0), lambda acc, x: acc + x).alias("pos"))
-                      for c, st, n_c in slices])
-    e = t.select("token", "_total", F.explode(per_c).alias("x")).select("token", "_total", "x.*")
-    e = e.withColumn("score", F.exp("pos") / (F.exp(F.col("_total") - F.col("pos")) + F.lit(eps)))
-    e = e.withColumn("_s", F.round(F.log("score"), 9))
-    return top_n_per_group(e.select(cluster_col, "token", "score", "_s"), [cluster_col],
-                           [F.desc("_s"), F.asc("token")], topn, salt_cols=["token"]).drop("_s")
+    kw = keywords.select(cluster_col, "token").distinct()
+    words = sorted(_inline_rows(kw.select("token").distinct().join(token_vecs, "token"), ["token", "vec"], dims))
+    owners = _inline_rows(kw, [cluster_col, "token"], 1)
+    clusters = sorted({r[0] for r in owners})
+    place, column = {w[0]: i for i, w in enumerate(words)}, {c: i for i, c in enumerate(clusters)}
+    own = np.zeros((len(words), len(clusters)))
+    for c, w in owners:
+        if w in place:
+            own[place[w], column[c]] = 1.0
+    others = (own.sum(axis=1, keepdims=True) - own > 0).astype(float)
+    m = np.array([_unit_list(w[1]) for w in words]).reshape(len(words), -1).T
+
+    def score(u):
+        logs = np.log(np.maximum((1.0 + u @ m) / 2.0, 1e-300))
+        pos = logs @ own
+        return pos - np.log(np.exp(logs @ others) + eps) if negatives else pos
+    candidates = token_vecs.join(F.broadcast(kw.select("token").distinct()), "token", "left_anti")
+    best = best_per_column(candidates, score, clusters, cluster_col, kw.schema[cluster_col].dataType.simpleString(), topn)
+    best = best.withColumn("_s", F.round("score", 9))
+    return top_n_per_group(best, [cluster_col], [F.desc("_s"), F.asc("token")], topn, salt_cols=["token"]).drop("_s")
 
 
 def vocabulary_mean(token_vecs: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -47,8 +47,9 @@ def sql_strip_html(col: str) -> str:
     for pat in (r"(?s)<!--.*?-->", r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>",
                 r"<[^>]*>", r"<[a-zA-Z/!][^>]*\z"):
         s = f"regexp_replace({s}, {_q(pat)}, ' ', 'g')"
-    for ent, rep in [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                     ("&#x27;", "'"), ("&apos;", "'"), ("&#34;", '"'), ("&amp;", "&")]:
+    from html.entities import name2codepoint
+    named = [(f"&{k};", chr(v)) for k, v in sorted(name2codepoint.items()) if k not in ("amp", "nbsp")]
+    for ent, rep in [("&nbsp;", " "), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&#34;", '"'), *named, ("&amp;", "&")]:
         s = f"replace({s}, {_q(ent)}, {_q(rep)})"
     return f"trim(regexp_replace({s}, '\\s+', ' ', 'g'))"
 
@@ -138,8 +139,8 @@ SELECT token, count(*) AS cnt FROM t WHERE {sql_upper('token')}
 GROUP BY token ORDER BY cnt DESC, token LIMIT 35
 """
 
-_POS = "[" + ", ".join(_q(w) for w in R.POSITIVE_SEEDS) + "]"
-_NEG = "[" + ", ".join(_q(w) for w in R.NEGATIVE_SEEDS) + "]"
+_POS = "[" + ", ".join(_q(w) for w in R.CORPUS_POSITIVE_SEEDS) + "]"
+_NEG = "[" + ", ".join(_q(w) for w in R.CORPUS_NEGATIVE_SEEDS) + "]"
 ORACLE["seed_word_hits"] = f"""
 WITH d AS (SELECT doc_id, source, lang, {sql_tokenize(f"translate(text, {PUNCT}, '')")} AS t FROM documents),
 h AS (SELECT doc_id, source, lang,
@@ -325,17 +326,26 @@ _KW_TOP5 = """kc AS (SELECT cluster, token, count(*) AS cnt FROM l GROUP BY clus
 kr AS (SELECT cluster, token, row_number() OVER (PARTITION BY cluster ORDER BY cnt DESC, token) AS rk FROM kc),
 kw AS (SELECT cluster, token, rk FROM kr WHERE rk <= 5)"""
 
-ORACLE["cluster_titles_multiplicative"] = f"""
-WITH d AS ({_KW_DOCS}), l AS ({_KW_LONG}),
+_TITLE_SIMS = f"""d AS ({_KW_DOCS}), l AS ({_KW_LONG}),
 tv AS (SELECT token, {_TOY_VEC} AS vec FROM (SELECT DISTINCT token FROM l)),
 {_KW_TOP5},
-kv AS (SELECT kw.cluster, tv.vec FROM kw JOIN tv ON kw.token = tv.token),
 cand AS (SELECT * FROM tv WHERE token NOT IN (SELECT token FROM kw)),
-ls AS (SELECT cand.token, kv.cluster, ln((1 + (1 - {sql_cos_dist('cand.vec', 'kv.vec')})) / 2) AS l FROM cand, kv),
-tot AS (SELECT token, sum(l) AS total FROM ls GROUP BY token),
-pc AS (SELECT token, cluster, sum(l) AS pos FROM ls GROUP BY token, cluster),
-sc AS (SELECT pc.cluster, pc.token, exp(pos) / (exp(total - pos) + 1e-6) AS score FROM pc JOIN tot ON pc.token = tot.token),
-r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(ln(score), 9) DESC, token) AS rank FROM sc)
+ls AS (SELECT cand.token, w.token AS word, ln((1 + (1 - {sql_cos_dist('cand.vec', 'w.vec')})) / 2) AS l
+       FROM cand, (SELECT * FROM tv WHERE token IN (SELECT token FROM kw)) w),
+pc AS (SELECT ls.token, kw.cluster, sum(l) AS pos FROM ls JOIN kw ON kw.token = ls.word GROUP BY ls.token, kw.cluster)"""
+
+ORACLE["cluster_titles_multiplicative"] = f"""
+WITH {_TITLE_SIMS},
+neg AS (SELECT DISTINCT c.cluster, kw.token AS word FROM (SELECT DISTINCT cluster FROM kw) c JOIN kw ON kw.cluster <> c.cluster),
+nc AS (SELECT ls.token, neg.cluster, sum(l) AS neg FROM ls JOIN neg ON neg.word = ls.word GROUP BY ls.token, neg.cluster),
+sc AS (SELECT pc.cluster, pc.token, pos - ln(exp(neg) + 1e-6) AS score FROM pc JOIN nc ON pc.token = nc.token AND pc.cluster = nc.cluster),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, token) AS rank FROM sc)
+SELECT cluster, token, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3
+"""
+
+ORACLE["cluster_titles_positive"] = f"""
+WITH {_TITLE_SIMS},
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(pos, 9) DESC, token) AS rank FROM pc)
 SELECT cluster, token, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3
 """
 
@@ -385,14 +395,14 @@ SELECT id AS vec_id, min(lbl) AS cluster FROM reach GROUP BY id
 
 ORACLE["density_clusters"] = f"""
 WITH RECURSIVE {_PAIRS},
-w AS (SELECT q, s FROM pr WHERE dist <= 1.17),
+w AS (SELECT q, s FROM pr WHERE dist <= 1.12),
 core AS (SELECT p.vec_id AS id FROM p LEFT JOIN (SELECT q, count(*) AS c FROM w GROUP BY q) x ON p.vec_id = x.q
-         WHERE 1 + coalesce(x.c, 0) >= 3),
+         WHERE 1 + coalesce(x.c, 0) >= 2),
 ce AS (SELECT w.q, w.s FROM w WHERE w.q IN (SELECT id FROM core) AND w.s IN (SELECT id FROM core)),
 reach(id, lbl) AS (SELECT id, id FROM core UNION SELECT ce.s, reach.lbl FROM reach JOIN ce ON reach.id = ce.q),
 comp AS (SELECT id, min(lbl) AS component FROM reach GROUP BY id),
 sz AS (SELECT component, count(*) AS size FROM comp GROUP BY component),
-good AS (SELECT comp.id, comp.component FROM comp JOIN sz ON comp.component = sz.component WHERE size >= 5)
+good AS (SELECT comp.id, comp.component FROM comp JOIN sz ON comp.component = sz.component WHERE size >= 4)
 SELECT p.vec_id, CAST(coalesce(good.component, -1) AS BIGINT) AS cluster FROM p LEFT JOIN good ON p.vec_id = good.id
 """
 
@@ -432,7 +442,7 @@ WITH {_RUNS} SELECT CAST(coalesce(max(grid_id) + 1, 0) AS BIGINT) AS next_grid_i
 """
 
 
-_LEX = "(VALUES " + ", ".join(f"({_q(w)}, CAST({float(sc)!r} AS DOUBLE), {i})" for i, (w, sc) in enumerate(R.LEXICON)) + ") AS x(word, score, ord)"
+_LEX = "(VALUES " + ", ".join(f"({_q(w)}, CAST({float(sc)!r} AS DOUBLE), {i})" for i, (w, sc) in enumerate(R.LEXICON + R.CORPUS_LEXICON)) + ") AS x(word, score, ord)"
 _LEX_FEATS = f"""d AS (SELECT doc_id, {sql_clean_tokens('text', stopwords=False)} AS tokens FROM documents),
 lex AS (SELECT word, arg_min(score, ord) AS score FROM {_LEX} GROUP BY word),
 l AS (SELECT doc_id, unnest(tokens) AS word FROM d),
@@ -475,18 +485,26 @@ def _sql_positions(table: str, idc: str) -> str:
                   list_transform(string_split(text, ' '), lambda x: {sql_clean_token('x')}) AS c FROM {table})))"""
 
 
+# DuckDB measures bytes: the corpus' accented letters become single unused ASCII signs first
+_ACCENTED, _ONE_BYTE = "äöüßéèêëàâçñíóáúîïôûùœæ", "ABCDEFGHIJKLMNOPQRSTUVW"
+
+
+def _lev(a: str, b: str) -> str:
+    return f"levenshtein(translate({a}, '{_ACCENTED}', '{_ONE_BYTE}'), translate({b}, '{_ACCENTED}', '{_ONE_BYTE}'))"
+
+
 _SPELL_BASE = f"""pos AS {_sql_positions('documents', 'doc_id')},
 freq AS (SELECT clean, count(*) AS freq FROM pos WHERE clean <> '' GROUP BY clean),
-dict AS (SELECT DISTINCT clean AS word FROM {_sql_positions('benchmark', 'item_id')} WHERE regexp_matches(clean, '^[a-z]+\\z')),
+dict AS (SELECT DISTINCT clean AS word FROM {_sql_positions('benchmark', 'item_id')} WHERE clean <> ''),
 err AS (SELECT p.* FROM pos p LEFT JOIN freq f ON p.clean = f.clean
         WHERE p.pos > 0 AND NOT list_contains({STOP_LIST}, p.token) AND NOT list_contains({STOP_LIST}, p.clean)
           AND length(p.token) > 3 AND NOT regexp_matches(p.token, '^[A-Z]{{0,4}}\\W?s?\\z')
-          AND regexp_matches(p.clean, '^[a-z]+\\z') AND coalesce(f.freq, 0) <= 10
+          AND regexp_matches(p.clean, '\\p{{L}}') AND f.freq <= 10
           AND p.clean NOT IN (SELECT word FROM dict)),
 words AS (SELECT word FROM dict WHERE word IN (SELECT clean FROM freq WHERE freq > 10)),
-cand AS (SELECT q.query, w.word, levenshtein(q.query, w.word) AS distance
+cand AS (SELECT q.query, w.word, {_lev('q.query', 'w.word')} AS distance
          FROM (SELECT DISTINCT clean AS query FROM err) q, words w
-         WHERE abs(length(q.query) - length(w.word)) <= 2 AND levenshtein(q.query, w.word) <= 2)"""
+         WHERE abs(length(q.query) - length(w.word)) <= 3 AND {_lev('q.query', 'w.word')} <= 3)"""
 
 _SPELL_CHOICE = f"""bg AS (SELECT prev AS a, clean AS b, count(*) AS bc FROM pos WHERE prev IS NOT NULL AND prev <> '' AND clean <> '' GROUP BY prev, clean),
 c AS (SELECT e.doc_id, e.pos, e.token, e.clean, cand.word, cand.distance,
@@ -528,7 +546,7 @@ SELECT doc_id, label, array_to_string(list_filter(w, lambda t: length(t) >= 2),
 ORACLE["rows_per_question"] = "SELECT lang AS question, count(*) AS n_comments FROM documents GROUP BY lang"
 
 ORACLE["first_comments"] = f"""
-WITH d AS (SELECT doc_id, {CLUSTER} AS cluster FROM documents),
+WITH d AS (SELECT doc_id, CASE WHEN {CLUSTER} = 19 THEN -1 ELSE {CLUSTER} END AS cluster FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY doc_id) AS rank FROM d WHERE cluster <> -1)
 SELECT cluster, doc_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3
 """
@@ -563,7 +581,7 @@ t AS (SELECT question, cluster, unnest(tokens) AS token FROM d),
 c AS (SELECT question, cluster, token, count(*) AS cnt FROM t GROUP BY question, cluster, token),
 r AS (SELECT *, row_number() OVER (PARTITION BY question, cluster ORDER BY cnt DESC, token) AS rk FROM c),
 lab AS (SELECT question, cluster, string_agg(token, ' ' ORDER BY rk) AS label FROM r WHERE rk <= 3 GROUP BY question, cluster)
-PIVOT lab ON cluster USING first(label) GROUP BY question
+SELECT question, """ + ", ".join(f"max(CASE WHEN cluster = {c} THEN label END) AS \"{c}\"" for c in range(20)) + """ FROM lab GROUP BY question
 """
 
 
@@ -605,3 +623,64 @@ lof AS (SELECT ml.question, ml.q, ml.mean_lrd / lrd.lrd AS lof FROM ml JOIN lrd
 cut AS (SELECT question, quantile_cont(-lof, 0.15) AS c FROM lof GROUP BY question)
 SELECT lof.question, q AS doc_id, round(lof, 6) AS lof, (-lof >= cut.c) AS is_inlier FROM lof JOIN cut ON lof.question = cut.question
 """
+
+
+ORACLE["class_totals"] = """
+SELECT CASE WHEN (((doc_id * 7919 + 42) % 1000003) // 97) % 10 < 1 THEN 'test' ELSE 'train' END AS split,
+       quality - toxic AS sentiment, count(*) AS n_actual FROM labels GROUP BY ALL
+"""
+
+ORACLE["comments_per_group"] = """
+SELECT source AS report_grouping, lang AS question, count(*) AS n_comments,
+       CAST(sum(CASE WHEN length(text) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_filled, count(DISTINCT text) AS n_distinct
+FROM documents GROUP BY source, lang
+"""
+
+ORACLE["cluster_members"] = """
+WITH r AS (SELECT label, vec_id, CAST((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 100 AS INTEGER) AS chunk FROM embeddings)
+SELECT label, chunk, count(*) AS n, string_agg(CAST(vec_id AS VARCHAR), ' ' ORDER BY vec_id) AS ids FROM r GROUP BY label, chunk
+"""
+
+ORACLE["silhouette_samples"] = """
+WITH p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+pr AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lj,
+       list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+       FROM p a JOIN p b ON a.vec_id <> b.vec_id),
+m AS (SELECT i, li, lj, avg(d) AS md FROM pr GROUP BY i, li, lj),
+ab AS (SELECT i, li, max(CASE WHEN li = lj THEN md END) AS a, min(CASE WHEN li <> lj THEN md END) AS b FROM m GROUP BY i, li)
+SELECT i AS vec_id, li AS label, round(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM ab
+"""
+
+_TAGGED = f"""d AS ({_KW_DOCS}), l AS ({_KW_LONG}),
+tg AS (SELECT doc_id, pos, token, CASE WHEN regexp_matches(token, '(tion|ment|ness|ity|ance|ence|ship|ism)$') THEN 'NOUN'
+        WHEN suffix(token, 'ly') THEN 'ADV' WHEN suffix(token, 'ing') THEN 'VERB' ELSE 'X' END AS tag, {sql_lemma('token')} AS lemma FROM l)"""
+
+ORACLE["normalised_by_tag"] = f"""
+WITH {_TAGGED}
+SELECT doc_id, string_agg(CASE WHEN tag = 'NOUN' THEN lemma ELSE token END, ' ' ORDER BY pos) AS tokens FROM tg WHERE tag <> 'ADV' GROUP BY doc_id
+"""
+
+ORACLE["annotation_lists"] = f"""
+WITH {_TAGGED}
+SELECT doc_id, string_agg(token || '/' || tag || '/' || lemma, ' ' ORDER BY pos) AS annotations FROM tg WHERE pos < 20 GROUP BY doc_id
+"""
+
+ORACLE["total_variance"] = f"""
+WITH e AS ({_EMB_LONG}), v AS (SELECT k, var_samp(x) AS v FROM e GROUP BY k)
+SELECT CAST(count(*) AS INTEGER) AS n_components, round(sum(v), 6) AS variance, CAST(1.0 AS DOUBLE) AS explained FROM v
+"""
+
+ORACLE["simple_corrections"] = f"""WITH {_SPELL_BASE},
+keep AS (SELECT word FROM dict UNION SELECT clean FROM freq WHERE freq > 10),
+s AS (SELECT doc_id, {sql_sentences('text')} AS s FROM documents),
+ss AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS sent_no, unnest(s) AS sentence FROM s),
+w0 AS (SELECT doc_id, sent_no, string_split(lower(sentence), ' ') AS w FROM ss),
+w AS (SELECT doc_id, sent_no, generate_subscripts(w, 1) AS pos, unnest(w) AS word FROM w0),
+q AS (SELECT DISTINCT word AS query FROM w WHERE word NOT IN (SELECT word FROM keep)),
+c2 AS (SELECT q.query, words.word, {_lev('q.query', 'words.word')} AS distance FROM q, words
+       WHERE abs(length(q.query) - length(words.word)) <= 2 AND {_lev('q.query', 'words.word')} <= 2),
+rk AS (SELECT query, c2.word, row_number() OVER (PARTITION BY query ORDER BY distance, coalesce(freq, 0) DESC, c2.word) AS r
+       FROM c2 LEFT JOIN freq ON freq.clean = c2.word)
+SELECT w.doc_id, CAST(sent_no AS INTEGER) AS sent_no, string_agg(coalesce(rk.word, w.word), ' ' ORDER BY pos) AS corrected
+FROM w LEFT JOIN rk ON rk.query = w.word AND rk.r = 1 GROUP BY w.doc_id, sent_no
+"""

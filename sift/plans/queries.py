@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sift.functions import text as T
 from sift.operators import tokens as TK
 from sift.plans.tables import cluster_of_source, load
+from sift.session import cut_lineage
 
 QUERIES: dict = {}
 
@@ -126,7 +127,7 @@ def seed_word_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F5 + F11: per (group, question) the comments holding a seed word, with hit counts."""
     from sift.functions import resources as R
     d = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", T.tokenize(T.remove_punctuation("text")).alias("t"))
-    pos, neg = F.array(*[F.lit(w) for w in R.POSITIVE_SEEDS]), F.array(*[F.lit(w) for w in R.NEGATIVE_SEEDS])
+    pos, neg = F.array(*[F.lit(w) for w in R.CORPUS_POSITIVE_SEEDS]), F.array(*[F.lit(w) for w in R.CORPUS_NEGATIVE_SEEDS])
     hits = d.select("doc_id", "source", "lang",
                     F.size(F.filter("t", lambda x: F.array_contains(pos, x))).alias("pos_hits"),
                     F.size(F.filter("t", lambda x: F.array_contains(neg, x))).alias("neg_hits"))
@@ -188,10 +189,10 @@ def document_frequency_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def frequency_band_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3: keep tokens with 2 <= df <= floor(15% of N); documents may become empty."""
-    docs, long = _keyword_long(spark, sf_dir)
-    docs = docs.filter(F.size("tokens") > 0)
-    n = docs.count()
-    vocab = TK.frequency_band(TK.document_frequency(long, n_docs=n), 2, 15, 100000)
+    docs, _ = _keyword_long(spark, sf_dir)
+    docs = cut_lineage(docs.filter(F.size("tokens") > 0))
+    long = TK.token_table(docs)
+    vocab = TK.frequency_band(TK.document_frequency(long, n_docs=docs.count()), 2, 15)
     kept = TK.regroup_tokens(TK.filter_tokens(long, vocab), "doc_id", "kept")
     out = docs.select("doc_id").join(kept, "doc_id", "left") \
               .withColumn("kept", F.coalesce("kept", F.array().cast("array<string>")))
@@ -202,7 +203,7 @@ def frequency_band_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topic_keywords_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4 + A5 + L1: per-cluster tf-idf keywords, top 10 by score."""
     _, long = _keyword_long(spark, sf_dir, with_cluster=True)
-    ranked = TK.rank_keywords(TK.tfidf_scores(long, "cluster"), "cluster", 10)
+    ranked = TK.rank_keywords(TK.tfidf_scores(long, "cluster", max_features=5000), "cluster", 10)
     return ranked.select("cluster", "token", F.round("score", 6).alias("score"), "rank")
 
 
@@ -217,8 +218,9 @@ def corpus_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def token_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T24 + W6 + L10: frequency-ranked ids (cap 20000, OOV = 1), last 30, right-padded."""
-    docs, long = _keyword_long(spark, sf_dir)
-    vocab = TK.vocabulary_ids(long, 20000)
+    docs, _ = _keyword_long(spark, sf_dir)
+    docs = cut_lineage(docs)
+    vocab = TK.vocabulary_ids(TK.token_table(docs), 20000)
     seq = TK.token_sequences(docs, vocab, "tokens", "doc_id", 30)
     return seq.select("doc_id", F.array_join(F.col("seq").cast("array<string>"), " ").alias("seq"))
 
@@ -265,20 +267,21 @@ def _doc_vectors(spark, sf_dir):
     """Keyword docs, their long table, stand-in token vectors and mean doc vectors."""
     from sift.operators import vectors as V
     docs, long = _keyword_long(spark, sf_dir, with_cluster=True)
-    tv = V.toy_token_vectors(long.select("token"), 8)
-    dv = V.mean_doc_vectors(long, tv, "doc_id", keep=["cluster"])
-    return docs, long, tv, dv
+    terms = TK.document_terms(long, "doc_id", ["cluster"])
+    tv = V.toy_token_vectors(terms.select("token"), 8)
+    dv = V.mean_doc_vectors(terms, tv, "doc_id", keep=["cluster"])
+    return docs, terms, tv, dv
 
 
 @query
 def weighted_document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A7 + J2 + J3: smooth-inverse-frequency weighted comment vectors."""
     from sift.operators import vectors as V
-    docs, long = _keyword_long(spark, sf_dir)
-    n = docs.filter(F.size("tokens") > 0).count()
-    idf = TK.document_frequency(long, n_docs=n)
-    tv = V.toy_token_vectors(long.select("token"), 8)
-    w = V.weighted_doc_vectors(long, idf, tv, 1e-3)
+    _, long = _keyword_long(spark, sf_dir)
+    terms = TK.document_terms(long)
+    idf = TK.idf_from_terms(terms)
+    tv = V.toy_token_vectors(terms.select("token"), 8)
+    w = V.weighted_doc_vectors(terms, idf, tv, 1e-3)
     return w.select("doc_id", V.array_string("embedding").alias("embedding"))
 
 
@@ -305,12 +308,24 @@ def cluster_titles_multiplicative(spark: SparkSession, sf_dir: str) -> DataFrame
     """M15 + J12 + A26: 3CosMul titles from own vs other clusters' top-5 keywords."""
     from sift.operators import vectors as V
     _, long = _keyword_long(spark, sf_dir, with_cluster=True)
-    tv = V.toy_token_vectors(long.select("token"), 8)
-    kw = TK.top_tokens(TK.token_counts(long, ["cluster"]), ["cluster"], 5).select("cluster", "token")
+    counts = cut_lineage(TK.token_counts(long, ["cluster"]))
+    tv = V.toy_token_vectors(counts.select("token"), 8)
+    kw = TK.top_tokens(counts, ["cluster"], 5).select("cluster", "token")
     t = V.cosmul_titles(tv, kw, "cluster", 8, 3)
     return t.select("cluster", "token", "rank")
 
 
+@query
+def cluster_titles_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M15 (first form): titles from a cluster's own top-5 keywords alone."""
+    from sift.operators import vectors as V
+    _, long = _keyword_long(spark, sf_dir, with_cluster=True)
+    counts = cut_lineage(TK.token_counts(long, ["cluster"]))
+    tv = V.toy_token_vectors(counts.select("token"), 8)
+    kw = TK.top_tokens(counts, ["cluster"], 5).select("cluster", "token")
+    return V.cosmul_titles(tv, kw, "cluster", 8, 3, negatives=False).select("cluster", "token", "rank")
+
+
 @query
 def topic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per cluster keywords, top-5 label and the three most central comments."""
@@ -353,9 +368,9 @@ def single_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Density clusters at Euclidean radius 1.17, 3 samples, clusters of 5+."""
+    """Density clusters at Euclidean radius 1.12, 2 samples, clusters of 4+."""
     from sift.operators.cluster import density_clusters as dc
-    return dc(_emb(spark, sf_dir), "vec_id", "embedding", 1.17, 3, 5)
+    return dc(_emb(spark, sf_dir), "vec_id", "embedding", 1.12, 2, 4)
 
 
 @query
@@ -386,7 +401,7 @@ def kmeans_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bisecting_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5e: fixed-k hierarchical (bisecting k-means) clusters."""
     from sift.operators.cluster import kmeans
-    return kmeans(_emb(spark, sf_dir), "vec_id", "embedding", 10, 20, 42, bisecting=True)
+    return kmeans(_emb(spark, sf_dir), "vec_id", "embedding", 10, 100, 42, bisecting=True)
 
 
 @query
@@ -404,7 +419,7 @@ def best_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = ClusteringEvaluator(distanceMeasure="squaredEuclidean")
 
     def fit(k):
-        model = KMeans(k=k, maxIter=20, seed=42).fit(feats)
+        model = KMeans(k=k, maxIter=100, seed=42).fit(feats)
         return k, float(ev.evaluate(model.transform(feats)))
     # independent fits run as concurrent Spark jobs (as CrossValidator's parallelism does)
     from concurrent.futures import ThreadPoolExecutor
@@ -445,35 +460,62 @@ def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("vec_id", a[0].alias("PC1"), a[1].alias("PC2"))
 
 
-def _grid_steps():
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from sift.operators.cluster import kmeans
-    from sift.operators.neighbors import unit
+@query
+def topic_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3 + M8 + M6: normalise -> PCA(10) -> k-means(10, 100 iterations) -> LOF on the reduced vectors."""
+    from sift.operators.reduce import topic_pipeline as tp
+    r = tp(_emb(spark, sf_dir).select("vec_id", "embedding"), "kmeans", 10, {"k": 10})
+    return r.select("vec_id", "cluster", F.round("lof", 6).alias("lof"), "is_inlier")
 
-    def normalize(df, on):
-        return df.withColumn("embedding", unit(F.col("embedding").cast("array<double>"))) if on == "True" or on is True else df
 
-    def cluster(df, k):
-        return df.join(kmeans(df, "vec_id", "embedding", int(k), 20, 42), "vec_id")
-    return {"normalization": normalize, "cluster": cluster}
+@query
+def topic_pipeline_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8 in density mode on two principal components (grid cells prune there), LOF per label."""
+    from sift.operators.reduce import topic_pipeline as tp
+    r = tp(_emb(spark, sf_dir).select("vec_id", "embedding", "label"), "density", 2,
+           {"eps": 0.05, "min_samples": 3, "min_cluster_size": 5}, {"group_col": "label"})
+    return r.select("vec_id", "label", "cluster", F.round("lof", 6).alias("lof"), "is_inlier")
 
 
-@query
-def grid_search_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M9 + M10 + K5: grid (normalise on/off x k in 8,10,12) scored by cosine silhouette
-    on the unreduced vectors; one run-table row per node."""
+def _stored_runs(spark, sf_dir):
+    """Run a k-means grid (normalise x reduce x k), append it to a run table in the shared folder, read it back."""
+    import uuid
+    from sift.operators import reduce as RD
     from sift.operators import runs as RN
     from sift.operators.cluster import cluster_stats, silhouette
-    emb = _emb(spark, sf_dir).select("vec_id", "embedding")
-    grid = RN.build_grid({"normalization": {"on": [False, True]}, "cluster": {"k": [8, 10, 12]}})
+    from sift.session import checkpoint_dir
+    from sift.sources import readers, sinks
+    emb = cut_lineage(_emb(spark, sf_dir).select("vec_id", "embedding"))
+    raw = emb.select("vec_id", F.col("embedding").alias("raw"))
+    grid = RN.build_grid({"normalise": {"on": [False, True]}, "reduce": {"k": [2, 10]}, "cluster": {"k": [8, 10, 12]}})
 
     def evaluate(df):
-        sil = silhouette(df, "embedding", "cluster", "cosine")
-        st = cluster_stats(df).first()
-        return round(sil, 6), int(st["n_clusters"]), int(st["n_outliers"])
-    runs = RN.run_grid(spark, emb, "vec_id", "embedding", grid, _grid_steps(), evaluate, 0, "kmeans")
-    return runs.select("grid_id", "node", "mode", F.to_json("parameters").alias("parameters"),
-                       "silhouette", "n_clusters", "n_outliers")
+        labelled = df.select("vec_id", "cluster").join(raw, "vec_id")  # scored on the unreduced vectors
+        st = cluster_stats(labelled).first()
+        return round(silhouette(labelled, "raw", "cluster", "cosine"), 6), int(st["n_clusters"]), int(st["n_outliers"])
+    steps = {"normalise": RD.normalise_step, "reduce": RD.reduce_step, "cluster": RD.kmeans_step}
+    path = f"{checkpoint_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    next_id = RN.next_grid_id(readers.read_runs(spark, path)).first()[0]
+    sinks.append_runs(RN.run_grid(spark, emb, "vec_id", "embedding", grid, steps, evaluate, next_id, "kmeans"), path)
+    return readers.read_runs(spark, path)
+
+
+@query
+def grid_search_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9 + M10 + K5: grid (normalise x PCA to 2 or 10 x k in 8, 10, 12) scored by cosine silhouette
+    on the unreduced vectors; one run-table row per node, as stored."""
+    return _stored_runs(spark, sf_dir).select("grid_id", "node", "mode", F.to_json("parameters").alias("parameters"),
+                                              "silhouette", "n_clusters", "n_outliers")
+
+
+@query
+def grid_best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A24 + L6 over a run table that the grid search wrote: its best node, with the parameters."""
+    from sift.operators.runs import best_config as bc
+    runs = _stored_runs(spark, sf_dir)
+    best = bc(runs)
+    return best.join(runs.select("mode", "grid_id", F.col("node").alias("best_node"), F.to_json("parameters").alias("parameters")),
+                     ["mode", "grid_id", "best_node"])
 
 
 def _runs_from_embeddings(spark, sf_dir):
@@ -505,10 +547,11 @@ def next_grid_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sentiment_docs(spark, sf_dir):
     """Comments cleaned for sentiment: HTML, expansions, punctuation, T7/T8, T9 (stop words kept)."""
+    from sift.functions import resources as R
     from sift.operators import sentiment as S
     d = load(spark, sf_dir, "documents")
     docs = d.select("doc_id", T.clean_tokens("text", T.CleanOptions(stopwords=False)).alias("tokens"))
-    return docs, S.lexicon_features(docs, S.lexicon_frame(spark))
+    return docs, S.lexicon_features(docs, S.lexicon_frame(spark, R.LEXICON + R.CORPUS_LEXICON))
 
 
 @query
@@ -544,7 +587,7 @@ def train_predict_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sift.operators import sentiment as S
     data = _labelled(spark, sf_dir)
     model = S.train(data.filter((F.col("split") == "train") & F.col("label").isNotNull()))
-    return S.predict(model, data).join(data.select("doc_id", "split", "y"), "doc_id")
+    return model.transform(data).select("doc_id", (F.col("prediction") - 1).cast("int").alias("sentiment"), "split", "y")
 
 
 @query
@@ -575,7 +618,7 @@ def _spelling_base(spark, sf_dir):
     pos = cut_lineage(SP.positions(load(spark, sf_dir, "documents")))
     freq = SP.corpus_frequency(pos)
     bench = SP.positions(load(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"))
-    dictionary = bench.select(F.col("clean").alias("word")).filter(F.col("word").rlike(SP.ASCII_WORD)).distinct()
+    dictionary = bench.select(F.col("clean").alias("word")).filter(F.col("word") != "").distinct()
     errors = SP.detect_errors(pos, freq, dictionary, 10)
     # candidates: frequent corpus words that are also in the dictionary (bounded by the dictionary)
     words = dictionary.join(freq.filter(F.col("freq") > 10).select(F.col("clean").alias("word")), "word", "left_semi")
@@ -591,10 +634,10 @@ def spelling_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def spelling_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J11 + C3 + T23: dictionary/frequent words within edit distance 2 of each error word."""
+    """J11 + C3 + T23: dictionary/frequent words within edit distance 3 of each error word."""
     SP, _, _, errors, words = _spelling_base(spark, sf_dir)
     q = errors.select(F.col("clean").alias("query")).distinct()
-    return SP.candidate_pairs(q, words, 2).select("query", "word", "distance")
+    return SP.candidate_pairs(q, words, 3).select("query", "word", "distance")
 
 
 @query
@@ -602,7 +645,7 @@ def spelling_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4 + C5 + C6: chosen correction per error position (context = corpus bigrams)."""
     SP, pos, freq, errors, words = _spelling_base(spark, sf_dir)
     q = errors.select(F.col("clean").alias("query")).distinct()
-    cands = SP.candidate_pairs(q, words, 2)
+    cands = SP.candidate_pairs(q, words, 3)
     return SP.choose_corrections(errors, cands, SP.bigram_counts(pos), freq)
 
 
@@ -611,7 +654,7 @@ def spelling_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K8: (original, corrected) text of every comment the corrector changed."""
     SP, pos, freq, errors, words = _spelling_base(spark, sf_dir)
     q = errors.select(F.col("clean").alias("query")).distinct()
-    corr = SP.choose_corrections(errors, SP.candidate_pairs(q, words, 2), SP.bigram_counts(pos), freq)
+    corr = SP.choose_corrections(errors, SP.candidate_pairs(q, words, 3), SP.bigram_counts(pos), freq)
     return SP.rewrite(pos, corr)
 
 
@@ -640,9 +683,10 @@ def rows_per_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def first_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W5 + F12: first three comments per cluster by id (noise cluster -1 dropped)."""
+    """W5 + F12: first three comments per cluster by id (noise cluster -1 dropped; source 19 stands in for it)."""
     from sift.operators.topn import top_n_per_group
-    d = load(spark, sf_dir, "documents").select("doc_id", cluster_of_source().alias("cluster"))
+    c = cluster_of_source()
+    d = load(spark, sf_dir, "documents").select("doc_id", F.when(c == 19, -1).otherwise(c).alias("cluster"))
     d = d.filter(F.col("cluster") != -1)
     return top_n_per_group(d, ["cluster"], [F.asc("doc_id")], 3).select("cluster", "doc_id", "rank")
 
@@ -672,7 +716,7 @@ def keyword_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
                     T.keyword_tokens("text").alias("tokens"))
     long = TK.token_table(docs, keep=["question", "cluster"])
     lab = TK.keyword_labels(long, ["question", "cluster"], 3)
-    return lab.groupBy("question").pivot("cluster").agg(F.first("label"))
+    return lab.groupBy("question").pivot("cluster", list(range(20))).agg(F.first("label"))
 
 
 @query
@@ -715,16 +759,18 @@ def lof_per_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def simple_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word-by-word correction of every sentence (frequency-ranked, edit distance <= 2)."""
+    """Word-by-word correction of every sentence (edit distance <= 2, ranked by distance, then frequency).
+
+    Words are split at single spaces and only words are corrected: digits,
+    punctuation and accented letters stay in the text."""
     from sift.operators import spelling as SP
-    SPm, pos, freq, errors, cands = _spelling_base(spark, sf_dir)
+    _, pos, freq, _, cands = _spelling_base(spark, sf_dir)
     bench = SP.positions(load(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"))
-    dictionary = bench.select(F.col("clean").alias("word")).filter(F.col("word").rlike(SP.ASCII_WORD)).distinct()
+    dictionary = bench.select(F.col("clean").alias("word")).filter(F.col("word") != "").distinct()
     keep = dictionary.unionByName(freq.filter(F.col("freq") > 10).select(F.col("clean").alias("word"))).distinct()
     d = load(spark, sf_dir, "documents")
     s = T.explode_nonempty(d, ["doc_id"], T.split_sentences("text"), "sentence", "sent_no")
-    w = T.explode_nonempty(s, ["doc_id", "sent_no"], F.split(F.lower("sentence"), "[^a-z]+"), "word", "pos") \
-         .filter(F.col("word") != "")
+    w = T.explode_nonempty(s, ["doc_id", "sent_no"], F.split(F.lower("sentence"), " ", -1), "word", "pos")
     c = SP.simple_corrections(w, keep, cands, freq, 2)
     return c.select("doc_id", "sent_no", F.array_join("corrected", " ").alias("corrected"))
 
@@ -745,3 +791,78 @@ def stemmed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     stems = stem_column(long.select("token").distinct(), "token", "lemma")
     out = TK.regroup_tokens(TK.lemmatize_with_table(long, stems), "doc_id", "stems")
     return out.select("doc_id", F.array_join("stems", " ").alias("stems"))
+
+
+@query
+def class_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A21 + L5: labelled comments per class in the training and the test split."""
+    from sift.operators import sentiment as S
+    lab = load(spark, sf_dir, "labels").select("doc_id", (F.col("quality") - F.col("toxic")).alias("sentiment"))
+    return (lab.withColumn("split", S.split_column("doc_id")).groupBy("split", "sentiment")
+               .agg(F.count(F.lit(1)).alias("n_actual")))
+
+
+@query
+def comments_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """comments, non-empty comments and distinct texts per (group, question)."""
+    d = load(spark, sf_dir, "documents")
+    return d.groupBy(F.col("source").alias("report_grouping"), F.col("lang").alias("question")).agg(
+        F.count(F.lit(1)).alias("n_comments"), F.sum((F.length("text") > 0).cast("long")).alias("n_filled"),
+        F.countDistinct("text").alias("n_distinct"))
+
+
+@query
+def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per cluster the number of members and their ids in ascending order (as chunks of 100)."""
+    e = _emb(spark, sf_dir).select("label", "vec_id")
+    from pyspark.sql import Window
+    at = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    rows = e.withColumn("chunk", F.floor(at / 100).cast("int"))
+    return rows.groupBy("label", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("vec_id")).alias("ids")) \
+               .select("label", "chunk", "n", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
+@query
+def silhouette_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silhouette (squared Euclidean) of every vector, from cluster sums."""
+    from sift.operators.cluster import silhouette_samples as ss
+    r = ss(_emb(spark, sf_dir), "vec_id", "embedding", "label")
+    return r.select("vec_id", F.col("cluster").alias("label"), F.round("silhouette", 6).alias("silhouette"))
+
+
+def _toy_annotations(spark, sf_dir):
+    """A stand-in (token, pos, lemma) table over the corpus vocabulary: tags by suffix, lemmas by plural rules."""
+    _, long = _keyword_long(spark, sf_dir)
+    t = F.col("token")
+    tag = F.when(t.rlike(T.NOUN_SUFFIX), "NOUN").when(t.endswith("ly"), "ADV").when(t.endswith("ing"), "VERB").otherwise("X")
+    return long, long.select("token").distinct().select("token", tag.alias("pos_tag"), T.lemmatize_rules(F.array(t))[0].alias("lemma"))
+
+
+@query
+def normalised_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nouns to their lemma, adverbs dropped, all other tokens kept (a lexicon join on the token table)."""
+    long, table = _toy_annotations(spark, sf_dir)
+    out = TK.normalise_by_tag(long, table, lemma_tags=["NOUN"], drop_tags=["ADV"])
+    return TK.regroup_tokens(out, "doc_id", "tokens").select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query
+def annotation_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 20 (token, tag, lemma) annotations of every comment."""
+    long, table = _toy_annotations(spark, sf_dir)
+    r = TK.annotations(long, table, 20)
+    return r.select("doc_id", F.array_join(F.transform("annotations", lambda a: F.concat_ws("/", a["token"], a["pos_tag"], a["lemma"])), " ")
+                    .alias("annotations"))
+
+
+@query
+def total_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A17 + W7: variance of the centred vectors, its share in the principal components together, and the number of them."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    e = _emb(spark, sf_dir).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("x"))
+    s = e.agg(Summarizer.variance(F.col("x")).alias("v"), F.max(F.size(vector_to_array("x"))).alias("d")).first()
+    model = PCA(k=s["d"], inputCol="x", outputCol="p").fit(e)
+    return spark.createDataFrame([(int(s["d"]), round(float(sum(s["v"])), 6), round(float(model.explainedVariance.toArray().sum()), 6))],
+                                 "n_components int, variance double, explained double")

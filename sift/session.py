@@ -14,7 +14,8 @@ from pyspark.sql import SparkSession
 
 
 def get_spark(master: str = "local[8]", app: str = "sift", shuffle_partitions: int = 8,
-              extra: dict | None = None) -> SparkSession:
+              extra: dict | None = None, checkpoint: str | None = None) -> SparkSession:
+    """A session; ``checkpoint`` names the folder for checkpoints, which are removed when no longer used."""
     builder = (
         SparkSession.builder.master(master)
         .appName(app)
@@ -27,6 +28,9 @@ def get_spark(master: str = "local[8]", app: str = "sift", shuffle_partitions: i
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
     )
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    if checkpoint:
+        builder = builder.config("spark.checkpoint.dir", checkpoint)
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

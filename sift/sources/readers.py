@@ -27,24 +27,31 @@ def normalise_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().lower().replace(" ", "_") for c in df.columns])
 
 
-def read_survey(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
+def read_survey(spark: SparkSession, path: str, sep: str = ";", multi_line: bool = False) -> DataFrame:
     """S1 + F1 + F3: survey CSV -> ``(doc_id, comment_raw, report_grouping, question_text)``.
 
-    Optional columns become nulls (both names are tested).  ``doc_id`` is
-    ``monotonically_increasing_id`` — stable for the same files and split size.
+    All columns are read as strings; optional columns become nulls (both names
+    are tested).  ``doc_id`` is a hash of the row's content and of its number among
+    equal rows, so it does not depend on splits or file layout.  ``multi_line``
+    allows line breaks in quotes, at the price of one task per file.
     """
-    df = spark.read.option("header", True).option("sep", sep).option("multiLine", True) \
-                   .option("escape", '"').csv(path)
+    from pyspark.sql import Window
+    df = spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line) \
+                   .option("escape", '"').option("inferSchema", False).csv(path)
     cols = []
     for src, dst in SURVEY_COLUMNS.items():
-        cols.append(F.col(f"`{src}`").alias(dst) if src in df.columns else F.lit(None).cast("string").alias(dst))
-    return df.select(F.monotonically_increasing_id().alias("doc_id"), *cols)
+        cols.append(F.col(f"`{src}`").cast("string").alias(dst) if src in df.columns else F.lit(None).cast("string").alias(dst))
+    rows = df.select(*cols)
+    key = F.xxhash64(*rows.columns)
+    copies = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = copies.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")))
+    return numbered.select(F.when(F.col("_i") == 1, key).otherwise(F.xxhash64(*rows.columns, "_i")).alias("doc_id"), *rows.columns)
 
 
-def read_labelled_corpus(spark: SparkSession, path: str, corpus: str) -> DataFrame:
+def read_labelled_corpus(spark: SparkSession, path: str, corpus: str, multi_line: bool = False) -> DataFrame:
     """Header CSV projected to ``(text, label)`` by the corpus' column names."""
     text, label = CORPORA[corpus]
-    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    r = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if corpus == "tomatoes":
         r = r.option("encoding", "ISO-8859-1")
     return r.csv(path).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
@@ -65,7 +72,7 @@ def read_headerless_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_xml_documents(spark: SparkSession, path: str, row_tag: str = "Document") -> DataFrame:
     """XML source, one row per ``Document`` element -> ``(text, label)``."""
-    df = spark.read.format("xml").option("rowTag", row_tag).load(path)
+    df = spark.read.format("xml").option("rowTag", row_tag).schema("text string, sentiment string").load(path)
     return df.select(F.col("text").cast("string").alias("text"), F.col("sentiment").cast("string").alias("label"))
 
 
@@ -78,19 +85,20 @@ def split_by_question(df: DataFrame, question_col: str, questions: list[str]) ->
 def read_lexicon(spark: SparkSession, path: str, skip: int = 30) -> DataFrame:
     """Tab file, first ``skip`` lines skipped, word = text before the first '#'.
 
-    Global line numbers come from ``zipWithIndex`` (distributed; no single task
-    sees the file).  ``ord`` keeps file order for the first-wins rule.
+    A lexicon is one file of bounded size: it is read as one split (``wholetext``),
+    and ``ord`` is the line number, for the first-wins rule.
     """
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda r: (r[1], r[0][0]))
-    df = spark.createDataFrame(lines, "ord long, line string").filter(F.col("ord") >= skip)
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("ord", "line"))
     parts = F.split("line", "\t")
-    return df.select(F.split(parts[0], "#")[0].alias("word"), parts[1].cast("double").alias("score"), "ord") \
-             .filter(F.col("score").isNotNull())
+    return lines.filter(F.col("ord") >= skip) \
+                .select(F.split(parts[0], "#")[0].alias("word"), F.get(parts, F.lit(1)).try_cast("double").alias("score"),
+                        F.col("ord").cast("bigint").alias("ord")) \
+                .filter(F.col("score").isNotNull())
 
 
-def read_answers(spark: SparkSession, path: str, column: str = "answers") -> DataFrame:
+def read_answers(spark: SparkSession, path: str, column: str = "answers", multi_line: bool = False) -> DataFrame:
     """Comma CSV, one text column (pruned by Catalyst)."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path) \
+    return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path) \
                 .select(F.col(column).alias("text"))
 
 
@@ -108,13 +116,14 @@ def read_token_vectors(spark: SparkSession, path: str, fmt: str = "parquet") ->
     parts = F.split(F.trim("value"), " ")
     df = raw.select(parts.alias("p")).filter(F.size("p") > 2)
     return df.select(F.col("p")[0].alias("token"),
-                     F.slice("p", 2, F.size("p") - 1).cast("array<float>").alias("vec")).dropDuplicates(["token"])
+                     F.slice("p", 2, F.size("p") - 1).cast("array<float>").alias("vec")) \
+        .groupBy("token").agg(F.min("vec").alias("vec"))  # a repeated token: the least vector
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """The run table (empty frame with the run schema when absent)."""
     from sift.operators.runs import RUN_SCHEMA
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - a missing table is an empty table
+    from sift.sources.sinks import path_exists
+    if not path_exists(spark, path):
         return spark.createDataFrame([], RUN_SCHEMA + ", timestamp timestamp")
+    return spark.read.parquet(path)

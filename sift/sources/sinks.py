@@ -66,6 +66,12 @@ def append_runs(runs: DataFrame, path: str) -> None:
     runs.write.mode("append").partitionBy("grid_id").parquet(path)
 
 
+def path_exists(spark, path: str) -> bool:
+    """Whether a path exists in its file system (errors of the store propagate)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def delete_grid(spark, path: str, grid_id: int) -> None:
     """K7: drop one grid id = remove its partition directory of the run table."""
     jvm = spark._jvm
@@ -90,17 +96,17 @@ def cached_embeddings(df: DataFrame, text_col: str, embed: Callable[[DataFrame],
 
     Rows whose key is in the Parquet cache reuse the stored vector; only the
     misses go through ``embed`` (a DataFrame -> DataFrame transform adding
-    ``embedding``) and are appended to the cache.  Unlike a single pickled file
-    the cache cannot be reused for a different input by mistake.
+    ``embedding``) and are appended to the cache.  A null text has a key of its
+    own, so every input row comes back; a row that ``embed`` leaves out has a null
+    vector.  The cache counts as empty only if its path does not exist.
     """
     spark = df.sparkSession
-    keyed = df.withColumn(key_col, F.sha2(F.col(text_col), 256))
-    try:
-        known = spark.read.parquet(cache_path).select(key_col)
-        misses = keyed.join(known, key_col, "left_anti")
-    except Exception:  # noqa: BLE001 - no cache yet
-        misses = keyed
+    key = F.coalesce(F.sha2(F.col(text_col), 256), F.lit("null"))
+    keyed = df.withColumn(key_col, key)
+    misses = keyed
+    if path_exists(spark, cache_path):
+        misses = keyed.join(spark.read.parquet(cache_path).select(key_col), key_col, "left_anti")
     embed(misses).select(key_col, "embedding").dropDuplicates([key_col]) \
         .write.mode("append").parquet(cache_path)
-    cache = spark.read.parquet(cache_path).dropDuplicates([key_col])
-    return keyed.join(cache, key_col, "inner")
+    cache = spark.read.parquet(cache_path).groupBy(key_col).agg(F.min("embedding").alias("embedding"))
+    return keyed.join(cache, key_col, "left")

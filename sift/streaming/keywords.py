@@ -35,11 +35,21 @@ def keyword_counts(stream: DataFrame, group_col: str = "source", text_col: str =
 
 
 def start_keyword_counts(stream: DataFrame, sink_path: str, checkpoint: str, group_col: str = "source"):
-    """Write each micro-batch's updated counts to a Parquet table keyed by batch id."""
+    """Write each micro-batch's updated counts to ``sink_path/batch_id=<id>``.
+
+    A batch that runs again after a failure overwrites its own folder, so no row
+    comes twice; :func:`latest_counts` reads the current count of every token.
+    """
     counts = keyword_counts(stream, group_col)
 
     def write(batch: DataFrame, batch_id: int):
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink_path)
+        batch.write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/batch_id={batch_id}")
 
     return (counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
                   .foreachBatch(write).start())
+
+
+def latest_counts(spark: SparkSession, sink_path: str, group_col: str = "source") -> DataFrame:
+    """The newest count of every ``(group, token)``."""
+    rows = spark.read.option("basePath", sink_path).parquet(sink_path)
+    return rows.groupBy(group_col, "token").agg(F.max_by("cnt", "batch_id").alias("cnt"))

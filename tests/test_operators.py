@@ -116,3 +116,66 @@ def test_group_quantile_matches_numpy(spark):
         for g in ("a", "b", "c"):
             expanded = np.repeat([r[1] for r in rows if r[0] == g], [r[2] for r in rows if r[0] == g])
             assert abs(got[g] - np.percentile(expanded, 100 * p)) < 1e-12, (g, p)
+
+
+def test_titles_count_a_shared_negative_once(spark):
+    import math
+    from sift.operators.vectors import cosmul_titles
+    vec = {"p": [1.0, 0.2], "q": [0.3, 1.0], "s": [0.9, 0.5], "x": [1.0, 0.9], "y": [0.2, 0.7], "z": [0.0, 0.0]}
+    kw = [(0, "p"), (0, "s"), (1, "q"), (1, "s"), (2, "s")]
+    tv = spark.createDataFrame([(t, v) for t, v in vec.items()], "token string, vec array<double>")
+    kd = spark.createDataFrame(kw + [(2, "s")], "cluster int, token string")
+
+    def cos(a, b):
+        n = math.hypot(*a) * math.hypot(*b)
+        return sum(x * y for x, y in zip(a, b)) / n if n else 0.0
+    for negatives in (True, False):
+        want = {}
+        for c in (0, 1, 2):
+            own = {w for k, w in kw if k == c}
+            other = {w for k, w in kw if k != c}  # a set: s counts once, and also where c owns it too
+            score = {}
+            for t in ("x", "y", "z"):
+                pos = math.prod((1 + cos(vec[t], vec[w])) / 2 for w in own)
+                neg = math.prod((1 + cos(vec[t], vec[w])) / 2 for w in other) + 1e-6
+                score[t] = pos / neg if negatives else pos
+            want[c] = [t for t, _ in sorted(score.items(), key=lambda kv: (-round(math.log(kv[1]), 9), kv[0]))][:2]
+        got = {}
+        for r in cosmul_titles(tv, kd, "cluster", 2, 2, negatives=negatives).orderBy("cluster", "rank").collect():
+            got.setdefault(r.cluster, []).append(r.token)
+        assert got == want
+
+
+def test_distance_three_and_accented_words(spark):
+    from sift.operators import spelling as SP
+    docs = spark.createDataFrame([(1, "the enviromennts are wörkplce here"), (2, "x co-wroker y")] +
+                                 [(10 + i, "our environment wörkplace co-worker") for i in range(11)], "doc_id long, text string")
+    pos = SP.positions(docs)
+    freq = SP.corpus_frequency(pos)
+    words = freq.filter("freq > 10").selectExpr("clean as word")
+    errors = SP.detect_errors(pos, freq, words, 10)
+    assert {"enviromennts", "wörkplce", "co-wroker"} <= {r.clean for r in errors.collect()}
+    q = errors.selectExpr("clean as query").distinct()
+    got = {(r.query, r.word): r.distance for r in SP.candidate_pairs(q, words, 3).collect()}
+    assert got["enviromennts", "environment"] == 3 and got["wörkplce", "wörkplace"] == 1 and got["co-wroker", "co-worker"] == 2
+
+
+def test_vocabulary_ids_without_a_cap(spark):
+    from sift.operators import tokens as TK
+    rows = [(i, t) for i, t in enumerate(["b"] * 5 + ["a"] * 5 + ["c"] + [f"w{i}" for i in range(50)])]
+    long = spark.createDataFrame(rows, "doc_id int, token string")
+    full = {r.token: r.id for r in TK.vocabulary_ids(long).collect()}
+    capped = {r.token: r.id for r in TK.vocabulary_ids(long, 10).collect()}
+    assert full["a"] == 2 and full["b"] == 3 and full["c"] == 4 and sorted(full.values()) == list(range(2, 55))
+    assert capped == {t: i for t, i in full.items() if i < 10}
+
+
+def test_tag_operators(spark):
+    from sift.operators import tokens as TK
+    long = spark.createDataFrame([(1, 0, "cats"), (1, 1, "quickly"), (1, 2, "ran"), (2, 0, "odd")], "doc_id int, pos int, token string")
+    table = spark.createDataFrame([("cats", "NOUN", "cat"), ("quickly", "ADV", "quickly"), ("ran", "VERB", "run")],
+                                  "token string, pos_tag string, lemma string")
+    got = TK.regroup_tokens(TK.normalise_by_tag(long, table, ["NOUN"], ["ADV"]), "doc_id", "t")
+    assert {r.doc_id: r.t for r in got.collect()} == {1: ["cat", "ran"], 2: ["odd"]}
+    ann = {r.doc_id: [tuple(a) for a in r.annotations] for r in TK.annotations(long, table, 2).collect()}
+    assert ann == {1: [("cats", "NOUN", "cat"), ("quickly", "ADV", "quickly")], 2: [("odd", None, None)]}

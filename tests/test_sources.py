@@ -121,3 +121,62 @@ def test_sinks_and_model_roundtrip(spark):
     SK.save_model(m, f"{d}/model")
     m2 = SK.load_model(f"{d}/model")
     assert [r.sentiment for r in S.predict(m2, train).orderBy("doc_id").limit(3).collect()] == [-1, 0, 1]
+
+
+def test_survey_ids_do_not_depend_on_layout(spark):
+    d = tmp()
+    head, rows = "Report Grouping;Question Text;Comments\n", [f"A;Q{i % 2};text {i % 7}\n" for i in range(30)]
+    one = write(os.path.join(d, "one.csv"), head + "".join(rows))
+    os.mkdir(os.path.join(d, "many"))
+    for k in range(3):
+        write(os.path.join(d, "many", f"p{k}.csv"), head + "".join(reversed(rows[k::3])))
+    got = [sorted((r.doc_id, r.comment_raw, r.question_text) for r in RD.read_survey(spark, p).collect())
+           for p in (one, os.path.join(d, "many"))]
+    assert got[0] == got[1] and len({x[0] for x in got[0]}) == 30
+
+
+def test_multi_line_is_an_option(spark):
+    d = tmp()
+    p = write(os.path.join(d, "m.csv"), 'answers\n"first\nsecond"\nplain\n')
+    assert RD.read_answers(spark, p, multi_line=True).count() == 2
+    assert {r.text for r in RD.read_answers(spark, p, multi_line=True).collect()} == {"first\nsecond", "plain"}
+
+
+def test_column_readers_and_names(spark):
+    d = tmp()
+    p = write(os.path.join(d, "q.csv"), "Question,Comment,x\nQ1,a,1\nQ1,a,2\nQ2,b,3\n")
+    got = RD.read_columns(spark, p, ["Question", "Comment"])
+    assert sorted(map(tuple, got.collect())) == [("Q1", "a"), ("Q2", "b")]
+    assert RD.split_by_question(got, "Question", ["Q2"]).collect() == [("Q2", "b")]
+    assert RD.normalise_names(spark.createDataFrame([(1, 2)], "` My Col` int, `B` int")).columns == ["my_col", "b"]
+
+
+def test_sinks_k9_k11_k12(spark):
+    d = tmp()
+    df = spark.createDataFrame([("a", "1", "Q 1"), ("b", "-1", "Q2")], "comment string, label string, question_text string")
+    SK.write_predictions(df.select("comment", "label"), f"{d}/pred")
+    assert sorted(map(tuple, spark.read.option("header", True).csv(f"{d}/pred").collect())) == [("a", "1"), ("b", "-1")]
+    SK.write_stage(df.withColumn("v", F.array(F.lit(1.0))), d, 2)
+    assert spark.read.parquet(f"{d}/stage2.parquet").first().v == [1.0]
+    SK.write_keywords_by_question(df, f"{d}/kw")
+    assert {r.question_text for r in spark.read.parquet(f"{d}/kw").collect()} == {"Q 1", "Q2"}
+    SK.write_changed_pairs(spark.createDataFrame([("a b", "a c")], "original string, corrected string"), f"{d}/pairs")
+    assert spark.read.option("sep", "\t").csv(f"{d}/pairs").first()[1] == "a c"
+
+
+def test_cache_keeps_null_texts_and_store_errors(spark):
+    import pytest
+    d = tmp()
+    rows = spark.createDataFrame([("x",), (None,)], "text string")
+    out = SK.cached_embeddings(rows, "text", lambda f: f.withColumn("embedding", F.array(F.length("text").cast("float"))), f"{d}/c")
+    assert sorted(str(r.text) for r in out.collect()) == ["None", "x"]
+    write(os.path.join(d, "runs"), "not a table")
+    with pytest.raises(Exception):  # noqa: B017 - an unreadable run table is an error, not an empty one
+        RD.read_runs(spark, os.path.join(d, "runs")).count()
+
+
+def test_grid_frame(spark):
+    from sift.operators import runs as RN
+    grid = RN.build_grid({"reduce": {"k": [2, 3]}, "cluster": {"k": [8]}})
+    got = RN.grid_frame(spark, grid, 4).orderBy("node").collect()
+    assert [(r.grid_id, r.node, r.parameters["reduce"]["k"]) for r in got] == [(4, 0, "2"), (4, 1, "3")]

@@ -21,3 +21,23 @@ def test_stream_counts_equal_batch(spark):
             b.select("source", F.explode(T.keyword_tokens("text")).alias("token"))
              .groupBy("source", "token").count().withColumnRenamed("count", "cnt").collect()}
     assert got == want and len(got) > 0
+
+
+def test_written_counts_survive_a_batch_that_runs_twice(spark):
+    import os
+    from sift.streaming.keywords import latest_counts, start_keyword_counts
+    d = tempfile.mkdtemp(prefix="sift-ss-")
+    q = start_keyword_counts(comment_stream(spark, SF001, file_glob="documents.parquet"), f"{d}/out", f"{d}/ck")
+    q.processAllAvailable()
+    q.stop()
+    want = {(r.source, r.token): r.cnt for r in latest_counts(spark, f"{d}/out").collect()}
+    b = spark.read.parquet(f"{SF001}/documents.parquet")
+    assert sum(want.values()) == b.select(F.explode(T.keyword_tokens("text"))).count()
+    # the commit of the last batch is lost: it runs again
+    commits = f"{d}/ck/commits"
+    for f in os.listdir(commits):
+        os.replace(f"{commits}/{f}", f"{d}/{f}.lost")
+    q = start_keyword_counts(comment_stream(spark, SF001, file_glob="documents.parquet"), f"{d}/out", f"{d}/ck")
+    q.processAllAvailable()
+    q.stop()
+    assert {(r.source, r.token): r.cnt for r in latest_counts(spark, f"{d}/out").collect()} == want

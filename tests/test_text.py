@@ -60,3 +60,17 @@ def test_lemma_rules(spark):
     out = one(spark, lambda c: T.lemmatize_rules(T.tokenize(c)),
               "classes stories boxes churches dishes cats bus analysis is")
     assert out == ["class", "story", "box", "church", "dish", "cat", "bus", "analysis", "is"]
+
+
+def test_entities_in_one_pass(spark):
+    cases = {"caf&eacute; &#8217;s &euro;5 &#x20AC;": "café ’s €5 €", "&amp;lt; &lt;b&gt;": "&lt; <b>", "a&nbsp;b&#160;c": "a b c",
+             "&unknown; &#0; &#xD800; &#9999999; & &;": "&unknown; &#0; &#xD800; &#9999999; & &;", "": "", "&apos;&quot;": "'\"", "x &": "x &"}
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "s string")
+    got = {r.s: r.t for r in df.select("s", T.decode_entities("s").alias("t")).collect()}
+    assert got == {**cases, None: None}
+
+
+def test_whitespace_and_url_helpers(spark):
+    df = spark.createDataFrame([("a  b\t\tc d", "see http://x.y/z now @me ok")], "a string, b string")
+    r = df.select(T.collapse_whitespace_comma("a").alias("a"), T.remove_urls_mentions("b").alias("b")).first()
+    assert r.a == "a, b, c d" and r.b.split() == ["see", "now", "ok"]
