@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sift.llm.bytewords import NOT_SPACE, U, chunks, mix, word_hashes
-from sift.llm.common import bounded_batches, cut_lineage, mounted, shared_path
+from sift.llm.common import bounded_batches, cut_lineage, mounted, shared_path, tidy
 
 START, END = U(0x5354415254), U(0x454E44)
 PAIR = U(0xD6E8FEB86659FD93)
@@ -295,14 +295,14 @@ def train(docs: DataFrame, path: str | None = None) -> Model:
     docs = docs.select("text")
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     buckets = int(min(MAX_BUCKETS, max(4, (size.b or 0) // BUCKET_BYTES)))
-    words = cut_lineage(docs.mapInArrow(_count_words(buckets), BLOCK).groupBy("bucket").applyInArrow(_merge_words, BLOCK))
+    words = cut_lineage(docs.mapInArrow(tidy(_count_words(buckets)), BLOCK).groupBy("bucket").applyInArrow(_merge_words, BLOCK))
     total = words.mapInArrow(_totals, "v bigint, n bigint").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
     tokens, types = int(total.n or 0), int(total.v or 0)
     # at most 4 * buckets words hold more than that share of the tokens
     hot = np.array(sorted(np.array([r.w for r in words.mapInArrow(_hot_words(tokens / (4 * buckets)), "w bigint").collect()],
                                    np.int64).astype(U).tolist()), U)
     shared_hot = spark.sparkContext.broadcast(hot)
-    stats = cut_lineage(docs.mapInArrow(_count_bigrams(buckets, shared_hot), BLOCK)
+    stats = cut_lineage(docs.mapInArrow(tidy(_count_bigrams(buckets, shared_hot)), BLOCK)
                         .groupBy("bucket").applyInArrow(_merge_bigrams(path, buckets), BLOCK))
     of = np.zeros(4, np.int64)
     for r in stats.filter("kind = 3").select("a").collect():  # one row a bucket
@@ -431,7 +431,7 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
     m = train(rows.filter(~F.col("held_out")))
     model = docs.sparkSession.sparkContext.broadcast(m)
     scored = cut_lineage(rows.mapInArrow(
-        _score(model), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"))
+        tidy(_score(model)), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"))
     shutil.rmtree(m.path, ignore_errors=True)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(m.tokens).cast("bigint").alias("train_tokens"),
                          "base_score", "score")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from sift.llm.bytewords import LETTER_DIGIT, NOT_SPACE, U, chunks, mix, row_of, word_hashes
-from sift.llm.common import cut_lineage
+from sift.llm.common import cut_lineage, tidy
 
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
@@ -104,7 +104,7 @@ def labelled_sample(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Data
 def log_ratios(docs: DataFrame, sample: DataFrame, prior: float = PRIOR, z: float = Z) -> np.ndarray:
     """log(p_target / p_raw) of every bucket, 0 where it says nothing; the counts cover all rows of ``docs``."""
     marked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left").select("text", "is_target")
-    counts = cut_lineage(marked.mapInArrow(_count, "bucket bigint, raw bigint, target bigint")
+    counts = cut_lineage(marked.mapInArrow(tidy(_count), "bucket bigint, raw bigint, target bigint")
                          .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
     total = counts.filter("bucket = -1").first()
     ratio = np.zeros(BUCKETS, np.float32)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sift.llm.common import bounded_batches, shared_path
+from sift.llm.common import bounded_batches, shared_path, tidy
 from sift.llm.tokens import encode_column
 
 MAGIC = b"SIFTIDS1"
@@ -291,7 +291,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, segme
     rows = (docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("_h"))
             .repartitionByRange(n, *order).sortWithinPartitions(*order)
             .select("doc_id", "text", F.spark_partition_id().alias("part")))
-    rows.mapInArrow(_encode(tokenizer, end_id, segment, block), SEGMENTS).write.parquet(path)
+    rows.mapInArrow(tidy(_encode(tokenizer, end_id, segment, block)), SEGMENTS).write.parquet(path)
 
 
 def _decode(batches):
@@ -322,7 +322,7 @@ def read_digest(spark, path: str) -> DataFrame:
     if sizes.count() <= 1_000_000:
         base = F.broadcast(base)
     return rows.join(base, ["part", "segment"]).select("n_tokens", "doc_ids", "counts", "data", "base").mapInArrow(
-        _decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+        tidy(_decode), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sift.llm.bytewords import BYTE, U, _powers, mix, text_buffers
-from sift.llm.common import bounded_batches, written
+from sift.llm.common import bounded_batches, tidy, written
 
 LENGTH = 100
 K = 32
@@ -446,7 +446,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
         raise ValueError("1 <= k <= length <= 500")
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("th")).filter(F.octet_length("text") >= length)
-    rows = texts.mapInArrow(_anchors(length, k), FOUND)
+    rows = texts.mapInArrow(tidy(_anchors(length, k)), FOUND)
     place = [F.col("doc_id").asc_nulls_first(), F.col("th"), F.col("a")]
     ranked = (rows.withColumn("place", F.rank().over(Window.partitionBy("fp", "ctx").orderBy(*place)))
               .withColumn("different", F.sum((F.col("place") == 1).cast("int")).over(Window.partitionBy("fp")))
@@ -457,10 +457,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
                   .agg(F.collect_list(F.struct("fp", "a", "b", (F.col("different") > RANKS).alias("many"))).alias("regions"))
                   .withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th"))
     cut = written(texts.join(regions_of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
-                   .select("doc_id", "th", "text", "regions").mapInArrow(_cut_out(length), REGION), "regions")
+                   .select("doc_id", "th", "text", "regions").mapInArrow(tidy(_cut_out(length)), REGION), "regions")
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
     streamed = (cut.filter("kind = 0").select("fp", "doc_id", "th", "a", "data").dropDuplicates(["fp", "doc_id", "th", "a"])
-                .repartition(n, "fp").sortWithinPartitions("fp", *place).mapInArrow(_stream(length), SPANS))
+                .repartition(n, "fp").sortWithinPartitions("fp", *place).mapInArrow(tidy(_stream(length)), SPANS))
     windows = (cut.filter("kind = 2").withColumn("place", F.rank().over(Window.partitionBy("fp").orderBy(*place)))
                .filter("place > 1").select("doc_id", "th", "a", "b"))
     return spans.unionByName(cut.filter("kind = 1").select("doc_id", "th", "a", "b")).unionByName(streamed).unionByName(windows)

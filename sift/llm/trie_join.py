@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sift.llm.bytewords import NOT_SPACE, U, chunks, gram_hashes, mix, word_hashes
-from sift.llm.common import bounded_batches, cut_lineage, written
+from sift.llm.common import bounded_batches, cut_lineage, tidy, written
 from sift.operators.graph import connected_components
 
 SHINGLE = 5
@@ -353,7 +353,7 @@ class TrieJoin:
         spark = docs.sparkSession
         bounded_batches(spark)
         self.docs, self.size, self.percent, self.spark = docs.select(F.col("doc_id").cast("bigint"), "text"), size, percent, spark
-        found = cut_lineage(self.docs.mapInArrow(_profiles(size), PROFILE))
+        found = cut_lineage(self.docs.mapInArrow(tidy(_profiles(size)), PROFILE))
         self.profiles = found.filter("kind = 0").select("doc_id", "n", "sig")
         self.sketches = found.filter("kind = 0 and sketch is not null").select("sig", "sketch").dropDuplicates(["sig"])
         often = (found.filter("kind = 1").groupBy("sig").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
@@ -369,7 +369,7 @@ class TrieJoin:
         one = (self.profiles.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("rep"))
                .select("rep").distinct())
         rows = self.docs.join(one, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-        return (rows.mapInArrow(_set_rows(self.size, self.order), "sig bigint, shingles binary").dropDuplicates(["sig"]))
+        return (rows.mapInArrow(tidy(_set_rows(self.size, self.order)), "sig bigint, shingles binary").dropDuplicates(["sig"]))
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         pairs = cut_lineage(pairs)
@@ -377,7 +377,7 @@ class TrieJoin:
         both = (pairs.join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("set_b")), "b")
                 .join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("set_a")), "a")
                 .select("a", "b", "set_a", "set_b"))
-        return cut_lineage(both.mapInArrow(_verify(self.percent), "a bigint, b bigint"))
+        return cut_lineage(both.mapInArrow(tidy(_verify(self.percent)), "a bigint, b bigint"))
 
     def _sketched(self, pairs: DataFrame) -> DataFrame:
         """Pairs ``(a, b, na, nb)`` whose sketches do not differ in more bits than a link allows."""
@@ -396,7 +396,7 @@ class TrieJoin:
         return both.mapInArrow(run, "a bigint, b bigint")
 
     def _links(self) -> DataFrame:
-        rows = self.docs.mapInArrow(_prefixes(self.size, self.percent, self.order), "token bigint, sig bigint, n bigint, pos bigint")
+        rows = self.docs.mapInArrow(tidy(_prefixes(self.size, self.percent, self.order)), "token bigint, sig bigint, n bigint, pos bigint")
         w = Window.partitionBy("token")
         hub = F.min(F.struct("pos", "sig", "n")).over(w)
         shared = written(rows.withColumn("hub", hub).withColumn("low", F.min("sig").over(w)).withColumn("high", F.max("sig").over(w))
@@ -425,7 +425,7 @@ class TrieJoin:
                           "sig", "n", "pos", "component", "sketch"))
         n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
         across = (blocks.repartition(n, "token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
-                  .mapInArrow(_across(self.percent), "a bigint, b bigint").distinct())
+                  .mapInArrow(tidy(_across(self.percent)), "a bigint, b bigint").distinct())
         more = self._verified(across)
         self.labels = _joined(self.labels, more)
         return links.unionByName(more)
