@@ -32,6 +32,7 @@ MAX_LABELLED = 20_000
 SMOOTH = 0.5
 ROUNDS = 60
 EXACT = 1e-7
+BROADCAST_ROWS = 200_000
 
 WORD_BREAK = r"[ \t\n\x0B\f\r]+"
 
@@ -143,7 +144,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], max_lab
     domains = list(targets)
     members = cut_lineage(posteriors(docs, labelled, domains, max_labelled))
     rates, _ = fit_rates(members, targets, max_rate)
-    return (members.join(F.broadcast(rates), "p")  # at most one row per distinct rounded posterior
+    if rates.count() <= BROADCAST_ROWS:  # one row per distinct rounded posterior
+        rates = F.broadcast(rates)
+    return (members.join(rates, "p")
             .withColumn("_", F.explode(F.expr("array_repeat(0, cast(copies as int))")))
             .select("doc_id", "text_hash", "n_tokens",
                     *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], "rate",

@@ -22,8 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import BooleanType
 
 from sift.llm.bytewords import LETTER_DIGIT, LOWER, U, chunks, gram_hashes, row_of, word_hashes, word_spans
+from sift.llm.common import tidy, written
 
 WINDOW = 10
 K = 5
@@ -168,7 +171,7 @@ def contamination_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     for block in benchmark_blocks(benchmark, window, k, block_words):
         # one block needs no key to bring a document's blocks together
         key = F.lit("") if not parts and block.words < block_words else F.sha2(F.coalesce("text", F.lit("")), 256)
-        found = keyed.withColumn("row_key", key).mapInArrow(_matcher(sc.broadcast(block), k, window), MATCH_SCHEMA)
+        found = keyed.withColumn("row_key", key).mapInArrow(tidy(_matcher(sc.broadcast(block), k, window)), MATCH_SCHEMA)
         parts.append(found)
     if len(parts) == 1:
         return parts[0].drop("row_key")
@@ -194,10 +197,34 @@ def report(spans: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, unchanged, that hold no benchmark window."""
-    bad = report(contamination_spans(docs, benchmark)).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def _holds(broadcast, k, window):
+    """Whether the column ``text`` holds a window of a block."""
+    @arrow_udf(BooleanType())
+    def holds(text: pa.Array) -> pa.Array:
+        block = broadcast.value
+        parts = block.ready()
+        out = np.zeros(len(text), bool)
+        for i, _, buf, offs in chunks(text):
+            out[[i + r for r in scan(parts, block.items, k, window, buf, offs)]] = True
+        return pa.array(out)
+    return holds(F.col("text"))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K,
+                    block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs``, with all columns, that hold no window of the benchmark.
+
+    Each row is judged by its own text, so null and repeated ids do not matter, and no
+    text is shuffled.  After each block but the last the rows are written, so a task
+    holds one block.
+    """
+    sc = docs.sparkSession.sparkContext
+    kept = None
+    for block in benchmark_blocks(benchmark, window, k, block_words):
+        kept = docs if kept is None else written(kept, "clean")
+        if block.items:
+            kept = kept.filter(~_holds(sc.broadcast(block), k, window))
+    return kept
 
 
 def items_digest(items) -> str:

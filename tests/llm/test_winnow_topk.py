@@ -71,6 +71,16 @@ def test_winnowing_empty_tables(spark):
     assert winnow.clean_documents(d, b).collect() == d.collect()
 
 
+@pytest.mark.parametrize("block_words", [10**6, 25])
+def test_clean_documents(spark, block_words):
+    docs, items = corpus(7)
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    got = winnow.clean_documents(d, b, block_words=block_words).collect()
+    clean = sorted((str(i), str(t)) for i, t in docs if not brute([(i, t)], items)[0][-1])
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == clean
+
+
 def test_clean_documents_keeps_columns(spark):
     item = "one two three four five six seven eight nine ten"
     d = spark.createDataFrame([(1, item.upper(), "p"), (2, "clean", "q"), (None, "null id", None)],
