@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 32
-WINDOW_GROUP_LIMIT = 1000  # Spark's default windowGroupLimitThreshold
+WINDOW_GROUP_LIMIT = "1000"  # Spark's default of the session's windowGroupLimitThreshold
 
 
 def top_n_per_group(df: DataFrame, group_cols: list[str], order: list[Column], n: int,
@@ -30,7 +30,7 @@ def top_n_per_group(df: DataFrame, group_cols: list[str], order: list[Column], n
     ``salt_cols`` defaults to every column that is not a group column.
     """
     w = Window.partitionBy(*group_cols).orderBy(*order)
-    if n <= WINDOW_GROUP_LIMIT:
+    if n <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", WINDOW_GROUP_LIMIT)):
         return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= n)
     salt_cols = salt_cols or [c for c in df.columns if c not in group_cols]
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(buckets)))

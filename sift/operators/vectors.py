@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sift.operators.topn import top_n_per_group
-from sift.session import spread
+from sift.session import parallelism, spread
 
 # Upper bound for a table that is inlined into an expression (rows x dims).
 MAX_INLINE_VALUES = 2_000_000
@@ -273,11 +273,15 @@ def sentence_vectors(long: DataFrame, word_list: DataFrame, token_vecs: DataFram
 
 
 def train_word2vec(docs: DataFrame, tokens_col: str = "tokens", vector_size: int = 16, min_count: int = 5,
-                   max_iter: int = 1, seed: int = 42, partitions: int = 8) -> DataFrame:
-    """M1: token vectors learned on the corpus with Spark ML Word2Vec -> ``(token, vec)``."""
+                   max_iter: int = 1, seed: int = 42, partitions: int | None = None) -> DataFrame:
+    """M1: token vectors learned on the corpus with Spark ML Word2Vec -> ``(token, vec)``.
+
+    Words of fewer than ``min_count`` occurrences get no vector.  Spark keeps the
+    vocabulary and its vectors on the driver (8 bytes x vocabulary x size, twice), so
+    ``min_count`` bounds the job; ``partitions`` defaults to the session's parallelism."""
     from pyspark.ml.feature import Word2Vec
     w2v = Word2Vec(vectorSize=vector_size, minCount=min_count, maxIter=max_iter, seed=seed,
-                   numPartitions=partitions, inputCol=tokens_col, outputCol="_w2v")
+                   numPartitions=partitions or parallelism(docs.sparkSession), inputCol=tokens_col, outputCol="_w2v")
     model = w2v.fit(docs.select(tokens_col))
     return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vec"))
 
