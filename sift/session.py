@@ -8,10 +8,22 @@ with ``DataFrame.checkpoint()`` into the directory that the cluster names in
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (a driver started in
+    another folder; on a cluster the package is shipped or installed and the path is not used)."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+
 
 def get_spark(master: str = "local[8]", app: str = "sift", shuffle_partitions: int = 8,
               extra: dict | None = None, checkpoint: str | None = None) -> SparkSession:
@@ -46,6 +58,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     neither gets a private scratch directory (tests); a cluster session
     without a shared directory is an error rather than a silent local path.
     """
+    importable(spark)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -67,6 +80,7 @@ def cut_lineage(df):
 
 def parallelism(spark: SparkSession) -> int:
     """Task count for compute-heavy stages: the larger of shuffle partitions and cores."""
+    importable(spark)
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(shuffle, spark.sparkContext.defaultParallelism)
 
