@@ -35,7 +35,6 @@ def read_survey(spark: SparkSession, path: str, sep: str = ";", multi_line: bool
     equal rows, so it does not depend on splits or file layout.  ``multi_line``
     allows line breaks in quotes, at the price of one task per file.
     """
-    from pyspark.sql import Window
     df = spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line) \
                    .option("escape", '"').option("inferSchema", False).csv(path)
     cols = []
