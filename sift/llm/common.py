@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sift.session import checkpoint_dir, cut_lineage  # noqa: F401
+from sift.session import checkpoint_dir, cut_lineage, importable  # noqa: F401
 
 
 BATCH_BYTES = 32 << 20
@@ -18,6 +19,7 @@ BATCH_BYTES = 32 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of at most ``BATCH_BYTES`` of rows, unless the session sets a bound itself:
     10,000 long texts would otherwise be one batch."""
+    importable(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key, str(2**31 - 1))) >= 2**31 - 1:
         spark.conf.set(key, str(BATCH_BYTES))
@@ -70,8 +72,18 @@ def mounted(path: str) -> str:
     return path
 
 
+def drop_finished(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished jobs now: it follows the driver's
+    garbage collections, which may be far apart."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """A table written to the shared folder and read back: a checkpoint in compressed columns."""
-    path = shared_path(df.sparkSession, name)
+    spark, schema = df.sparkSession, df.schema
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    drop_finished(spark)
+    return spark.read.schema(schema).parquet(path)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sift.llm.bytewords import NOT_SPACE, U, chunks, mix, word_hashes
-from sift.llm.common import bounded_batches, cut_lineage, mounted, shared_path, tidy
+from sift.llm.common import bounded_batches, cut_lineage, drop_finished, mounted, shared_path, tidy
 
 START, END = U(0x5354415254), U(0x454E44)
 PAIR = U(0xD6E8FEB86659FD93)
@@ -304,10 +304,12 @@ def train(docs: DataFrame, path: str | None = None) -> Model:
     shared_hot = spark.sparkContext.broadcast(hot)
     stats = cut_lineage(docs.mapInArrow(tidy(_count_bigrams(buckets, shared_hot)), BLOCK)
                         .groupBy("bucket").applyInArrow(_merge_bigrams(path, buckets), BLOCK))
+    drop_finished(spark)
     of = np.zeros(4, np.int64)
     for r in stats.filter("kind = 3").select("a").collect():  # one row a bucket
         of += np.frombuffer(r.a, np.int64)
     merged = cut_lineage(words.unionByName(stats.filter("kind < 3")).groupBy("bucket").applyInArrow(_merge_stats(path), BLOCK))
+    drop_finished(spark)
     of_before, before = np.zeros(5, np.int64), 0
     for r in merged.select("a", "b").collect():  # one row a bucket
         of_before += np.frombuffer(r.a, np.int64)
