@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sift.llm.bytewords import NOT_SPACE, U, chunks, gram_hashes, mix, word_hashes
-from sift.llm.common import bounded_batches, cut_lineage, tidy, written
+from sift.llm.common import bounded_batches, cut_lineage, drop_finished, tidy, written
 from sift.operators.graph import connected_components
 
 SHINGLE = 5
@@ -45,6 +45,7 @@ MAX_FREQUENT = 100_000  # of the shingles that the order puts last; others are o
 FLUSH = 1 << 21
 BLOCK_VALUES = 1 << 21
 BLOCK_ROWS = 4096
+BROADCAST_IDS = 500_000
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int):
@@ -366,8 +367,9 @@ class TrieJoin:
     def _sets(self, pairs: DataFrame) -> DataFrame:
         """``(sig, shingles)`` of the classes in ``pairs(a, b)``."""
         wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-        one = (self.profiles.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-               .select("rep").distinct())
+        one = cut_lineage(self.profiles.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("rep"))
+                          .select("rep").distinct())
+        one = _small(one)
         rows = self.docs.join(one, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
         return (rows.mapInArrow(tidy(_set_rows(self.size, self.order)), "sig bigint, shingles binary").dropDuplicates(["sig"]))
 
@@ -377,7 +379,10 @@ class TrieJoin:
         both = (pairs.join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("set_b")), "b")
                 .join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("set_a")), "a")
                 .select("a", "b", "set_a", "set_b"))
-        return cut_lineage(both.mapInArrow(tidy(_verify(self.percent)), "a bigint, b bigint"))
+        links = cut_lineage(both.mapInArrow(tidy(_verify(self.percent)), "a bigint, b bigint"))
+        del sets, both
+        drop_finished(self.spark)
+        return links
 
     def _sketched(self, pairs: DataFrame) -> DataFrame:
         """Pairs ``(a, b, na, nb)`` whose sketches do not differ in more bits than a link allows."""
@@ -440,6 +445,11 @@ class TrieJoin:
         return linked.unionByName(alone)
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """The ids marked for a broadcast if there are at most ``BROADCAST_IDS``; beyond that texts are shuffled to them."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Components after further links: the old components are the vertices."""
     if links.isEmpty():
@@ -475,5 +485,8 @@ def first_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     """The rows of ``docs``, with all columns, that come first in their component.
 
     Rows without an id, and all rows of an id that is repeated, stay if the id is the component's."""
-    kept = near_duplicates(docs, size, percent).filter("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_id")).distinct()
+    kept = cut_lineage(near_duplicates(docs, size, percent).filter("doc_id = component_id or component_id is null")
+                       .select(F.col("doc_id").alias("_id")).distinct())
+    kept = _small(kept)
+    drop_finished(docs.sparkSession)
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(*docs.columns)

@@ -70,6 +70,7 @@ def test_components(spark, seed, percent, size):
 
 def test_blocks_of_a_hot_shingle(spark, monkeypatch):
     monkeypatch.setattr(trie_join, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(trie_join, "BROADCAST_IDS", 0)
     rows = corpus(21)
     got = trie_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 60).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 60)
