@@ -446,7 +446,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
         raise ValueError("1 <= k <= length <= 500")
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("th")).filter(F.octet_length("text") >= length)
-    rows = texts.mapInArrow(tidy(_anchors(length, k)), FOUND)
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
+    # dealt by anchor once: that serves the windows over (anchor, region) and over the anchor
+    rows = texts.mapInArrow(tidy(_anchors(length, k)), FOUND).repartition(n, "fp")
     place = [F.col("doc_id").asc_nulls_first(), F.col("th"), F.col("a")]
     ranked = (rows.withColumn("place", F.rank().over(Window.partitionBy("fp", "ctx").orderBy(*place)))
               .withColumn("different", F.sum((F.col("place") == 1).cast("int")).over(Window.partitionBy("fp")))
@@ -458,7 +460,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
                   .withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th"))
     cut = written(texts.join(regions_of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
                    .select("doc_id", "th", "text", "regions").mapInArrow(tidy(_cut_out(length)), REGION), "regions")
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
     streamed = (cut.filter("kind = 0").select("fp", "doc_id", "th", "a", "data").dropDuplicates(["fp", "doc_id", "th", "a"])
                 .repartition(n, "fp").sortWithinPartitions("fp", *place).mapInArrow(tidy(_stream(length)), SPANS))
     windows = (cut.filter("kind = 2").withColumn("place", F.rank().over(Window.partitionBy("fp").orderBy(*place)))
@@ -503,8 +504,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     others are its copies.  An empty table gives an empty table.  Only ``doc_id`` and ``text``
     are read.
     """
-    spans = (repeated_spans(docs, length, k).groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-             .withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th"))
+    # written before the texts are shuffled to them, so the regions' shuffles are gone by then
+    spans = written(repeated_spans(docs, length, k).groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+                    .withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th"), "spans")
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text"))
     out = (rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
