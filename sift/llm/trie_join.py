@@ -17,6 +17,11 @@ only classes are joined; class and set are told by 64-bit hashes.
    task, and are verified too.  So no link that joins two
    components is lost, and a group of thousands of near copies costs pairs in
    proportion to its size.
+4. The links themselves, and their number per document, are asked for apart: every
+   link lies within a component, so the sets of a component meet in blocks, dealt
+   out by pairs of blocks, and all pairs of a block pair are counted exactly, as
+   products of the blocks' incidence matrices.  Numbers of links leave a task as
+   one row a class; the pairs only if they are wanted.
 
 Verification stores the partners of a class in a trie over the reversed global
 order (frequent shingles first, so near copies share long paths), with edges of
@@ -27,6 +32,8 @@ the shingles that remain cannot reach the overlap its sets need.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -46,6 +53,9 @@ FLUSH = 1 << 21
 BLOCK_VALUES = 1 << 21
 BLOCK_ROWS = 4096
 BROADCAST_IDS = 500_000
+LINK_ROWS = 1024  # classes of a component in a block, about
+LINK_VALUES = 1 << 22  # and their shingles
+LINK_CELLS = 1 << 22  # cells of an incidence matrix at a time
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int):
@@ -345,8 +355,88 @@ def _pair_batch(found: set) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+def block_overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Shared shingles of every set of ``left`` with every set of ``right``."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    values = np.concatenate([*left, *right])
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    order = np.argsort(values, kind="stable")
+    values, row = values[order], row[order]
+    new = np.append(True, values[1:] != values[:-1])
+    column = np.cumsum(new) - 1
+    mine = row < len(left)
+    n = int(column[-1]) + 1
+    both = (np.bincount(column[mine], minlength=n) > 0) & (np.bincount(column[~mine], minlength=n) > 0)
+    at = both[column]
+    row, mine, column = row[at], mine[at], (np.cumsum(both) - 1)[column[at]]
+    width = max(1, LINK_CELLS // max(len(left), len(right)))
+    for s in range(0, int(both.sum()), width):
+        i, j = np.searchsorted(column, [s, s + width])
+        r, c, m = row[i:j], column[i:j] - s, mine[i:j]
+        wide = int(c[-1]) + 1
+        a, b = np.zeros((len(left), wide), np.float32), np.zeros((len(right), wide), np.float32)
+        a[r[m], c[m]] = 1
+        b[r[~m] - len(left), c[~m]] = 1
+        out += (a @ b.T).astype(np.int64)
+    return out
+
+
+def _linked(percent: int, pairs: bool):
+    """Rows sorted by (component, bi, bj) -> (a, b) of all links, or (sig, linked rows) of the block pair."""
+    names = ["a", "b"] if pairs else ["sig", "n_links"]
+
+    def found(held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        sig, size, block, bi, bj = (table[x].to_numpy() for x in ("sig", "size", "block", "bi", "bj"))
+        sets = [np.frombuffer(x, U) for x in table["shingles"].to_pylist()]
+        same = bi[0] == bj[0]
+        left = np.flatnonzero(block == bi[0])
+        right = left if same else np.flatnonzero(block == bj[0])
+        if not len(left) or not len(right):
+            return None
+        shared = block_overlaps([sets[i] for i in left], [sets[j] for j in right])
+        n = np.array([len(x) for x in sets])
+        ok = shared * (100 + percent) >= percent * (n[left][:, None] + n[right][None, :])
+        if same:
+            np.fill_diagonal(ok, False)
+        if pairs:
+            i, j = np.nonzero(np.triu(ok) if same else ok)
+            x, y = sig[left[i]], sig[right[j]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=names)
+        who, count = sig[left], ok @ size[right]
+        if not same:
+            who, count = np.append(who, sig[right]), np.append(count, ok.T @ size[left])
+        return pa.RecordBatch.from_arrays([pa.array(who), pa.array(count.astype(np.int64))], names=names)
+
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            keys = np.stack([batch.column(x).to_numpy() for x in ("component", "bi", "bj")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if s == e:
+                    continue
+                now = tuple(keys[s].tolist())
+                if held and now != key:
+                    out = found(held)
+                    held = []
+                    if out is not None:
+                        yield out
+                key = now
+                held.append(batch.slice(s, e - s))
+        out = found(held) if held else None
+        if out is not None:
+            yield out
+    return run
+
+
 class TrieJoin:
-    """One run of the join over ``docs(doc_id, text)``; ``classes`` and ``links`` are DataFrames."""
+    """One run of the join over ``docs(doc_id, text)``.
+
+    ``classes``: ``(doc_id, sig)``, the class of every row that has words.  ``joining``:
+    the verified pairs that make the components.  ``links``: all pairs ``(a, b)`` of
+    classes that link, as many as there are; rows of one class link besides.
+    """
 
     def __init__(self, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, max_frequent: int = MAX_FREQUENT):
         if size < 1 or not 0 < percent <= 100:
@@ -362,11 +452,11 @@ class TrieJoin:
         keys = np.array([r.sig for r in often], np.int64).astype(U)
         order = np.argsort(keys)
         self.order = spark.sparkContext.broadcast((keys[order], np.array([r.n for r in often], np.int64)[order]))
-        self.links = self._links()
+        self.classes = self.profiles.filter("n > 0").select("doc_id", "sig")
+        self.joining = self._joining()
 
-    def _sets(self, pairs: DataFrame) -> DataFrame:
-        """``(sig, shingles)`` of the classes in ``pairs(a, b)``."""
-        wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
+    def _sets(self, wanted: DataFrame) -> DataFrame:
+        """``(sig, shingles)`` of the classes in ``wanted(sig)``."""
         one = cut_lineage(self.profiles.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("rep"))
                           .select("rep").distinct())
         one = _small(one)
@@ -375,7 +465,7 @@ class TrieJoin:
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         pairs = cut_lineage(pairs)
-        sets = self._sets(pairs)
+        sets = self._sets(pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct())
         both = (pairs.join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("set_b")), "b")
                 .join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("set_a")), "a")
                 .select("a", "b", "set_a", "set_b"))
@@ -400,7 +490,7 @@ class TrieJoin:
                                                  names=["a", "b"])
         return both.mapInArrow(run, "a bigint, b bigint")
 
-    def _links(self) -> DataFrame:
+    def _joining(self) -> DataFrame:
         rows = self.docs.mapInArrow(tidy(_prefixes(self.size, self.percent, self.order)), "token bigint, sig bigint, n bigint, pos bigint")
         w = Window.partitionBy("token")
         hub = F.min(F.struct("pos", "sig", "n")).over(w)
@@ -435,6 +525,35 @@ class TrieJoin:
         self.labels = _joined(self.labels, more)
         return links.unionByName(more)
 
+    def _within(self, pairs: bool, schema: str) -> DataFrame:
+        """What ``_linked`` finds in the pairs of blocks of every component."""
+        sizes = self.profiles.filter("n > 0").groupBy("sig").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("size"))
+        members = cut_lineage(self.labels.withColumnRenamed("id", "sig").join(sizes, "sig"))
+        most = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / LINK_ROWS), F.ceil(F.sum("n") / LINK_VALUES))
+                                                .cast("int").alias("blocks"))
+        blocks = (members.join(most, "component").join(self._sets(members.select("sig")), "sig")
+                  .withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+                  .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+                  .select("component", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block",
+                          "sig", "size", "shingles"))
+        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
+        found = cut_lineage(blocks.repartition(n, "component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
+                            .mapInArrow(tidy(_linked(self.percent, pairs)), schema))
+        drop_finished(self.spark)
+        return found
+
+    @functools.cached_property
+    def links(self) -> DataFrame:
+        return self._within(True, "a bigint, b bigint")
+
+    def link_counts(self) -> DataFrame:
+        """``(doc_id, n_links)``, one row per row of the documents: the other rows it links with."""
+        own = self.profiles.groupBy("sig").agg((F.count(F.lit(1)) - 1).alias("own"))
+        other = self._within(False, "sig bigint, n_links bigint").groupBy("sig").agg(F.sum("n_links").alias("other"))
+        per = own.join(other, "sig", "left").select("sig", (F.col("own") + F.coalesce("other", F.lit(0))).alias("n_links"))
+        return (self.profiles.filter("n > 0").join(per, "sig").select("doc_id", "n_links")
+                .unionByName(self.profiles.filter("n = 0").select("doc_id", F.lit(0).cast("bigint").alias("n_links"))))
+
     def components(self) -> DataFrame:
         """``(doc_id, n_shingles, component_id)``, one row per row of the documents."""
         sets = self.profiles.filter("n > 0").join(self.labels.withColumnRenamed("id", "sig"), "sig", "left") \
@@ -481,6 +600,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     return TrieJoin(docs, size, percent).components()
 
 
+def link_counts(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, n_links)``, one row per row of ``docs``: the number of other rows
+    that link with it, as ``near_duplicates`` defines a link.  All pairs of a component are verified."""
+    return TrieJoin(docs, size, percent).link_counts()
+
+
 def first_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, with all columns, that come first in their component.
 

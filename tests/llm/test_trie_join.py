@@ -114,6 +114,40 @@ def test_links_are_links(spark):
         assert 100 * len(a & b) >= 75 * len(a | b)
 
 
+def all_links(rows, percent=75, size=5):
+    sets = [shingles(t, size) for _, t in rows]
+    return [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j]
+            and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+
+
+@pytest.mark.parametrize("seed,percent,size,block", [(6, 75, 5, 1024), (7, 50, 2, 3), (8, 75, 5, 4)])
+def test_all_links_and_their_numbers(spark, monkeypatch, seed, percent, size, block):
+    monkeypatch.setattr(trie_join, "LINK_ROWS", block)
+    monkeypatch.setattr(trie_join, "LINK_CELLS", 64 * block)
+    rows = corpus(seed)
+    base = [f"b{i}" for i in range(90)]  # a group of near copies: nearly all pairs link
+    rows += [(2000 + i, " ".join(base[:k] + [f"edit{i}"] + base[k:])) for i, k in enumerate(range(3, 90, 3))]
+    run = trie_join.TrieJoin(spark.createDataFrame(rows, "doc_id bigint, text string"), size, percent)
+    true = all_links(rows, percent, size)
+    count = [0] * len(rows)
+    for pair in true:
+        for i in pair:
+            count[i] += 1
+    got = run.link_counts().collect()
+    assert sorted((str(r.doc_id), r.n_links) for r in got) == sorted((str(d), c) for (d, _), c in zip(rows, count))
+    sets = [shingles(t, size) for _, t in rows]
+    pairs = {(frozenset(sets[i]), frozenset(sets[j])) for i, j in true if sets[i] != sets[j]}
+    links = run.links.collect()
+    assert len(links) == len({(r.a, r.b) for r in links}) == len({frozenset(x) for x in pairs}) > 0
+
+
+def test_block_overlaps_against_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 300, n, dtype=np.uint64)) for n in (1, 5, 200, 200, 90)]
+    got = trie_join.block_overlaps(sets[:3], sets[2:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets[:3]]
+
+
 def test_trie_overlaps_against_sets():
     rng = np.random.default_rng(0)
     for _ in range(30):
