@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, memory-mapped by the workers.
+"""Interpolated modified Kneser-Ney model, of bigrams or any higher order, counted in Spark, memory-mapped by the workers.
 
 Tokens are 64-bit word hashes.  Three Spark jobs build the model:
 
@@ -21,6 +21,13 @@ distinct words and bigrams up by binary search, in sorted order:
 with k(w) the distinct predecessors of w, K their sum, and the discounts of
 Chen and Goodman from the counts of counts.  An unseen context leaves p1; all
 unknown words share one place of the V + 1.
+
+Orders above 2 (``order``) recur: p_n(w|h) = max(c - D_n(c), 0) / sum c + gamma p_n-1,
+with c the count at the highest order and below it the number of distinct words before
+the n-gram (the count for n-grams at the start of a text, which nothing precedes).
+N-grams are dealt by the last word of their context (for hot words by that word and the
+next), so the task that merges a bucket holds all lower orders of its n-grams too, and
+one shuffle serves all orders.  Only the contexts that end in a hot word are merged once more.
 """
 
 from __future__ import annotations
@@ -188,6 +195,164 @@ def _count_bigrams(buckets: int, hot_words):
     return run
 
 
+def gram_columns(buf, offs, order: int):
+    """[w, the word before, the one before that, ..]: as many as the order, 0 beyond the start of a text; tokens of each text."""
+    ctx, w, n = token_stream(buf, offs)
+    at = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+    cols = [w, ctx]
+    for j in range(2, order):
+        back = np.zeros_like(ctx)
+        back[j - 1:] = ctx[: len(ctx) - j + 1]
+        back[at < j - 1] = 0
+        cols.append(back)
+    return cols, n
+
+
+def context_keys(cols) -> list[np.ndarray]:
+    """Keys of the contexts of 1, 2, .. words."""
+    keys = [cols[1]]
+    for x in cols[2:]:
+        keys.append(bigram_key(keys[-1], x))
+    return keys
+
+
+def _summed(key: np.ndarray, count: np.ndarray):
+    """(sorted distinct keys, their rows, their summed counts)."""
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first], order[first], np.add.reduceat(count[order], first) if len(key) else count
+
+
+def _count_grams(order: int, buckets: int, hot_words):
+    def flush(held):
+        cols = [np.concatenate(x) for x in zip(*held)]
+        key = bigram_key(context_keys(cols)[-1], cols[0])
+        _, rows, count = _summed(key, np.ones(len(key), np.int64))
+        cols = [x[rows] for x in cols]
+        b = bigram_bucket(cols[1], bigram_key(cols[1], cols[0]), buckets, hot_words.value)
+        by = np.lexsort((cols[1], b))
+        b, count, cols = b[by], count[by], [x[by] for x in cols]
+        h = cols[1]
+        new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (b[1:] != b[:-1])))
+        cut = np.append(0, np.flatnonzero(np.diff(b)) + 1)
+        rows = {x: [] for x in BLOCK_SCHEMA.names}
+        for s, e in zip(cut, np.append(cut[1:], len(b))):
+            i, j = np.searchsorted(new, [s, e])
+            rows["bucket"].append(int(b[s]))
+            rows["kind"].append(0)
+            rows["a"].append(h[new[i:j]].tobytes())
+            rows["b"].append(np.diff(np.append(new[i:j], e)).astype(np.uint32).tobytes())
+            rows["c"].append(np.concatenate([cols[0][s:e], *[x[s:e] for x in cols[2:]]]).tobytes())
+            rows["d"].append(_pack(count[s:e]))
+        return pa.RecordBatch.from_pydict(rows, schema=BLOCK_SCHEMA)
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for _, _, buf, offs in chunks(batch.column("text")):
+                cols, _ = gram_columns(buf, offs, order)
+                held.append(cols)
+                n += len(cols[0])
+                if n >= FLUSH:
+                    yield flush(held)
+                    held, n = [], 0
+        if n:
+            yield flush(held)
+    return run
+
+
+def _save_counts(path: str, key: np.ndarray, count: np.ndarray, bucket: int) -> None:
+    small = np.minimum(count, 255).astype(np.uint8)
+    large = np.flatnonzero(small == 255)
+    _save(f"{path}/{bucket}", "key", key)
+    _save(f"{path}/{bucket}", "count", small)
+    _save(f"{path}/{bucket}", "more", np.stack([large, count[large]]))
+
+
+def _save_contexts(path: str, key: np.ndarray, stats: np.ndarray, bucket: int) -> None:
+    """Sorted context keys, each with the number of its row (sum, followers seen once, twice, more) among the distinct rows."""
+    order = np.argsort(key)
+    key, stats = key[order], stats[order]
+    small = stats[:, 0] < 1 << 16  # the other numbers are no larger
+    packed, at = np.unique(stats[small] @ (1 << np.array([48, 32, 16, 0], np.uint64)).astype(np.int64), return_inverse=True)
+    rows = np.stack([(packed.astype(U) >> U(x)) & U(0xFFFF) for x in (48, 32, 16, 0)], axis=1).astype(np.int64)
+    which = np.empty(len(key), np.int64)
+    which[small] = at
+    which[~small] = len(rows) + np.arange((~small).sum())
+    rows = np.concatenate([rows, stats[~small]])
+    _save(f"{path}/{bucket}", "key", key)
+    _save(f"{path}/{bucket}", "which", which.astype(np.min_scalar_type(len(rows))))
+    _save(f"{path}/{bucket}", "rows", rows)
+
+
+def _context_stats(key: np.ndarray, count: np.ndarray):
+    ctx, at = np.unique(key, return_inverse=True)
+    return ctx, np.stack([np.bincount(at, weights=x, minlength=len(ctx)) for x in (count, count == 1, count == 2, count > 2)],
+                         axis=1).astype(np.int64)
+
+
+def _merge_grams(path: str, order: int, buckets: int, hot_words):
+    """Writes a bucket's n-grams of all orders and their contexts; returns the distinct predecessors of words (kind 2),
+    contexts that end in a hot word (kind 5) and the counts of counts of order n (kind 100 + n)."""
+    def run(table: pa.Table) -> pa.Table:
+        bucket, hot = table["bucket"][0].as_py(), hot_words.value
+        parts, cs = [], []
+        for a, b, c, d in zip(*(table[x].to_pylist() for x in "abcd")):
+            h = np.repeat(np.frombuffer(a, U), np.frombuffer(b, np.uint32))
+            rest = np.frombuffer(c, U).reshape(order - 1, len(h))
+            parts.append([rest[0], h, *rest[1:]])
+            cs.append(_unpack(d, len(h)))
+        cols = [np.concatenate(x) for x in zip(*parts)]
+        _, rows, c = _summed(bigram_key(context_keys(cols)[-1], cols[0]), np.concatenate(cs))
+        cols = [x[rows] for x in cols]
+        out, own_keys, own_stats = [], [], []
+        above = np.zeros(0, np.int64)  # a row of every n-gram of the order above
+        for n in range(order, 1, -1):
+            raw = cols[n - 1] != 0
+            if n < order:
+                raw &= cols[n] == 0
+            raw = np.flatnonzero(raw)
+            at = np.concatenate([raw, above])
+            some = [x[at] for x in cols[:n]]
+            ctx = context_keys(some)[-1]
+            key, first, count = _summed(bigram_key(ctx, some[0]), np.append(c[raw], np.ones(len(above), np.int64)))
+            above, ctx, h = at[first], ctx[first], some[1][first]
+            _save_counts(f"{path}/grams{n}", key, count, bucket)
+            is_hot = np.isin(h, hot)
+            keys, stats = _context_stats(ctx[~is_hot], count[~is_hot])
+            own_keys.append(keys)
+            own_stats.append(stats)
+            keys, stats = _context_stats(ctx[is_hot], count[is_hot])
+            b = bucket_of(keys, buckets)
+            by = np.argsort(b, kind="stable")
+            out.append(_blocks(5, b[by], [keys[by], stats[by]]))
+            of = np.bincount(np.minimum(count, 5), minlength=6)[1:5].astype(np.int64)
+            out.append(_blocks(100 + n, np.zeros(4, np.int64), [of]))
+        _save_contexts(f"{path}/contexts", np.concatenate(own_keys), np.concatenate(own_stats), bucket)
+        words, before = np.unique(cols[0][above], return_counts=True)
+        b = bucket_of(words, buckets)
+        by = np.argsort(b, kind="stable")
+        out.append(_blocks(2, b[by], [words[by], before[by].astype(np.uint32)]))
+        return pa.Table.from_batches([x for x in out if x is not None], schema=BLOCK_SCHEMA)
+    return run
+
+
+def _merge_words_and_contexts(path: str):
+    words = _merge_stats(path)
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = _column(table, "a", 5, U)
+        if len(keys):
+            stats = _column(table, "b", 5, np.int64).reshape(-1, 4)
+            ctx, at = np.unique(keys, return_inverse=True)
+            total = np.zeros((len(ctx), 4), np.int64)
+            np.add.at(total, at, stats)
+            _save_contexts(f"{path}/hot", ctx, total, table["bucket"][0].as_py())
+        return words(table)
+    return run
+
+
 def _pack(count: np.ndarray) -> bytes:
     """Counts as bytes; 255 stands for one of the 64-bit counts that follow in order."""
     small = np.minimum(count, 255).astype(np.uint8)
@@ -277,7 +442,9 @@ def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float,
 class Model:
     """The parameters of a counted model; the arrays stay in the files of ``path``."""
 
-    def __init__(self, path, buckets, hot, texts, tokens, types, of, of_before, before):
+    def __init__(self, path, buckets, hot, texts, tokens, types, of, of_before, before, order=2, of_order=None):
+        self.order = order
+        self.d_order = {n: discounts(*x) for n, x in (of_order or {}).items()}  # orders above 2
         self.path, self.buckets, self.hot = path, buckets, hot
         self.texts, self.tokens, self.types = texts, tokens, types
         self.d = discounts(*of)
@@ -287,8 +454,10 @@ class Model:
         self.gamma1 = (self.d1[0] * t1 + self.d1[1] * t2 + self.d1[2] * t3_up) / before if before else 1.0
 
 
-def train(docs: DataFrame, path: str | None = None) -> Model:
-    """Count ``docs(text)`` and write the model below ``path`` (by default in the checkpoint folder)."""
+def train(docs: DataFrame, path: str | None = None, order: int = 2) -> Model:
+    """Count the n-grams of ``docs(text)`` up to ``order`` and write the model below ``path`` (by default in the checkpoint folder)."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = docs.sparkSession
     bounded_batches(spark)
     path = mounted(path or shared_path(spark, "kneser-ney"))
@@ -302,19 +471,25 @@ def train(docs: DataFrame, path: str | None = None) -> Model:
     hot = np.array(sorted(np.array([r.w for r in words.mapInArrow(_hot_words(tokens / (4 * buckets)), "w bigint").collect()],
                                    np.int64).astype(U).tolist()), U)
     shared_hot = spark.sparkContext.broadcast(hot)
-    stats = cut_lineage(docs.mapInArrow(tidy(_count_bigrams(buckets, shared_hot)), BLOCK)
-                        .groupBy("bucket").applyInArrow(_merge_bigrams(path, buckets), BLOCK))
+    if order == 2:
+        count, merge, merge_stats = _count_bigrams(buckets, shared_hot), _merge_bigrams(path, buckets), _merge_stats(path)
+    else:
+        count, merge = _count_grams(order, buckets, shared_hot), _merge_grams(path, order, buckets, shared_hot)
+        merge_stats = _merge_words_and_contexts(path)
+    stats = cut_lineage(docs.mapInArrow(tidy(count), BLOCK).groupBy("bucket").applyInArrow(merge, BLOCK))
     drop_finished(spark)
     of = np.zeros(4, np.int64)
-    for r in stats.filter("kind = 3").select("a").collect():  # one row a bucket
-        of += np.frombuffer(r.a, np.int64)
-    merged = cut_lineage(words.unionByName(stats.filter("kind < 3")).groupBy("bucket").applyInArrow(_merge_stats(path), BLOCK))
+    of_order = {n: np.zeros(4, np.int64) for n in range(2, order + 1)} if order > 2 else {}
+    for r in stats.filter("kind = 3 or kind > 100").select("kind", "a").collect():  # one row a bucket and order
+        of_order.get(r.kind - 100, of)[:] += np.frombuffer(r.a, np.int64)
+    merged = cut_lineage(words.unionByName(stats.filter("kind < 3 or kind = 5")).groupBy("bucket").applyInArrow(merge_stats, BLOCK))
     drop_finished(spark)
     of_before, before = np.zeros(5, np.int64), 0
     for r in merged.select("a", "b").collect():  # one row a bucket
         of_before += np.frombuffer(r.a, np.int64)
         before += int(np.frombuffer(r.b, np.int64)[0])
-    return Model(path, buckets, hot, int(size.n), tokens, types, of.tolist(), of_before.tolist(), before)
+    return Model(path, buckets, hot, int(size.n), tokens, types, of.tolist(), of_before.tolist(), before, order,
+                 {n: x.tolist() for n, x in of_order.items()})
 
 
 class Arrays:
@@ -389,6 +564,51 @@ def score_tokens(m: Model, arrays: Arrays, h: np.ndarray, w: np.ndarray):
     return np.log10(p)[back], count[w_at]
 
 
+def score_grams(m: Model, arrays: Arrays, cols: list[np.ndarray]):
+    """``score_tokens`` for a model of an order above 2."""
+    words, at = np.unique(cols[0], return_inverse=True)
+    count, before = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    for b, rows in _by_bucket(bucket_of(words, m.buckets), words):
+        files = arrays.get("words", b, ("key", "count", "before", "seen"))
+        if files:
+            pos, ok = _find(files[0], words[rows])
+            count[rows[ok]], before[rows[ok]] = files[1][pos[ok]], files[2][pos[ok]]
+    d1 = np.array([0.0, *m.d1])
+    p = (m.gamma1 / (m.types + 1) + np.maximum(before - d1[np.minimum(before, 3)], 0) / max(m.before, 1))[at]
+    for n, ctx in enumerate(context_keys(cols), 2):
+        there = np.flatnonzero(cols[n - 1] != 0)
+        d = np.array([0.0, *m.d_order[n]])
+        keys, first, back = np.unique(ctx[there], return_index=True, return_inverse=True)
+        h = cols[1][there][first]
+        is_hot = np.isin(h, m.hot)
+        stats = np.zeros((len(keys), 4))
+        for kind, of in (("contexts", ~is_hot), ("hot", is_hot)):
+            of = np.flatnonzero(of)
+            for b, rows in _by_bucket(bucket_of(h[of] if kind == "contexts" else keys[of], m.buckets), keys[of]):
+                files = arrays.get(kind, b, ("key", "which", "rows"))
+                if files and len(files[0]):
+                    pos, ok = _find(files[0], keys[of[rows]])
+                    stats[of[rows[ok]]] = files[2][files[1][pos[ok]]]
+        stats = stats[back]
+        there, stats = there[stats[:, 0] > 0], stats[stats[:, 0] > 0]
+        keys, first, back = np.unique(bigram_key(ctx[there], cols[0][there]), return_index=True, return_inverse=True)
+        h, w = cols[1][there][first], cols[0][there][first]
+        seen = np.zeros(len(keys), np.int64)
+        for b, rows in _by_bucket(bigram_bucket(h, bigram_key(h, w), m.buckets, m.hot), keys):
+            files = arrays.get(f"grams{n}", b, ("key", "count", "more"))
+            if files and len(files[0]):
+                pos, ok = _find(files[0], keys[rows])
+                pos, rows = pos[ok], rows[ok]
+                got = files[1][pos].astype(np.int64)
+                big = got == 255
+                if big.any():
+                    got[big] = files[2][1][np.searchsorted(files[2][0], pos[big])]
+                seen[rows] = got
+        seen = seen[back]
+        p[there] = (np.maximum(seen - d[np.minimum(seen, 3)], 0) + stats[:, 1:] @ d[1:] * p[there]) / stats[:, 0]
+    return np.log10(p), count[at]
+
+
 _arrays: dict[str, Arrays] = {}
 
 
@@ -399,8 +619,8 @@ def _score(model):
         for batch in batches:
             out = {x: np.zeros(batch.num_rows) for x in ("score", "base_score", "n_tokens", "n_known")}
             for i, j, buf, offs in chunks(batch.column("text"), SCORE_CHUNK):
-                h, w, n = token_stream(buf, offs)
-                logp, c = score_tokens(m, arrays, h, w)
+                cols, n = gram_columns(buf, offs, m.order)
+                logp, c = score_tokens(m, arrays, cols[1], cols[0]) if m.order == 2 else score_grams(m, arrays, cols)
                 first = np.cumsum(n) - n
                 out["score"][i:j] = np.add.reduceat(logp, first)
                 out["base_score"][i:j] = np.add.reduceat(np.log10((c + 1) / (m.tokens + m.types + 1)), first)
@@ -418,7 +638,7 @@ def held_out_column():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
 
 
-def score(docs: DataFrame, held_out=None) -> DataFrame:
+def score(docs: DataFrame, held_out=None, order: int = 2) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``.
 
     The model learns from the rows that are not held out and scores all rows;
@@ -430,7 +650,7 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
     """
     held = held_out_column() if held_out is None else held_out
     rows = docs.select("doc_id", "text", held.alias("held_out"))
-    m = train(rows.filter(~F.col("held_out")))
+    m = train(rows.filter(~F.col("held_out")), order=order)
     model = docs.sparkSession.sparkContext.broadcast(m)
     scored = cut_lineage(rows.mapInArrow(
         tidy(_score(model)), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"))

@@ -51,7 +51,7 @@ def op5_uniform_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kneser_ney.score(table(spark, sf_dir, "documents"))
+    return kneser_ney.score(table(spark, sf_dir, "documents"), order=3)
 
 
 def op7_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:

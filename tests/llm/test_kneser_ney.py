@@ -123,3 +123,46 @@ def test_pack():
 def test_discounts_are_defined():
     assert kn.discounts(0, 0, 0, 0) == (0.5, 1.0, 1.5)
     assert all(0 <= d <= i + 1 for i, d in enumerate(kn.discounts(10, 5, 4, 100)))
+
+
+def brute_order(rows, order):
+    """log10 probability of every row by dictionaries of tuples."""
+    top, uni = [Counter() for _ in range(order + 1)], Counter()
+    grams = lambda w: [tuple(["<s>", *w][max(0, i + 2 - order): i + 2]) for i in range(len(w))]
+    for i, t in rows:
+        if not held(i):
+            uni.update(words(t))
+            for g in grams(words(t)):
+                top[len(g)][g] += 1
+    for n in range(order - 1, 0, -1):
+        for g in top[n + 1]:
+            top[n][g[1:]] += 1
+    d, total, gamma = {}, Counter(), Counter()
+    for n in range(1, order + 1):
+        of = Counter(top[n].values())
+        d[n] = [0, *kn.discounts(*(of[i] for i in (1, 2, 3, 4)))]
+        for g, c in top[n].items():
+            total[g[:-1]] += c
+            gamma[g[:-1]] += d[n][min(c, 3)]
+
+    def p(g):
+        low = p(g[1:]) if len(g) > 1 else 1 / (len(uni) + 1)
+        if not total[g[:-1]]:
+            return low
+        c = top[len(g)][g]
+        return (max(c - d[len(g)][min(c, 3)], 0) + gamma[g[:-1]] * low) / total[g[:-1]]
+    return [(str(i), sum(math.log10(p(g)) for g in grams(words(t)))) for i, t in rows]
+
+
+@pytest.mark.parametrize("order,bucket_bytes,flush", [(3, 2000, 500), (4, 50_000, 1 << 22)])
+def test_higher_orders(spark, monkeypatch, order, bucket_bytes, flush):
+    monkeypatch.setattr(kn, "BUCKET_BYTES", bucket_bytes)
+    monkeypatch.setattr(kn, "FLUSH", flush)
+    rows = corpus(order)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.score) for r in kn.score(df, order=order).collect())
+    want = sorted(brute_order(rows, order))
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-9, abs=1e-9)
+    two = dict(brute_order(rows, 2))  # the plain version agrees with the other one at order 2
+    assert all(two[x[0]] == pytest.approx(x[6]) for x in brute(rows)[0] if [str(i) for i, _ in rows].count(x[0]) == 1)
