@@ -710,13 +710,14 @@ def noun_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def keyword_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top-3 keyword label per (question, cluster), clusters pivoted into columns."""
+    """Top-3 keyword label per (question, cluster), the clusters of the table pivoted into columns."""
     d = load(spark, sf_dir, "documents")
     docs = d.select("doc_id", F.col("lang").alias("question"), cluster_of_source().alias("cluster"),
                     T.keyword_tokens("text").alias("tokens"))
     long = TK.token_table(docs, keep=["question", "cluster"])
     lab = TK.keyword_labels(long, ["question", "cluster"], 3)
-    return lab.groupBy("question").pivot("cluster", list(range(20))).agg(F.first("label"))
+    clusters = [r.cluster for r in d.select(cluster_of_source().alias("cluster")).distinct().orderBy("cluster").collect()]
+    return lab.groupBy("question").pivot("cluster", clusters).agg(F.first("label"))
 
 
 @query

@@ -179,3 +179,13 @@ def test_tag_operators(spark):
     assert {r.doc_id: r.t for r in got.collect()} == {1: ["cat", "ran"], 2: ["odd"]}
     ann = {r.doc_id: [tuple(a) for a in r.annotations] for r in TK.annotations(long, table, 2).collect()}
     assert ann == {1: [("cats", "NOUN", "cat"), ("quickly", "ADV", "quickly")], 2: [("odd", None, None)]}
+
+
+def test_keyword_pivot_holds_every_cluster(spark, tmp_path):
+    from sift.plans.queries import QUERIES
+    rows = [(1, "green apples taste sweet", "en", "src3"), (2, "heavy trains arrive late", "en", "src25"), (3, "heavy rain", "de", "src25")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["keyword_pivot"](spark, str(tmp_path))
+    assert got.columns == ["question", "3", "25"]
+    labels = {r["question"]: r for r in got.collect()}
+    assert labels["en"]["3"] and labels["en"]["25"] and labels["de"]["25"] and labels["de"]["3"] is None
