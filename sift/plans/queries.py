@@ -778,10 +778,12 @@ def simple_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def word2vec_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1: 16-d token vectors trained on the cleaned comments (Spark ML Word2Vec)."""
+    """M1: 16-d vectors of all tokens, trained on the cleaned comments in five passes (Spark ML Word2Vec).
+
+    The driver holds the vocabulary and its vectors (``train_word2vec``)."""
     from sift.operators import vectors as V
     docs, _ = _keyword_long(spark, sf_dir)
-    return V.train_word2vec(docs, "tokens", 16, 5, 1, 42)
+    return V.train_word2vec(docs, "tokens", 16, min_count=1, max_iter=5, seed=42)
 
 
 @query

@@ -189,3 +189,11 @@ def test_keyword_pivot_holds_every_cluster(spark, tmp_path):
     assert got.columns == ["question", "3", "25"]
     labels = {r["question"]: r for r in got.collect()}
     assert labels["en"]["3"] and labels["en"]["25"] and labels["de"]["25"] and labels["de"]["3"] is None
+
+
+def test_word2vec_query_has_a_vector_for_every_token(spark, tmp_path):
+    from sift.plans.queries import QUERIES
+    rows = [(1, "green apples taste sweet", "en", "src3"), (2, "green trains arrive late", "en", "src4")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["word2vec_vectors"](spark, str(tmp_path)).collect()
+    assert {"green", "apples", "trains"} <= {r["token"] for r in got} and all(len(r["vec"]) == 16 for r in got)
