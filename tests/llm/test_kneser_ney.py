@@ -166,3 +166,12 @@ def test_higher_orders(spark, monkeypatch, order, bucket_bytes, flush):
     assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-9, abs=1e-9)
     two = dict(brute_order(rows, 2))  # the plain version agrees with the other one at order 2
     assert all(two[x[0]] == pytest.approx(x[6]) for x in brute(rows)[0] if [str(i) for i, _ in rows].count(x[0]) == 1)
+
+
+def test_edges_of_order_three(spark):
+    assert kn.score(spark.createDataFrame([], SCHEMA), order=3).count() == 0
+    only_held = [(i, "a b") for i in range(100) if held(i)]
+    got = kn.score(spark.createDataFrame(only_held, "doc_id bigint, text string"), order=3).collect()
+    assert got and all(r.train_tokens == 0 and r.score == 0 for r in got)
+    got = kn.score(spark.createDataFrame([(1, None)], "doc_id bigint, text string"), order=3).collect()
+    assert got[0].score == pytest.approx(brute_order([(1, None)], 3)[0][1])
