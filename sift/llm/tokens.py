@@ -23,8 +23,6 @@ TABLE = 1 << 22
 JOINED = 500
 CHUNK = 1 << 22
 
-_rng = np.random.Generator(np.random.PCG64(77))
-CODE = _rng.integers(1, 2**63, SIMPLE, dtype=np.uint64) * U(2) + U(1)
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 
 
@@ -180,7 +178,8 @@ def _simple_ids(m: Memo, text: str, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     if not len(starts):
         return np.zeros(0, np.uint16), np.zeros(len(offs) - 1, np.int64)
     ends = np.append(starts[1:], len(codes))
-    h = span_hashes(codes, starts, ends, lower=False, table=CODE)
+    # code points below SIMPLE are two bytes each
+    h = span_hashes(codes.astype("<u2").view(np.uint8), 2 * starts, 2 * ends, lower=False)
     slot = m.slots(h, text, codes, starts, ends)
     length = m.length[slot]
     stop = np.cumsum(length)
