@@ -6,7 +6,9 @@ within ``r`` of each other lie in grid cells at most ``r`` apart.  A point asks
 the cells of its square of half side ``r``; the points of a cell are packed into
 blocks of about ``BLOCK`` rows, and the equi-join on the cell meets blocks, not
 points: (cell size / BLOCK)^2 rows, each verified by one NumPy product, and only
-pairs within the radius leave the task.  A crowded cell is many blocks, so no
+pairs within the radius leave the task.  Cells form levels, four times as wide each:
+a point of a wide radius asks on a coarser level, so a far outlier asks as few
+cells as any other point.  A crowded cell is many blocks, so no
 key holds more than a block in one row, and the block pairs are dealt over all
 tasks.  Pairs that pass the product are measured again by differences.
 
@@ -30,11 +32,12 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
 from sift.operators.topn import top_n_per_group
-from sift.session import cut_lineage, spread
+from sift.session import cut_lineage, spread, stored
 
 BLOCK = 256
 SLACK = 1e-6  # of the products; pairs are measured exactly afterwards
 BIG = 1e300
+REACH = 4  # cells that a radius may span before the next level is asked
 
 
 def euclid(a, b) -> Column:
@@ -108,26 +111,43 @@ class Grid:
         salted = rows.join(sizes, keys).withColumn("_s", F.pmod(F.xxhash64("id"), F.col("_b")))
         return salted.groupBy(*keys, "_s").agg(F.collect_list(value).alias(name)).drop("_s")
 
-    def _cells(self, side: Column) -> DataFrame:
-        return self.points.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
+    def asked(self, radius: Column, side: Column, points: DataFrame | None = None) -> DataFrame:
+        """Points with the cells that their radius reaches: ``(.., _r, _g, _level, cx, cy)``.
+
+        Cells of level L are 4**L sides wide.  A point asks on the first level where its radius is at most
+        ``REACH`` cells, so it asks at most ``(2 * REACH + 1)**2`` cells however far it lies from the others.
+        """
+        rows = (points if points is not None else self.points).withColumn("_r", radius).withColumn("_side", side) \
+            .withColumn("_g", F.coalesce(F.col("g").cast("string"), F.lit("\0")))
+        span = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+        cells = F.least("_r", span) / (REACH * F.col("_side"))
+        rows = rows.withColumn("_level", F.when(cells > 1, F.ceil(F.log(4.0, cells))).otherwise(0).cast("int"))
+        wide = F.col("_side") * F.pow(F.lit(4.0), F.col("_level"))
+        low = lambda c, a: F.floor((F.greatest(F.col(c) - F.col("_r"), F.col(a)) - F.col(a)) / wide)
+        high = lambda c, a, b: F.floor((F.least(F.col(c) + F.col("_r"), F.col(b)) - F.col(a)) / wide)
+        return (rows.withColumn("cx", F.explode(F.sequence(low("x", "x0"), high("x", "x0", "x1"))))
+                .withColumn("cy", F.explode(F.sequence(low("y", "y0"), high("y", "y0", "y1")))))
+
+    def _members(self, side: Column, levels: list[int]) -> DataFrame:
+        """The points in their cells of every level that is asked."""
+        rows = self.points.withColumn("_g", F.coalesce(F.col("g").cast("string"), F.lit("\0"))).withColumn("_side", side)
+        rows = rows.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in levels])))
+        wide = F.col("_side") * F.pow(F.lit(4.0), F.col("_level"))
+        return rows.withColumn("cx", F.floor((F.col("x") - F.col("x0")) / wide)).withColumn("cy", F.floor((F.col("y") - F.col("y0")) / wide))
 
     def pairs_within(self, radius: Column, side: Column, points: DataFrame | None = None, keep: int | None = None,
                      forest: bool = False) -> DataFrame:
         """``(q, s, dist, s_mult)`` of every ordered pair in one group with ``q != s`` and ``dist <= radius(q)``.
 
-        ``side``: the cells' side, the same for all rows of a group.  ``keep``: of a
+        ``side``: the smallest cells' side, the same for all rows of a group.  ``keep``: of a
         block pair only the best ``keep`` per ``q`` leave the task.  ``forest``: only
         edges that join what the block pair has not joined yet (for components).
         """
-        g = F.coalesce(F.col("g").cast("string"), F.lit("\0"))
-        asked = (points if points is not None else self.points).withColumn("_r", radius).withColumn("_g", g).withColumn("_side", side)
-        low = lambda c, m: F.floor(F.greatest(F.col(c) - F.col("_r"), F.col(m)) / F.col("_side"))
-        high = lambda c, m: F.floor(F.least(F.col(c) + F.col("_r"), F.col(m)) / F.col("_side"))
-        asked = (asked.withColumn("cx", F.explode(F.sequence(low("x", "x0"), high("x", "x1"))))
-                 .withColumn("cy", F.explode(F.sequence(low("y", "y0"), high("y", "y1")))))
-        members = self.points.withColumn("_g", g).withColumn("_side", side)
-        members = members.withColumn("cx", F.floor(F.col("x") / F.col("_side"))).withColumn("cy", F.floor(F.col("y") / F.col("_side")))
-        keys = ["_g", "cx", "cy"]
+        asked = self.asked(radius, side, points)
+        # a level for every factor of 4 between the radii: a handful
+        levels = [r[0] for r in asked.select("_level").distinct().collect()] or [0]
+        members = self._members(side, levels)
+        keys = ["_g", "_level", "cx", "cy"]
         left = self._packed(asked.select(*keys, "id", "v", F.col("_r").alias("r")), keys, F.struct("id", "v", "r"), "l")
         right = self._packed(members.select(*keys, "id", "v", "mult"), keys, F.struct("id", "v", "mult"), "m")
         id_type = self.points.schema["id"].dataType.simpleString()
@@ -142,12 +162,18 @@ class Grid:
         open_ = pts.filter((F.col("_k") > 0) & (F.col("n") > F.col("_k")))
         found = None
         level = 1.0
+        id_type = self.points.schema["id"].dataType.simpleString()
+        cells = ["_g", "cx", "cy"]
         while True:
             cell = side * level
-            rows = open_.withColumn("cx", F.floor((F.col("x") - F.col("x0")) / cell)).withColumn("cy", F.floor((F.col("y") - F.col("y0")) / cell))
-            packed = self._packed(rows.select("_g", "cx", "cy", "id", "v", "_k"), ["_g", "cx", "cy"], F.struct("id", "v", F.col("_k").alias("k")), "l")
-            id_type = self.points.schema["id"].dataType.simpleString()
-            got = cut_lineage(spread(packed.select("l")).mapInArrow(_own_block, f"id {id_type}, _r double"))
+            rows = pts if found is not None else open_
+            rows = rows.withColumn("cx", F.floor((F.col("x") - F.col("x0")) / cell)).withColumn("cy", F.floor((F.col("y") - F.col("y0")) / cell))
+            if found is not None:  # points without a bound look at all points of a wider cell; the others ask for nothing
+                rows = rows.join(open_.select("id", F.lit(True).alias("_open")), "id", "left")
+                rows = rows.join(rows.filter("_open").select(*cells).distinct(), cells, "left_semi")
+                rows = rows.withColumn("_k", F.when(F.col("_open"), F.col("_k")).otherwise(F.lit(2**31 - 1)))
+            packed = self._packed(rows.select(*cells, "id", "v", "_k"), cells, F.struct("id", "v", F.col("_k").alias("k")), "l")
+            got = stored(spread(packed.select("l")).mapInArrow(_own_block, f"id {id_type}, _r double"))
             found = got if found is None else found.unionByName(got)
             left = open_.join(got, "id", "left_anti")
             # a grid whose only cell is one block answers for all of its group; else look wider
@@ -155,7 +181,7 @@ class Grid:
                 break
             if level > 4 ** 12:  # one cell a group, and its blocks still too small: every distance bounds it
                 break
-            open_, level = cut_lineage(left), level * 4
+            open_, level = stored(left), level * 4
         return cut_lineage(pts.drop("_g").join(found, "id", "left").withColumn("_r", F.coalesce("_r", F.lit(BIG))))
 
 
@@ -234,7 +260,7 @@ def _own_block(batches):
 def _nearest(grid: Grid, k: Column, k_max: int) -> DataFrame:
     """``(q, s, dist, s_mult, rank)``: the k nearest distinct other points of each point (all, if fewer)."""
     pts = grid.knn_radius(k, k_max)
-    # cells of the usual radius; wider ones ask more cells
+    # cells of the usual radius; wider ones ask on coarser levels
     usual = pts.filter(F.col("_r") < BIG).groupBy("g").agg(F.percentile_approx("_r", 0.5).alias("_usual"))
     span = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-9))
     with_side = pts.join(usual.withColumnRenamed("g", "_h"), F.col("g").eqNullSafe(F.col("_h")), "left").drop("_h") \

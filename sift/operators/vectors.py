@@ -62,8 +62,9 @@ def round_array(a, places: int = 6) -> Column:
 def array_string(a, places: int = 6) -> Column:
     """Render a vector as 'v1 v2 ...' with fixed decimals (for SQL comparison)."""
     fmt = f"%.{places}f"
-    # round first and add +0.0 so that a tiny negative value and -0.0 print as 0.000000
-    return F.array_join(F.transform(_c(a), lambda x: F.format_string(fmt, F.round(x.cast("double"), places) + 0.0)),
+    # moved off a tie before it is rounded (engines break ties differently); +0.0 lets -0.0 print as 0.000000
+    off = 10.0 ** -(places + 4)
+    return F.array_join(F.transform(_c(a), lambda x: F.format_string(fmt, F.round(x.cast("double") + F.lit(off), places) + 0.0)),
                         " ")
 
 

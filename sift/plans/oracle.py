@@ -254,14 +254,14 @@ SELECT cluster, doc_id, round(weight, 6) AS weight, CAST(rank AS INTEGER) AS ran
 
 
 def sql_vec_string(expr_list: str) -> str:
-    return f"array_to_string(list_transform({expr_list}, lambda x: printf('%.6f', round(x, 6) + 0.0)), ' ')"
+    return f"array_to_string(list_transform({expr_list}, lambda x: printf('%.6f', round(x + 1e-10, 6) + 0.0)), ' ')"
 
 
 _EMB_LONG = "SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings"
 
 ORACLE["cluster_centroids"] = f"""
 WITH e AS ({_EMB_LONG}), a AS (SELECT label, k, avg(x) AS m FROM e GROUP BY label, k)
-SELECT label, string_agg(printf('%.6f', round(m, 6) + 0.0), ' ' ORDER BY k) AS centroid FROM a GROUP BY label
+SELECT label, string_agg(printf('%.6f', round(m + 1e-10, 6) + 0.0), ' ' ORDER BY k) AS centroid FROM a GROUP BY label
 """
 
 
@@ -280,7 +280,7 @@ SELECT label, vec_id, round(dist, 6) AS dist, CAST(rank AS INTEGER) AS rank FROM
 
 ORACLE["minmax_scale"] = f"""
 WITH e AS ({_EMB_LONG}), mm AS (SELECT k, min(x) AS lo, max(x) AS hi FROM e GROUP BY k)
-SELECT vec_id, string_agg(printf('%.6f', round(CASE WHEN hi = lo THEN 0.0 ELSE (x - lo) / (hi - lo) END, 6) + 0.0), ' ' ORDER BY e.k) AS scaled
+SELECT vec_id, string_agg(printf('%.6f', round(CASE WHEN hi = lo THEN 0.0 ELSE (x - lo) / (hi - lo) END + 1e-10, 6) + 0.0), ' ' ORDER BY e.k) AS scaled
 FROM e JOIN mm ON e.k = mm.k GROUP BY vec_id
 """
 
@@ -309,7 +309,7 @@ j AS (SELECT m.doc_id, m.m, m.m * (0.001 / (0.001 + m.m * idf.idf)) AS w, tv.vec
 e AS (SELECT doc_id, w, unnest(vec) AS x, generate_subscripts(vec, 1) AS k FROM j),
 s AS (SELECT doc_id, k, sum(w * x) AS sx FROM e GROUP BY doc_id, k),
 nn AS (SELECT doc_id, sum(m) AS n FROM j GROUP BY doc_id)
-SELECT s.doc_id, string_agg(printf('%.6f', round(sx / n, 6) + 0.0), ' ' ORDER BY k) AS embedding
+SELECT s.doc_id, string_agg(printf('%.6f', round(sx / n + 1e-10, 6) + 0.0), ' ' ORDER BY k) AS embedding
 FROM s JOIN nn ON s.doc_id = nn.doc_id GROUP BY s.doc_id
 """
 
@@ -546,7 +546,7 @@ SELECT doc_id, label, array_to_string(list_filter(w, lambda t: length(t) >= 2),
 ORACLE["rows_per_question"] = "SELECT lang AS question, count(*) AS n_comments FROM documents GROUP BY lang"
 
 ORACLE["first_comments"] = f"""
-WITH d AS (SELECT doc_id, CASE WHEN {CLUSTER} = 19 THEN -1 ELSE {CLUSTER} END AS cluster FROM documents),
+WITH d AS (SELECT doc_id, coalesce({CLUSTER}, -1) AS cluster FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY doc_id) AS rank FROM d WHERE cluster <> -1)
 SELECT cluster, doc_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3
 """
@@ -585,18 +585,18 @@ SELECT question, """ + ", ".join(f"max(CASE WHEN cluster = {c} THEN label END) A
 """
 
 
-_WL = "wl AS (SELECT DISTINCT token FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS token FROM benchmark) WHERE token <> '')"
+_WL = "wl AS (SELECT DISTINCT token FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS token FROM benchmark) WHERE token <> '')"
 
 ORACLE["sentence_vectors"] = f"""
 WITH s AS (SELECT doc_id, {sql_sentences("replace(lower(text), '•', '')")} AS s FROM documents),
 ss AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS sent_no, unnest(s) AS sentence FROM s),
-l AS (SELECT doc_id, sent_no, unnest(string_split_regex(sentence, '[^a-z]+')) AS token FROM ss),
+l AS (SELECT doc_id, sent_no, unnest(string_split_regex(sentence, '[^\\p{{L}}]+')) AS token FROM ss),
 {_WL},
 tv AS (SELECT token, {_TOY_VEC} AS vec FROM wl),
 v AS (SELECT l.doc_id, l.sent_no, tv.vec FROM l JOIN tv ON l.token = tv.token),
 e AS (SELECT doc_id, sent_no, unnest(vec) AS x, generate_subscripts(vec, 1) AS k FROM v),
 m AS (SELECT doc_id, sent_no, k, avg(x) AS x, count(*) AS n FROM e GROUP BY doc_id, sent_no, k)
-SELECT doc_id, CAST(sent_no AS INTEGER) AS sent_no, max(n) AS n_valid, string_agg(printf('%.6f', round(x, 6) + 0.0), ' ' ORDER BY k) AS embedding
+SELECT doc_id, CAST(sent_no AS INTEGER) AS sent_no, max(n) AS n_valid, string_agg(printf('%.6f', round(x + 1e-10, 6) + 0.0), ' ' ORDER BY k) AS embedding
 FROM m GROUP BY doc_id, sent_no HAVING max(n) >= 2
 """
 
@@ -605,7 +605,7 @@ WITH d AS ({_KW_DOCS}), l AS ({_KW_LONG}), {_WL},
 tv AS (SELECT token, {_TOY_VEC} AS vec FROM (SELECT DISTINCT token FROM l) WHERE token IN (SELECT token FROM wl)),
 e AS (SELECT unnest(vec) AS x, generate_subscripts(vec, 1) AS k FROM tv),
 m AS (SELECT k, avg(x) AS x FROM e GROUP BY k)
-SELECT (SELECT count(*) FROM tv) AS n_words, string_agg(printf('%.6f', round(x, 6) + 0.0), ' ' ORDER BY k) AS mean FROM m
+SELECT (SELECT count(*) FROM tv) AS n_words, string_agg(printf('%.6f', round(x + 1e-10, 6) + 0.0), ' ' ORDER BY k) AS mean FROM m
 """
 
 ORACLE["lof_per_question"] = f"""

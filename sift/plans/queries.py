@@ -17,6 +17,8 @@ from sift.plans.tables import cluster_of_source, load
 from sift.session import cut_lineage
 
 QUERIES: dict = {}
+#: between words of any script
+NOT_LETTERS = r"[^\p{L}]+"
 
 
 def query(fn):
@@ -683,10 +685,9 @@ def rows_per_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def first_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W5 + F12: first three comments per cluster by id (noise cluster -1 dropped; source 19 stands in for it)."""
+    """W5 + F12: first three comments per cluster by id; noise (-1, here documents without a source) is dropped."""
     from sift.operators.topn import top_n_per_group
-    c = cluster_of_source()
-    d = load(spark, sf_dir, "documents").select("doc_id", F.when(c == 19, -1).otherwise(c).alias("cluster"))
+    d = load(spark, sf_dir, "documents").select("doc_id", F.coalesce(cluster_of_source(), F.lit(-1)).alias("cluster"))
     d = d.filter(F.col("cluster") != -1)
     return top_n_per_group(d, ["cluster"], [F.asc("doc_id")], 3).select("cluster", "doc_id", "rank")
 
@@ -727,9 +728,9 @@ def sentence_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sift.operators import vectors as V
     d = load(spark, sf_dir, "documents")
     s = T.explode_nonempty(d, ["doc_id"], T.split_sentences(T.remove_chars(F.lower("text"), "•")), "sentence", "sent_no")
-    long = T.explode_nonempty(s, ["doc_id", "sent_no"], F.split("sentence", "[^a-z]+"), "token").filter(F.col("token") != "")
+    long = T.explode_nonempty(s, ["doc_id", "sent_no"], F.split("sentence", NOT_LETTERS), "token").filter(F.col("token") != "")
     b = load(spark, sf_dir, "benchmark")
-    wl = T.explode_nonempty(b, [], F.split(F.lower("text"), "[^a-z]+"), "token").filter(F.col("token") != "").distinct()
+    wl = T.explode_nonempty(b, [], F.split(F.lower("text"), NOT_LETTERS), "token").filter(F.col("token") != "").distinct()
     tv = V.toy_token_vectors(wl, 8)
     sv = V.sentence_vectors(long, wl, tv, ["doc_id", "sent_no"], 2)
     return sv.select("doc_id", "sent_no", "n_valid", V.array_string("embedding").alias("embedding"))
@@ -742,7 +743,7 @@ def vocabulary_mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, long = _keyword_long(spark, sf_dir)
     tv = V.toy_token_vectors(long.select("token"), 8)
     b = load(spark, sf_dir, "benchmark")
-    wl = T.explode_nonempty(b, [], F.split(F.lower("text"), "[^a-z]+"), "token").filter(F.col("token") != "")
+    wl = T.explode_nonempty(b, [], F.split(F.lower("text"), NOT_LETTERS), "token").filter(F.col("token") != "")
     m = V.vocabulary_mean(tv, wl)
     return m.select("n_words", V.array_string("mean").alias("mean"))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -78,6 +79,18 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def stored(df, name: str = "table"):
+    """A table written to the checkpoint folder and read back, for loops.
+
+    A checkpointed DataFrame keeps the size estimate of its plan, which every join multiplies: after some rounds
+    planning itself takes minutes.  A stored table is estimated by its files.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Task count for compute-heavy stages: the larger of shuffle partitions and cores."""
     importable(spark)
