@@ -41,11 +41,7 @@ def op3_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trie_join.near_duplicates(table(spark, sf_dir, "documents"))
-
-
-def op4_trie_join_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trie_join.link_counts(table(spark, sf_dir, "documents"))
+    return trie_join.near_duplicate_links(table(spark, sf_dir, "documents"))
 
 
 def op5_uniform_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +83,7 @@ def op13_trie_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_winnowing, op3_range_coder, op4_trie_join, op4_trie_join_links, op5_uniform_threshold, op6_kneser_ney,
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_winnowing, op3_range_coder, op4_trie_join, op5_uniform_threshold, op6_kneser_ney,
                                   op7_bounded_ring, op8_run_length_index, op9_soft_mixing, op10_blocked_bloom, op11_maximal_pairs,
                                   op12_index_first_warc, op13_trie_frontier)}
 
@@ -129,9 +125,10 @@ common AS (SELECT a, b, na, nb, count(*) AS i FROM may JOIN s x ON x.doc_id = a
 e AS (SELECT a, b FROM common WHERE 100 * i >= 75 * (na + nb - i)),
 e2 AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
 reach(x, y) AS (SELECT x, x FROM e2 UNION SELECT reach.x, e2.y FROM reach JOIN e2 ON reach.y = e2.x),
-c AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x),
+l AS (SELECT x AS doc_id, count(*) AS n_links FROM e2 GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(n_links, 0) AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)""",
     "op5_uniform_threshold": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

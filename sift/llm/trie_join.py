@@ -546,22 +546,25 @@ class TrieJoin:
     def links(self) -> DataFrame:
         return self._within(True, "a bigint, b bigint")
 
-    def link_counts(self) -> DataFrame:
-        """``(doc_id, n_links)``, one row per row of the documents: the other rows it links with."""
-        own = self.profiles.groupBy("sig").agg((F.count(F.lit(1)) - 1).alias("own"))
+    def _per_class(self, links: bool) -> DataFrame:
+        """``(sig, component_id, n_links)`` of the classes of several rows or with links; a class without either is its row alone."""
+        own = self.profiles.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
+        own = cut_lineage(own.join(self.labels.withColumnRenamed("id", "sig"), "sig", "left").filter("rows > 1 or component is not null"))
+        # least ids class by class first: one row a class meets in a component
+        least = _small(cut_lineage(own.filter("component is not null").groupBy("component").agg(F.min("first").alias("component_id"))))
+        own = own.join(least, "component", "left").select("sig", "rows", F.coalesce("component_id", "first").alias("component_id"))
+        if not links:
+            return own.select("sig", "component_id")
         other = self._within(False, "sig bigint, n_links bigint").groupBy("sig").agg(F.sum("n_links").alias("other"))
-        per = own.join(other, "sig", "left").select("sig", (F.col("own") + F.coalesce("other", F.lit(0))).alias("n_links"))
-        return (self.profiles.filter("n > 0").join(per, "sig").select("doc_id", "n_links")
-                .unionByName(self.profiles.filter("n = 0").select("doc_id", F.lit(0).cast("bigint").alias("n_links"))))
+        return own.join(other, "sig", "left").select("sig", "component_id", (F.col("rows") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"))
 
-    def components(self) -> DataFrame:
-        """``(doc_id, n_shingles, component_id)``, one row per row of the documents."""
-        sets = self.profiles.filter("n > 0").join(self.labels.withColumnRenamed("id", "sig"), "sig", "left") \
-            .select("doc_id", "n", F.coalesce("component", "sig").alias("component"))
-        least = sets.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-        linked = sets.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        alone = self.profiles.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-        return linked.unionByName(alone)
+    def components(self, links: bool = False) -> DataFrame:
+        """``(doc_id, n_shingles, component_id)``, with ``links`` also ``n_links``, one row per row of the documents."""
+        more = [F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")] if links else []
+        per = _small(cut_lineage(self._per_class(links)))
+        rows = self.profiles.withColumn("sig", F.when(F.col("n") > 0, F.col("sig")))
+        return rows.join(per, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"),
+                                                    F.coalesce("component_id", "doc_id").alias("component_id"), *more)
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -600,10 +603,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     return TrieJoin(docs, size, percent).components()
 
 
-def link_counts(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, n_links)``, one row per row of ``docs``: the number of other rows
-    that link with it, as ``near_duplicates`` defines a link.  All pairs of a component are verified."""
-    return TrieJoin(docs, size, percent).link_counts()
+def near_duplicate_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``near_duplicates`` with ``n_links``, the number of other rows that link with a row.  All pairs of a component are verified."""
+    return TrieJoin(docs, size, percent).components(links=True)
 
 
 def first_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -133,8 +133,9 @@ def test_all_links_and_their_numbers(spark, monkeypatch, seed, percent, size, bl
     for pair in true:
         for i in pair:
             count[i] += 1
-    got = run.link_counts().collect()
+    got = run.components(links=True).collect()
     assert sorted((str(r.doc_id), r.n_links) for r in got) == sorted((str(d), c) for (d, _), c in zip(rows, count))
+    assert sorted(map(str, map(tuple, run.components().collect()))) == sorted(str(tuple(r)[:3]) for r in got)
     sets = [shingles(t, size) for _, t in rows]
     pairs = {(frozenset(sets[i]), frozenset(sets[j])) for i, j in true if sets[i] != sets[j]}
     links = run.links.collect()
@@ -182,3 +183,15 @@ def test_edges(spark):
     assert kept.columns == df.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "None", "None"]
     assert trie_join.first_of_each(empty).count() == 0
+
+
+def test_words_that_cancel_in_sums_are_told_apart(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2**64."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    pairs = [(word[:n], word[:n].translate(str.maketrans("ab", "ba"))) for n in (8, 64, 1024, 2048, 4096)]
+    rows = [(2 * i + j, f"{w} one two three four five") for i, p in enumerate(pairs) for j, w in enumerate(p)]
+    rows += [(100, rows[0][1])]
+    got = {r.doc_id: r.component_id for r in trie_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 75).collect()}
+    assert got == {i: 0 if i == 100 else i for i in got}
