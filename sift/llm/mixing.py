@@ -30,8 +30,10 @@ EVIDENCE = 24.0
 DIGITS = 3
 MAX_LABELLED = 20_000
 SMOOTH = 0.5
-ROUNDS = 60
-EXACT = 1e-7
+#: targets are met within this share of what their domains hold; or the totals move by less than STILL of it, where
+#: rates within their bounds cannot meet them (the least squares).  So many rounds without either are an error.
+EXACT, STILL = 1e-5, 1e-8
+ROUNDS = 1000
 BROADCAST_ROWS = 200_000
 
 WORD_BREAK = r"[ \t\n\x0B\f\r]+"
@@ -96,7 +98,8 @@ def fit_rates(members: DataFrame, targets: dict[str, float], max_rate: float | N
 
     ``targets``: share of the tokens by domain.  The total is the largest that no
     target exceeds what its domain holds (``max_rate`` times, if that is given), so
-    the scarcest domain is taken whole.  A domain without tokens has no target.
+    the scarcest domain is taken whole.  A domain without tokens has no target.  The
+    fit has what the domains hold, the targets and the expected totals that were reached.
     """
     domains = list(targets)
     k = len(domains)
@@ -110,16 +113,27 @@ def fit_rates(members: DataFrame, targets: dict[str, float], max_rate: float | N
     want = [x / sum(want) for x in want]
     budget = min(h / x for h, x in zip(held, want) if x > 0) * (max_rate or 1.0)
     target = [x * budget for x in want]
-    state = profiles.withColumn("rate", F.lit(1.0))
-    expected = held
-    for done in range(1, rounds + 1):
+    state = profiles.withColumn("rate", F.lit(1.0)).withColumn("last", F.lit(1.0))
+    expected, before, worst, turn = held, None, math.inf, 1
+    for done in range(rounds + 1):
         off = [(a - t) / h if h > 0 else 0.0 for a, t, h in zip(expected, target, held)]
-        if max(map(abs, off)) < EXACT:
+        moved = math.inf if before is None else max(abs(a - b) for a, b in zip(off, before))
+        # met, or as near as rates within their bounds come
+        if max(map(abs, off)) < EXACT or moved < STILL:
             break
-        step = sum((F.col("p")[i] * off[i] for i in range(1, k)), F.col("p")[0] * off[0])
-        rate = F.greatest(F.lit(0.0), F.col("rate") - step)
-        state = state.withColumn("rate", rate if max_rate is None else F.least(F.lit(float(max_rate)), rate))
-        if done % 8 == 0:
+        if done == rounds:
+            raise RuntimeError(f"rates still move by {moved} after {rounds} rounds, off by {off}")
+        # accelerated steps: totals are linear in the rates, so those of the point ahead need no pass of their own
+        error = sum(h * o * o for h, o in zip(held, off))
+        turn = 1 if error > worst else turn + 1
+        worst, push = error, (turn - 1) / (turn + 2) if before is not None else 0.0
+        ahead = [o + push * (o - q) for o, q in zip(off, before or off)]
+        before = off
+        step = sum((F.col("p")[i] * ahead[i] for i in range(1, k)), F.col("p")[0] * ahead[0])
+        rate = F.greatest(F.lit(0.0), F.col("rate") + push * (F.col("rate") - F.col("last")) - step)
+        rate = rate if max_rate is None else F.least(F.lit(float(max_rate)), rate)
+        state = state.select("p", "w", rate.alias("rate"), F.col("rate").alias("last"))
+        if done % 4 == 0:
             state = cut_lineage(state)
         expected = [float(x) for x in state.agg(*[F.sum(F.col("w") * F.col("rate") * F.col("p")[i]) for i in range(k)]).first()]
     return cut_lineage(state.select("p", "rate")), {"held": held, "target": target, "expected": expected, "rounds": done}
@@ -157,6 +171,6 @@ def keep(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **opti
     """The rows of ``docs``, with all their columns, that ``mix`` draws."""
     drawn = (mix(docs, labelled, targets, **options).filter("kept")
              .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    marked = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return (marked.join(drawn, marked["doc_id"].eqNullSafe(drawn["_id"]) & (marked["_text_hash"] == drawn["_hash"]), "left_semi")
-            .select(*docs.columns))
+    # the hash is an expression of the condition: no column of ``docs`` is touched
+    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["_id"]) & (own == drawn["_hash"]), "left_semi")

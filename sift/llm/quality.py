@@ -36,6 +36,8 @@ PRIOR = 5.0
 Z = 4.0
 #: densities (per word, as powers of two) whose reaching is an n-gram of its own
 LEVELS = (-99, -6, -3, -1)
+#: log weight of a text without n-grams, below that of any other
+NOTHING = -1e6
 SYMBOL = NOT_SPACE & ~LETTER_DIGIT
 SAME, STYLE = U(0x5A3E), U(0xC2B2AE3D27D4EB4F)
 
@@ -128,6 +130,7 @@ def log_weight(ratios) -> Column:
         for i, j, buf, offs in chunks(text):
             rows, buckets = features(buf, offs)
             out[i:j] = np.bincount(rows, weights=ratios.value[buckets], minlength=j - i)
+            out[i:j][np.bincount(rows, minlength=j - i) == 0] = NOTHING
         return pa.array(out)
     return weigh(F.col("text"))
 
@@ -192,15 +195,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, se
     good = judged.is_target.to_numpy() == 1
     least = least_error(judged.log_weight.to_numpy(), good) if len(good) else -np.inf
     k = scored.filter(F.col("log_weight") >= F.lit(float(least))).count()
-    return scored, ratios, kth_largest(scored, "key", k)
+    cutoff = kth_largest(scored, "key", k)
+    return scored, ratios, None if cutoff is None else max(cutoff, NOTHING / 2)
 
 
 def resample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 17) -> DataFrame:
     """``docs(doc_id, text)`` x ``labels(doc_id, quality, toxic)`` ->
     ``(doc_id, log_weight, key, kept)``, one row per row of ``docs``.
 
-    A null or empty text has no n-grams and weight 0 in the log, as has every text
-    if no label names a target.  Rows with a null id share one noise value; rows
+    A null text, or one without n-grams, has the log weight ``NOTHING`` and goes.
+    Every other text has 0 if no label names a target.  Rows with a null id share one noise value; rows
     with the same key stay or go together.  An empty table gives an empty table.
     Only ``doc_id`` and ``text`` are read.
     """

@@ -121,7 +121,9 @@ def test_resample_edges(spark):
     none = spark.createDataFrame([], labels)
     rows = [(None, None), (None, "x"), (1, None), (1, ""), (2, "word " * 200_000), (2, "word " * 200_000), (3, "***")]
     got = quality.resample(frame(spark, rows), none).collect()
-    assert len(got) == len(rows) and all(r.kept and r.log_weight == 0 for r in got)
+    assert len(got) == len(rows) and sorted(r.log_weight == 0 for r in got) == [False] * 3 + [True] * 4
+    assert all(r.kept == (r.log_weight == 0) for r in got)  # a text without n-grams goes
+    assert sorted(str(r.text) for r in quality.keep(frame(spark, rows), none).collect()) == sorted(["x", rows[4][1], rows[4][1], "***"])
     odd = spark.createDataFrame([(1, None, 0), (None, 1, 0), (2, 1, None), (2, 1, 0), (2, 0, 0), (3, 0, 0)], labels)
     assert quality.labelled_sample(odd).orderBy("doc_id").collect() == [(2, 0), (3, 0)]
     assert quality.resample(frame(spark, rows), odd).count() == len(rows)
@@ -184,6 +186,17 @@ def test_rates_above_one_and_hard_targets(spark):
     assert fit["expected"][0] < 0.1 * fit["held"][0]
 
 
+def test_targets_out_of_reach_end_at_the_least_squares(spark):
+    """Taking all of b also takes half of every mixed document's a: more than its target."""
+    members = spark.createDataFrame([(1, 100, [0.5, 0.5]), (1, 10, [1.0, 0.0])], "copies bigint, n_tokens bigint, p array<double>")
+    rates, fit = mixing.fit_rates(members, {"a": 0.3, "b": 0.7})
+    got = {tuple(r.p): r.rate for r in rates.collect()}
+    assert got[(1.0, 0.0)] == 0 and 0 < got[(0.5, 0.5)] < 1 and fit["rounds"] < 200
+    h, t = fit["held"], fit["target"]
+    loss = lambda r: sum((e - x) ** 2 / y for e, x, y in zip((50 * r, 50 * r), t, h))
+    assert all(loss(got[(0.5, 0.5)]) <= loss(got[(0.5, 0.5)] + d) + 1e-6 for d in (-0.01, 0.01))
+
+
 def test_mix_edges(spark):
     rows = [(None, None), (None, "der und"), (1, ""), (2, "le et"), (2, "le et"), (3, "the " * 100_000), (4, " \t\n")]
     labelled = spark.createDataFrame(lang_rows(50) + [(None, "x", "en"), (77, None, "en"), (78, "x", None), (79, "x", "zz")],
@@ -194,6 +207,9 @@ def test_mix_edges(spark):
     by = {(r.doc_id, r.n_tokens): r for r in got.collect()}
     assert by[(3, 100_000)].p_en > 0.99 and by[(1, 0)].p_en == pytest.approx(1 / 3, abs=0.001)
     kept = mixing.keep(d, labelled, TARGETS)
+    clash = d.withColumn("_text_hash", F.lit("mine")).withColumn("_id", F.lit("own")).withColumn("_hash", F.lit(None).cast("string"))
+    assert sorted(map(str, mixing.keep(clash, labelled, TARGETS).collect())) == sorted(
+        map(str, kept.withColumn("_text_hash", F.lit("mine")).withColumn("_id", F.lit("own")).withColumn("_hash", F.lit(None).cast("string")).collect()))
     assert kept.columns == d.columns and kept.count() == got.filter("kept").count()
     empty = spark.createDataFrame([], "doc_id bigint, text string, domain string")
     got = mixing.mix(d, empty, TARGETS).collect()
