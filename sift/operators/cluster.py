@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -89,26 +91,32 @@ def silhouette_samples(points: DataFrame, id_col: str, vec_col: str, cluster_col
 
     The mean squared distance of x to the points of a cluster is
     ``|x|^2 - 2 x.m + q`` with m their mean and q the mean of their squared norms, so
-    one row per cluster (broadcast after a check of its size) replaces all pairs.
+    blocks of points meet blocks of clusters, and one row a point and block leaves the task.
     The only point of a cluster, and every point of a single cluster, has 0.
     """
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.stat import Summarizer
+    from sift.operators.blocks import against, matrix
     from sift.operators.vectors import dot
     pts = points.select(F.col(id_col), F.col(cluster_col).alias("cluster"), F.col(vec_col).cast("array<double>").alias("v"))
     pts = pts.withColumn("sq", dot("v", "v"))
-    cents = cut_lineage(pts.groupBy("cluster").agg(
-        vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("m"), F.avg("sq").alias("q"), F.count(F.lit(1)).alias("n")))
-    n_clusters = cents.count()
-    side = cents.select(F.col("cluster").alias("c"), "m", "q", "n")
-    if n_clusters <= 10_000:
-        side = F.broadcast(side)
-    far = F.col("sq") - 2 * dot("v", "m") + F.col("q")
-    # the nearest other cluster: one row per point and cluster inside the task, one per point leaves it
-    both = pts.join(side, F.lit(True), "cross") if n_clusters <= 10_000 else pts.crossJoin(side)
-    s = both.groupBy(id_col, "cluster").agg(
-        F.max(F.when(F.col("c") == F.col("cluster"), F.struct(far.alias("d"), F.col("n").alias("n")))).alias("own"),
-        F.min(F.when(F.col("c") != F.col("cluster"), far)).alias("b"))
+    cents = pts.groupBy("cluster").agg(
+        vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("m"), F.avg("sq").alias("q"), F.count(F.lit(1)).alias("n"))
+    kinds = {c: pts.schema[c].dataType.simpleString() for c in (id_col, "cluster")}
+
+    def run(l, m):
+        # the own cluster, and the nearest other one of this block
+        far = l.field("sq").to_numpy()[:, None] - 2 * matrix(l, "v") @ matrix(m, "m").T + m.field("q").to_numpy()[None]
+        own = l.field("cluster").to_numpy(zero_copy_only=False)[:, None] == m.field("cluster").to_numpy(zero_copy_only=False)[None]
+        other = np.where(own, np.inf, far).min(axis=1)
+        at, here = own.argmax(axis=1), own.any(axis=1)
+        d = far[np.arange(len(l)), at]
+        return pa.RecordBatch.from_arrays([
+            l.field(id_col), l.field("cluster"), pa.array(d, mask=~here), pa.array(m.field("n").to_numpy()[at], pa.int64(), mask=~here),
+            pa.array(other, mask=np.isinf(other))], names=[id_col, "cluster", "d", "n", "b"])
+    parts = against(pts.select(id_col, "cluster", "v", "sq"), id_col, cents, "cluster", run,
+                    f"{id_col} {kinds[id_col]}, cluster {kinds['cluster']}, d double, n bigint, b double")
+    s = parts.groupBy(id_col, "cluster").agg(F.max(F.when(F.col("n").isNotNull(), F.struct("d", "n"))).alias("own"), F.min("b").alias("b"))
     a = F.col("own.d") * F.col("own.n") / (F.col("own.n") - 1)
     s = s.withColumn("a", F.when(F.col("own.n") > 1, a))
     return s.select(id_col, "cluster", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0)

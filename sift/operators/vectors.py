@@ -21,7 +21,7 @@ from sift.operators.topn import top_n_per_group
 from sift.session import parallelism, spread
 
 # Upper bound for a table that is inlined into an expression (rows x dims).
-MAX_INLINE_VALUES = 2_000_000
+MAX_BROADCAST_ROWS = 50_000
 
 
 def _c(x) -> Column:
@@ -154,69 +154,42 @@ def representative_by_embedding(df: DataFrame, cluster_col: str, id_col: str, ve
                                 n: int = 3) -> DataFrame:
     """The ``n`` members nearest (cosine) to their cluster centroid.
 
-    The centroid table has one row per cluster; the equi-join on the cluster
-    key lets AQE broadcast it when its measured size is small.
+    The centroid table has one row per cluster and is broadcast after a check of its number;
+    beyond that a hot cluster is left to Spark's skew handling.
     """
-    cents = group_mean(df, [cluster_col], vec_col, "_centroid")
+    from sift.session import stored
+    cents = stored(group_mean(df, [cluster_col], vec_col, "_centroid"))
+    cents = F.broadcast(cents) if cents.count() <= MAX_BROADCAST_ROWS else cents
     d = df.join(cents, cluster_col).withColumn("dist", cosine_distance(vec_col, "_centroid"))
     d = d.withColumn("_d", F.round("dist", 9))
     return top_n_per_group(d.select(cluster_col, id_col, "dist", "_d"), [cluster_col],
                            [F.asc("_d"), F.asc(id_col)], n, salt_cols=[id_col]).drop("_d")
 
 
-def _inline_rows(small: DataFrame, cols: list[str], dims: int):
-    """Collect a small table under a size bound (rows x dims), in one bounded job."""
-    bound = max(1, MAX_INLINE_VALUES // max(dims, 1))
-    rows = small.select(*cols).limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"table of more than {bound} rows x {dims} dims exceeds the inline bound")
-    return rows
-
-
-def _unit_list(v) -> list[float]:
-    n = sum(float(x) * float(x) for x in v) ** 0.5 or 1.0
-    return [float(x) / n for x in v]
-
-
-def best_per_column(token_vecs: DataFrame, score, columns: list, col_name: str, col_type: str, n: int) -> DataFrame:
-    """``(col, token, score)``: of every Arrow batch of ``token_vecs(token, vec)`` the ``n`` best
-    tokens (highest score, ties by token) for each column of ``score(unit vectors) -> matrix``.
-
-    Only columns x n rows leave a batch, not vocabulary x columns.
-    """
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = np.stack([np.asarray(x, np.float64) for x in batch.column("vec").to_pylist()])
-            length = np.sqrt((v * v).sum(axis=1, keepdims=True))
-            length[length == 0] = 1.0
-            tokens = np.array(batch.column("token").to_pylist(), dtype=object)
-            order = np.argsort(tokens, kind="stable")
-            got = score(v / length)
-            cols, toks, vals = [], [], []
-            for c, name in enumerate(columns):
-                top = order[np.argsort(-np.round(got[order, c], 9), kind="stable")[:n]]
-                cols += [name] * len(top)
-                toks += tokens[top].tolist()
-                vals += got[top, c].tolist()
-            kind = pa.int32() if col_type == "int" else None
-            yield pa.RecordBatch.from_arrays([pa.array(cols, kind), pa.array(toks, pa.string()), pa.array(vals, pa.float64())],
-                                             names=[col_name, "token", "score"])
-    return spread(token_vecs.select("token", "vec")).mapInArrow(run, f"{col_name} {col_type}, token string, score double")
+def _best(tokens: pa.Array, scores: np.ndarray, columns: pa.Array, col_name: str, n: int) -> pa.RecordBatch:
+    """Of a block the ``n`` best tokens (highest score, ties by token) for each column."""
+    names = np.array(tokens.to_pylist(), dtype=object)
+    order = np.argsort(names, kind="stable")
+    top = [order[np.argsort(-np.round(scores[order, c], 9), kind="stable")[:n]] for c in range(scores.shape[1])]
+    at = np.concatenate(top) if top else np.zeros(0, np.int64)
+    col = np.repeat(np.arange(len(top)), [len(t) for t in top])
+    return pa.RecordBatch.from_arrays([columns.take(pa.array(col)), tokens.take(pa.array(at)), pa.array(scores[at, col])],
+                                      names=[col_name, "token", "score"])
 
 
 def nearest_token_per_centroid(token_vecs: DataFrame, centroids: DataFrame, cluster_col: str, dims: int) -> DataFrame:
     """J7 + M14: for each cluster centroid, the corpus token with the smallest cosine distance (ties by token).
 
-    The centroid table (one row per cluster, checked against a size bound) goes to
-    the tasks; every Arrow batch of tokens is one matrix product and hands on its
-    best token per cluster.
+    Blocks of tokens meet blocks of centroids in one matrix product each and hand on
+    the best token per cluster.
     """
-    rows = _inline_rows(centroids, [cluster_col, "centroid"], dims)
-    m = np.array([_unit_list(r[1]) for r in rows]).reshape(len(rows), -1).T
+    from sift.operators.blocks import against, matrix, unit_rows
     kind = centroids.schema[cluster_col].dataType.simpleString()
-    best = best_per_column(token_vecs, lambda u: u @ m, [r[0] for r in rows], cluster_col, kind, 1)
+
+    def run(l, m):
+        return _best(l.field("token"), unit_rows(matrix(l, "vec")) @ unit_rows(matrix(m, "centroid")).T, m.field(cluster_col), cluster_col, 1)
+    best = against(token_vecs.select("token", "vec"), "token", centroids.select(cluster_col, "centroid"), cluster_col, run,
+                   f"{cluster_col} {kind}, token string, score double")
     best = best.withColumn("dist", F.lit(1.0) - F.col("score")).withColumn("_d", F.round("dist", 9))
     return top_n_per_group(best, [cluster_col], [F.asc("_d"), F.asc("token")], 1,
                            salt_cols=["token"]).drop("_d", "rank", "score")
@@ -230,27 +203,44 @@ def cosmul_titles(token_vecs: DataFrame, keywords: DataFrame, cluster_col: str,
     of all other clusters; a word that c shares with another is in both):
     ``score(w) = prod_P (1+cos)/2 / (prod_N (1+cos)/2 + eps)``; without
     ``negatives`` the product over P alone.  All keyword words are excluded from the
-    answers; top ``topn`` per cluster.  Products are sums of logs; the keyword
-    table (distinct words x dims, checked against a size bound) goes to the tasks.
+    answers; top ``topn`` per cluster.  Products are sums of logs.  The product over N is that over all
+    keywords without those that only c has, so a first pass sums over all keywords and a second one
+    meets blocks of tokens with blocks of clusters; keywords of any number take the same way.
     """
-    kw = keywords.select(cluster_col, "token").distinct()
-    words = sorted(_inline_rows(kw.select("token").distinct().join(token_vecs, "token"), ["token", "vec"], dims))
-    owners = _inline_rows(kw, [cluster_col, "token"], 1)
-    clusters = sorted({r[0] for r in owners})
-    place, column = {w[0]: i for i, w in enumerate(words)}, {c: i for i, c in enumerate(clusters)}
-    own = np.zeros((len(words), len(clusters)))
-    for c, w in owners:
-        if w in place:
-            own[place[w], column[c]] = 1.0
-    others = (own.sum(axis=1, keepdims=True) - own > 0).astype(float)
-    m = np.array([_unit_list(w[1]) for w in words]).reshape(len(words), -1).T
-
-    def score(u):
-        logs = np.log(np.maximum((1.0 + u @ m) / 2.0, 1e-300))
-        pos = logs @ own
-        return pos - np.log(np.exp(logs @ others) + eps) if negatives else pos
-    candidates = token_vecs.join(F.broadcast(kw.select("token").distinct()), "token", "left_anti")
-    best = best_per_column(candidates, score, clusters, cluster_col, kw.schema[cluster_col].dataType.simpleString(), topn)
+    from sift.operators.blocks import against, matrix, unit_rows
+    from sift.session import stored
+    kw = keywords.select(cluster_col, "token").distinct().join(token_vecs.select("token", "vec"), "token")
+    kw = stored(kw.withColumn("alone", F.lit(1)).join(
+        kw.groupBy("token").agg(F.count(F.lit(1)).alias("owners")), "token").withColumn("alone", F.col("owners") == 1))
+    kind = kw.schema[cluster_col].dataType.simpleString()
+    candidates = token_vecs.select("token", "vec").join(keywords.select("token").distinct(), "token", "left_anti")
+
+    def logs(u, vecs):
+        return np.log(np.maximum((1.0 + u @ unit_rows(vecs).T) / 2.0, 1e-300))
+
+    def total(l, m):
+        return pa.RecordBatch.from_arrays([l.field("token"), pa.array(logs(unit_rows(matrix(l, "vec")), matrix(m, "vec")).sum(axis=1))],
+                                          names=["token", "part"])
+    if negatives:
+        words = kw.select("token", "vec").dropDuplicates(["token"])
+        sums = against(candidates, "token", words, "token", total, "token string, part double").groupBy("token").agg(F.sum("part").alias("whole"))
+        candidates = stored(candidates.join(sums, "token"))
+    else:
+        candidates = candidates.withColumn("whole", F.lit(0.0))
+    clusters = kw.groupBy(cluster_col).agg(F.collect_list(F.struct("vec", "alone")).alias("words"))
+
+    def score(l, m):
+        u, whole = unit_rows(matrix(l, "vec")), l.field("whole").to_numpy()
+        scores = np.empty((len(l), len(m)))
+        for c in range(len(m)):
+            words = m.field("words")[c].values
+            own = logs(u, matrix(words, "vec"))
+            scores[:, c] = own.sum(axis=1)
+            if negatives:
+                only = own[:, words.field("alone").to_numpy(zero_copy_only=False)].sum(axis=1)
+                scores[:, c] -= np.log(np.exp(whole - only) + eps)
+        return _best(l.field("token"), scores, m.field(cluster_col), cluster_col, topn)
+    best = against(candidates, "token", clusters, cluster_col, score, f"{cluster_col} {kind}, token string, score double", side_rows=64)
     best = best.withColumn("_s", F.round("score", 9))
     return top_n_per_group(best, [cluster_col], [F.desc("_s"), F.asc("token")], topn, salt_cols=["token"]).drop("_s")
 

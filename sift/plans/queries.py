@@ -818,10 +818,9 @@ def comments_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per cluster the number of members and their ids in ascending order (as chunks of 100)."""
-    e = _emb(spark, sf_dir).select("label", "vec_id")
-    from pyspark.sql import Window
-    at = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    rows = e.withColumn("chunk", F.floor(at / 100).cast("int"))
+    from sift.operators.stats import positions
+    e = positions(_emb(spark, sf_dir).select("label", "vec_id"), "label", "vec_id", "at")
+    rows = e.withColumn("chunk", F.floor(F.col("at") / 100).cast("int"))
     return rows.groupBy("label", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("vec_id")).alias("ids")) \
                .select("label", "chunk", "n", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
