@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -48,6 +49,28 @@ def linkage_step(df: DataFrame, threshold: float = 0.1) -> DataFrame:
     return df.join(single_linkage(df, "vec_id", "embedding", float(threshold)), "vec_id")
 
 
+def hierarchy_step(df: DataFrame, min_cluster_size: int = 100, min_samples: int | None = None, alpha: float = 1.0) -> DataFrame:
+    from sift.operators.hierarchy import density_hierarchy
+    least = None if min_samples in (None, "None") else int(min_samples)
+    return df.join(density_hierarchy(df, "vec_id", "embedding", int(min_cluster_size), least, float(alpha)), "vec_id")
+
+
+def merge_step(df: DataFrame, linkage: str = "ward", threshold: float | None = None, n_clusters: int | None = None,
+               affinity: str = "cosine") -> DataFrame:
+    """Single or complete linkage cut at a distance; Ward (Euclidean) or average (cosine) at a distance or a number of clusters."""
+    from sift.operators.cluster import single_linkage
+    from sift.operators.linkage import complete_linkage, cut_merges, linkage_merges
+    if linkage == "single":
+        labels = single_linkage(df, "vec_id", "embedding", float(threshold))
+    elif linkage == "complete":
+        labels = complete_linkage(df, "vec_id", "embedding", float(threshold), affinity)
+    else:
+        merges, mapping = linkage_merges(df, "vec_id", "embedding", linkage)
+        labels = cut_merges(merges, mapping, None if n_clusters is None else int(n_clusters), None if threshold is None else float(threshold))
+        labels = labels.withColumnRenamed("orig_id", "vec_id")
+    return df.join(labels, "vec_id")
+
+
 def outlier_step(df: DataFrame, k: int = 20, contamination: float = 0.15, group_col: str | None = None) -> DataFrame:
     """LOF on the reduced vectors, of all points or inside every group."""
     from sift.operators.neighbors import local_outlier_factor
@@ -55,7 +78,8 @@ def outlier_step(df: DataFrame, k: int = 20, contamination: float = 0.15, group_
     return df.join(lof, "vec_id")
 
 
-CLUSTER_STEPS: dict[str, Callable] = {"kmeans": kmeans_step, "density": density_step, "linkage": linkage_step}
+CLUSTER_STEPS: dict[str, Callable] = {"kmeans": kmeans_step, "density": density_step, "linkage": linkage_step,
+                                      "hierarchy": hierarchy_step, "merge": merge_step}
 
 
 def default_grid(mode: str, n_rows: int) -> dict[str, dict[str, list]]:
@@ -66,6 +90,10 @@ def default_grid(mode: str, n_rows: int) -> dict[str, dict[str, list]]:
     elif mode == "density":
         least = sorted({max(2, n_rows // d) for d in (1000, 500, 250, 100)})
         steps["cluster"] = {"eps": [0.05, 0.1, 0.2, 0.4], "min_samples": least, "min_cluster_size": [5, 10]}
+    elif mode == "hierarchy":
+        steps["cluster"] = {"min_cluster_size": [10, 30, 80, 100], "min_samples": [None, 1, max(1, int(math.log(max(n_rows, 2))))], "alpha": [0.1, 1.0]}
+    elif mode == "merge":
+        steps["cluster"] = {"linkage": ["complete", "average", "single"], "threshold": [0.1, 0.25, 0.5]}
     else:
         steps["cluster"] = {"threshold": [0.05, 0.1, 0.2]}
     return steps

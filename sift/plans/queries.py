@@ -406,6 +406,40 @@ def bisecting_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans(_emb(spark, sf_dir), "vec_id", "embedding", 10, 100, 42, bisecting=True)
 
 
+def _two_components(spark, sf_dir):
+    """Unit vectors in their first two principal components (the neighbour grid prunes there)."""
+    from sift.operators.reduce import normalise_step, reduce_step
+    return reduce_step(normalise_step(_emb(spark, sf_dir).select("vec_id", "embedding")), 2)
+
+
+@query
+def density_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of greatest stability in the hierarchy of densities of the reduced vectors."""
+    from sift.operators.hierarchy import density_hierarchy as dh
+    return dh(_two_components(spark, sf_dir), "vec_id", "embedding", min_cluster_size=10, min_samples=5)
+
+
+@query
+def ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5e: ten clusters by Ward linkage of the reduced vectors."""
+    from sift.operators.reduce import merge_step
+    return merge_step(_two_components(spark, sf_dir), "ward", n_clusters=10).select("vec_id", "cluster")
+
+
+@query
+def average_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5e: average linkage (cosine) of the vectors, cut at 0.55."""
+    from sift.operators.reduce import merge_step
+    return merge_step(_emb(spark, sf_dir).select("vec_id", "embedding"), "average", 0.55).select("vec_id", "cluster")
+
+
+@query
+def complete_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5e: complete linkage (Euclidean) of the reduced vectors, cut at 0.1."""
+    from sift.operators.reduce import merge_step
+    return merge_step(_two_components(spark, sf_dir), "complete", 0.1, affinity="euclidean").select("vec_id", "cluster")
+
+
 @query
 def best_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L9 + A19: silhouette (squared Euclidean) for k = 5..20 with k-means; best flagged.
@@ -479,8 +513,8 @@ def topic_pipeline_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("vec_id", "label", "cluster", F.round("lof", 6).alias("lof"), "is_inlier")
 
 
-def _stored_runs(spark, sf_dir):
-    """Run a k-means grid (normalise x reduce x k), append it to a run table in the shared folder, read it back."""
+def _stored_runs(spark, sf_dir, grids):
+    """Run the grids ``(mode, step, grid)`` one by one, append each to a run table in the shared folder, read it back."""
     import uuid
     from sift.operators import reduce as RD
     from sift.operators import runs as RN
@@ -489,32 +523,58 @@ def _stored_runs(spark, sf_dir):
     from sift.sources import readers, sinks
     emb = cut_lineage(_emb(spark, sf_dir).select("vec_id", "embedding"))
     raw = emb.select("vec_id", F.col("embedding").alias("raw"))
-    grid = RN.build_grid({"normalise": {"on": [False, True]}, "reduce": {"k": [2, 10]}, "cluster": {"k": [8, 10, 12]}})
 
     def evaluate(df):
-        labelled = df.select("vec_id", "cluster").join(raw, "vec_id")  # scored on the unreduced vectors
+        labelled = cut_lineage(df.select("vec_id", "cluster").join(raw, "vec_id"))  # scored on the unreduced vectors
         st = cluster_stats(labelled).first()
-        return round(silhouette(labelled, "raw", "cluster", "cosine"), 6), int(st["n_clusters"]), int(st["n_outliers"])
-    steps = {"normalise": RD.normalise_step, "reduce": RD.reduce_step, "cluster": RD.kmeans_step}
+        score = round(silhouette(labelled, "raw", "cluster", "cosine"), 6) if st["n_clusters"] > 1 else None
+        return score, int(st["n_clusters"]), int(st["n_outliers"])
     path = f"{checkpoint_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
-    next_id = RN.next_grid_id(readers.read_runs(spark, path)).first()[0]
-    sinks.append_runs(RN.run_grid(spark, emb, "vec_id", "embedding", grid, steps, evaluate, next_id, "kmeans"), path)
+    for mode, step, grid in grids:
+        steps = {"normalise": RD.normalise_step, "reduce": RD.reduce_step, "cluster": step}
+        next_id = RN.next_grid_id(readers.read_runs(spark, path)).first()[0]
+        sinks.append_runs(RN.run_grid(spark, emb, "vec_id", "embedding", RN.build_grid(grid), steps, evaluate, next_id, mode), path)
     return readers.read_runs(spark, path)
 
 
+def _kmeans_grid():
+    from sift.operators.reduce import kmeans_step
+    return [("kmeans", kmeans_step, {"normalise": {"on": [False, True]}, "reduce": {"k": [2, 10]}, "cluster": {"k": [8, 10, 12]}})]
+
+
+def _cluster_grids():
+    """A grid of the density hierarchy, and one of the linkages, on two components."""
+    from sift.operators.reduce import hierarchy_step, merge_step
+    shared = {"normalise": {"on": [True]}, "reduce": {"k": [2]}}
+    return [("hierarchy", hierarchy_step, shared | {"cluster": {"min_cluster_size": [10, 30], "min_samples": [5]}}),
+            ("merge", merge_step, shared | {"cluster": {"linkage": ["ward", "average"], "n_clusters": [10]}}),
+            ("merge", merge_step, shared | {"cluster": {"linkage": ["complete"], "threshold": [0.1], "affinity": ["euclidean"]}})]
+
+
 @query
 def grid_search_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9 + M10 + K5: grid (normalise x PCA to 2 or 10 x k in 8, 10, 12) scored by cosine silhouette
     on the unreduced vectors; one run-table row per node, as stored."""
-    return _stored_runs(spark, sf_dir).select("grid_id", "node", "mode", F.to_json("parameters").alias("parameters"),
-                                              "silhouette", "n_clusters", "n_outliers")
+    return _stored_runs(spark, sf_dir, _kmeans_grid()).select("grid_id", "node", "mode", F.to_json("parameters").alias("parameters"),
+                                                              "silhouette", "n_clusters", "n_outliers")
+
+
+@query
+def grid_search_clusterings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M10 + X3: grids of the density hierarchy and of Ward, average and complete linkage, as stored, each grid's best node flagged."""
+    from sift.operators.runs import best_config as bc
+    runs = _stored_runs(spark, sf_dir, _cluster_grids())
+    best = bc(runs).select("mode", "grid_id", F.col("best_node").alias("node"), F.lit(True).alias("is_best"))
+    return (runs.join(best, ["mode", "grid_id", "node"], "left")
+            .select("grid_id", "node", "mode", F.to_json("parameters").alias("parameters"), "silhouette", "n_clusters", "n_outliers",
+                    F.coalesce("is_best", F.lit(False)).alias("is_best")))
 
 
 @query
 def grid_best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A24 + L6 over a run table that the grid search wrote: its best node, with the parameters."""
     from sift.operators.runs import best_config as bc
-    runs = _stored_runs(spark, sf_dir)
+    runs = _stored_runs(spark, sf_dir, _kmeans_grid())
     best = bc(runs)
     return best.join(runs.select("mode", "grid_id", F.col("node").alias("best_node"), F.to_json("parameters").alias("parameters")),
                      ["mode", "grid_id", "best_node"])

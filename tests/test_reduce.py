@@ -42,10 +42,31 @@ def test_density_and_linkage_steps(spark):
 def test_default_grids_follow_the_rows():
     a, b = RD.default_grid("density", 1000), RD.default_grid("density", 100_000)
     assert a["cluster"]["min_samples"] != b["cluster"]["min_samples"]
-    for mode in ("kmeans", "density", "linkage"):
+    for mode in ("kmeans", "density", "linkage", "hierarchy", "merge"):
         assert len(RN.build_grid(RD.default_grid(mode, 500))) > 10
 
 
+def test_hierarchy_and_merge_steps(spark):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(30, 4)) * 0.1 + c for c in ([1, 0, 0, 0], [0, 4, 0, 0], [0, 0, 9, 0])])
+    for mode, cluster in (("hierarchy", {"min_cluster_size": 10, "min_samples": 4}), ("merge", {"linkage": "ward", "n_clusters": 3}),
+                          ("merge", {"linkage": "complete", "threshold": 3.0, "affinity": "euclidean"})):
+        step = RD.CLUSTER_STEPS[mode]
+        r = {x.vec_id: x.cluster for x in step(points(spark, x), **cluster).collect()}
+        assert [r[i] for i in range(90)] == [0] * 30 + [30] * 30 + [60] * 30
+
+
+def test_best_clusterings_equal_sql_over_the_stored_rows(spark):
+    from sift.plans.queries import grid_search_clusterings
+    runs = grid_search_clusterings(spark, "/root/testdata/sf0.001")
+    rows = runs.collect()
+    assert len(rows) == 5 and {r.mode for r in rows} == {"hierarchy", "merge"}
+    spark.createDataFrame(rows, runs.schema).createOrReplaceTempView("stored_runs")
+    best = spark.sql("""SELECT grid_id, mode, node FROM (SELECT *, row_number() OVER (PARTITION BY mode, grid_id ORDER BY silhouette DESC, node) AS r
+                        FROM stored_runs WHERE silhouette IS NOT NULL) WHERE r = 1""").collect()
+    assert {tuple(b) for b in best} == {(r.grid_id, r.mode, r.node) for r in rows if r.is_best}
+
+
 def test_best_run_of_a_stored_table(spark):
     from sift.plans.queries import grid_best_run, grid_search_runs
     sf = "/root/testdata/sf0.001"
