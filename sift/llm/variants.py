@@ -1,15 +1,18 @@
 """Spelling variants: words one edit apart, found by walking a distributed prefix tree level by level.
 
-The tree is a table of edges ``(depth, node, ch, label, child, child_word, child_n)``: its nodes are
-the prefixes where words branch or end, so a chain without branches is one edge with a longer label.
+The tree is a table of edges ``(depth, node, ch, label, child, child_word, child_n, child_wide)``: its nodes
+are the prefixes where words branch or end, so a chain without branches is one edge with a longer label
+(``child_wide`` is the longest label below the child).
 The frontier holds states ``(word, pos, node, edits)``: ``pos`` code points of ``word`` are read and
 ``node`` is the prefix reached.  A level joins the states with the edges below their nodes.  A state
 without edits follows the edge that spells its word, and at the first unlike code point turns into a
 one-edit state on the other edges; a one-edit state must spell the edge.  A one-edit state that ends
-at a word is a neighbour.  Each pair is found once, from the longer word or, of a replaced code point,
+at a word is a neighbour.  The tree is searched for differences in the second half of a word; a tree of the
+reversed words has those in the first half, so no state branches where every letter follows.  Each pair is found once, from the longer word or, of a replaced code point,
 from the smaller word; both directions are counted.
 
-Edges of a level are broadcast behind a check of their number and shuffled beyond it.  Node ids are
+The frontier is written level by level.  Edges of a level are broadcast behind a check of their number
+and shuffled beyond it.  Node ids are
 64-bit hashes; two prefixes with one id only share their edges, and every pair is checked by its
 edit distance at the end.
 
@@ -29,8 +32,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: maximal runs of these letters are words
 LETTERS = r"[A-Za-zÀ-ÿ]"
 BROADCAST_EDGES = 100_000
-#: levels whose edges are broadcast run in one pass; after so many of them the frontier is written
-PIPELINED = 3
 
 
 def misspelt_words(docs: DataFrame, min_length: int = 7, one_in: int = 31) -> DataFrame:
@@ -69,71 +70,86 @@ def edges(vocab: DataFrame) -> DataFrame:
     e = path.select("word", "n", step.alias("depth", "s"))
     label = F.col("word").substr(F.col("s.a") + 1, F.col("s.b") - F.col("s.a"))
     ends = F.col("s.b") == size
-    return e.select("depth", "s.node", label.substr(1, 1).alias("ch"), label.alias("label"), "s.child",
-                    F.when(ends, F.col("word")).alias("child_word"), F.when(ends, F.col("n")).alias("child_n")).distinct()
+    e = e.select("depth", "s.node", label.substr(1, 1).alias("ch"), label.alias("label"), "s.child",
+                 F.when(ends, F.struct("word", "n")).alias("end"))
+    # one row an edge, with the word that ends below it if one does
+    e = e.groupBy("depth", "node", "ch", "label", "child").agg(F.collect_set("end").alias("end"))
+    e = e.select("depth", "node", "ch", "label", "child", F.explode_outer("end").alias("end")).select(
+        "depth", "node", "ch", "label", "child", F.col("end.word").alias("child_word"), F.col("end.n").alias("child_n"))
+    wide = e.groupBy(F.col("node").alias("child")).agg(F.max(F.char_length("label")).alias("child_wide"))
+    return e.join(wide, "child", "left").withColumn("child_wide", F.coalesce("child_wide", F.lit(0)))
 
 
 def _rest(n):
     return F.col("word").substr(F.col("pos") + 1, n)
 
 
-def _open_or_near(df: DataFrame, pos, child: str = "child") -> DataFrame:
-    """One-edit states after an edge: those that end at a word become neighbours, those that have read
-    all of their word elsewhere vanish."""
-    size = F.char_length("word")
-    end = pos == size
-    return df.filter((pos < size) | (end & F.col("child_word").isNotNull())).select(
-        "word", "n", pos.alias("pos"), F.col(child).alias("node"),
-        F.when(end, F.col("child_word")).alias("near"), F.when(end, F.col("child_n")).alias("near_n"))
+def _level(states: DataFrame, e: DataFrame) -> DataFrame:
+    """The next frontier of ``states(word, n, pos, node, since, wide)`` over the edges below their nodes.
 
-
-def _level(zero: DataFrame, one: DataFrame | None, e: DataFrame):
-    """The next frontier: states without edits, and one-edit states with the neighbours found so far."""
+    ``since`` is null in a state with an edit; ``near`` and ``near_n`` are filled where such a state ends at a word.
+    """
     size, m = F.char_length("word"), F.char_length("label")
-    met = zero.join(e.drop("ch"), "node")
     same = _rest(m) == F.col("label")
-    exact = zero.withColumn("ch", _rest(F.lit(1))).join(e, ["node", "ch"]).filter(same)
-    next_zero = exact.filter(F.col("pos") + m < size).select("word", "n", (F.col("pos") + m).alias("pos"), F.col("child").alias("node"))
+    # along the edge that begins as the word goes on: without an edit to the next node, with one on its way to a word
+    exact = states.withColumn("ch", _rest(F.lit(1))).join(e, ["node", "ch"]).filter(same)
+    plain = exact.filter(F.col("since").isNotNull() & (F.col("pos") + m < size)).select(
+        "word", "n", (F.col("pos") + m).alias("pos"), F.col("child").alias("node"), "since", F.col("child_wide").alias("wide"),
+        F.lit(None).cast("string").alias("near"), F.lit(None).cast("bigint").alias("near_n"))
+    moved = _open_or_near(exact.filter(F.col("since").isNull()), F.col("pos") + m)
     # the last code point of the word is one too many
-    last = exact.filter((F.col("pos") + m == size - 1) & F.col("child_word").isNotNull()).select(
-        "word", "n", "pos", "node", F.col("child_word").alias("near"), F.col("child_n").alias("near_n"))
+    last = _open_or_near(exact.filter(F.col("since").isNotNull() & (F.col("pos") + m == size - 1)), size)
+    # edits at ``since`` or later: edges that reach so far, alike up to there
+    free = F.col("since") - F.col("pos")
+    met = (states.filter(F.col("wide") > free).drop("wide").join(e.drop("ch"), "node")
+           .filter((m > free) & ((free <= 0) | (_rest(free) == F.col("label").substr(F.lit(1), free)))).filter(~same))
     near = lambda x: F.levenshtein(x, F.col("label"), 1) == 1
     replaced = (F.char_length(_rest(m)) == m) & (_rest(m) < F.col("label")) & (
         F.when(m == 1, F.lit(True)).otherwise(near(_rest(m))))
     dropped = (F.char_length(_rest(m + 1)) == m + 1) & F.when(m == 1, _rest(F.lit(2)).substr(2, 1) == F.col("label")).otherwise(near(_rest(m + 1)))
-    steps = F.filter(F.array(F.when(replaced, F.col("pos") + m), F.when(dropped, F.col("pos") + m + 1)), lambda x: x.isNotNull())
-    unlike = met.filter(~same).select(*met.columns, F.explode(steps).alias("to"))
-    out = _open_or_near(unlike, F.col("to")).unionByName(last)
-    if one is not None:
-        moved = one.withColumn("ch", F.when(F.col("near").isNull(), _rest(F.lit(1)))).join(e, ["node", "ch"], "left")
-        found = moved.filter("near is not null").select(*out.columns)
-        out = out.unionByName(_open_or_near(moved.filter(F.col("near").isNull() & same).drop("near", "near_n"), F.col("pos") + m)).unionByName(found)
-    return next_zero, out
+    steps = F.array(F.when(replaced, F.col("pos") + m), F.when(dropped, F.col("pos") + m + 1))
+    edited = _open_or_near(met.select(*met.columns, F.explode(steps).alias("to")).filter("to is not null"), F.col("to"))
+    return plain.unionByName(moved).unionByName(last).unionByName(edited)
 
 
-def near_words(vocab: DataFrame) -> DataFrame:
-    """``(word, n, near, near_n)``: all pairs of words one edit apart, in both directions."""
-    vocab = written(vocab.select("word", "n"), "variant-words")
+def _open_or_near(df: DataFrame, pos) -> DataFrame:
+    """One-edit states after an edge: those that end at a word become neighbours, those that have read
+    all of their word elsewhere vanish."""
+    size = F.char_length("word")
+    end = pos == size
+    return df.filter((pos < size) | (end & F.col("child_word").isNotNull())).select(
+        "word", "n", pos.alias("pos"), F.col("child").alias("node"), F.lit(None).cast("int").alias("since"), F.lit(None).cast("int").alias("wide"),
+        F.when(end, F.col("child_word")).alias("near"), F.when(end, F.col("child_n")).alias("near_n"))
+
+
+def _walk(vocab: DataFrame, since) -> DataFrame:
+    """Pairs ``(word, n, near, near_n)`` whose first difference is at ``since`` or later, each from one side."""
     e = written(edges(vocab), "variant-edges")
     # one row a level
-    sizes = {r.depth: r["count"] for r in e.groupBy("depth").count().collect()}
-    zero = vocab.select("word", "n", F.lit(0).alias("pos"), F.lit(0).cast("bigint").alias("node"))
-    one, chained, found = None, 0, []
-    for depth in range(len(sizes)):
+    levels = {r.depth: r for r in e.groupBy("depth").agg(F.count("*").alias("n"), F.max(F.char_length("label")).alias("wide")).collect()}
+    found = vocab.select("word", "n", F.col("word").alias("near"), F.col("n").alias("near_n")).filter("false")
+    if not levels:
+        return found
+    states = vocab.select("word", "n", F.lit(0).alias("pos"), F.lit(0).cast("bigint").alias("node"), since.alias("since"),
+                          F.lit(levels[0].wide).alias("wide"))
+    for depth in range(len(levels)):
         here = e.filter(F.col("depth") == depth).drop("depth")
-        small = sizes[depth] <= BROADCAST_EDGES
-        zero, one = _level(zero, one, F.broadcast(here) if small else here)
-        chained += 1
-        if depth + 1 == len(sizes) or chained == PIPELINED or sizes[depth + 1] > BROADCAST_EDGES:
-            one = written(one, "variant-states")
-            found.append(one.filter("near is not null").select("word", "n", "near", "near_n"))
-            one, zero, chained = one.filter("near is null"), written(zero, "variant-words"), 0
-    if not found:
-        return vocab.select("word", "n", F.col("word").alias("near"), F.col("n").alias("near_n")).filter("false")
-    pairs = found[0]
-    for f in found[1:]:
-        pairs = pairs.unionByName(f)
-    pairs = pairs.filter(F.levenshtein("word", "near", 1) == 1)
+        states = written(_level(states, F.broadcast(here) if levels[depth].n <= BROADCAST_EDGES else here), "variant-states")
+        found = found.unionByName(states.filter("near is not null").select("word", "n", "near", "near_n"))
+        states = states.filter("near is null").drop("near", "near_n")
+    return found.filter(F.levenshtein("word", "near", 1) == 1)
+
+
+def near_words(vocab: DataFrame) -> DataFrame:
+    """``(word, n, near, near_n)``: all pairs of words one edit apart, in both directions.
+
+    Near the root a node has every letter below it.  So the tree is only searched for differences in the second half of
+    a word, and a tree of the reversed words for those in the first half.
+    """
+    vocab = written(vocab.select("word", "n"), "variant-words")
+    half, size = F.floor(F.char_length("word") / 2).cast("int"), F.char_length("word")
+    back = _walk(vocab.select(F.reverse("word").alias("word"), "n"), size - half)
+    pairs = _walk(vocab, half).unionByName(back.withColumn("word", F.reverse("word")).withColumn("near", F.reverse("near")))
     both = F.explode(F.array(F.struct("word", "n", "near", "near_n"), F.struct(
         F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))))
     return pairs.select(both.alias("p")).select("p.*").distinct()
