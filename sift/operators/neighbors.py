@@ -280,7 +280,11 @@ def knn(points: DataFrame, id_col: str, vec_col: str, k: int, normalize: bool =
     so a hot group is never expanded into pairs.
     """
     reps, mapping = dedupe_vectors(points, id_col, vec_col, normalize)
-    near = _nearest(Grid(reps), F.lit(k), k).select("q", "s", "dist")
+    return with_copies(_nearest(Grid(reps), F.lit(k), k).select("q", "s", "dist"), reps, mapping, k)
+
+
+def with_copies(near: DataFrame, reps: DataFrame, mapping: DataFrame, k: int) -> DataFrame:
+    """Neighbours ``(q, s, dist)`` of distinct vectors -> those of all rows, copies at distance 0 included."""
     near = near.unionByName(reps.select(F.col("id").alias("q"), F.col("id").alias("s"), F.lit(0.0).alias("dist")))
     first = top_n_per_group(mapping, ["id"], [F.asc("orig_id")], k + 1, salt_cols=["orig_id"]) \
         .select(F.col("id").alias("s"), F.col("orig_id").alias("n"))

@@ -111,15 +111,16 @@ def filter_tokens(long: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def tfidf_scores(long: DataFrame, cluster_col: str = "cluster", id_col: str = "doc_id",
-                 min_df: float = 0.003, max_df: float = 0.5, max_features: int | None = None) -> DataFrame:
+                 min_df: float = 0.003, max_df: float = 0.5, max_features: int | None = None, pool: str = "last") -> DataFrame:
     """A4 + A5: per-cluster tf-idf keyword scores.
 
     Per cluster with ``n`` documents: keep tokens of length >= 2 with
     ``min_df*n <= df <= max_df*n``, with ``max_features`` keep so many tokens of the
     highest total count, ``idf = ln((1+n)/(1+df)) + 1``, L2-normalise each
-    document's tf*idf vector, and score a term by its value in the last
-    document (highest ``doc_id``) that holds it.
+    document's tf*idf vector, and score a term by ``pool``: its value in the ``last``
+    document (highest ``doc_id``) that holds it, the ``max`` or the ``sum`` over the documents.
     """
+    pooled = {"last": F.max_by("s", id_col), "max": F.max("s"), "sum": F.sum("s")}[pool]
     terms = document_terms(long, id_col, [cluster_col])
     tf = terms.filter(F.length("token") >= 2).withColumnRenamed("m", "tf")
     ndocs = terms.groupBy(cluster_col).agg(F.countDistinct(id_col).alias("n"))
@@ -134,7 +135,7 @@ def tfidf_scores(long: DataFrame, cluster_col: str = "cluster", id_col: str = "d
     w = tf.join(vocab, [cluster_col, "token"]).withColumn("w", F.col("tf") * F.col("idf"))
     norms = w.groupBy(cluster_col, id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     scored = w.join(norms, [cluster_col, id_col]).withColumn("s", F.col("w") / F.col("norm"))
-    return scored.groupBy(cluster_col, "token").agg(F.max_by("s", id_col).alias("score"))
+    return scored.groupBy(cluster_col, "token").agg(pooled.alias("score"))
 
 
 def rank_keywords(scores: DataFrame, cluster_col: str = "cluster", n: int = 10) -> DataFrame:

@@ -220,6 +220,23 @@ r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9)
 SELECT cluster, token, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10
 """
 
+ORACLE["topic_keywords_pooled"] = f"""
+WITH d AS ({_KW_DOCS}), l AS ({_KW_LONG}),
+nd AS (SELECT cluster, count(DISTINCT doc_id) AS n FROM l GROUP BY cluster),
+tf AS (SELECT cluster, doc_id, token, count(*) AS tf FROM l WHERE length(token) >= 2 GROUP BY cluster, doc_id, token),
+st AS (SELECT tf.cluster, token, count(*) AS df, sum(tf) AS total, any_value(nd.n) AS n
+       FROM tf JOIN nd ON tf.cluster = nd.cluster GROUP BY tf.cluster, token),
+fl AS (SELECT * FROM st WHERE df >= n * CAST(0.003 AS DOUBLE) AND df <= n * CAST(0.5 AS DOUBLE)),
+v AS (SELECT cluster, token, ln((n + 1) / (df + 1)) + 1 AS idf FROM fl),
+w AS (SELECT tf.cluster, tf.doc_id, tf.token, tf.tf * v.idf AS w FROM tf JOIN v ON tf.cluster = v.cluster AND tf.token = v.token),
+nr AS (SELECT cluster, doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY cluster, doc_id),
+p AS (SELECT w.cluster, w.token, max(w.w / nr.norm) AS hi, sum(w.w / nr.norm) AS total
+      FROM w JOIN nr ON w.cluster = nr.cluster AND w.doc_id = nr.doc_id GROUP BY w.cluster, w.token),
+s AS (SELECT 'max' AS pool, cluster, token, hi AS score FROM p UNION ALL SELECT 'sum', cluster, token, total FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY pool, cluster ORDER BY round(score, 9) DESC, token) AS rank FROM s)
+SELECT pool, cluster, token, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10
+"""
+
 ORACLE["corpus_tfidf"] = """
 WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS token FROM documents),
 n AS (SELECT count(*) AS n FROM documents),

@@ -209,6 +209,16 @@ def topic_keywords_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("cluster", "token", F.round("score", 6).alias("score"), "rank")
 
 
+@query
+def topic_keywords_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: per-cluster tf-idf keywords, top 10 by the largest and by the summed value over documents."""
+    _, long = _keyword_long(spark, sf_dir, with_cluster=True)
+    long = cut_lineage(long)
+    ranked = [TK.rank_keywords(TK.tfidf_scores(long, "cluster", pool=p), "cluster", 10).select(F.lit(p).alias("pool"), "cluster", "token", "score", "rank")
+              for p in ("max", "sum")]
+    return ranked[0].unionByName(ranked[1]).withColumn("score", F.round("score", 6))
+
+
 @query
 def corpus_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus tf, row-based idf and tf*idf on the raw single-space split."""
@@ -344,6 +354,22 @@ def topic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------- neighbours and clusters ---
 
+@query
+def approximate_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J8, approximate mode: ten neighbours per vector from signed-projection buckets, measured exactly."""
+    from sift.operators.approximate import approximate_knn
+    return approximate_knn(_emb(spark, sf_dir), "vec_id", "embedding", 10).select("q", "s", F.round("dist", 6).alias("dist"), "rank")
+
+
+@query
+def approximate_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the approximate mode, every 20th vector against all vectors."""
+    from sift.operators.approximate import approximate_knn, recall
+    emb = _emb(spark, sf_dir)
+    found = approximate_knn(emb, "vec_id", "embedding", 10)
+    return recall(found, emb, "vec_id", "embedding", 10, F.col("vec_id") % 20 == 0).select("n_queries", F.round("recall", 6).alias("recall"))
+
+
 @query
 def knn_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact 10 nearest neighbours (Euclidean) of every vector."""
@@ -654,20 +680,21 @@ def train_predict_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A21 + A22: actual vs predicted class counts and accuracy on the 10 % hold-out."""
+    """A21 + A22: actual vs predicted class counts, accuracy and loss (mean cross-entropy) on the 10 % hold-out."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from sift.operators import sentiment as S
     data = _labelled(spark, sf_dir).filter(F.col("label").isNotNull())
     model = S.train(data.filter(F.col("split") == "train"))
-    test = model.transform(data.filter(F.col("split") == "test"))
+    test = cut_lineage(model.transform(data.filter(F.col("split") == "test")).select("label", "prediction", "probability"))
     acc = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(test)
+    loss = MulticlassClassificationEvaluator(metricName="logLoss").evaluate(test)
     actual = test.groupBy((F.col("label") - 1).cast("int").alias("sentiment")).agg(F.count(F.lit(1)).alias("n_actual"))
     pred = test.groupBy((F.col("prediction") - 1).cast("int").alias("sentiment")).agg(F.count(F.lit(1)).alias("n_predicted"))
     classes = spark.createDataFrame([(-1,), (0,), (1,)], "sentiment int")
     return (classes.join(actual, "sentiment", "left").join(pred, "sentiment", "left")
                    .select("sentiment", F.coalesce("n_actual", F.lit(0)).alias("n_actual"),
                            F.coalesce("n_predicted", F.lit(0)).alias("n_predicted"),
-                           F.lit(round(acc, 6)).alias("accuracy")))
+                           F.lit(round(acc, 6)).alias("accuracy"), F.lit(round(loss, 6)).alias("loss")))
 
 
 # --------------------------------------------------------------- spelling ---

@@ -183,3 +183,51 @@ def test_group_quantile_matches_numpy(spark):
         for g in ("a", "b", "c"):
             want = np.percentile([v for h, v, w in rows if h == g and v is not None for _ in range(w)], 100 * p)
             assert abs(got[g] - want) < 1e-12
+
+
+def test_a_far_point_asks_few_cells(spark):
+    """2,000 close points and one at distance 1,000: coarser cells answer a wide radius."""
+    from pyspark.sql import functions as F
+
+    from sift.operators.neighbors import REACH, Grid, dedupe_vectors, knn
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(size=(2000, 4)), np.full((1, 4), 500.0)])
+    reps, _ = dedupe_vectors(frame(spark, x), "id", "v")
+    grid = Grid(reps)
+    radius = F.when(F.col("id") == 2000, 1100.0).otherwise(0.5)
+    asked = grid.asked(radius, F.lit(0.3)).groupBy("id").count().collect()
+    assert max(r["count"] for r in asked) <= (2 * REACH + 1) ** 2 and len(asked) == 2001
+    got = {}
+    for r in knn(frame(spark, x), "id", "v", 3).collect():
+        got.setdefault(r.q, []).append(round(r.dist, 9))
+    for i in (0, 7, 2000):
+        d = np.sort(np.sqrt(((x - x[i]) ** 2).sum(1)))[1:4]
+        assert np.allclose(sorted(got[i]), d)
+
+
+def test_approximate_neighbours(spark):
+    from pyspark.sql import functions as F
+
+    from sift.operators.approximate import approximate_knn, recall
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 24)) * 2
+    x = np.vstack([centres[i % 40] + rng.normal(size=24) * 0.6 for i in range(1500)] + [np.zeros((1, 24))] * 60)
+    df = frame(spark, x)
+    found = approximate_knn(df, "id", "v", 10, bucket=100).cache()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    rows = found.collect()
+    assert all(abs(r.dist - d[r.q, r.s]) < 1e-9 and r.q != r.s for r in rows)
+    assert len({(r.q, r.s) for r in rows}) == len(rows)
+    np.fill_diagonal(d, np.inf)
+    far = np.sort(d, axis=1)[:, 9]
+    asked = [i for i in range(len(x)) if i % 20 == 0]
+    hits = {i: 0 for i in asked}
+    for r in rows:
+        if r.q in hits:
+            hits[r.q] += r.dist <= far[r.q] + 1e-9
+    want = sum(min(10, h) for h in hits.values()) / (10 * len(asked))
+    got = recall(found, df, "id", "v", 10, F.col("id") % 20 == 0).first()
+    assert got.n_queries == len(asked) and abs(got.recall - want) < 1e-9 and got.recall >= 0.9
+    assert approximate_knn(df.limit(0), "id", "v", 3).count() == 0
+    exact = approximate_knn(df, "id", "v", 4, bucket=10_000)  # one bucket: nothing is missing
+    assert recall(exact, df, "id", "v", 4, F.col("id") % 20 == 0).first().recall == 1.0
