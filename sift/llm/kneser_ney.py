@@ -25,6 +25,7 @@ unknown words share one place of the V + 1.
 Orders above 2 (``order``) recur: p_n(w|h) = max(c - D_n(c), 0) / sum c + gamma p_n-1,
 with c the count at the highest order and below it the number of distinct words before
 the n-gram (the count for n-grams at the start of a text, which nothing precedes).
+They are counted in ``WAVES`` passes, and their keys are stored as a directory and short remainders.
 N-grams are dealt by the last word of their context (for hot words by that word and the
 next), so the task that merges a bucket holds all lower orders of its n-grams too, and
 one shuffle serves all orders.  Only the contexts that end in a hot word are merged once more.
@@ -50,6 +51,8 @@ PAIR = U(0xD6E8FEB86659FD93)
 BUCKET_BYTES = 16 << 20
 MAX_BUCKETS = 1 << 16
 FLUSH = 1 << 22
+#: passes over the texts that count n-grams of an order above 2, each for a share of the buckets
+WAVES = 3
 OPEN_BUCKETS = 2048
 SCORE_CHUNK = 1 << 22
 BLOCK = "bucket int, kind int, a binary, b binary, c binary, d binary"
@@ -224,7 +227,8 @@ def _summed(key: np.ndarray, count: np.ndarray):
     return key[first], order[first], np.add.reduceat(count[order], first) if len(key) else count
 
 
-def _count_grams(order: int, buckets: int, hot_words):
+def _count_grams(order: int, buckets: int, hot_words, wave: int = 0, waves: int = 1):
+    """N-grams of the buckets of one wave, summed in the task."""
     def flush(held):
         cols = [np.concatenate(x) for x in zip(*held)]
         key = bigram_key(context_keys(cols)[-1], cols[0])
@@ -252,6 +256,9 @@ def _count_grams(order: int, buckets: int, hot_words):
         for batch in batches:
             for _, _, buf, offs in chunks(batch.column("text")):
                 cols, _ = gram_columns(buf, offs, order)
+                if waves > 1:
+                    mine = bigram_bucket(cols[1], bigram_key(cols[1], cols[0]), buckets, hot_words.value) % waves == wave
+                    cols = [x[mine] for x in cols]
                 held.append(cols)
                 n += len(cols[0])
                 if n >= FLUSH:
@@ -262,10 +269,46 @@ def _count_grams(order: int, buckets: int, hot_words):
     return run
 
 
+def _save_keys(path: str, key: np.ndarray) -> None:
+    """Sorted keys as a directory of their first bits (about 8 keys a place, 16 bits at most) and the 40 bits after those.
+
+    A key that is not there is taken for one that is with a probability of 2**-40 at most per key of its place.
+    """
+    bits = min(16, max(0, len(key).bit_length() - 4))
+    top = (key >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+    rest = (key << U(bits)) >> U(24)
+    _save(path, "place", np.searchsorted(top, np.arange((1 << bits) + 1)).astype(np.uint32 if len(key) < 1 << 32 else np.int64))
+    _save(path, "high", (rest >> U(8)).astype(np.uint32))
+    _save(path, "low", (rest & U(255)).astype(np.uint8))
+
+
+KEYS = ("place", "high", "low")
+
+
+def _find_short(files, wanted: np.ndarray):
+    """``_find`` in the arrays that ``_save_keys`` wrote: a binary search inside the key's place."""
+    place, high, low = files[:3]
+    bits = (len(place) - 1).bit_length() - 1
+    top = (wanted >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(wanted), np.int64)
+    rest = (wanted << U(bits)) >> U(24)
+    at, end = place[top].astype(np.int64), place[top + 1].astype(np.int64)
+    last = end.copy()
+    value = lambda i: (high[i].astype(U) << U(8)) | low[i]
+    while len(open_ := np.flatnonzero(at < end)):
+        mid = (at[open_] + end[open_]) >> 1
+        less = value(mid) < rest[open_]
+        at[open_[less]] = mid[less] + 1
+        end[open_[~less]] = mid[~less]
+    ok = at < last
+    if len(high):
+        ok[ok] = value(at[ok]) == rest[ok]
+    return at, ok
+
+
 def _save_counts(path: str, key: np.ndarray, count: np.ndarray, bucket: int) -> None:
     small = np.minimum(count, 255).astype(np.uint8)
     large = np.flatnonzero(small == 255)
-    _save(f"{path}/{bucket}", "key", key)
+    _save_keys(f"{path}/{bucket}", key)
     _save(f"{path}/{bucket}", "count", small)
     _save(f"{path}/{bucket}", "more", np.stack([large, count[large]]))
 
@@ -281,7 +324,7 @@ def _save_contexts(path: str, key: np.ndarray, stats: np.ndarray, bucket: int) -
     which[small] = at
     which[~small] = len(rows) + np.arange((~small).sum())
     rows = np.concatenate([rows, stats[~small]])
-    _save(f"{path}/{bucket}", "key", key)
+    _save_keys(f"{path}/{bucket}", key)
     _save(f"{path}/{bucket}", "which", which.astype(np.min_scalar_type(len(rows))))
     _save(f"{path}/{bucket}", "rows", rows)
 
@@ -472,11 +515,16 @@ def train(docs: DataFrame, path: str | None = None, order: int = 2) -> Model:
                                    np.int64).astype(U).tolist()), U)
     shared_hot = spark.sparkContext.broadcast(hot)
     if order == 2:
-        count, merge, merge_stats = _count_bigrams(buckets, shared_hot), _merge_bigrams(path, buckets), _merge_stats(path)
+        counts, merge, merge_stats = [_count_bigrams(buckets, shared_hot)], _merge_bigrams(path, buckets), _merge_stats(path)
     else:
-        count, merge = _count_grams(order, buckets, shared_hot), _merge_grams(path, order, buckets, shared_hot)
-        merge_stats = _merge_words_and_contexts(path)
-    stats = cut_lineage(docs.mapInArrow(tidy(count), BLOCK).groupBy("bucket").applyInArrow(merge, BLOCK))
+        # a wave's shuffle is gone before the next wave: the disk never holds that of all n-grams
+        counts = [_count_grams(order, buckets, shared_hot, w, WAVES) for w in range(WAVES)]
+        merge, merge_stats = _merge_grams(path, order, buckets, shared_hot), _merge_words_and_contexts(path)
+    stats = None
+    for count in counts:
+        drop_finished(spark)
+        part = cut_lineage(docs.mapInArrow(tidy(count), BLOCK).groupBy("bucket").applyInArrow(merge, BLOCK))
+        stats = part if stats is None else stats.unionByName(part)
     drop_finished(spark)
     of = np.zeros(4, np.int64)
     of_order = {n: np.zeros(4, np.int64) for n in range(2, order + 1)} if order > 2 else {}
@@ -504,7 +552,7 @@ class Arrays:
             self.open.move_to_end(at)
             return self.open[at]
         where = f"{self.path}/{kind}/{bucket}"
-        found = tuple(np.load(f"{where}/{x}.npy", mmap_mode="r") for x in names) if os.path.exists(f"{where}/key.npy") else None
+        found = tuple(np.load(f"{where}/{x}.npy", mmap_mode="r") for x in names) if os.path.exists(f"{where}/{names[0]}.npy") else None
         self.open[at] = found
         if len(self.open) > OPEN_BUCKETS:
             self.open.popitem(last=False)
@@ -585,24 +633,24 @@ def score_grams(m: Model, arrays: Arrays, cols: list[np.ndarray]):
         for kind, of in (("contexts", ~is_hot), ("hot", is_hot)):
             of = np.flatnonzero(of)
             for b, rows in _by_bucket(bucket_of(h[of] if kind == "contexts" else keys[of], m.buckets), keys[of]):
-                files = arrays.get(kind, b, ("key", "which", "rows"))
-                if files and len(files[0]):
-                    pos, ok = _find(files[0], keys[of[rows]])
-                    stats[of[rows[ok]]] = files[2][files[1][pos[ok]]]
+                files = arrays.get(kind, b, (*KEYS, "which", "rows"))
+                if files:
+                    pos, ok = _find_short(files, keys[of[rows]])
+                    stats[of[rows[ok]]] = files[4][files[3][pos[ok]]]
         stats = stats[back]
         there, stats = there[stats[:, 0] > 0], stats[stats[:, 0] > 0]
         keys, first, back = np.unique(bigram_key(ctx[there], cols[0][there]), return_index=True, return_inverse=True)
         h, w = cols[1][there][first], cols[0][there][first]
         seen = np.zeros(len(keys), np.int64)
         for b, rows in _by_bucket(bigram_bucket(h, bigram_key(h, w), m.buckets, m.hot), keys):
-            files = arrays.get(f"grams{n}", b, ("key", "count", "more"))
-            if files and len(files[0]):
-                pos, ok = _find(files[0], keys[rows])
+            files = arrays.get(f"grams{n}", b, (*KEYS, "count", "more"))
+            if files:
+                pos, ok = _find_short(files, keys[rows])
                 pos, rows = pos[ok], rows[ok]
-                got = files[1][pos].astype(np.int64)
+                got = files[3][pos].astype(np.int64)
                 big = got == 255
                 if big.any():
-                    got[big] = files[2][1][np.searchsorted(files[2][0], pos[big])]
+                    got[big] = files[4][1][np.searchsorted(files[4][0], pos[big])]
                 seen[rows] = got
         seen = seen[back]
         p[there] = (np.maximum(seen - d[np.minimum(seen, 3)], 0) + stats[:, 1:] @ d[1:] * p[there]) / stats[:, 0]
