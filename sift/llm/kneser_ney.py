@@ -25,7 +25,7 @@ unknown words share one place of the V + 1.
 Orders above 2 (``order``) recur: p_n(w|h) = max(c - D_n(c), 0) / sum c + gamma p_n-1,
 with c the count at the highest order and below it the number of distinct words before
 the n-gram (the count for n-grams at the start of a text, which nothing precedes).
-They are counted in ``WAVES`` passes, and their keys are stored as a directory and short remainders.
+They are counted in several passes (``WAVES``), and their keys are stored as a directory and short remainders.
 N-grams are dealt by the last word of their context (for hot words by that word and the
 next), so the task that merges a bucket holds all lower orders of its n-grams too, and
 one shuffle serves all orders.  Only the contexts that end in a hot word are merged once more.
@@ -51,8 +51,9 @@ PAIR = U(0xD6E8FEB86659FD93)
 BUCKET_BYTES = 16 << 20
 MAX_BUCKETS = 1 << 16
 FLUSH = 1 << 22
-#: passes over the texts that count n-grams of an order above 2, each for a share of the buckets
-WAVES = 3
+#: passes over the texts that count n-grams of an order above 2: the buckets up to these shares.  A pass's shuffle
+#: lies beside the files of all passes before, so the passes get smaller.
+WAVES = (0.46, 0.74, 0.90, 1.0)
 OPEN_BUCKETS = 2048
 SCORE_CHUNK = 1 << 22
 BLOCK = "bucket int, kind int, a binary, b binary, c binary, d binary"
@@ -227,8 +228,8 @@ def _summed(key: np.ndarray, count: np.ndarray):
     return key[first], order[first], np.add.reduceat(count[order], first) if len(key) else count
 
 
-def _count_grams(order: int, buckets: int, hot_words, wave: int = 0, waves: int = 1):
-    """N-grams of the buckets of one wave, summed in the task."""
+def _count_grams(order: int, buckets: int, hot_words, low: int, high: int):
+    """N-grams of the buckets from ``low`` to below ``high``, summed in the task."""
     def flush(held):
         cols = [np.concatenate(x) for x in zip(*held)]
         key = bigram_key(context_keys(cols)[-1], cols[0])
@@ -256,9 +257,9 @@ def _count_grams(order: int, buckets: int, hot_words, wave: int = 0, waves: int
         for batch in batches:
             for _, _, buf, offs in chunks(batch.column("text")):
                 cols, _ = gram_columns(buf, offs, order)
-                if waves > 1:
-                    mine = bigram_bucket(cols[1], bigram_key(cols[1], cols[0]), buckets, hot_words.value) % waves == wave
-                    cols = [x[mine] for x in cols]
+                b = bigram_bucket(cols[1], bigram_key(cols[1], cols[0]), buckets, hot_words.value)
+                mine = (b >= low) & (b < high)
+                cols = [x[mine] for x in cols]
                 held.append(cols)
                 n += len(cols[0])
                 if n >= FLUSH:
@@ -518,7 +519,8 @@ def train(docs: DataFrame, path: str | None = None, order: int = 2) -> Model:
         counts, merge, merge_stats = [_count_bigrams(buckets, shared_hot)], _merge_bigrams(path, buckets), _merge_stats(path)
     else:
         # a wave's shuffle is gone before the next wave: the disk never holds that of all n-grams
-        counts = [_count_grams(order, buckets, shared_hot, w, WAVES) for w in range(WAVES)]
+        ends = [0, *(round(x * buckets) for x in WAVES)]
+        counts = [_count_grams(order, buckets, shared_hot, a, b) for a, b in zip(ends[:-1], ends[1:]) if a < b]
         merge, merge_stats = _merge_grams(path, order, buckets, shared_hot), _merge_words_and_contexts(path)
     stats = None
     for count in counts:
