@@ -39,6 +39,15 @@ def test_ids_equal_the_library(library):
     assert ids_of(TEXTS) == [[*library(t), 2] for t in TEXTS]
 
 
+def test_long_patterned_words_are_told_apart(library):
+    """Thue-Morse words and their complements cancel in sums modulo 2**64."""
+    word = "a"
+    while len(word) < 65_536:
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [x for n in (1024, 2048, 4096, 65_536) for x in (word[:n], word[:n].translate(str.maketrans("ab", "ba")))]
+    assert ids_of(texts) == [[*library(t), 2] for t in texts]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("ab A1 \n\t.,!'é²ɏɐ|   世"), max_size=30), min_size=1, max_size=6))
 def test_ids_equal_the_library_on_any_text(texts):
