@@ -40,8 +40,11 @@ def misspelt_words(docs: DataFrame, min_length: int = 7, one_in: int = 31) -> Da
     A word whose ``crc32("<doc_id>:<word>")`` is divisible by ``one_in`` loses the code point
     ``crc32 % length``.  Results of under ``min_length`` code points are left out.
     """
-    runs = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(f"{LETTERS}{{{min_length},}}"), F.lit(0))
+    runs = F.regexp_extract_all("text", F.lit(f"{LETTERS}{{{min_length},}}"), F.lit(0))
     rows = docs.select(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":")).alias("_id"), F.explode(runs).alias("_w"))
+    # only A-Z change: ``lower`` does that where all letters are ASCII, and much faster
+    ascii_only = F.octet_length("_w") == F.char_length("_w")
+    rows = rows.withColumn("_w", F.when(ascii_only, F.lower("_w")).otherwise(F.translate("_w", UPPER, LOWER)))
     rows = rows.select("_w", F.crc32(F.concat("_id", "_w")).alias("_h"))
     at = (F.col("_h") % F.char_length("_w")).cast("int")
     word = F.when(F.col("_h") % one_in == 0, F.concat(F.col("_w").substr(F.lit(1), at), F.col("_w").substr(at + 2, F.lit(2**30)))
@@ -54,19 +57,23 @@ def vocabulary(words: DataFrame, min_count: int = 2) -> DataFrame:
     return words.filter("word <> ''").groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
 
 
-def edges(vocab: DataFrame) -> DataFrame:
-    """Edge table of the prefix tree of ``vocab(word, n)``; the root's id is 0."""
+def prefix_node(k, word="word"):
+    return F.xxhash64(k, F.col(word).substr(F.lit(1), k))
+
+
+def edges(vocab: DataFrame, start: int = 0) -> DataFrame:
+    """Edge table of the prefix tree of ``vocab(word, n)`` from the prefixes of length ``start`` on; all words are longer."""
     size = F.char_length("word")
-    rows = vocab.select("word", "n", F.explode(F.sequence(F.lit(1), size)).alias("k"))
-    rows = rows.select("word", "n", "k", F.xxhash64("k", F.col("word").substr(F.lit(1), F.col("k"))).alias("node"),
-                       F.col("word").substr(F.col("k") + 1, F.lit(1)).alias("next"))
+    rows = vocab.select("word", "n", F.explode(F.sequence(F.lit(start + 1), size)).alias("k"))
+    # the code point that follows; 0 at the end of a word
+    rows = rows.select("word", "n", "k", prefix_node(F.col("k")).alias("node"), F.ascii(F.col("word").substr(F.col("k") + 1, F.lit(1))).alias("next"))
     # a prefix is a node if words end there or branch there
-    nodes = rows.groupBy("node").agg(F.min("next").alias("lo"), F.max("next").alias("hi")).filter("lo = '' or lo <> hi").select("node")
-    path = (rows.join(nodes, "node").groupBy("word", "n")
+    nodes = rows.groupBy("node").agg(F.min("next").alias("lo"), F.max("next").alias("hi")).filter("lo = 0 or lo <> hi").select("node")
+    path = (rows.select("word", "n", "k", "node").join(nodes, "node").groupBy("word", "n")
             .agg(F.sort_array(F.collect_list(F.struct("k", "node"))).alias("path")))
     step = F.posexplode(F.transform("path", lambda x, i: F.struct(
-        F.when(i > 0, F.col("path")[i - 1]["k"]).otherwise(0).alias("a"), x["k"].alias("b"),
-        F.when(i > 0, F.col("path")[i - 1]["node"]).otherwise(F.lit(0).cast("bigint")).alias("node"), x["node"].alias("child"))))
+        F.when(i > 0, F.col("path")[i - 1]["k"]).otherwise(start).alias("a"), x["k"].alias("b"),
+        F.when(i > 0, F.col("path")[i - 1]["node"]).otherwise(prefix_node(F.lit(start))).alias("node"), x["node"].alias("child"))))
     e = path.select("word", "n", step.alias("depth", "s"))
     label = F.col("word").substr(F.col("s.a") + 1, F.col("s.b") - F.col("s.a"))
     ends = F.col("s.b") == size
@@ -124,13 +131,16 @@ def _open_or_near(df: DataFrame, pos) -> DataFrame:
 
 def _walk(vocab: DataFrame, since) -> DataFrame:
     """Pairs ``(word, n, near, near_n)`` whose first difference is at ``since`` or later, each from one side."""
-    e = written(edges(vocab), "variant-edges")
+    shortest = vocab.agg(F.min(F.char_length("word")), F.min(since)).first()
+    # above the first place of an edit a word only follows its own letters
+    start = max(0, min(shortest[0] - 1, shortest[1])) if shortest[0] else 0
+    e = written(edges(vocab, start), "variant-edges")
     # one row a level
     levels = {r.depth: r for r in e.groupBy("depth").agg(F.count("*").alias("n"), F.max(F.char_length("label")).alias("wide")).collect()}
     found = vocab.select("word", "n", F.col("word").alias("near"), F.col("n").alias("near_n")).filter("false")
     if not levels:
         return found
-    states = vocab.select("word", "n", F.lit(0).alias("pos"), F.lit(0).cast("bigint").alias("node"), since.alias("since"),
+    states = vocab.select("word", "n", F.lit(start).alias("pos"), prefix_node(F.lit(start)).alias("node"), since.alias("since"),
                           F.lit(levels[0].wide).alias("wide"))
     for depth in range(len(levels)):
         here = e.filter(F.col("depth") == depth).drop("depth")
