@@ -3,14 +3,16 @@
 A naive Bayes classifier over hashed words, trained on a bounded labelled table,
 gives every document a posterior over the domains (from the mean word evidence,
 counted as ``EVIDENCE`` words, so a long text is not certain by its length
-alone).  Document rates r >= 0 are then fitted by distributed projected-gradient
-least squares: minimise sum_k (sum_d r_d n_d p_dk - T_k)^2 / W_k with n_d the
-tokens, p_d the posterior, W_k the tokens at hand and T_k the target of domain k.
-In the metric that weighs documents by their tokens the gradient step is
-r_d <- clip(r_d - sum_k p_dk (A_k - T_k) / W_k) with A_k the expected total, and
-its largest curvature is 1, so unit steps descend.  Documents of one posterior
-(rounded to ``DIGITS`` places) share a rate, so an iteration aggregates over
-distinct posteriors, and only one total per domain reaches the driver.
+alone).  Document rates 0 <= r <= max are then fitted by distributed least
+squares: minimise sum_k (sum_d r_d n_d p_dk - T_k)^2 / W_k with n_d the tokens, p_d
+the posterior, W_k the tokens at hand and T_k the target of domain k; of the rates
+that do it, those nearest to 1 by sum_d n_d (r_d - 1)^2, which a weight ``NEAR`` adds.
+They are r_d = clip(1 - sum_k m_k p_dk) for one multiplier a domain, which Newton
+steps on the convex dual find in some thirty passes; a gradient on the rates themselves
+needs thousands where a scarce domain has only a thousandth of some documents.
+Documents of one posterior (rounded to ``DIGITS`` places) share a rate, so a pass
+aggregates over distinct posteriors, and only sums by domain and by pair of domains
+reach the driver.
 
 Only DataFrame functions are used.  A document is drawn if a uniform number from
 its id and text lies below its rate.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +33,12 @@ EVIDENCE = 24.0
 DIGITS = 3
 MAX_LABELLED = 20_000
 SMOOTH = 0.5
-#: targets are met within this share of what their domains hold; or the totals move by less than STILL of it, where
-#: rates within their bounds cannot meet them (the least squares).  So many rounds without either are an error.
-EXACT, STILL = 1e-5, 1e-8
-ROUNDS = 1000
+#: the totals are the least squares' within this share of what their domains hold: with the weight NEAR they lie
+#: sqrt(NEAR) times the distance of the rates from 1 off, at most
+EXACT = 1e-5
+NEAR = EXACT ** 2
+#: so many passes that do not get there are an error
+ROUNDS = 500
 BROADCAST_ROWS = 200_000
 
 WORD_BREAK = r"[ \t\n\x0B\f\r]+"
@@ -113,30 +118,55 @@ def fit_rates(members: DataFrame, targets: dict[str, float], max_rate: float | N
     want = [x / sum(want) for x in want]
     budget = min(h / x for h, x in zip(held, want) if x > 0) * (max_rate or 1.0)
     target = [x * budget for x in want]
-    state = profiles.withColumn("rate", F.lit(1.0)).withColumn("last", F.lit(1.0))
-    expected, before, worst, turn = held, None, math.inf, 1
-    for done in range(rounds + 1):
-        off = [(a - t) / h if h > 0 else 0.0 for a, t, h in zip(expected, target, held)]
-        moved = math.inf if before is None else max(abs(a - b) for a, b in zip(off, before))
-        # met, or as near as rates within their bounds come
-        if max(map(abs, off)) < EXACT or moved < STILL:
-            break
+    target_, scale = np.array(target), np.array([h or 1.0 for h in held])
+    multipliers, done = np.zeros(k), 0
+
+    def look(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Totals, their change by the multipliers (negated) and the dual's sum over the posteriors, in one pass."""
+        nonlocal done
         if done == rounds:
-            raise RuntimeError(f"rates still move by {moved} after {rounds} rounds, off by {off}")
-        # accelerated steps: totals are linear in the rates, so those of the point ahead need no pass of their own
-        error = sum(h * o * o for h, o in zip(held, off))
-        turn = 1 if error > worst else turn + 1
-        worst, push = error, (turn - 1) / (turn + 2) if before is not None else 0.0
-        ahead = [o + push * (o - q) for o, q in zip(off, before or off)]
-        before = off
-        step = sum((F.col("p")[i] * ahead[i] for i in range(1, k)), F.col("p")[0] * ahead[0])
-        rate = F.greatest(F.lit(0.0), F.col("rate") + push * (F.col("rate") - F.col("last")) - step)
-        rate = rate if max_rate is None else F.least(F.lit(float(max_rate)), rate)
-        state = state.select("p", "w", rate.alias("rate"), F.col("rate").alias("last"))
-        if done % 4 == 0:
-            state = cut_lineage(state)
-        expected = [float(x) for x in state.agg(*[F.sum(F.col("w") * F.col("rate") * F.col("p")[i]) for i in range(k)]).first()]
-    return cut_lineage(state.select("p", "rate")), {"held": held, "target": target, "expected": expected, "rounds": done}
+            raise RuntimeError(f"rates are not fitted after {rounds} passes")
+        done += 1
+        state = profiles.select("p", "w", *_rate(m, max_rate))
+        free = F.col("rate") == F.col("ahead")
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        row = state.agg(
+            *[F.sum(F.col("w") * F.col("rate") * F.col("p")[i]) for i in range(k)],
+            *[F.sum(F.when(free, F.col("w") * F.col("p")[i] * F.col("p")[j])) for i, j in pairs],
+            F.sum(F.col("w") * ((F.col("ahead") - 1.0) * F.col("rate") - (F.col("rate") - 1.0) ** 2 / 2))).first()
+        change = np.zeros((k, k))
+        for (i, j), x in zip(pairs, row[k:-1]):
+            change[i, j] = change[j, i] = x or 0.0
+        return np.array([float(x) for x in row[:k]]), change, float(row[-1])
+
+    # the weight falls in steps: each minimum starts the next one near its own
+    for near in sorted({NEAR, *[10.0 ** -n for n in range(2, 10, 2)]}, reverse=True):
+        totals, change, value = look(multipliers)
+        value += near / 2 * scale @ multipliers ** 2 + target_ @ multipliers
+        slope = near * scale * multipliers + target_ - totals
+        while max(abs(slope) / scale) > EXACT / 10:
+            unit = 1 / np.sqrt(scale)
+            step = -unit * np.linalg.solve(near * np.eye(k) + change * np.outer(unit, unit), unit * slope)
+            part = 1.0
+            while True:
+                at = multipliers + part * step
+                totals, change, ahead = look(at)
+                ahead += near / 2 * scale @ at ** 2 + target_ @ at
+                rise = near * scale * at + target_ - totals
+                # short of the minimum along the step, or far enough down
+                if rise @ step <= 0 or ahead <= value + 1e-4 * part * (slope @ step):
+                    break
+                part /= 2
+            multipliers, value, slope = at, ahead, rise
+    rates = cut_lineage(profiles.select("p", *_rate(multipliers, max_rate)).select("p", "rate"))
+    return rates, {"held": held, "target": target, "expected": [float(x) for x in totals], "rounds": done}
+
+
+def _rate(multipliers, max_rate: float | None) -> list[Column]:
+    """``ahead``: 1 less the posterior's multipliers; ``rate``: that within the bounds."""
+    ahead = F.lit(1.0) - sum((F.col("p")[i] * float(m) for i, m in enumerate(multipliers)), F.lit(0.0))
+    rate = F.greatest(F.lit(0.0), ahead)
+    return [ahead.alias("ahead"), (rate if max_rate is None else F.least(F.lit(float(max_rate)), rate)).alias("rate")]
 
 
 def _draw(seed: int) -> Column:

@@ -197,6 +197,21 @@ def test_targets_out_of_reach_end_at_the_least_squares(spark):
     assert all(loss(got[(0.5, 0.5)]) <= loss(got[(0.5, 0.5)] + d) + 1e-6 for d in (-0.01, 0.01))
 
 
+def test_a_scarce_domain_in_traces_is_fitted_in_few_passes(spark):
+    """All of a is wanted, and traces of it are in texts whose b is already full: gradients take thousands of rounds."""
+    members = spark.createDataFrame([(1, 1000 + 7 * i, [i / 1000, 1 - i / 1000]) for i in range(40)] + [(1, 300, [1.0, 0.0])],
+                                    "copies bigint, n_tokens bigint, p array<double>")
+    rates, fit = mixing.fit_rates(members, {"a": 0.3, "b": 0.7})
+    assert fit["rounds"] < 100 and all(0 <= r.rate <= 1 for r in rates.collect())
+    p, w = np.array([r.p for r in members.collect()]), np.array([r.n_tokens for r in members.collect()], float)
+    h, t, near = np.array(fit["held"]), np.array(fit["target"]), {tuple(r.p): r.rate for r in rates.collect()}
+    x = np.array([near[tuple(v)] for v in p])
+    off = ((w * x) @ p - t) / h
+    # no rate moves the totals closer: the certificate of the least squares, a bound on its excess
+    gain = (w * np.where(p @ off > 0, x, x - 1) * (p @ off)).sum()
+    assert gain <= 2 * mixing.EXACT ** 2 * h.sum()
+
+
 def test_mix_edges(spark):
     rows = [(None, None), (None, "der und"), (1, ""), (2, "le et"), (2, "le et"), (3, "the " * 100_000), (4, " \t\n")]
     labelled = spark.createDataFrame(lang_rows(50) + [(None, "x", "en"), (77, None, "en"), (78, "x", None), (79, "x", "zz")],
