@@ -231,3 +231,43 @@ def test_approximate_neighbours(spark):
     assert approximate_knn(df.limit(0), "id", "v", 3).count() == 0
     exact = approximate_knn(df, "id", "v", 4, bucket=10_000)  # one bucket: nothing is missing
     assert recall(exact, df, "id", "v", 4, F.col("id") % 20 == 0).first().recall == 1.0
+
+
+def test_no_pair_of_blocks_is_shuffled(spark):
+    """One crowded cell of several blocks and parts: every row is shuffled few times, and nothing is missing."""
+    from pyspark.sql import functions as F
+
+    from sift.operators import neighbors as N
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(500, 8)) / 4, rng.normal(size=(40, 8)) / 4 + 9])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    reps, _ = N.dedupe_vectors(frame(spark, x), "id", "v")
+    wide, parts, N.WIDE, N.PARTS = N.WIDE, N.PARTS, 40, 3
+    try:
+        grid = N.Grid(reps)
+        pairs = grid.pairs_within(F.lit(0.9), F.lit(0.9))
+        assert "RoundRobin" not in pairs._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.q, r.s) for r in pairs.collect())
+        assert got == sorted(zip(*(a.tolist() for a in np.nonzero(d <= 0.9))))
+        counts = grid.pairs_within(F.lit(0.9), F.lit(0.9), counts=True).groupBy("q").agg(F.sum("nb").alias("n")).collect()
+        assert {r.q: r.n for r in counts} == {i: n for i, n in enumerate((d <= 0.9).sum(1).tolist()) if n}
+        edges = [(r.q, r.s) for r in grid.pairs_within(F.lit(0.9), F.lit(0.9), forest=True).collect()]
+        assert len(edges) < len(got) / 2 and union_find(len(x), edges) == union_find(len(x), got)
+        found = {}
+        for r in N.knn(frame(spark, x), "id", "v", 5).orderBy("q", "rank").collect():
+            found.setdefault(r.q, []).append(r.s)
+        assert all(found[i] == np.argsort(d[i], kind="stable")[:5].tolist() for i in range(len(x)))
+    finally:
+        N.WIDE, N.PARTS = wide, parts
+
+
+def test_a_forest_keeps_the_components():
+    from sift.operators.neighbors import _forest
+    rng = np.random.default_rng(6)
+    for share in (0.0, 0.01, 0.03, 0.3, 1.0):
+        a = rng.random((40, 50)) < share
+        i, j = _forest(a)
+        assert a[i, j].all() and len(i) <= 89
+        edges = [[(x, 40 + y) for x, y in zip(*p)] for p in ((i.tolist(), j.tolist()), (n.tolist() for n in np.nonzero(a)))]
+        assert union_find(90, edges[0]) == union_find(90, edges[1])
