@@ -197,3 +197,40 @@ def test_word2vec_query_has_a_vector_for_every_token(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["word2vec_vectors"](spark, str(tmp_path)).collect()
     assert {"green", "apples", "trains"} <= {r["token"] for r in got} and all(len(r["vec"]) == 16 for r in got)
+
+
+def test_text_is_cleaned_as_its_tokens(spark):
+    texts = ["Don't co-op! O'Neil's  Café, a '' 'x x' it's' don't", " 'tis\nrock'n'roll ΣΑΣ' ΟΔΟΣ. İx' 𝒳'y", "", "'", "a'\n b's\t"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "split(t, ' ', -1) AS w")
+    for r in df.select("t", SP.clean_tokens_of_text("t").alias("got"), F.transform("w", lambda x: SP.clean_token(x)).alias("want")).collect():
+        assert r.got == r.want, r.t
+
+
+def test_candidate_pairs_are_not_shuffled(spark):
+    q = spark.createDataFrame([("hous",), ("mosue",)], "query string")
+    w = spark.createDataFrame([("house",), ("mouse",), ("at",)], "word string")
+    pairs = SP.candidate_pairs(q, w, 3)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query" in plan and not [x for x in plan.split("Exchange hashpartitioning(")[1:] if "word" in x.split(")")[0]]
+    assert {(r.query, r.word, r.distance) for r in pairs.collect()} == {
+        (a, b, lev(a, b)) for a in ("hous", "mosue") for b in ("house", "mouse", "at") if lev(a, b) <= 3}
+
+
+def _tables(spark, path, docs, items):
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_spelling_queries_store_no_positions(spark, tmp_path, monkeypatch):
+    """Positions (six columns a word) were checkpointed; context, ranking and rewriting against plain Python."""
+    from sift.plans.queries import QUERIES
+    texts = ["the house near horse runs"] * 12 + ["x big hoose near horse", "x HORZE runs  near mouze", None, "the hoose near"]
+    _tables(spark, tmp_path, [(i, t, "en", "src1") for i, t in enumerate(texts)], [(1, "house horse near runs the big")])
+
+    def no(df):
+        raise AssertionError("the whole token table is checkpointed")
+    monkeypatch.setattr("sift.session.cut_lineage", no)
+    got = {(r.doc_id, r.pos): (r.token, r.correction, r.distance, r.context) for r in QUERIES["spelling_corrections"](spark, str(tmp_path)).collect()}
+    assert got == {(12, 2): ("hoose", "house", 1, 12), (13, 1): ("HORZE", "HORSE", 1, 12), (13, 5): ("mouze", "house", 2, 0), (15, 1): ("hoose", "house", 1, 24)}
+    report = {r.doc_id: r.corrected for r in QUERIES["spelling_report"](spark, str(tmp_path)).collect()}
+    assert report == {12: "x big house near horse", 13: "x HORSE runs near house", 15: "the house near"}
