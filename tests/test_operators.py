@@ -234,3 +234,15 @@ def test_spelling_queries_store_no_positions(spark, tmp_path, monkeypatch):
     assert got == {(12, 2): ("hoose", "house", 1, 12), (13, 1): ("HORZE", "HORSE", 1, 12), (13, 5): ("mouze", "house", 2, 0), (15, 1): ("hoose", "house", 1, 24)}
     report = {r.doc_id: r.corrected for r in QUERIES["spelling_report"](spark, str(tmp_path)).collect()}
     assert report == {12: "x big house near horse", 13: "x HORSE runs near house", 15: "the house near"}
+
+
+def test_pooled_scores_store_document_terms_only(spark, tmp_path, monkeypatch):
+    from sift.plans import queries
+    _tables(spark, tmp_path, [(i, "green apples taste sweet" if i % 2 else "heavy trains arrive late", "en", "src3") for i in range(8)], [(1, "x")])
+
+    def no(df):
+        raise AssertionError("the whole token table is checkpointed")
+    monkeypatch.setattr(queries, "cut_lineage", no)
+    monkeypatch.setattr("sift.session.cut_lineage", no)
+    rows = queries.QUERIES["topic_keywords_pooled"](spark, str(tmp_path)).collect()
+    assert {r.token for r in rows if r.pool == "sum"} >= {"apples", "trains"} and {r.pool for r in rows} == {"max", "sum"}
