@@ -180,3 +180,31 @@ def test_grid_frame(spark):
     grid = RN.build_grid({"reduce": {"k": [2, 3]}, "cluster": {"k": [8]}})
     got = RN.grid_frame(spark, grid, 4).orderBy("node").collect()
     assert [(r.grid_id, r.node, r.parameters["reduce"]["k"]) for r in got] == [(4, 0, "2"), (4, 1, "3")]
+
+
+def test_the_fit_hashes_once_and_sums_one_gradient_a_core(spark, monkeypatch):
+    from pyspark.ml.feature import HashingTF
+    from sift.operators import sentiment as S
+    rows = [(i, ["good", "fine"] if i % 2 else ["bad", "poor"], 0.0, 0.0, 0.0, 0.0, float(2 * (i % 2))) for i in range(80)]
+    parts = 3 * spark.sparkContext.defaultParallelism
+    data = spark.createDataFrame(rows, "doc_id long, tokens array<string>, neg_sum double, pos_sum double, neg_share double, pos_share double, label double")
+    seen, hashed = [], HashingTF._transform
+    monkeypatch.setattr(HashingTF, "_transform", lambda self, df: seen.append(df.rdd.getNumPartitions()) or hashed(self, df))
+    model = S.train(data.repartition(parts))
+    assert len(seen) == 1 and seen[0] <= spark.sparkContext.defaultParallelism
+    assert {r.sentiment for r in S.predict(model, data.filter("label = 0")).collect()} == {-1}
+    assert model.stages[-1].numFeatures == 4 + 4  # the buckets of four words and the lexicon's
+
+
+def test_class_counts_clean_only_the_labelled_comments(spark, tmp_path, monkeypatch):
+    import sift.session
+    from sift.plans.queries import QUERIES
+    docs = [(i, ("good fine <b>day</b> isn&apos;t it" if i % 2 else "bad poor b4 w/o 7x") + f" w{chr(97 + i % 26)}x", "en", "src1", 10) for i in range(200)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, i % 2, None if i < 4 else 1 - i % 2) for i in range(60)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept, stored = [], sift.session.stored
+    monkeypatch.setattr(sift.session, "stored", lambda df, *a: kept.append(stored(df, *a)) or kept[-1])
+    rows = QUERIES["class_counts"](spark, str(tmp_path)).collect()
+    assert max(k.count() for k in kept) == 56
+    assert sum(r.n_actual for r in rows) == sum(r.n_predicted for r in rows) > 0

@@ -74,3 +74,28 @@ def test_whitespace_and_url_helpers(spark):
     df = spark.createDataFrame([("a  b\t\tc d", "see http://x.y/z now @me ok")], "a string, b string")
     r = df.select(T.collapse_whitespace_comma("a").alias("a"), T.remove_urls_mentions("b").alias("b")).first()
     assert r.a == "a, b, c d" and r.b.split() == ["see", "now", "ok"]
+
+
+def test_whole_cleaner_against_plain_python(spark):
+    import html
+    import re
+    from sift.functions import resources as R
+    texts = ["It's gr8 w/o x1y a-b", "no markup  at all, I'm here", "<p>a &lt;b&gt; c4t</p> r u\tOK", "a < b & c", "<!-- x --> y&nbsp;z <b", "é-ü B4 u", "", None]
+
+    def plain(t):
+        if t is None:
+            return None
+        for p in (r"(?s)<!--.*?-->", r"<[^>]*>", r"<[a-zA-Z/!][^>]*\Z"):
+            t = re.sub(p, " ", t)
+        words = html.unescape(t).replace(" ", " ").lower().split()
+        for m in (R.CONTRACTIONS, R.ABBREVIATIONS):
+            words = [w for x in words for w in m.get(x, x).split(" ")]
+        words = [w.translate({ord(c): None for c in R.PUNCTUATION}) for w in words]
+        return [w for w in re.split("[^a-zA-Z]+", " ".join(words)) if len(w) > 1]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", T.clean_tokens("t", T.CleanOptions(stopwords=False)).alias("w")).orderBy("i").collect()
+    assert [r.w for r in got] == [plain(t) for t in texts]
+    digits = df.select("i", T.clean_tokens("t", T.CleanOptions(stopwords=False, numbers=False)).alias("w")).orderBy("i").collect()
+    assert "x1y" in digits[0].w and "c4t" in digits[2].w
+    odd = spark.createDataFrame([(["b4 it", "u"],), (["a", None],)], "w array<string>").select(T.expand_tokens("w", R.ABBREVIATIONS).alias("w")).collect()
+    assert [r.w for r in odd] == [["b4", "it", "you"], None]
