@@ -42,6 +42,18 @@ def _radius(method: str) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), 2 * F.col("u") - (1 - F.col("sq"))))
 
 
+def _bounds(method: str):
+    """A lower and an upper bound of the linkage distance, for the blocks of ``Grid.pairs_within``."""
+    def ward(d, room, a, n, b, m):
+        factor = np.sqrt(2 * n * m / (n + m))
+        return factor * (d - room), factor * (d + room)
+
+    def average(d, room, a, n, b, m):
+        h = 1 - (a * a + b * b - d * d) / 2
+        return h - 1e-9, h + 1e-9
+    return ward if method == "ward" else average
+
+
 def _plain_merges(rows: pd.DataFrame, method: str) -> list[tuple]:
     """(a, b, height, size) of all merges of ``rows(id, n, v)``, by a table of distances."""
     ids, n = rows["id"].tolist(), rows["n"].to_numpy(float)
@@ -78,7 +90,7 @@ def _plain_merges(rows: pd.DataFrame, method: str) -> list[tuple]:
 
 def _nearest_clusters(clusters: DataFrame, looking: DataFrame, method: str) -> DataFrame:
     """``(id, other, h)``: the nearest cluster, by linkage distance and name, of each of ``looking(id)``."""
-    reps = clusters.select(F.lit(0).alias("g"), "id", "v", F.lit(1).cast("bigint").alias("mult"))
+    reps = clusters.select(F.lit(0).alias("g"), "id", "v", F.col("n").alias("mult"))
     grid = Grid(reps)
     near = _nearest(grid, F.lit(1), 1)
     side = [c.select(F.col("id").alias(i), F.col("n").alias(n), F.col("sq").alias(s)) for c, i, n, s in
@@ -91,7 +103,8 @@ def _nearest_clusters(clusters: DataFrame, looking: DataFrame, method: str) -> D
     asking = stored(grid.points.join(looking, "id", "left_semi").join(reach, "id"))
     usual = asking.agg(F.percentile_approx("_reach", 0.5), F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()
     cell = max(float(usual[0] or 0.0), float(usual[1] or 0.0) / 4096, 1e-9)
-    found = linked(grid.pairs_within(F.col("_reach"), F.lit(cell), asking).select("q", "s", "dist"))
+    # of all pairs within reach (of means of cosine distances nearly all) only those that can be the nearest are handed on
+    found = linked(grid.pairs_within(F.col("_reach"), F.lit(cell), asking, bounds=_bounds(method)).select("q", "s", "dist"))
     best = found.groupBy("q").agg(F.min(F.struct(F.round("h", 12).alias("r"), F.col("s"), F.col("h"))).alias("b"))
     return best.select(F.col("q").alias("id"), F.col("b.s").alias("other"), F.col("b.h").alias("h"))
 

@@ -140,13 +140,14 @@ class Grid:
         return rows.withColumn("cx", F.floor((F.col("x") - F.col("x0")) / wide)).withColumn("cy", F.floor((F.col("y") - F.col("y0")) / wide))
 
     def pairs_within(self, radius: Column, side: Column, points: DataFrame | None = None, keep: int | None = None,
-                     forest: bool = False, counts: bool = False) -> DataFrame:
+                     forest: bool = False, counts: bool = False, bounds=None) -> DataFrame:
         """``(q, s, dist, s_mult)`` of every ordered pair in one group with ``q != s`` and ``dist <= radius(q)``.
 
         ``side``: the smallest cells' side, the same for all rows of a group.  ``keep``: of a
         left block only the best ``keep`` per ``q`` leave the task.  ``forest``: only
         edges that join what the block pair has not joined yet (for components).  ``counts``: ``(q, nb)``
-        instead, parts of the sums of ``s_mult``.
+        instead, parts of the sums of ``s_mult``.  ``bounds(d, room, lengths and mult of q, of s)``: a lower and an upper
+        bound of a measure; only pairs that can be the least of ``q`` among those that its left block has met leave the task.
         """
         asked = self.asked(radius, side, points)
         # a level for every factor of 4 between the radii: a handful
@@ -154,10 +155,10 @@ class Grid:
         members = self._members(side, levels)
         keys = ["_g", "_level", "cx", "cy"]
         id_type = self.points.schema["id"].dataType.simpleString()
-        met = met_blocks(asked.select(*keys, "id", "v", F.col("_r").alias("r")), members.select(*keys, "id", "v", "mult"), keys)
+        met = met_blocks(asked.select(*keys, "id", "v", F.col("_r").alias("r"), *(["mult"] if bounds else [])), members.select(*keys, "id", "v", "mult"), keys)
         if counts:
             return met.mapInArrow(_counted, f"q {id_type}, nb bigint")
-        return met.mapInArrow(_verified(keep, forest), f"q {id_type}, s {id_type}, dist double, s_mult bigint")
+        return met.mapInArrow(_verified(keep, forest, bounds), f"q {id_type}, s {id_type}, dist double, s_mult bigint")
 
     def knn_radius(self, k: Column, k_max: int) -> DataFrame:
         """Points with ``_k`` (their group's k) and ``_r``, a bound on the k-th distance to distinct others."""
@@ -317,7 +318,25 @@ def _met(batches):
             yield b, l, _Side(batch.column("m")[n].values)
 
 
-def _verified(keep: int | None, forest: bool):
+def _least(l: _Side, m: _Side, r: np.ndarray, best: np.ndarray, bounds):
+    """As ``_within``, but only pairs whose lower bound is at most the least upper bound of their left row, kept in ``best``."""
+    sides = [(x.length, x.numbers("mult").astype(np.float64)) for x in (l, m)]
+    for a, d, radius, room in _near(l, m, r):
+        part = slice(a, a + len(d))
+        low, high = bounds(d, room[:, None], sides[0][0][part, None], sides[0][1][part, None], sides[1][0][None], sides[1][1][None])
+        inside = (d <= (radius + room)[:, None]) & np.isfinite(d)
+        # a pair on the rim may lie outside: it bounds nothing
+        sure = (d <= (radius - room)[:, None]) & inside
+        best[part] = np.minimum(best[part], np.where(sure, high, np.inf).min(axis=1, initial=np.inf))
+        i, j = np.nonzero(inside & (low <= best[part, None]))
+        for n in range(0, len(i), CHUNK):
+            x, y = i[n:n + CHUNK] + a, j[n:n + CHUNK]
+            dist = _measured(l, m, x, y)
+            ok = dist <= r[x] + 1e-9
+            yield x[ok], y[ok], dist[ok]
+
+
+def _verified(keep: int | None, forest: bool, bounds=None):
     names = ["q", "s", "dist", "s_mult"]
 
     def pairs(l: _Side, m: _Side, i, j, dist) -> pa.RecordBatch:
@@ -325,9 +344,14 @@ def _verified(keep: int | None, forest: bool):
                                            m.block.field("mult").take(pa.array(j))], names=names)
 
     def run(batches):
-        best, here = None, None
+        best, here, least = None, None, None
         for b, l, m in _met(batches):
-            if keep is not None:
+            if bounds is not None:
+                if b != here:
+                    least, here = np.full(len(l.ids), np.inf), b
+                for i, j, dist in _least(l, m, l.numbers("r"), least, bounds):
+                    yield pairs(l, m, i, j, dist)
+            elif keep is not None:
                 if b != here:
                     if best is not None:
                         yield best.rows(names)

@@ -89,3 +89,23 @@ def test_complete_linkage_by_cosine_and_edges(spark):
     assert merges.count() == 0 and sorted(r.cluster for r in cut_merges(merges, mapping, n_clusters=1).collect()) == [1, 1]
     with pytest.raises(ValueError):
         linkage_merges(none, "id", "v", "complete")
+
+
+@pytest.mark.parametrize("method", ["ward", "average"])
+def test_few_of_the_pairs_within_reach_leave_a_task(spark, method, monkeypatch):
+    from sift.operators import linkage
+    from sift.operators.neighbors import Grid, dedupe_vectors
+    x = np.random.default_rng(5).normal(size=(300, 16))
+    reps, _ = dedupe_vectors(frame(spark, x), "id", "v", normalize=method == "average")
+    square = linkage.F.aggregate("v", linkage.F.lit(0.0), lambda s, v: s + v * v)
+    clusters = reps.select("id", (linkage.F.col("id") % 5 + 1).alias("n"), "v").withColumn("sq", square)
+    made, within = [], Grid.pairs_within
+    monkeypatch.setattr(Grid, "pairs_within", lambda self, *a, **b: made.append(within(self, *a, **b)) or made[-1])
+    got = {r.id: (r.other, r.h) for r in linkage._nearest_clusters(clusters, clusters.select("id"), method).collect()}
+    assert made[-1].count() < 3 * len(x)
+    rows = sorted(clusters.collect())
+    v, n = np.array([r.v for r in rows]), np.array([r.n for r in rows], float)
+    far = 1 - v @ v.T if method == "average" else np.sqrt(2 * n * n[:, None] / (n + n[:, None]) * ((v[:, None] - v[None]) ** 2).sum(-1))
+    np.fill_diagonal(far, np.inf)
+    assert [got[r.id][0] for r in rows] == [rows[j].id for j in far.argmin(1)]
+    assert np.allclose([got[r.id][1] for r in rows], far.min(1))
