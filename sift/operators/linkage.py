@@ -7,10 +7,12 @@ until they merge, so a round merges all such pairs at once and gives the merges
   nearest cluster comes from the neighbour grid: the linkage distance to the nearest mean bounds it, that
   bound limits how far a better mean can lie, and a range join of that radius finds it.  Only clusters
   whose nearest one has merged look again.
-* Complete linkage cut at a threshold needs the pairs within the threshold: a merged cluster keeps a pair only
-  if all pairs between the parts are there, at the largest distance (Lance-Williams as a join).
+* Complete linkage cut at a threshold keeps a cluster's outer members, its middle and how far a member lies from it.
+  The distance of the middles is a lower bound of the distance of the farthest members, with both rooms added an upper
+  one, so the range join of the middles hands on a few clusters, whose members are measured.  What has no partner within
+  the threshold is done.
 
-The last ``FINISH`` clusters of Ward and average linkage are merged in one task.  A cluster is named by its
+The last ``FINISH`` clusters are merged in one task.  A cluster is named by its
 smallest member.
 """
 
@@ -18,12 +20,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sift.operators.graph import connected_components
-from sift.operators.neighbors import Grid, _nearest, dedupe_vectors
-from sift.session import stored
+from sift.operators.neighbors import CHUNK, Grid, _nearest, dedupe_vectors
+from sift.session import spread, stored
 
 FINISH = 2000
 
@@ -173,36 +176,160 @@ def cut_merges(merges: DataFrame, mapping: DataFrame, n_clusters: int | None = N
     return mapping.join(comp, "id").select("orig_id", F.col("component").alias("cluster"))
 
 
-def complete_linkage(points: DataFrame, id_col: str, vec_col: str, threshold: float, metric: str = "cosine") -> DataFrame:
+def _corners(x: np.ndarray) -> np.ndarray:
+    """The members among which the farthest from any other point is: in the plane the corners of their hull (and what
+    lies on its rim), else all."""
+    if x.shape[1] != 2 or len(x) < 4:
+        return x
+    x = x[np.lexsort((x[:, 1], x[:, 0]))]
+    inside, at = -1e-12 * float(np.ptp(x, axis=0).max()) ** 2, x.tolist()
+    kept = set()
+    for order in (range(len(at)), range(len(at) - 1, -1, -1)):
+        chain: list[int] = []
+        for n in order:
+            while len(chain) > 1:
+                (ox, oy), (ax, ay), (bx, by) = at[chain[-2]], at[chain[-1]], at[n]
+                if (ax - ox) * (by - oy) - (ay - oy) * (bx - ox) >= inside:
+                    break
+                chain.pop()
+            chain.append(n)
+        kept.update(chain)
+    return x[sorted(kept)]
+
+
+def _member_rows(column: pa.Array) -> list[np.ndarray]:
+    """A matrix of members for every row of an ``array<array<double>>`` column."""
+    ends = np.append(0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))
+    rows = column.flatten()
+    x = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    return [x[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _farthest(batches):
+    """The distance of the two farthest members of every pair of clusters."""
+    for batch in batches:
+        far = np.zeros(batch.num_rows)
+        for n, (x, y) in enumerate(zip(_member_rows(batch.column("mq")), _member_rows(batch.column("ms")))):
+            rows = max(1, CHUNK // len(y))
+            far[n] = max(((x[a:a + rows, None] - y[None]) ** 2).sum(axis=2).max() for a in range(0, len(x), rows))
+        yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("s"), pa.array(np.sqrt(far))], names=["q", "s", "dist"])
+
+
+def _united(batches):
+    """Merged pairs of clusters as clusters: a middle, how far a member lies from it, and the outer members."""
+    for batch in batches:
+        members = [_corners(np.concatenate(xy)) for xy in zip(_member_rows(batch.column("ma")), _member_rows(batch.column("mb")))]
+        middles = [x.mean(axis=0) for x in members]
+        rooms = [float(np.sqrt(((x - v) ** 2).sum(axis=1).max())) for x, v in zip(members, middles)]
+        one = pa.list_(pa.float64())
+        yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array(middles, one), pa.array(rooms, pa.float64()),
+                                          pa.array([list(x) for x in members], pa.list_(one))], names=["id", "v", "room", "members"])
+
+
+def _between(d, room, a, n, b, m):
+    """The farthest members of two clusters lie no nearer than the middles, and no farther than these and both rooms."""
+    return d - room, d + room + n + m
+
+
+def _farthest_candidates(clusters: DataFrame, looking: DataFrame, radius: float, room: float) -> DataFrame:
+    """``(q, s, dist)``: clusters that can be the nearest of each of ``looking(id)`` within ``radius``, with their complete distance; ``room`` is the
+    largest of all clusters."""
+    id_type = _id_type(clusters)
+    grid = Grid(clusters.select(F.lit(0).alias("g"), "id", "v", F.col("room").alias("mult")))
+    # some cluster's middle lies within ``_r``, so its farthest member lies at most both rooms farther
+    reach = F.least(F.col("_r") + F.col("mult") + room, F.lit(radius)) * (1 + 1e-9) + 1e-9
+    asking = stored(grid.knn_radius(F.lit(1), 1).join(looking, "id", "left_semi").withColumn("_reach", reach))
+    usual = asking.agg(F.percentile_approx("_reach", 0.5), F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()
+    cell = max(float(usual[0] or 0.0), float(usual[1] or 0.0) / 4096, 1e-9)
+    pairs = grid.pairs_within(F.col("_reach"), F.lit(cell), asking, bounds=_between).select("q", "s")
+    for end, name in (("q", "mq"), ("s", "ms")):
+        pairs = pairs.join(clusters.select(F.col("id").alias(end), F.col("members").alias(name)), end)
+    return spread(pairs).mapInArrow(_farthest, f"q {id_type}, s {id_type}, dist double")
+
+
+def _complete_table(threshold: float, metric: str):
+    """All merges ``(a, b)`` of a few clusters, by a table of their distances: reciprocal nearest ones, round by round."""
+    def run(table: pa.Table) -> pa.Table:
+        names = table.column("id").combine_chunks()
+        order = np.argsort(names.to_numpy(zero_copy_only=False), kind="stable")
+        names = names.take(pa.array(order))
+        members = _member_rows(table.column("members").combine_chunks())
+        members = [members[i] for i in order]
+        x, starts = np.concatenate(members), np.append(0, np.cumsum([len(m) for m in members])[:-1])
+        d = np.empty((len(members), len(members)))
+        for n, m in enumerate(members):
+            far = np.zeros(len(x))
+            for y in m:
+                far = np.maximum(far, ((x - y) ** 2).sum(axis=1))
+            d[n] = np.sqrt(np.maximum.reduceat(far, starts))
+        d = d * d / 2 if metric == "cosine" else d
+        np.fill_diagonal(d, np.inf)
+        d[d >= threshold] = np.inf
+        pairs = []
+        while True:
+            near = np.round(d, 12).argmin(axis=1)  # the names are in order: the first of equals
+            a = np.flatnonzero(np.isfinite(d[np.arange(len(d)), near]) & (near[near] == np.arange(len(d))) & (np.arange(len(d)) < near))
+            if not len(a):
+                break
+            b = near[a]
+            pairs.append(np.stack([a, b]))
+            d[a] = np.maximum(d[a], d[b])
+            d[:, a] = np.maximum(d[:, a], d[:, b])
+            d[b], d[:, b], d[a, a] = np.inf, np.inf, np.inf
+        a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), int)
+        return pa.table({"a": names.take(pa.array(a)), "b": names.take(pa.array(b))})
+    return run
+
+
+def complete_linkage(points: DataFrame, id_col: str, vec_col: str, threshold: float, metric: str = "cosine", finish: int = FINISH) -> DataFrame:
     """``(id, cluster)``: complete linkage cut at ``threshold`` (exclusive): no two members are that far apart.
 
-    Ties go to the smaller names.  Label = smallest member.
+    Ties go to the smaller names.  Label = smallest member.  In more than two dimensions a cluster is one row with all
+    its distinct members, in the plane with the corners of their hull.
     """
     reps, mapping = dedupe_vectors(points, id_col, vec_col, normalize=metric == "cosine")
     radius = float(np.sqrt(2.0 * threshold)) if metric == "cosine" else float(threshold)
-    d = F.col("dist") * F.col("dist") / 2 if metric == "cosine" else F.col("dist")
-    pairs = Grid(reps).pairs_within(F.lit(radius), F.lit(radius)).filter("q < s").select(F.col("q").alias("a"), F.col("s").alias("b"), d.alias("h"))
+    h = F.col("dist") * F.col("dist") / 2 if metric == "cosine" else F.col("dist")
+    clusters = reps
     if metric == "cosine":  # a zero vector is at distance 1 from all, not at half its length
-        zero = reps.filter(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x)) == 0).select("id")
-        for end in ("a", "b"):
-            pairs = pairs.join(zero.withColumnRenamed("id", end), end, "left_anti")
-        if threshold > 1.0 and not zero.isEmpty():
+        zero = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x)) == 0
+        if threshold > 1.0 and not reps.filter(zero).isEmpty():
             raise ValueError("a zero vector is within every threshold above 1: leave it out")
-    pairs = stored(pairs.filter(F.col("h") < threshold))
-    names = stored(reps.select("id", F.col("id").alias("cluster")))
-    while not pairs.isEmpty():
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "h"))
-        near = both.groupBy("a").agg(F.min(F.struct(F.round("h", 12).alias("r"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.col("b"))).alias("m"))
-        near = near.select("a", F.col("m.b").alias("b"))
+        clusters = reps.filter(~zero)
+    clusters = stored(clusters.select("id", "v", F.lit(0.0).alias("room"), F.array("v").alias("members")))
+    merges, near = None, None
+    while True:
+        left, held, room = clusters.agg(F.count(F.lit(1)), F.sum(F.size("members")), F.max("room")).first()
+        if left < 2 or (left <= finish and held <= 20 * finish):
+            break
+        looking = clusters.select("id")
+        if near is not None:  # a nearest cluster that has not merged is still the nearest
+            near = near.join(merged, "id", "left_anti").join(merged.withColumnRenamed("id", "other"), "other", "left_anti")  # noqa: F821
+            looking = looking.join(near, "id", "left_anti")
+        found = _farthest_candidates(clusters, looking, radius, room).withColumn("h", h).filter(F.col("h") < threshold)
+        best = found.groupBy("q").agg(F.min(F.struct(F.round("h", 12).alias("r"), F.least("q", "s").alias("x"), F.greatest("q", "s").alias("y"), F.col("s"))).alias("m"))
+        fresh = best.select(F.col("q").alias("id"), F.col("m.s").alias("other"))
+        near = stored(fresh if near is None else near.select("id", "other").unionByName(fresh))
         # the pair of least distance and names is the nearest of both its ends
-        merged = stored(near.join(near.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"]).filter("a < b"))
-        to = merged.select(F.col("b").alias("id"), F.col("a").alias("to"))
-        parts = merged.select(F.col("a").alias("id"), F.lit(2).alias("parts"))
-        for end in ("a", "b"):
-            pairs = pairs.join(to.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        pairs = pairs.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("h").alias("h"), F.count(F.lit(1)).alias("n"))
-        for end in ("a", "b"):
-            pairs = pairs.join(parts.withColumnRenamed("id", end).withColumnRenamed("parts", f"p{end}"), end, "left")
-        pairs = stored(pairs.filter(F.col("n") == F.coalesce("pa", F.lit(1)) * F.coalesce("pb", F.lit(1))).select("a", "b", "h"))
-        names = stored(names.join(to.select(F.col("id").alias("cluster"), "to"), "cluster", "left").select("id", F.coalesce("to", "cluster").alias("cluster")))
-    return mapping.join(names, "id").select(F.col("orig_id").alias(id_col), "cluster")
+        pairs = stored(near.join(near.select(F.col("id").alias("other"), F.col("other").alias("id")), ["id", "other"]).filter("id < other")
+                       .select(F.col("id").alias("a"), F.col("other").alias("b")))
+        # what has no partner within the threshold has none later
+        clusters = clusters.join(near.select("id"), "id", "left_semi")
+        if pairs.isEmpty():
+            if not near.isEmpty():
+                raise RuntimeError("no reciprocal nearest neighbours")
+            break
+        merges = pairs if merges is None else merges.unionByName(pairs)
+        merged = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+        both = pairs
+        for end, name in (("a", "ma"), ("b", "mb")):
+            both = both.join(clusters.select(F.col("id").alias(end), F.col("members").alias(name)), end)
+        joined = spread(both).mapInArrow(_united, f"id {_id_type(reps)}, v array<double>, room double, members array<array<double>>")
+        clusters = stored(clusters.join(merged, "id", "left_anti").unionByName(joined))
+    if left > 1 and left <= finish:
+        rest = stored(clusters.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_complete_table(float(threshold), metric), f"a {_id_type(reps)}, b {_id_type(reps)}"))
+        merges = rest if merges is None else merges.unionByName(rest)
+    if merges is None:
+        return mapping.select(F.col("orig_id").alias(id_col), F.col("id").alias("cluster"))
+    comp = connected_components(reps.select("id"), merges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return mapping.join(comp, "id").select(F.col("orig_id").alias(id_col), F.col("component").alias("cluster"))

@@ -158,7 +158,8 @@ class Grid:
         met = met_blocks(asked.select(*keys, "id", "v", F.col("_r").alias("r"), *(["mult"] if bounds else [])), members.select(*keys, "id", "v", "mult"), keys)
         if counts:
             return met.mapInArrow(_counted, f"q {id_type}, nb bigint")
-        return met.mapInArrow(_verified(keep, forest, bounds), f"q {id_type}, s {id_type}, dist double, s_mult bigint")
+        mult_type = self.points.schema["mult"].dataType.simpleString()
+        return met.mapInArrow(_verified(keep, forest, bounds), f"q {id_type}, s {id_type}, dist double, s_mult {mult_type}")
 
     def knn_radius(self, k: Column, k_max: int) -> DataFrame:
         """Points with ``_k`` (their group's k) and ``_r``, a bound on the k-th distance to distinct others."""

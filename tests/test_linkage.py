@@ -109,3 +109,28 @@ def test_few_of_the_pairs_within_reach_leave_a_task(spark, method, monkeypatch):
     np.fill_diagonal(far, np.inf)
     assert [got[r.id][0] for r in rows] == [rows[j].id for j in far.argmin(1)]
     assert np.allclose([got[r.id][1] for r in rows], far.min(1))
+
+
+@pytest.mark.parametrize("dim, finish", [(2, 70), (3, 90)])
+def test_complete_linkage_by_rounds_hands_on_few_pairs(spark, dim, finish, monkeypatch):
+    from sift.operators.neighbors import Grid
+    x = np.random.default_rng(3).normal(size=(110, dim))
+    made, within = [], Grid.pairs_within
+    monkeypatch.setattr(Grid, "pairs_within", lambda self, *a, **b: made.append(within(self, *a, **b)) or made[-1])
+    got = {r.id: r.cluster for r in complete_linkage(frame(spark, x), "id", "v", 4.0, "euclidean", finish).collect()}
+    want = labels(plain(x, "complete"), len(x), lambda h: h < 4.0)
+    assert got == {i: want[i] for i in range(len(x))} and 1 < len(set(got.values())) < 30
+    # nearly all of the 12,000 pairs lie within the threshold
+    assert max(m.count() for m in made) < 12 * len(x)
+
+
+def test_corners_hold_the_farthest_member():
+    from sift.operators.linkage import _corners
+    rng = np.random.default_rng(1)
+    for n, scale in ((4, 1.0), (60, 1e-6), (2000, 1e3)):
+        x, y = rng.normal(size=(n, 2)) * scale, rng.normal(size=(50, 2)) * scale * 3
+        few = _corners(x)
+        far = lambda m: ((m[:, None] - y[None]) ** 2).sum(2).max(0)
+        assert (far(few) == far(x)).all() and len(few) <= 40
+    line = np.stack([np.arange(9.0), np.arange(9.0)], 1)
+    assert {(0.0, 0.0), (8.0, 8.0)} <= {tuple(p) for p in _corners(line)}
