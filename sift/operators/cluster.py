@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sift.operators.graph import connected_components
 from sift.operators.neighbors import Grid, dedupe_vectors
-from sift.session import cut_lineage
+from sift.session import cut_lineage, importable
 
 
 def single_linkage(points: DataFrame, id_col: str, vec_col: str, threshold: float = 0.55) -> DataFrame:
@@ -77,6 +77,66 @@ def kmeans(points: DataFrame, id_col: str, vec_col: str, k: int, max_iter: int =
     return model.transform(df).select(id_col, F.col("prediction").cast("int").alias("cluster"))
 
 
+def _sums(x: np.ndarray, models: list[np.ndarray]) -> list[np.ndarray]:
+    """Per model the number and the sum of the rows nearest to each centre: a matrix ``(n, sums..)``."""
+    out = []
+    for centres in models:
+        near = _nearest_centre(x, centres)
+        own = (near[None, :] == np.arange(len(centres))[:, None]).astype(np.float64)
+        out.append(np.column_stack([own.sum(axis=1), own @ x]))
+    return out
+
+
+def _nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres * centres).sum(axis=1)[None, :] - 2.0 * (x @ centres.T)).argmin(axis=1)
+
+
+def kmeans_of_sizes(features: DataFrame, ks: list[int], max_iter: int = 100, seed: int = 42, tol: float = 1e-4, parallel: int = 4) -> dict[int, np.ndarray]:
+    """Centres of k-means for every k of ``ks`` over ``features(features vector)``: Spark ML's starts, and all models' iterations in one
+    pass each over the rows.  The driver holds the centres alone."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def start(k: int) -> np.ndarray:
+        return np.array(KMeans(k=k, maxIter=0, seed=seed).fit(features).clusterCenters())
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        centres = dict(zip(ks, pool.map(start, ks)))
+    importable(features.sparkSession)
+
+    def block(rows):
+        part = [r[0].toArray() for r in rows]
+        return [np.array(part)] if part else []
+    blocks = features.select("features").rdd.mapPartitions(block).persist()
+    moving = list(ks)
+    for _ in range(max_iter):
+        if not moving:
+            break
+        models = [centres[k] for k in moving]
+        total = blocks.map(lambda x, models=models: _sums(x, models)).treeReduce(lambda a, b: [p + q for p, q in zip(a, b)])
+        still = []
+        for k, part in zip(moving, total):
+            n = part[:, :1]
+            new = np.where(n > 0, part[:, 1:] / np.maximum(n, 1.0), centres[k])
+            if (((new - centres[k]) ** 2).sum(axis=1) > tol * tol).any():
+                still.append(k)
+            centres[k] = new
+        moving = still
+    blocks.unpersist()
+    return centres
+
+
+def nearest_centres(features: DataFrame, models: list[np.ndarray], name: str = "predictions") -> DataFrame:
+    """The rows with the number of the nearest centre of every model: ``name array<double>``."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql.types import ArrayType, DoubleType
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def near(v: pa.Array) -> pa.Array:
+        x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+        at = np.stack([_nearest_centre(x, c) for c in models], axis=1).astype(np.float64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * len(models), pa.int32()), pa.array(at.ravel()))
+    return features.withColumn(name, near(vector_to_array("features")))
+
+
 def silhouette(points: DataFrame, vec_col: str, cluster_col: str, metric: str = "cosine") -> float:
     """Mean silhouette with Spark's linear-time evaluator (noise counts as a cluster)."""
     df = points.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"),

@@ -246,3 +246,27 @@ def test_pooled_scores_store_document_terms_only(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("sift.session.cut_lineage", no)
     rows = queries.QUERIES["topic_keywords_pooled"](spark, str(tmp_path)).collect()
     assert {r.token for r in rows if r.pool == "sum"} >= {"apples", "trains"} and {r.pool for r in rows} == {"max", "sum"}
+
+
+def test_all_sizes_of_kmeans_share_their_passes(spark):
+    import numpy as np
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+    from sift.operators.cluster import kmeans_of_sizes, nearest_centres
+    x = np.random.default_rng(4).normal(size=(400, 3))
+    feats = spark.createDataFrame([([float(v) for v in r],) for r in x], "v array<double>").repartition(2).select(array_to_vector("v").alias("features")).persist()
+    ks = list(range(2, 8))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("sizes", "all sizes at once")
+    got = kmeans_of_sizes(feats, ks, 40, 7)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # one pass an iteration for all sizes, where a fit of each takes one for every size
+    assert len(tracker.getJobIdsForGroup("sizes")) <= 45
+    for k in ks:
+        model = KMeans(k=k, maxIter=40, seed=7).fit(feats)
+        assert np.allclose(got[k], np.array(model.clusterCenters()), atol=1e-9)
+    near = nearest_centres(feats, [got[k] for k in ks])
+    want = model.transform(near).select(F.col("predictions")[len(ks) - 1].alias("p"), "prediction").collect()
+    assert len(want) == 400 and all(r.p == r.prediction for r in want)
+    feats.unpersist()
