@@ -65,7 +65,7 @@ def merge_step(df: DataFrame, linkage: str = "ward", threshold: float | None = N
     elif linkage == "complete":
         labels = complete_linkage(df, "vec_id", "embedding", float(threshold), affinity)
     else:
-        merges, mapping = linkage_merges(df, "vec_id", "embedding", linkage)
+        merges, mapping = linkage_merges(df, "vec_id", "embedding", linkage, threshold=None if threshold is None or n_clusters is not None else float(threshold))
         labels = cut_merges(merges, mapping, None if n_clusters is None else int(n_clusters), None if threshold is None else float(threshold))
         labels = labels.withColumnRenamed("orig_id", "vec_id")
     return df.join(labels, "vec_id")

@@ -134,3 +134,71 @@ def test_corners_hold_the_farthest_member():
         assert (far(few) == far(x)).all() and len(few) <= 40
     line = np.stack([np.arange(9.0), np.arange(9.0)], 1)
     assert {(0.0, 0.0), (8.0, 8.0)} <= {tuple(p) for p in _corners(line)}
+
+
+def table_merges(x, method):
+    """All merges ``(height, members)`` of distinct points, the nearest two of a table of distances at a time."""
+    d = 1 - x @ x.T if method == "average" else np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    parts, n, out = [[i] for i in range(len(x))], np.ones(len(x)), []
+    for _ in range(len(x) - 1):
+        i, j = sorted(np.unravel_index(d.argmin(), d.shape))
+        h = d[i, j]
+        parts[i] = sorted(parts[i] + parts[j])
+        out.append((h, parts[i]))
+        if method == "ward":
+            new = np.sqrt(((n[i] + n) * d[i] ** 2 + (n[j] + n) * d[j] ** 2 - n * h * h).clip(0) / (n[i] + n[j] + n))
+        else:
+            new = np.maximum(d[i], d[j]) if method == "complete" else (n[i] * d[i] + n[j] * d[j]) / (n[i] + n[j])
+        n[i] += n[j]
+        new[i] = new[j] = np.inf
+        d[i], d[:, i], d[j], d[:, j] = new, new, np.inf, np.inf
+    return out
+
+
+@pytest.mark.parametrize("method, threshold", [("ward", None), ("ward", 0.8), ("average", None), ("average", 0.02)])
+def test_tiles_merge_what_no_other_cluster_is_nearer_to(spark, method, threshold, monkeypatch):
+    from sift.operators import linkage
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(260, 2)) + 3 * rng.integers(0, 4, size=(260, 1))
+    x = x / np.sqrt((x * x).sum(axis=1, keepdims=True)) if method == "average" else x
+    monkeypatch.setattr(linkage, "TILE", 40)
+    turns, tiled = [], linkage._tiled
+    monkeypatch.setattr(linkage, "_tiled", lambda clusters, rows, turn: turns.append(rows) or tiled(clusters, rows, turn))
+    merges, _ = linkage_merges(frame(spark, x), "id", "v", method, 120, threshold)
+    want = [(h, m) for h, m in table_merges(x, method) if threshold is None or h < threshold]
+    got = merges.collect()
+    assert np.allclose(sorted(r.height for r in got), sorted(h for h, _ in want), rtol=1e-9, atol=1e-9) and len(turns) > 0
+    assert sorted(r.size for r in got) == sorted(len(m) for _, m in want)
+
+
+@pytest.mark.parametrize("threshold", [0.4, 2.0])
+def test_tiles_of_complete_linkage(spark, threshold, monkeypatch):
+    from sift.operators import linkage
+    x = np.random.default_rng(12).normal(size=(240, 2))
+    monkeypatch.setattr(linkage, "TILE", 40)
+    turns, tiled = [], linkage._tiled
+    monkeypatch.setattr(linkage, "_tiled", lambda clusters, rows, turn: turns.append(rows) or tiled(clusters, rows, turn))
+    got = {r.id: r.cluster for r in complete_linkage(frame(spark, x), "id", "v", threshold, "euclidean", 110).collect()}
+    want = labels(table_merges(x, "complete"), len(x), lambda h: h < threshold)
+    assert got == {i: want[i] for i in range(len(x))} and len(turns) > 0
+
+
+def test_some_thousand_means_are_merged_in_one_task(spark, monkeypatch):
+    from sift.operators import linkage
+
+    def none(*args):
+        raise AssertionError("a round of jobs")
+    monkeypatch.setattr(linkage, "_nearest_clusters", none)
+    x = np.random.default_rng(13).normal(size=(2300, 12))
+    merges, mapping = linkage_merges(frame(spark, x), "id", "v", "average", threshold=0.4)
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    rows = {r.orig_id: r.cluster for r in cut_merges(merges, mapping, threshold=0.4).collect()}
+    groups: dict = {}
+    for i, c in rows.items():
+        groups.setdefault(c, []).append(i)
+    means = np.array([unit[g].mean(axis=0) for g in groups.values()])
+    far = 1 - means @ means.T
+    np.fill_diagonal(far, np.inf)
+    # no two clusters are within the threshold, and the members of every one are
+    assert far.min() >= 0.4 and max(r.height for r in merges.collect()) < 0.4 and len(groups) < 600
