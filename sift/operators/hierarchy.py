@@ -269,12 +269,42 @@ def condensed_tree(nodes: DataFrame, edges: DataFrame, min_cluster_size: int, mo
     return clusters, members
 
 
+def _chosen(table: pa.Table) -> pa.Table:
+    """What ``stable_clusters`` gives, of a condensed tree that one task holds."""
+    names, up, own = (table.column(c).to_pylist() for c in ("cluster", "parent", "stability"))
+    parent, stability = dict(zip(names, up)), dict(zip(names, own))
+    waiting, below, taken, order = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0), {}, []
+    for p in up:
+        if p is not None:
+            waiting[p] += 1
+    ready = [c for c in names if not waiting[c]]
+    while ready:
+        c = ready.pop()
+        order.append(c)
+        p = parent[c]
+        taken[c] = p is not None and stability[c] >= below[c]
+        if p is not None:
+            below[p] += max(stability[c], below[c])
+            waiting[p] -= 1
+            if not waiting[p]:
+                ready.append(p)
+    top: dict = {}
+    for c in reversed(order):  # those above come first
+        above = None if parent[c] is None else top[parent[c]]
+        top[c] = above if above is not None else c if taken[c] else None
+    return pa.table({"cluster": pa.array(order, pa.string()), "chosen": pa.array([top[c] for c in order], pa.string())})
+
+
 def stable_clusters(clusters: DataFrame) -> DataFrame:
     """``(cluster, chosen)``: for every cluster the topmost taken one among itself and those above, or null.
 
     Clusters whose parts are all settled are settled in one round, so there are as many rounds as the
-    condensed tree is high; then names are followed upwards, twice as far each round.
+    condensed tree is high; then names are followed upwards, twice as far each round.  A tree of up to
+    ``PIECE`` clusters is settled in one task.
     """
+    if 0 < clusters.count() <= PIECE:
+        whole = clusters.select("cluster", "parent", "stability").withColumn("_all", F.lit(0))
+        return whole.groupBy("_all").applyInArrow(lambda t: _chosen(t), "cluster string, chosen string")
     open_ = stored(clusters.withColumn("below", F.lit(0.0)))
     settled = None
     while not open_.isEmpty():

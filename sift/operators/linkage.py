@@ -170,16 +170,16 @@ def _mean_rounds(method: str, threshold: float | None):
     return run
 
 
-def _tiled(clusters: DataFrame, rows: int, turn: int) -> DataFrame:
+def _tiled(clusters: DataFrame, rows: int, turn: int, times: float = 1.0) -> DataFrame:
     """Clusters with the number ``_tile`` and the rim ``t0..t3`` of their tile: strips of the first coordinate, cut by the second; every
-    second ``turn`` between the others.  The driver holds the rims."""
+    second ``turn`` between the others, of ``times`` as many rows.  The driver holds the rims."""
     far, shift = float("inf"), 0.5 if turn % 2 else 0.0
 
     def cuts(n: int) -> list[float]:
         return [(i + shift) / n for i in range(n + 1) if 0 < (i + shift) / n < 1]
     x, y = F.col("v")[0], F.coalesce(F.get("v", F.lit(1)), F.lit(0.0))
     pts = clusters.withColumn("_x", F.nanvl(x, F.lit(0.0))).withColumn("_y", F.nanvl(y, F.lit(0.0)))
-    strips = max(1, round((rows / TILE) ** 0.5))
+    strips = max(1, round((rows / (times * TILE)) ** 0.5))
     edges = sorted(set(pts.agg(F.percentile_approx("_x", cuts(strips), 1000)).first()[0])) if cuts(strips) else []
     strip = F.lit(0)
     for e in edges:
@@ -187,7 +187,7 @@ def _tiled(clusters: DataFrame, rows: int, turn: int) -> DataFrame:
     pts = pts.withColumn("_strip", strip)
     bounds = [-far, *edges, far]
     sizes = {r[0]: r[1] for r in pts.groupBy("_strip").count().collect()}
-    grid = {s: cuts(-(-n // TILE)) for s, n in sizes.items()}
+    grid = {s: cuts(int(-(-n // (times * TILE)))) for s, n in sizes.items()}
     most = sorted({c for g in grid.values() for c in g}) or [0.5]
     told = {r[0]: dict(zip(most, r[1])) for r in pts.groupBy("_strip").agg(F.percentile_approx("_y", most, 1000)).collect()}
     rims = []

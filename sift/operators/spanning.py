@@ -9,6 +9,10 @@ partners could be lighter ask the grid, with that bound as radius.  In the grid'
 that fills half a block has blocks of its own, and two blocks of one component are never compared.
 What a point has searched stays known: partners outside a component only get fewer.  Edges and
 components are stored every round; the number of components halves at least.
+
+In few dimensions there are no rounds: up to ``WHOLE`` points are one block, more are dealt to blocks of about ``linkage.TILE`` times
+``SIDE`` by their first two coordinates.  An edge of the tree is one of the tree of any two blocks that hold its ends (Prim's
+algorithm), so the trees of the pairs of blocks hold it; blocks farther apart than the heaviest edge on a way between them need not meet.
 """
 
 from __future__ import annotations
@@ -18,10 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sift.operators import linkage
 from sift.operators.graph import connected_components
 from sift.operators.neighbors import BIG, BLOCK, SLACK, Grid, _distances, _matrix, _nearest
 from sift.session import spread, stored
 
+WHOLE, SIDE = 16_000, 2.5
+#: as many edges of pairs of blocks are joined in one task
+MOST = 8_000_000
 #: a component with so many points in a cell has its own blocks
 PURE = BLOCK // 2
 
@@ -122,11 +130,110 @@ def _bounds(points: DataFrame, lacking: DataFrame, side: float, alpha: float) ->
         level += 1
 
 
+def _prim(v: np.ndarray, core: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends and weights of the edges of a spanning tree of the points."""
+    left = len(v) - 1
+    cols, core, at = [np.ascontiguousarray(c) for c in v.T], core.copy(), np.arange(len(v))
+    best, start = np.full(len(v), np.inf), np.zeros(len(v), int)
+    a, b, w = np.zeros(max(left, 0), int), np.zeros(max(left, 0), int), np.zeros(max(left, 0))
+    here = left  # the last point; those that are reached go to the end
+    for n in range(left):
+        m = left - n
+        own, low = at[here], core[here]
+        far = np.zeros(m)
+        for c in cols:
+            d = c[:m] - c[here]
+            far += d * d
+        far = np.maximum(np.maximum(np.sqrt(far) / alpha, core[:m]), low)
+        nearer = far < best[:m]
+        np.copyto(best[:m], far, where=nearer)
+        start[:m][nearer] = own
+        k = int(best[:m].argmin())
+        a[n], b[n], w[n] = start[k], at[k], best[k]
+        for x in (*cols, core, at, best, start):
+            x[k], x[m - 1] = x[m - 1], x[k]
+        here = m - 1
+    return a, b, w
+
+
+def _tree_of_blocks(alpha: float):
+    """The spanning tree of the points of a group, as names and weights of its edges."""
+    def run(table: pa.Table) -> pa.Table:
+        names = table.column("id").combine_chunks()
+        v = np.stack(table.column("v").to_numpy()).astype(np.float64)
+        a, b, w = _prim(v, table.column("core").to_numpy().astype(np.float64), alpha)
+        return pa.table([names.take(pa.array(a)), names.take(pa.array(b)), pa.array(w), pa.repeat(table.column("pair")[0], len(a))], names=["a", "b", "w", "pair"])
+    return run
+
+
+def _lightest_forest(table: pa.Table) -> pa.Table:
+    """Kruskal's choice of the edges."""
+    table = table.combine_chunks()
+    w = table.column("w").to_numpy()
+    ends = pa.chunked_array([*table.column("a").chunks, *table.column("b").chunks]).combine_chunks().dictionary_encode()
+    code = ends.indices.to_numpy()
+    a, b, order = code[:len(w)], code[len(w):], np.argsort(w, kind="stable")
+    up, kept = list(range(len(ends.dictionary))), []
+    for n, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist()):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[x] = y
+            kept.append(n)
+    return table.select(["a", "b", "w"]).take(pa.array(kept, pa.int64()))
+
+
+def _block_tree(points: DataFrame, n: int, alpha: float) -> DataFrame | None:
+    """Edges ``(a, b, w)`` of the spanning tree of ``points(id, v, core)`` of few dimensions, or nothing if too many blocks are near each other."""
+    id_type = points.schema["id"].dataType.simpleString()
+    schema = f"a {id_type}, b {id_type}, w double, pair int"
+    rows = points.select("id", "v", "core")
+
+    def trees(pairs: list[tuple[int, int]], first: int) -> DataFrame:
+        table = points.sparkSession.createDataFrame([(t, first + i) for i, ij in enumerate(pairs) for t in ij], "_tile int, pair int")
+        met = spread(dealt.join(F.broadcast(table), "_tile").select("id", "v", "core", "pair"), "pair")
+        return stored(met.groupBy("pair").applyInArrow(lambda t: _tree_of_blocks(alpha)(t), schema))
+    if n <= WHOLE:
+        return stored(rows.withColumn("pair", F.lit(0)).groupBy("pair").applyInArrow(lambda t: _tree_of_blocks(alpha)(t), schema).drop("pair"))
+    dealt = stored(linkage._tiled(rows, n, 0, SIDE).select("_tile", "id", "v", "core"))
+    x, y = F.col("v")[0], F.coalesce(F.get("v", F.lit(1)), F.lit(0.0))
+    boxes = np.array(sorted(tuple(r) for r in dealt.groupBy("_tile").agg(F.min(x), F.max(x), F.min(y), F.max(y)).collect()), float)  # a row a block
+    apart = [np.maximum(0, np.maximum(lo[:, None] - hi[None], lo[None] - hi[:, None])) for lo, hi in ((boxes[:, 1], boxes[:, 2]), (boxes[:, 3], boxes[:, 4]))]
+    gap, tiles, count = np.hypot(*apart) / alpha * (1 - 1e-9), boxes[:, 0].astype(int).tolist(), len(boxes)
+    if count < 2:
+        return None
+    middles = np.stack([boxes[:, 1] + boxes[:, 2], boxes[:, 3] + boxes[:, 4]], axis=1) / 2
+    i, j, _ = _prim(middles, np.zeros(count), 1.0)  # ways between all blocks
+    ways = [tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())]
+    edges = trees([(tiles[p], tiles[q]) for p, q in ways], 0)
+    bound = np.full((count, count), np.inf)
+    for r in edges.groupBy("pair").agg(F.max("w").alias("w")).collect():
+        p, q = ways[r["pair"]]
+        bound[p, q] = bound[q, p] = r["w"]
+    for k in range(count):  # the heaviest edge on the best way
+        bound = np.minimum(bound, np.maximum(bound[:, k, None], bound[None, k]))
+    rest = [(p, q) for p in range(count) for q in range(p + 1, count) if gap[p, q] <= bound[p, q] and (p, q) not in set(ways)]
+    if (len(rest) + len(ways)) * 2 * (n // count) > MOST:
+        return None
+    if rest:
+        edges = edges.unionByName(trees([(tiles[p], tiles[q]) for p, q in rest], len(ways)))
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").distinct()
+    return stored(edges.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(lambda t: _lightest_forest(t), f"a {id_type}, b {id_type}, w double"))
+
+
 def spanning_tree(reps: DataFrame, min_samples: int, alpha: float = 1.0, lists: int = 8):
     """``reps(g, id, v, mult)`` (one group, no copies) -> (``(id, mult, core)``, edges ``(a, b, w)``)."""
     grid = Grid(reps)
     k = max(int(min_samples) - 1, lists)
     cores, near = core_distances(grid, int(min_samples), k)
+    size, wide = grid.points.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    if size and wide <= 4:
+        nodes = stored(grid.points.join(cores, "id").select("id", "mult", "v", "core"))
+        tree = _block_tree(nodes, size, alpha)
+        if tree is not None:
+            return nodes.select("id", "mult", "core"), tree
     points = stored(grid.points.join(cores, "id").withColumn("comp", F.col("id"))
                          .withColumn("low", F.greatest("core", F.col("low") / alpha)))
     core = points.select("id", "core")

@@ -160,3 +160,37 @@ def test_small_and_empty_inputs(spark):
     assert sorted((r.id, r.cluster) for r in density_hierarchy(few, "id", "v", 5).collect()) == [(1, -1), (2, -1)]
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], schema)
     assert {r.cluster for r in density_hierarchy(same, "id", "v", 5).collect()} == {-1}  # the root alone
+
+
+def weights_of_tree(spark, x, min_samples):
+    reps, _ = dedupe_vectors(frame(spark, x), "id", "v")
+    nodes, tree = spanning_tree(reps, min_samples)
+    rows = tree.collect()
+    assert len({(r.a, r.b) for r in rows}) == len(rows) == nodes.count() - 1
+    return sorted(r.w for r in rows)
+
+
+def test_trees_of_pairs_of_blocks_hold_the_tree(spark, monkeypatch):
+    """Blocks, one block and the rounds give trees of the same weights."""
+    from sift.operators import linkage, spanning
+    x = unlike_densities()[::4]
+    whole = weights_of_tree(spark, x, 5)
+    monkeypatch.setattr(spanning, "WHOLE", 20)
+    monkeypatch.setattr(linkage, "TILE", 10)
+    met, search = [], spanning._search
+    monkeypatch.setattr(spanning, "_search", lambda *a: met.append(1) or search(*a))
+    blocks = weights_of_tree(spark, x, 5)
+    assert np.allclose(whole, blocks, rtol=1e-9, atol=1e-12) and not met
+    monkeypatch.setattr(spanning, "MOST", 0)  # too many pairs of blocks: the rounds
+    assert np.allclose(whole, weights_of_tree(spark, x, 5), rtol=1e-9, atol=1e-12) and met
+
+
+def test_chosen_clusters_in_one_task_and_by_rounds(spark, monkeypatch):
+    rows = [("r", None, 9.0), ("a", "r", 3.0), ("b", "r", 1.0), ("aa", "a", 2.0), ("ab", "a", 2.0), ("ba", "b", 0.5), ("bb", "b", 0.5), ("aaa", "aa", 1.0)]
+    clusters = spark.createDataFrame(rows, "cluster string, parent string, stability double")
+    got = []
+    for most in (hierarchy.PIECE, 0):
+        monkeypatch.setattr(hierarchy, "PIECE", most)
+        got.append(({r.cluster: r.chosen for r in stable_clusters(clusters).collect()}, stable_clusters(clusters)._jdf.queryExecution().toString()))
+    assert got[0][0] == got[1][0] == {"r": None, "a": None, "b": "b", "aa": "aa", "ab": "ab", "ba": "b", "bb": "b", "aaa": "aa"}
+    assert "FlatMapGroupsInArrow" in got[0][1]
