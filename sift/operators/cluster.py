@@ -91,34 +91,72 @@ def _nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres * centres).sum(axis=1)[None, :] - 2.0 * (x @ centres.T)).argmin(axis=1)
 
 
+#: numbers (rows x dimensions) of a table of which every model gets a copy
+FEW = 1 << 21
+
+
+def _moved(x: np.ndarray, centres: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
+    """Centres after the iterations of one model over all rows."""
+    for _ in range(max_iter):
+        new, moving = _step(_sums(x, [centres])[0], centres, tol)
+        centres = new
+        if not moving:
+            break
+    return centres
+
+
+def _step(part: np.ndarray, centres: np.ndarray, tol: float) -> tuple[np.ndarray, bool]:
+    """The means of the rows ``(n, sums..)`` nearest to each centre, and whether one has moved."""
+    n = part[:, :1]
+    new = np.where(n > 0, part[:, 1:] / np.maximum(n, 1.0), centres)
+    return new, bool((((new - centres) ** 2).sum(axis=1) > tol * tol).any())
+
+
+def _models_side_by_side(features: DataFrame, centres: dict[int, np.ndarray], max_iter: int, tol: float) -> dict[int, np.ndarray]:
+    """Every model in a task of its own, with a copy of the few rows."""
+    from pyspark.ml.functions import vector_to_array
+    importable(features.sparkSession)
+
+    def run(table: pa.Table) -> pa.Table:
+        k = table.column("k")[0].as_py()
+        v = table.column("v").combine_chunks()
+        moved = _moved(v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1), centres[k], max_iter, tol)
+        return pa.table([pa.array([k], pa.int32()), pa.array([moved.ravel()], pa.list_(pa.float64()))], names=["k", "centres"])
+    copies = features.select(F.explode(F.array(*[F.lit(k) for k in centres])).alias("k"), vector_to_array("features").alias("v"))
+    rows = copies.repartition(len(centres), "k").groupBy("k").applyInArrow(lambda t: run(t), "k int, centres array<double>").collect()
+    return {r["k"]: np.array(r["centres"]).reshape(centres[r["k"]].shape) for r in rows}
+
+
 def kmeans_of_sizes(features: DataFrame, ks: list[int], max_iter: int = 100, seed: int = 42, tol: float = 1e-4, parallel: int = 4) -> dict[int, np.ndarray]:
     """Centres of k-means for every k of ``ks`` over ``features(features vector)``: Spark ML's starts, and all models' iterations in one
-    pass each over the rows.  The driver holds the centres alone."""
+    pass each over the rows; of a few rows every model has a copy and a task.  The driver holds the centres alone."""
     from concurrent.futures import ThreadPoolExecutor
 
     def start(k: int) -> np.ndarray:
         return np.array(KMeans(k=k, maxIter=0, seed=seed).fit(features).clusterCenters())
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         centres = dict(zip(ks, pool.map(start, ks)))
+    if features.count() * centres[ks[0]].shape[1] <= FEW:
+        return _models_side_by_side(features, centres, max_iter, tol)
     importable(features.sparkSession)
 
     def block(rows):
         part = [r[0].toArray() for r in rows]
         return [np.array(part)] if part else []
     blocks = features.select("features").rdd.mapPartitions(block).persist()
+    # an iteration is a job: few partitions hand their sums to the driver at once
+    depth = 1 if blocks.getNumPartitions() <= 64 else 2
     moving = list(ks)
     for _ in range(max_iter):
         if not moving:
             break
         models = [centres[k] for k in moving]
-        total = blocks.map(lambda x, models=models: _sums(x, models)).treeReduce(lambda a, b: [p + q for p, q in zip(a, b)])
+        total = blocks.map(lambda x, models=models: _sums(x, models)).treeReduce(lambda a, b: [p + q for p, q in zip(a, b)], depth=depth)
         still = []
         for k, part in zip(moving, total):
-            n = part[:, :1]
-            new = np.where(n > 0, part[:, 1:] / np.maximum(n, 1.0), centres[k])
-            if (((new - centres[k]) ** 2).sum(axis=1) > tol * tol).any():
+            centres[k], moves = _step(part, centres[k], tol)
+            if moves:
                 still.append(k)
-            centres[k] = new
         moving = still
     blocks.unpersist()
     return centres

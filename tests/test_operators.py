@@ -270,3 +270,19 @@ def test_all_sizes_of_kmeans_share_their_passes(spark):
     want = model.transform(near).select(F.col("predictions")[len(ks) - 1].alias("p"), "prediction").collect()
     assert len(want) == 400 and all(r.p == r.prediction for r in want)
     feats.unpersist()
+
+
+def test_models_of_few_rows_run_side_by_side(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+    from sift.operators import cluster
+    x = np.random.default_rng(5).normal(size=(300, 4))
+    feats = spark.createDataFrame([([float(v) for v in r],) for r in x], "v array<double>").repartition(3).select(array_to_vector("v").alias("features")).persist()
+    got = cluster.kmeans_of_sizes(feats, [2, 5, 7], 30, 7)
+    monkeypatch.setattr(cluster, "FEW", 0)
+    passes = cluster.kmeans_of_sizes(feats, [2, 5, 7], 30, 7)
+    assert all(np.allclose(got[k], passes[k], atol=1e-9) and got[k].shape == (k, 4) for k in (2, 5, 7))
+    # no pass of the rows an iteration
+    monkeypatch.setattr(cluster, "FEW", 1 << 21)
+    monkeypatch.setattr(cluster, "_sums", None)
+    assert all(np.allclose(got[k], c) for k, c in cluster.kmeans_of_sizes(feats, [2, 5, 7], 30, 7).items())
+    feats.unpersist()
