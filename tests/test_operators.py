@@ -286,3 +286,44 @@ def test_models_of_few_rows_run_side_by_side(spark, monkeypatch):
     monkeypatch.setattr(cluster, "_sums", None)
     assert all(np.allclose(got[k], c) for k, c in cluster.kmeans_of_sizes(feats, [2, 5, 7], 30, 7).items())
     feats.unpersist()
+
+
+def test_document_vectors_shuffle_no_vector_for_every_row(spark, monkeypatch):
+    """Ids that repeat or are null, tokens without a vector or with two; sums of blocks against plain ones."""
+    from pyspark.sql import functions as F
+    from sift.operators import tokens as TK
+    from sift.operators import vectors as V
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i if i < 28 else 3 if i < 30 else None, i % 3 if i % 5 else None, [words[j] for j in rng.integers(0, 40, size=i)]) for i in range(32)] + [(99, 1, None)]
+    table = spark.createDataFrame(docs, "doc_id long, cluster int, tokens array<string>").repartition(4)
+    monkeypatch.setattr(TK, "BLOCK_TERMS", 30)
+    terms = TK.terms_of_documents(table, keep=["cluster"])
+    want = {}
+    for d, c, t in docs:
+        for w in t or []:
+            want[(c, d, w)] = want.get((c, d, w), 0) + 1
+    assert {(r.cluster, r.doc_id, r.token): r.m for r in terms.collect()} == want and terms.count() == len(want)
+    assert terms.select("_b").distinct().count() > 4
+    vec = {w: rng.normal(size=3) for w in words[:35]}
+    rows = [(w, [float(x) for x in v]) for w, v in vec.items()] + [("w0", [1.0, 2.0, 3.0])]
+    tv = spark.createDataFrame(rows, "token string, vec array<double>")
+    made = V.mean_doc_vectors(terms, tv, keep=["cluster"])
+    plan = made._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "mean" not in plan.split("== Physical Plan ==")[-1]
+    got = {(r.cluster, r.doc_id): r.embedding for r in made.collect()}
+    for key in {k[:2] for k in want}:
+        found = [(m, np.array(v)) for (c, d, w), m in want.items() if (c, d) == key for t, v in rows if t == w]
+        if found:
+            assert np.allclose(got.pop(key), sum(m * v for m, v in found) / sum(m for m, _ in found))
+    assert not got
+    idf = spark.createDataFrame([(w, 0.1 * i) for i, w in enumerate(words)], "token string, idf double")
+    long = TK.token_table(table.filter("doc_id < 28"))
+    weighted = {r.doc_id: r.embedding for r in V.weighted_doc_vectors(long, idf, tv.filter(F.col("token") != "w0"), 0.5).collect()}
+    for d, _, t in docs[1:28]:
+        if d == 3:
+            continue
+        counts = {w: t.count(w) for w in t if w in vec and w != "w0"}
+        if counts:
+            total = sum(m * 0.5 / (0.5 + m * 0.1 * words.index(w)) * vec[w] for w, m in counts.items())
+            assert np.allclose(weighted[d], total / sum(counts.values()))
