@@ -327,3 +327,19 @@ def test_document_vectors_shuffle_no_vector_for_every_row(spark, monkeypatch):
         if counts:
             total = sum(m * 0.5 / (0.5 + m * 0.1 * words.index(w)) * vec[w] for w, m in counts.items())
             assert np.allclose(weighted[d], total / sum(counts.values()))
+
+
+def test_band_filter_shuffles_blocks_not_tokens(spark, monkeypatch):
+    """Ids that repeat or are null, documents that become empty, blocks of a few documents."""
+    from sift.operators import tokens as TK
+    rng = np.random.default_rng(7)
+    docs = [(i if i < 38 else 4 if i < 40 else None, [f"w{j}" for j in rng.zipf(1.5, size=9) if j < 60] or ["lone"]) for i in range(42)] + [(70, ["only"])]
+    table = spark.createDataFrame(docs, "doc_id long, tokens array<string>").repartition(3)
+    long = TK.token_table(table)
+    vocab = TK.frequency_band(TK.document_frequency(long, n_docs=len(docs)), 2, 40)
+    kept = TK.regroup_tokens(TK.filter_tokens(long, vocab), "doc_id", "kept")
+    want = sorted(((r.doc_id is None, r.doc_id or 0, r.kept or []) for r in table.select("doc_id").join(kept, "doc_id", "left").collect()), key=str)
+    monkeypatch.setattr(TK, "BLOCK_TERMS", 40)
+    made = TK.band_filtered(table, 2, 40)
+    assert sorted(((r.doc_id is None, r.doc_id or 0, r.kept) for r in made.collect()), key=str) == want
+    assert "FlatMapCoGroupsInArrow" in made._jdf.queryExecution().toString() and any(w[2] for w in want) and not all(w[2] for w in want)
